@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from imgspark.llm import mixing
 from imgspark.llm.partenum import jaccard_components
 
 
@@ -13,9 +16,35 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op10_source_mixing(spark, sf_dir):
+    plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"))
+
+
+OP10_SQL = r"""
+WITH s AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), g AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS i FROM s GROUP BY source
+), w AS (
+  SELECT *, CASE i % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, (source_size * 3)::DOUBLE AS cap FROM g
+), lv AS (
+  SELECT *, ((SELECT sum(source_size) FROM g)::DOUBLE - coalesce(sum(cap) OVER before, 0)) / ((SELECT sum(w) FROM w) - coalesce(sum(w) OVER before, 0)) AS level
+  FROM w WINDOW before AS (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(cap, (SELECT arg_min(level, cap / w) FROM lv WHERE level * w <= cap) * w) AS target FROM lv
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM t
+)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source
+"""
+
+
 def queries():
-    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
+    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_source_mixing": op10_source_mixing}
 
 
 def oracle_sql():
-    return {}
+    return {"op10_source_mixing": OP10_SQL}
