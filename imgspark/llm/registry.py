@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from imgspark.llm import mixing
+from imgspark.llm import bpe, mixing, quality
 from imgspark.llm.partenum import jaccard_components
 
 
@@ -42,9 +42,22 @@ FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source
 """
 
 
+def op8_quality_rules(spark, sf_dir):
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op9_bpe_encoding(spark, sf_dir, vocabulary=None):
+    """vocabulary: path of the tokenizer file, the same on every machine."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encoded_digests(_table(spark, sf_dir, "documents"), vocabulary)
+
+
 def queries():
-    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op10_source_mixing": op10_source_mixing}
+    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_quality_rules": op8_quality_rules, "op9_bpe_encoding": op9_bpe_encoding, "op10_source_mixing": op10_source_mixing}
 
 
 def oracle_sql():
-    return {"op10_source_mixing": OP10_SQL}
+    return {"op8_quality_rules": quality.sql(), "op10_source_mixing": OP10_SQL}
