@@ -196,10 +196,10 @@ b AS (
 {_level_sql("lng", "lang")},
 {_level_sql("every", "")},
 p AS (
-  SELECT own.lang, own.source, measure,
+  SELECT own.lang, own.source, own.measure,
     CASE WHEN own.total >= {LEAST} THEN own.q25 WHEN lng.total >= {LEAST} THEN lng.q25 ELSE every.q25 END AS q25,
     CASE WHEN own.total >= {LEAST} THEN own.q75 WHEN lng.total >= {LEAST} THEN lng.q75 ELSE every.q75 END AS q75
-  FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.measure = lng.measure JOIN every USING (measure)
+  FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.measure = lng.measure JOIN every ON own.measure = every.measure
 ), f AS (
   SELECT lang, source, measure, q75 + (q75 - q25) * {SPREAD} + CASE measure {margin} END AS hi, q25 - (q75 - q25) * {SPREAD} - CASE measure {margin} END AS lo FROM p
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from imgspark.llm import bpe, mixing, quality
+from imgspark.llm import bpe, mixing, quality, spans
 from imgspark.llm.partenum import jaccard_components
 
 
@@ -42,6 +42,10 @@ FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source
 """
 
 
+def op3_sentence_spans(spark, sf_dir):
+    return spans.span_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -55,8 +59,16 @@ def op9_bpe_encoding(spark, sf_dir, vocabulary=None):
     return bpe.encoded_digests(_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {"op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op8_quality_rules": op8_quality_rules, "op9_bpe_encoding": op9_bpe_encoding, "op10_source_mixing": op10_source_mixing}
+    return {
+        "pipeline": pipeline,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_sentence_spans": op3_sentence_spans, "op8_quality_rules": op8_quality_rules, "op9_bpe_encoding": op9_bpe_encoding, "op10_source_mixing": op10_source_mixing}
 
 
 def oracle_sql():
