@@ -31,7 +31,6 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs plus _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words,
     _q_base_failed and the measures _q_symbols, _q_repeats, _q_word_length. Null: an empty text."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    blank = "\t\n\x0b\x0c\r "
     d = docs.withColumn("_q_h", F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)))
     d = d.withColumn("_q_n_words", F.size("_q_h").cast("long"))
     h = F.col("_q_h")
@@ -49,12 +48,12 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn("_q_p", F.when(s.isNotNull(), F.sort_array(F.filter(places, lambda p: p.isNotNull()))))
     p = F.col("_q_p")
     covered = F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, blank, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("_q_lines", lines)
     d = d.withColumn("_q_n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     d = d.withColumn("_q_n_dup_lines", (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"))
-    d = d.withColumn("_q_word_chars", F.length(F.translate(text, blank, "")).cast("long"))
-    d = d.withColumn("_q_n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
+    d = d.withColumn("_q_word_chars", (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long"))
+    d = d.withColumn("_q_n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
     d = d.drop("_q_h", "_q_w", "_q_s", "_q_p", "_q_lines")
     n = F.col("_q_n_words")
     return (
