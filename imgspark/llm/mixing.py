@@ -21,10 +21,7 @@ MOST_BROADCAST = 100_000
 
 def word_count(text) -> Column:
     """Number of [^\\x20\\x09-\\x0D]+ in a text; null has none."""
-    spaces = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    # a word starts at every non-blank that follows a blank or the start
-    gaps = F.size(F.split(spaces, " +")) - F.when(spaces.startswith(" "), 1).otherwise(0) - F.when(spaces.endswith(" "), 1).otherwise(0)
-    return F.when(F.trim(spaces) == "", 0).otherwise(gaps).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def unit_hash(key) -> Column:
