@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from imgspark.llm import bpe, mixing, quality, spans
+from imgspark.llm import bpe, mixing, quality, spans, urlglob
 from imgspark.llm.partenum import jaccard_components
 
 
@@ -46,6 +46,10 @@ def op3_sentence_spans(spark, sf_dir):
     return spans.span_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark, sf_dir):
+    return urlglob.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -68,8 +72,8 @@ def pipeline(spark, sf_dir):
 def queries():
     return {
         "pipeline": pipeline,
-        "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_sentence_spans": op3_sentence_spans, "op8_quality_rules": op8_quality_rules, "op9_bpe_encoding": op9_bpe_encoding, "op10_source_mixing": op10_source_mixing}
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_sentence_spans": op3_sentence_spans, "op5_url_filters": op5_url_filters, "op8_quality_rules": op8_quality_rules, "op9_bpe_encoding": op9_bpe_encoding, "op10_source_mixing": op10_source_mixing}
 
 
 def oracle_sql():
-    return {"op8_quality_rules": quality.sql(), "op10_source_mixing": OP10_SQL}
+    return {"op5_url_filters": urlglob.SQL, "op8_quality_rules": quality.sql(), "op10_source_mixing": OP10_SQL}
