@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from imgspark.llm import bpe, mixing, quality, spans, urlglob
+from imgspark.llm import bpe, mixing, quality, spans, urlglob, webp
 from imgspark.llm.partenum import jaccard_components
 
 
@@ -12,6 +12,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lossless_webp(spark, sf_dir):
+    return webp.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
@@ -72,6 +76,7 @@ def pipeline(spark, sf_dir):
 def queries():
     return {
         "pipeline": pipeline,
+        "op1_lossless_webp": op1_lossless_webp,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_sentence_spans": op3_sentence_spans, "op5_url_filters": op5_url_filters, "op8_quality_rules": op8_quality_rules, "op9_bpe_encoding": op9_bpe_encoding, "op10_source_mixing": op10_source_mixing}
 
 
