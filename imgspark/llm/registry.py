@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from imgspark.llm import bpe, mixing, quality, spans, urlglob, webp
+from imgspark.llm import bpe, importance, licences, mixing, quality, spans, trie, urlglob, webp
 from imgspark.llm.partenum import jaccard_components
 
 
@@ -50,6 +50,23 @@ def op3_sentence_spans(spark, sf_dir):
     return spans.span_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_importance_resampling(spark, sf_dir):
+    return importance.importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_token_counts(spark, sf_dir, vocabulary=None):
+    """vocabulary: path of the piece file, the same on every machine."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    return trie.token_counts(_table(spark, sf_dir, "documents"), vocabulary)
+
+
+def op7_licence_scan(spark, sf_dir):
+    return licences.licence_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark, sf_dir):
     return urlglob.judge(_table(spark, sf_dir, "pages"))
 
@@ -74,10 +91,8 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {
-        "pipeline": pipeline,
-        "op1_lossless_webp": op1_lossless_webp,
-        "op2_ngram_jaccard_join": op2_ngram_jaccard_join, "op3_sentence_spans": op3_sentence_spans, "op5_url_filters": op5_url_filters, "op8_quality_rules": op8_quality_rules, "op9_bpe_encoding": op9_bpe_encoding, "op10_source_mixing": op10_source_mixing}
+    ops = [op1_lossless_webp, op2_ngram_jaccard_join, op3_sentence_spans, op4_importance_resampling, op5_url_filters, op6_token_counts, op7_licence_scan, op8_quality_rules, op9_bpe_encoding, op10_source_mixing]
+    return {"pipeline": pipeline} | {f.__name__: f for f in ops}
 
 
 def oracle_sql():

@@ -43,7 +43,7 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return words
     w = min(n, k)
-    acc = np.full(n - w + 1, U(w) * U(0x9E3779B97F4A7C15))
+    acc = np.full(n - w + 1, U(w * 0x9E3779B97F4A7C15 % 2**64))
     for j in range(w):
         acc = mix(acc + words[j : n - w + 1 + j])
     return np.unique(acc)
