@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from imgspark import fixtures as X
-from imgspark.catalogue_more import MORE, MORE_SQL
+from imgspark.catalogue_more import MORE, more_sql
 from imgspark.functions.semantics import gamma_table, gaussian3_weights, gaussian_weights
 from imgspark.operators import kernels as K
 from imgspark.operators import pixels as P
@@ -352,4 +352,4 @@ def queries():
 
 
 def oracle_sql():
-    return ORACLE | MORE_SQL
+    return ORACLE | more_sql()
