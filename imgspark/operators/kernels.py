@@ -77,7 +77,7 @@ def rgb_to_hsv(f):
 
 def hsv_to_rgb(f):
     need(f, 3)
-    h, s, v = f[..., 0] * 360 / 179, f[..., 1] / 255.0, f[..., 2] / 255.0
+    h, s, v = f[..., 0].astype(np.float64) * 360 / 179, f[..., 1] / 255.0, f[..., 2] / 255.0
     c = v * s
     x = c * (1 - np.abs(np.fmod(h / 60, 2.0) - 1))
     m, z = v - c, np.zeros_like(c)

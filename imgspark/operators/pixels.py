@@ -16,10 +16,22 @@ from imgspark.functions.semantics import GRAY, gamma_table, gaussian3_weights, g
 from imgspark.operators import kernels as K
 
 KEYS = ["img_id", "y", "x", "c"]
-ROW = Window.partitionBy("img_id", "c", "y").orderBy("x")
-COL = Window.partitionBy("img_id", "c", "x").orderBy("y")
-IMAGE = Window.partitionBy("img_id")
-PLANE = Window.partitionBy("img_id", "c")
+
+def row_window():
+    """Windows are made on use: building one needs a running session."""
+    return Window.partitionBy("img_id", "c", "y").orderBy("x")
+
+
+def column_window():
+    return Window.partitionBy("img_id", "c", "x").orderBy("y")
+
+
+def image_window():
+    return Window.partitionBy("img_id")
+
+
+def plane_window():
+    return Window.partitionBy("img_id", "c")
 
 
 def by_image(px: DataFrame) -> DataFrame:
@@ -42,7 +54,7 @@ def long(px: DataFrame, *values: Column) -> DataFrame:
 
 def sized(px: DataFrame) -> DataFrame:
     """px plus w and h of its image."""
-    return px.withColumn("w", F.max("x").over(IMAGE) + 1).withColumn("h", F.max("y").over(IMAGE) + 1)
+    return px.withColumn("w", F.max("x").over(image_window()) + 1).withColumn("h", F.max("y").over(image_window()) + 1)
 
 
 def gray_of(r, g, b) -> Column:
@@ -268,8 +280,8 @@ def near(v: str, k: int, window) -> Column:
 
 def convolve(px, kernel, kw, kh):
     d = by_image(px)
-    d = d.select(*KEYS, *[near("v", k - kw // 2, ROW).alias(f"h{k}") for k in range(kw)])
-    taps = [near(f"h{kx}", ky - kh // 2, COL) * F.lit(float(kernel[ky * kw + kx])) for ky in range(kh) for kx in range(kw)]
+    d = d.select(*KEYS, *[near("v", k - kw // 2, row_window()).alias(f"h{k}") for k in range(kw)])
+    taps = [near(f"h{kx}", ky - kh // 2, column_window()) * F.lit(float(kernel[ky * kw + kx])) for ky in range(kh) for kx in range(kw)]
     return value(d, trunc_u8(reduce(lambda a, b: a + b, taps, F.lit(0.0))))
 
 
@@ -280,11 +292,11 @@ def sharpen(px, strength=1.0):
 
 def box_blur(px, radius=1, mode="mean"):
     d = by_image(px)
-    row, col = ROW.rowsBetween(-radius, radius), COL.rowsBetween(-radius, radius)
+    row, col = row_window().rowsBetween(-radius, radius), column_window().rowsBetween(-radius, radius)
     s, n = F.sum("v").over(row), F.count("*").over(row)
     if mode == "compat":
         d = sized(d)
-        ends = ROW.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ends = row_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         over = F.least(F.col("x"), F.greatest(F.lit(0), F.col("x") + radius - (F.col("w") - 1)))
         s = s + radius * F.first("v").over(ends) + over * F.last("v").over(ends)
     d = d.select(*KEYS, wrap_u8(F.floor(s / n + F.lit(0.5))).alias("v"))
@@ -298,8 +310,8 @@ def weighted(weights, window, v="v") -> Column:
 
 def gaussian_taps(px, radius=1, sigma=None):
     w = gaussian_weights(radius, sigma)
-    d = by_image(px).select(*KEYS, trunc_u8(weighted(w, ROW)).alias("v"))
-    return value(d, trunc_u8(weighted(w, COL)))
+    d = by_image(px).select(*KEYS, trunc_u8(weighted(w, row_window())).alias("v"))
+    return value(d, trunc_u8(weighted(w, column_window())))
 
 
 def gaussian3(px, sigma=None):
@@ -310,14 +322,14 @@ def gaussian3(px, sigma=None):
         c, s, both = F.lit(centre), F.lit(side), F.lit(centre + side)
         return trunc_u8(F.when(left.isNull() & right.isNull(), v * both + v * s).when(left.isNull(), v * both + right * s).when(right.isNull(), left * s + v * both).otherwise(left * s + v * c + right * s))
 
-    return value(by_image(px).select(*KEYS, one(ROW).alias("v")), one(COL))
+    return value(by_image(px).select(*KEYS, one(row_window()).alias("v")), one(column_window()))
 
 
 def gradients(d: DataFrame, *keep: str) -> DataFrame:
     """gx, gy, inner: the row parts of both kernels first, then sums down the columns."""
-    left, right = F.lag("v", 1).over(ROW), F.lead("v", 1).over(ROW)
+    left, right = F.lag("v", 1).over(row_window()), F.lead("v", 1).over(row_window())
     d = d.select(*KEYS, *keep, (right - left).alias("dx"), (left + 2 * F.col("v") + right).alias("sm"))
-    up, down = (lambda c: F.lag(c, 1).over(COL)), (lambda c: F.lead(c, 1).over(COL))
+    up, down = (lambda c: F.lag(c, 1).over(column_window())), (lambda c: F.lead(c, 1).over(column_window()))
     return d.select(*KEYS, *keep, (up("dx") + 2 * F.col("dx") + down("dx")).alias("gx"), (down("sm") - up("sm")).alias("gy"))
 
 
@@ -332,8 +344,8 @@ def sobel(px):
 
 
 def extreme(px, radius, f):
-    d = px.select(*KEYS, f("v").over(ROW.rowsBetween(-radius, radius)).alias("v"))
-    return d.select(*KEYS, f("v").over(COL.rowsBetween(-radius, radius)).alias("v"))
+    d = px.select(*KEYS, f("v").over(row_window().rowsBetween(-radius, radius)).alias("v"))
+    return d.select(*KEYS, f("v").over(column_window().rowsBetween(-radius, radius)).alias("v"))
 
 
 def erode(px, radius=1):
@@ -356,14 +368,14 @@ def _with_source(px, radius, first, second=None):
     """v (the source) and m (the filtered value) side by side: the windows carry v along."""
     d = by_image(px).withColumn("m", F.col("v"))
     for f in (first, second) if second else (first,):
-        d = d.withColumn("m", f("m").over(ROW.rowsBetween(-radius, radius))).withColumn("m", f("m").over(COL.rowsBetween(-radius, radius)))
+        d = d.withColumn("m", f("m").over(row_window().rowsBetween(-radius, radius))).withColumn("m", f("m").over(column_window().rowsBetween(-radius, radius)))
     return d
 
 
 def morph_gradient(px, radius=1):
     d = by_image(px)
-    d = d.select(*KEYS, *[f("v").over(ROW.rowsBetween(-radius, radius)).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    over = COL.rowsBetween(-radius, radius)
+    d = d.select(*KEYS, *[f("v").over(row_window().rowsBetween(-radius, radius)).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    over = column_window().rowsBetween(-radius, radius)
     return value(d, F.max("hi").over(over) - F.min("lo").over(over))
 
 
@@ -380,13 +392,13 @@ def adaptive_threshold(px, block_size=15, c=5, invert_=False, method="mean"):
     r = (size + 1 - size % 2) // 2
     d = by_image(px)
     if method == "mean":
-        row, col = ROW.rowsBetween(-r, r), COL.rowsBetween(-r, r)
+        row, col = row_window().rowsBetween(-r, r), column_window().rowsBetween(-r, r)
         d = d.select(*KEYS, "v", F.sum("v").over(row).alias("s"), F.count("*").over(row).alias("n"))
         mean = F.sum("s").over(col) / F.sum("n").over(col)
     else:
         w = gaussian_weights(r, r / 3)
-        d = d.select(*KEYS, "v", weighted(w, ROW).alias("s"))
-        mean = weighted(w, COL, "s")
+        d = d.select(*KEYS, "v", weighted(w, row_window()).alias("s"))
+        mean = weighted(w, column_window(), "s")
     return value(d, F.when((F.col("v") > mean - c) != F.lit(invert_), 255).otherwise(0))
 
 
@@ -397,8 +409,8 @@ def canny_maxima(px, radius=1, sigma=None):
     mag = F.coalesce(F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")).cast("float"), F.lit(0.0).cast("float"))
     way = F.when(angle < 22.5, 0).when(angle < 67.5, 1).otherwise(2)
     d = d.select(*KEYS, mag.alias("m"), F.when(F.col("gx").isNotNull(), way).alias("way"))
-    d = d.withColumn("l", F.lag("m", 1).over(ROW)).withColumn("r", F.lead("m", 1).over(ROW))
-    d = d.select(*KEYS, "m", "way", "l", "r", F.lag("r", 1).over(COL).alias("ne"), F.lead("l", 1).over(COL).alias("sw"), F.lag("m", 1).over(COL).alias("n"), F.lead("m", 1).over(COL).alias("s"))
+    d = d.withColumn("l", F.lag("m", 1).over(row_window())).withColumn("r", F.lead("m", 1).over(row_window()))
+    d = d.select(*KEYS, "m", "way", "l", "r", F.lag("r", 1).over(column_window()).alias("ne"), F.lead("l", 1).over(column_window()).alias("sw"), F.lag("m", 1).over(column_window()).alias("n"), F.lead("m", 1).over(column_window()).alias("s"))
     q = F.when(F.col("way") == 0, F.col("r")).when(F.col("way") == 1, F.col("ne")).otherwise(F.col("n"))
     p = F.when(F.col("way") == 0, F.col("l")).when(F.col("way") == 1, F.col("sw")).otherwise(F.col("s"))
     return d.select(*KEYS, F.when((F.col("m") >= q) & (F.col("m") >= p), F.col("m")).otherwise(F.lit(0.0).cast("float")).alias("m"))
@@ -418,15 +430,15 @@ def histogram(px):
 
 def equalize(px):
     d = by_image(px)
-    rank = PLANE.orderBy("v")
-    d = d.withColumn("cdf", F.count("*").over(rank.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.count("*").over(PLANE))
-    d = d.withColumn("least", F.min("cdf").over(PLANE))
+    rank = plane_window().orderBy("v")
+    d = d.withColumn("cdf", F.count("*").over(rank.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.count("*").over(plane_window()))
+    d = d.withColumn("least", F.min("cdf").over(plane_window()))
     flat = F.col("n") == F.col("least")
     return value(d, F.when(flat, 0).otherwise(half_up_u8((F.col("cdf") - F.col("least")) / F.when(flat, 1).otherwise(F.col("n") - F.col("least")) * 255)))
 
 
 def normalize(px):
-    d = by_image(px).withColumn("lo", F.min("v").over(PLANE)).withColumn("hi", F.max("v").over(PLANE))
+    d = by_image(px).withColumn("lo", F.min("v").over(plane_window())).withColumn("hi", F.max("v").over(plane_window()))
     span = F.when(F.col("hi") == F.col("lo"), 1).otherwise(F.col("hi") - F.col("lo"))
     return value(d, trunc_u8((F.col("v") - F.col("lo")) / span * 255))
 
@@ -435,8 +447,8 @@ def integral(px):
     """(img_id, y, x, s): (w + 1) x (h + 1) sums, with a zero row and column."""
     d = by_image(px)
     run = (Window.unboundedPreceding, Window.currentRow)
-    d = d.select(*KEYS, F.sum("v").over(ROW.rowsBetween(*run)).alias("s"))
-    d = d.select("img_id", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), F.sum("s").over(COL.rowsBetween(*run)).alias("s"))
+    d = d.select(*KEYS, F.sum("v").over(row_window().rowsBetween(*run)).alias("s"))
+    d = d.select("img_id", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), F.sum("s").over(column_window().rowsBetween(*run)).alias("s"))
     size = px.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     top = size.select("img_id", F.lit(0).alias("y"), F.explode(F.sequence(F.lit(0), F.col("w"))).alias("x"), F.lit(0).cast("long").alias("s"))
     side = size.select("img_id", F.explode(F.sequence(F.lit(1), F.col("h"))).alias("y"), F.lit(0).alias("x"), F.lit(0).cast("long").alias("s"))
@@ -520,6 +532,6 @@ def draw_boxes(px, channels, boxes: DataFrame, colour=None, thickness=2):
 
 def binomial_edges(px):
     d = by_image(px)
-    d = d.select(*KEYS, (near("v", -1, ROW) + 2 * F.col("v") + near("v", 1, ROW)).alias("s"))
-    d = d.select(*KEYS, F.shiftright(near("s", -1, COL) + 2 * F.col("s") + near("s", 1, COL), 4).alias("v"))
+    d = d.select(*KEYS, (near("v", -1, row_window()) + 2 * F.col("v") + near("v", 1, row_window())).alias("s"))
+    d = d.select(*KEYS, F.shiftright(near("s", -1, column_window()) + 2 * F.col("s") + near("s", 1, column_window()), 4).alias("v"))
     return value(gradients(d), edge_value())
