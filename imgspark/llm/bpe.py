@@ -118,10 +118,10 @@ def split_space(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts; `most` chunks between white space are remembered."""
+    """Encodes texts; `most` chunks between white space are remembered. digests: as strings, not arrays."""
 
-    def __init__(self, vocab: Vocabulary, most: int = 250_000):
-        self.vocab, self.most = vocab, most
+    def __init__(self, vocab: Vocabulary, most: int = 250_000, digests: bool = False):
+        self.vocab, self.most, self.digests = vocab, most, digests
         self.known: dict[str, tuple] = {}
 
     def chunks(self, text: str | None) -> list:
@@ -142,19 +142,23 @@ class Encoder:
         """Encodes the chunks not known yet, in one flat array."""
         if len(self.known) > self.most:
             self.known.clear()
-        new = {c for x in lists for c in x if c not in self.known and isinstance(c, str)}
+        new = set().union(*lists).difference(self.known)
+        marks = {c for c in new if isinstance(c, int)}
+        new -= marks
         parts = {c: SPLIT.findall(c) for c in new}
         words = list({w for p in parts.values() for w in p})
         ids = dict(zip(words, self.vocab.encode_words(words))) if words else {}
         for c, p in parts.items():
             got = [i for w in p for i in ids[w].tolist()]
             self.known[c] = self.entry(got)
-        for c in {c for x in lists for c in x if isinstance(c, int)}:
+        for c in marks:
             self.known[c] = self.entry([c])
 
     def entry(self, ids: list[int]) -> tuple:
         names = self.vocab.names
-        return (np.array(ids, np.int32), len(ids), " ".join(map(str, ids)), " ".join(names[i] for i in ids))
+        if self.digests:
+            return (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+        return (np.array(ids, np.int32), len(ids))
 
     def groups(self, texts: list, most_chars: int = 2_000_000):
         """Texts in groups of bounded size, each with its chunks learnt."""
@@ -228,16 +232,18 @@ def _digest(path: str):
     def run(batches):
         import pyarrow as pa
 
-        coder, sha = Encoder(vocabulary(path)), lambda s: hashlib.sha256(s.encode()).hexdigest()
+        coder, sha = Encoder(vocabulary(path), 400_000, digests=True), lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             docs, at = batch.column(0), 0
             for group in coder.groups(batch.column(1).to_pylist()):
                 n, ids, back = [], [], []
                 for x in group:
-                    got = [g for g in map(coder.known.__getitem__, x) if g[1]]
-                    n.append(sum(g[1] for g in got))
-                    ids.append(sha(" ".join([g[2] for g in got])))
-                    back.append(sha(" ".join([g[3] for g in got])))
+                    size, text, names = zip(*map(coder.known.__getitem__, x)) if x else ((), (), ())
+                    if 0 in size:  # a chunk of marks that the split leaves out
+                        text, names = filter(None, text), filter(None, names)
+                    n.append(sum(size))
+                    ids.append(sha(" ".join(text)))
+                    back.append(sha(" ".join(names)))
                 yield pa.RecordBatch.from_arrays([docs.slice(at, len(group)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(group)
 
