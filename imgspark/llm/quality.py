@@ -56,12 +56,16 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = d.withColumn("_q_n_symbols", F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"))
     d = d.drop("_q_h", "_q_w", "_q_s", "_q_p", "_q_lines")
     n = F.col("_q_n_words")
-    return (
+    d = (
         d.withColumn("_q_base_failed", (n < 50) | (F.col("_q_n_repeat_words") * 100 > n * 50))
         .withColumn("_q_symbols", F.floor(F.col("_q_n_symbols") * 1000 / F.greatest(F.lit(1), "_q_word_chars")))
         .withColumn("_q_repeats", F.floor(F.col("_q_n_repeat_words") * 1000 / F.greatest(F.lit(1), "_q_n_words")))
         .withColumn("_q_word_length", F.floor(F.col("_q_word_chars") * 100 / F.greatest(F.lit(1), "_q_n_words")))
     )
+    # one generated row a document: later filters stay above it instead of repeating the metrics
+    rest = [F.col(f"`{c}`") for c in docs.columns]
+    made = [c for c in d.columns if c.startswith("_q_")]
+    return d.select(*rest, F.explode(F.array(F.struct(*made))).alias("_q")).select(*rest, *[F.col(f"_q.{c}").alias(c) for c in made])
 
 
 def bucket(x) -> Column:
