@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from imgspark.llm.components import connected_components
-from imgspark.llm.scratch import Scratch, build_bloom, in_bloom
+from imgspark.llm.scratch import Scratch, build_bloom, in_bloom, split_by_keys
 from imgspark.llm.shingles import U, WordHashes, mix, shingle_set, word_hashes
 
 
@@ -55,12 +55,25 @@ class Scheme:
         if k == 0:
             return 0, 0, 0
         n1 = -(-(k + 1) // 2)
-        return n1, 3 if n1 <= 4 else 2, 1
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set of hashes, for its band and the next."""
+        if n1 <= 4:
+            return n1, 3, 1
+        # spare partitions, so that light ones need not sign (see signatures)
+        spare = -(-(k + 1) * (20 if self.percent < 85 else 6) // 100)
+        return -(-(k + 1 + spare) // 2), 2, 1
+
+    def most_differing(self, band: int) -> int:
+        return 2 * self.high[band] * (100 - self.percent) // (100 + self.percent)
+
+    def signatures(self, s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """(signatures, how many of them a partner shares at least) of a sorted set of hashes, for its
+        band and the next.
+
+        With pairs of partitions a signature is one partition, and of f = 2 * n1 at least f - k agree
+        with a partner's. Empty ones tell nothing: a set with fewer than f - k of them does not sign
+        them, as one that agrees is then filled, in both sets; its partners share f - k less those.
+        """
         if not len(s):
-            return s
+            return []
         band = self.band(len(s))
         sums = np.zeros(len(s) + 1, U)
         np.cumsum(mix(s ^ U(0xA0761D6478BD642F)), out=sums[1:])
@@ -68,11 +81,18 @@ class Scheme:
         for b in (band, band + 1):
             n1, n2, k2 = self.shape(b)
             if n1:
-                parts = np.diff(sums[np.searchsorted(s, bounds(n1 * n2))]).reshape(n1, n2)
+                ends = np.searchsorted(s, bounds(n1 * n2))
+                parts = np.diff(sums[ends]).reshape(n1, n2)
                 # subsets of n2 - 1 partitions: the group's sum without one of them
                 subset = parts.sum(1, keepdims=True) - parts
-                out.append(mix(subset + names(b, n1, n2)).ravel())
-        return np.concatenate(out) if out else np.empty(0, U)
+                sig, shared = mix(subset + names(b, n1, n2)), 1
+                if n2 == 2:
+                    empty = (np.diff(ends) == 0).reshape(n1, n2)[:, ::-1]  # of the partition that signs
+                    least = n1 * n2 - self.most_differing(b)
+                    if empty.sum() < least:
+                        sig, shared = sig[~empty], least - int(empty.sum())
+                out.append((sig.ravel(), shared))
+        return out
 
 
 @lru_cache(4096)
@@ -113,25 +133,35 @@ def _classes(k: int):
     return run
 
 
-def _signed(k: int, percent: int, shared=None):
-    """All signatures; with a Bloom filter of repeated ones only those, with the set's key and their count."""
+def _signed(k: int, percent: int, bloom=None, skip=None):
+    """All signatures; with a Bloom filter of repeated ones only those, with the set's key and their
+    count. skip: a Bloom filter of ids to leave out."""
 
     def run(batches):
         import pyarrow as pa
 
         table, scheme = WordHashes(), Scheme(percent)
-        bits = np.frombuffer(shared.value, np.uint8) if shared else None
+        bits = np.frombuffer(bloom.value, np.uint8) if bloom else None
         for batch in batches:
             held, n = [], 0
+            if skip:
+                ids = batch.column(0)
+                batch = batch.filter(pa.array(~in_bloom(np.frombuffer(skip.value, np.uint8), ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)))
             for _, text in _texts(batch):
                 s = shingle_set(word_hashes(text, table), k)
-                sig = scheme.signatures(s).view(np.int64)
-                if bits is not None and len(sig):
-                    sig = sig[in_bloom(bits, sig)]
-                if not len(sig):
+                found = []
+                for sig, shared in scheme.signatures(s):
+                    sig = sig.view(np.int64)
+                    if bits is not None:
+                        sig = sig[in_bloom(bits, sig)]
+                    # with too few repeated ones there is no partner in that band
+                    if len(sig) >= shared:
+                        found.append(sig)
+                if not found:
                     continue
-                key = int(mix(s + U(1)).sum()) if shared else 0
-                held.append((sig, np.full(len(sig), key, U).view(np.int64), np.full(len(sig), len(sig), np.int64)) if shared else (sig,))
+                sig = np.concatenate(found)
+                key = int(mix(s + U(1)).sum()) if bloom else 0
+                held.append((sig, np.full(len(sig), key, U).view(np.int64), np.full(len(sig), len(sig), np.int64)) if bloom else (sig,))
                 n += len(sig)
                 if n > 200_000:
                     yield _flat(pa, held)
@@ -187,17 +217,29 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     reps = scratch.cut(reps)
     by_key = reps.select(F.col("h1").alias("x"), "rep")
 
-    # signatures that occur twice at least; equal copies count too, which only costs a little
-    twice = base.mapInArrow(_signed(k, percent), "sig long").groupBy("sig").count().filter("count > 1").select("sig")
+    # one document of each class signs; the others are few, and only their texts are shuffled
+    copies = scratch.cut(whole.join(reps, ["h1", "h2"]).filter("doc_id <> rep").select("doc_id").distinct())
+    _, maybe = split_by_keys(scratch, base, "doc_id", copies)
+    rest = scratch.cut(maybe.join(copies, "doc_id", "left_anti"))
+    skip = spark.sparkContext.broadcast(build_bloom(copies, "doc_id"))
+
+    def signing(schema, bloom=None):
+        # one Python worker a task: the documents that may be copies are left out in the same pass
+        sure = base.mapInArrow(_signed(k, percent, bloom, skip), schema)
+        return sure.unionByName(rest.mapInArrow(_signed(k, percent, bloom), schema))
+
+    # signatures that occur twice at least
+    twice = signing("sig long").groupBy("sig").count().filter("count > 1").select("sig")
     bloom = spark.sparkContext.broadcast(build_bloom(twice, "sig"))
-    signed = scratch.cut(base.mapInArrow(_signed(k, percent, bloom), "sig long, x long, hits long"))
+    signed = scratch.cut(signing("sig long, x long, hits long", bloom))
     # the pivot of a bucket: the set most of whose signatures are shared, near the middle of its group
     pivots = signed.groupBy("sig").agg(F.max_by("x", "hits").alias("p"), F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("sig", "p")
     star = signed.join(pivots, "sig").filter("x <> p").select("p", "x").distinct()
     star = star.join(by_key, "x").select("p", F.col("rep").alias("b")).join(by_key.withColumnRenamed("x", "p"), "p").select(F.col("rep").alias("a"), "b")
     star = scratch.cut(star.filter("a <> b").withColumn("again", F.lit(True)))
     bloom.unpersist()
-    scratch.drop(signed)
+    skip.unpersist()
+    scratch.drop(signed, rest, copies)
 
     wanted = scratch.cut(star.select(F.col("a").alias("node")).union(star.select("b")).distinct())
     bloom = spark.sparkContext.broadcast(build_bloom(wanted, "node"))

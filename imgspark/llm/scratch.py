@@ -64,14 +64,10 @@ def bloom_positions(key, log2: int = BLOOM_LOG2):
     return F.array(*[F.shiftrightunsigned(x, n).bitwiseAND(F.lit(mask)) for x in (a, b) for n in (3, 35)])
 
 
-def bloom_columns(words: np.ndarray, log2: int = BLOOM_LOG2):
-    """The same positions for an int64 array, in numpy: Spark's xxhash64 of (long, int)."""
-    mask = np.uint64((1 << log2) - 1)
-    out = []
-    for salt in (1, 2):
-        h = _xxh64_int(salt, _xxh64_long(words.view(np.uint64), np.uint64(42)))
-        out += [(h >> np.uint64(n)) & mask for n in (3, 35)]
-    return out
+def bloom_columns(words: np.ndarray, salt: int, log2: int = BLOOM_LOG2):
+    """Two of the same positions for an int64 array, in numpy: Spark's xxhash64 of (long, int)."""
+    h = _xxh64_int(salt, _xxh64_long(words.view(np.uint64), np.uint64(42)))
+    return [(h >> np.uint64(n)) & np.uint64((1 << log2) - 1) for n in (3, 35)]
 
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -117,12 +113,19 @@ def build_bloom(keys: DataFrame, column: str, log2: int = BLOOM_LOG2) -> bytes:
 
 def in_bloom(bits: np.ndarray, values: np.ndarray, log2: int = BLOOM_LOG2) -> np.ndarray:
     """True where an int64 may be among the keys; never false for a key."""
-    hit = np.ones(len(values), bool)
-    for p in bloom_columns(values, log2):
-        hit &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+    left = np.arange(len(values))
+    for salt in (1, 2):  # the second pair of positions only for those that pass the first
+        one, two = bloom_columns(values[left], salt, log2)
+        left = left[_bit(bits, one) & _bit(bits, two)]
+    hit = np.zeros(len(values), bool)
+    hit[left] = True
     return hit
 
 
+def _bit(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+
+
 def split_by_keys(scratch: Scratch, df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is surely not in keys, rows whose key may be): wide rows that
     need no join then need no shuffle either. A null key is surely not in keys."""
@@ -135,7 +138,9 @@ def split_by_keys(scratch: Scratch, df: DataFrame, key: str, keys: DataFrame) ->
         import pandas as pd
 
         bits = np.frombuffer(shared.value, np.uint8)
-        return pd.Series(in_bloom(bits, ids.fillna(0).to_numpy(np.int64)) & ids.notna().to_numpy())
+        return pd.Series(in_bloom(bits, ids.to_numpy(np.int64)))
 
-    mark = maybe(F.col(key).cast("long"))
+    # nulls are settled before, as a long column with nulls would reach pandas as doubles
+    known = F.col(f"`{key}`").cast("long")
+    mark = known.isNotNull() & maybe(F.coalesce(known, F.lit(0)))
     return df.filter(~mark), df.filter(mark)
