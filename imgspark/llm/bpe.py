@@ -20,6 +20,8 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
+from imgspark.llm.shingles import in_slices
+
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: str.split() also splits at these; the tokenizer does not.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -180,7 +182,7 @@ def _encode(path: str, id_col: bool):
         import pyarrow as pa
 
         coder = Encoder(vocabulary(path))
-        for batch in batches:
+        for batch in in_slices(batches, 1024):
             at = 0
             for group in coder.groups(batch.column(0).to_pylist()):
                 known = coder.known
@@ -233,7 +235,7 @@ def _digest(path: str):
         import pyarrow as pa
 
         coder, sha = Encoder(vocabulary(path), 400_000, digests=True), lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
+        for batch in in_slices(batches, 1024):
             docs, at = batch.column(0), 0
             for group in coder.groups(batch.column(1).to_pylist()):
                 n, ids, back = [], [], []

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from imgspark.llm.scratch import Scratch
-from imgspark.llm.shingles import U, WordHashes, mix, word_hashes
+from imgspark.llm.shingles import U, WordHashes, in_slices, mix, word_hashes
 
 BUCKETS = 1 << 14
 #: Labelled rows that the target model is fitted on, at most: those with the smallest hash.
@@ -48,7 +48,7 @@ def model_counts(docs: DataFrame, good: set[int]) -> tuple[np.ndarray, np.ndarra
         import pyarrow as pa
 
         table, both = WordHashes(), np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in in_slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 n = np.bincount(buckets(text, table), minlength=BUCKETS)
                 both[1] += n
@@ -76,7 +76,7 @@ def scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         import pyarrow as pa
 
         table = WordHashes()
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = batch.column(0)
             w = np.array([shared.value[buckets(t, table)].sum() for t in batch.column(1).cast(pa.binary()).to_pylist()], float)
             key = w + np.array([gumbel(i if i is not None else -1) for i in ids.to_pylist()])

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from imgspark.llm.components import connected_components
 from imgspark.llm.scratch import Scratch, build_bloom, in_bloom, split_by_keys
-from imgspark.llm.shingles import U, WordHashes, mix, shingle_set, word_hashes
+from imgspark.llm.shingles import U, WordHashes, in_slices, mix, shingle_set, word_hashes
 
 
 #: Members of a group up to which pairs from different components are verified at once; a larger
@@ -119,7 +119,7 @@ def _classes(k: int):
         import pyarrow as pa
 
         table = WordHashes()
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, sizes, h1, h2 = [], [], [], []
             for doc, text in _texts(batch):
                 s = shingle_set(word_hashes(text, table), k)
@@ -142,8 +142,8 @@ def _signed(k: int, percent: int, bloom=None, skip=None):
 
         table, scheme = WordHashes(), Scheme(percent)
         bits = np.frombuffer(bloom.value, np.uint8) if bloom else None
-        for batch in batches:
-            held, n = [], 0
+        held, n = [], 0
+        for batch in in_slices(batches):
             if skip:
                 ids = batch.column(0)
                 batch = batch.filter(pa.array(~in_bloom(np.frombuffer(skip.value, np.uint8), ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)))
@@ -166,8 +166,8 @@ def _signed(k: int, percent: int, bloom=None, skip=None):
                 if n > 200_000:
                     yield _flat(pa, held)
                     held, n = [], 0
-            if held:
-                yield _flat(pa, held)
+        if held:
+            yield _flat(pa, held)
 
     return run
 
@@ -184,11 +184,11 @@ def _sets(k: int, shared):
         import pyarrow as pa
 
         table, bits = WordHashes(), np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
             batch = batch.filter(pa.array(in_bloom(bits, ids)))
-            for at in range(0, batch.num_rows, 200):
-                out = [(doc, shingle_set(word_hashes(text, table), k).view(np.int64)) for doc, text in _texts(batch.slice(at, 200))]
+            if batch.num_rows:
+                out = [(doc, shingle_set(word_hashes(text, table), k).view(np.int64)) for doc, text in _texts(batch)]
                 offsets = np.cumsum([0, *(len(s) for _, s in out)])
                 sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([s for _, s in out])))
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), sets], ["node", "s"])

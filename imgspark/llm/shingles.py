@@ -11,7 +11,7 @@ U = np.uint64
 class WordHashes(dict):
     """Word -> hash, emptied when it holds `most` words so that memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
@@ -22,6 +22,13 @@ class WordHashes(dict):
         return h
 
 
+def in_slices(batches, rows: int = 256):
+    """Arrow batches cut small, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from imgspark.llm.scratch import Scratch, split_by_keys
+from imgspark.llm.shingles import in_slices
 
 SENTENCE_END = re.compile(r"(?<=[.!?]\s)|(?<=\n)")
 SENTENCES, WORDS, LONG = 3, 16, 50
@@ -54,8 +55,8 @@ def _runs(batches):
         k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(np.array(docs, np.int64))], ["k1", "k2", "doc_id"])
 
-    for batch in batches:
-        docs, keys = [], []
+    docs, keys = [], []
+    for batch in in_slices(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             mine = {k for _, _, k in runs(sentences(text))} if doc is not None else ()
             docs += [doc] * len(mine)
@@ -63,8 +64,8 @@ def _runs(batches):
             if len(keys) > 100_000:
                 yield flat(docs, keys)
                 docs, keys = [], []
-        if keys:
-            yield flat(docs, keys)
+    if keys:
+        yield flat(docs, keys)
 
 
 def merged(spans) -> list[tuple[int, int]]:
