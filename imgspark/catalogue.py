@@ -246,9 +246,8 @@ def _flip(y, x, src="gray8", where=""):
 
 def _box(compat, src, n, r):
     lo, hi = f"greatest(0, a.x - {r})", f"least({n - 1}, a.x + {r})"
-    s = "sum(b.v)" + (f" + {r} * max(CASE WHEN b.x = 0 THEN b.v ELSE f.v END) + least(a.x, greatest(0, a.x + {r} - {n - 1})) * max(l.v)" if compat else "")
+    s = "sum(b.v)" + (f" + {r} * max(f.v) + least(a.x, greatest(0, a.x + {r} - {n - 1})) * max(l.v)" if compat else "")
     edges = f"JOIN {src} f ON f.img_id = a.img_id AND f.y = a.y AND f.x = 0 JOIN {src} l ON l.img_id = a.img_id AND l.y = a.y AND l.x = {n - 1}" if compat else ""
-    s = s.replace("max(CASE WHEN b.x = 0 THEN b.v ELSE f.v END)", "max(f.v)")
     row = f"bh AS (SELECT a.img_id, a.y, a.x, a.c, floor(({s}) / count(b.v)::DOUBLE + 0.5)::INT % 256 AS v FROM {src} a JOIN {src} b ON b.img_id = a.img_id AND b.y = a.y AND b.x BETWEEN {lo} AND {hi} {edges} GROUP BY a.img_id, a.y, a.x, a.c)"
     return sql(f"SELECT a.img_id, a.y, a.x, a.c, floor(sum(b.v) / count(b.v)::DOUBLE + 0.5)::INT % 256 AS v FROM bh a JOIN bh b ON b.img_id = a.img_id AND b.x = a.x AND abs(b.y - a.y) <= {r} GROUP BY a.img_id, a.y, a.x, a.c", src, row)
 
