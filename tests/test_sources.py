@@ -32,6 +32,13 @@ def test_round_trips(shape):
     assert (raster.read_bmp(raster.write_bmp(f)) == f).all()
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 10_000])
+def test_chunked_deflate(n):
+    data = bytes(RNG.integers(0, 4, n, dtype=np.uint8))
+    for chunks in (1, 3, 8):
+        assert zlib.decompress(raster.deflate_chunks(data, 6, chunks)) == data
+
+
 def png(w, h, depth, colour, raw, extra=b""):
     chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + bytes(4)
     return raster.PNG_HEAD + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
