@@ -255,7 +255,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         links = new if links is None else links.unionByName(new)
         found = connected_components(scratch, links)
         labels = _relabel(scratch, wanted, found)
-        pairs = _residual(scratch, got.filter("again"), sets, labels, percent)
+        pairs = _residual(scratch, got.filter("again"), labels, percent)
         if not pairs.limit(1).count():
             break
     degree = links.select(F.col("a").alias("rep"), "b").union(links.select("b", "a")).distinct().groupBy("rep").agg(F.count("*").alias("links"))
@@ -275,15 +275,17 @@ def _relabel(scratch: Scratch, nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) by the exact sets."""
+    """(a, b, again, linked, nb, d) by the exact sets."""
     sa = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
     sb = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(sb, "b").join(sa, "a")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", "again", (F.lit(100) * inter >= F.lit(percent) * (F.col("na") + F.col("nb") - inter)).alias("linked"))
+    both = pairs.join(sb, "b").join(sa, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    linked = F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("i"))
+    # what the two don't share goes along with the pairs of a pivot, for _residual
+    d = F.when(F.col("again"), F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")))
+    return both.select("a", "b", "again", linked.alias("linked"), "nb", d.alias("d"))
 
 
-def _residual(scratch: Scratch, got: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _residual(scratch: Scratch, got: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The next pairs to verify: (a, b, again) of groups that share a rare element of the difference from
     a pivot; again marks the pairs of a new pivot.
 
@@ -292,20 +294,18 @@ def _residual(scratch: Scratch, got: DataFrame, sets: DataFrame, labels: DataFra
     """
     la = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
     lb = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    seen = got.select("a", "b").join(la, "a").join(lb, "b")
+    seen = scratch.cut(got.select("a", "b", "nb", F.size("d").alias("nd")).join(la, "a").join(lb, "b"))
     open_ = seen.groupBy("a").agg(F.count("*").alias("m"), F.max((F.col("ca") != F.col("cb")).cast("int")).alias("out")).filter("m > 1 and out = 1").select("a")
-    sa = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    sb = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-    delta = seen.join(open_, "a").select("a", "b", "cb").join(sb, "b").join(sa, "a")
-    delta = delta.select("a", "b", "cb", "nb", F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")).alias("d"))
-    delta = scratch.cut(delta)
-    tok = delta.select("a", "b", "cb", F.floor(F.col("nb") * (100 - percent) / percent).alias("kx"), F.size("d").alias("nd"), F.explode("d").alias("e"))
-    freq = tok.groupBy("a", "e").agg(F.count("*").alias("f"))
+    kx = F.floor(F.col("nb") * (100 - percent) / percent)
+    member = scratch.cut(seen.join(open_, "a").select("a", "b", "cb", kx.alias("kx"), "nd"))
+    tok = got.select("a", "b", "d").join(member.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.explode("d").alias("e"))
+    # elements that no other member has are missing from any partner: more than kx of them rule a
+    # member out; fewer come first in its order by rarity
+    shared = tok.groupBy("a", "e").agg(F.count("*").alias("f")).filter("f > 1")
+    tok = tok.join(shared, ["a", "e"]).join(member, ["a", "b"])
     own = Window.partitionBy("a", "b")
-    tok = tok.join(freq, ["a", "e"]).withColumn("r", F.row_number().over(own.orderBy("f", "e")))
-    # elements that no other member has are missing from any partner: more than kx rule a member out
-    tok = tok.withColumn("u", F.sum((F.col("f") == 1).cast("int")).over(own)).filter("r <= kx + 1 and f > 1 and u <= kx")
-    tok = scratch.cut(tok.select("a", "e", "b", "cb", "kx", "nd", "u"))
+    tok = tok.withColumn("u", F.col("nd") - F.count("*").over(own)).withColumn("r", F.col("u") + F.row_number().over(own.orderBy("f", "e")))
+    tok = scratch.cut(tok.filter("r <= kx + 1 and u <= kx").select("a", "e", "b", "cb", "kx", "nd", "u"))
     groups = tok.groupBy("a", "e").agg(F.count("*").alias("m"), F.min_by("b", "nd").alias("p"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).filter("lo <> hi")
     groups = scratch.cut(groups.select("a", "e", "m", "p"))
     # a group that is large still gets a pivot of its own, and the step is applied again
@@ -315,7 +315,7 @@ def _residual(scratch: Scratch, got: DataFrame, sets: DataFrame, labels: DataFra
     direct = few.join(other, ["a", "e"]).filter("b < b2 and cb <> cb2 and u + u2 <= kx and u + u2 <= kx2").select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
     pairs = star.withColumn("again", F.lit(True)).unionByName(direct.withColumn("again", F.lit(False)))
     pairs = scratch.cut(pairs)
-    scratch.drop(delta, tok, groups)
+    scratch.drop(seen, member, tok, groups)
     return pairs
 
 
