@@ -231,6 +231,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     # signatures that occur twice at least
     twice = signing("sig long").groupBy("sig").count().filter("count > 1").select("sig")
     bloom = spark.sparkContext.broadcast(build_bloom(twice, "sig"))
+    del twice
+    scratch.release()
     signed = scratch.cut(signing("sig long, x long, hits long", bloom))
     # the pivot of a bucket: the set most of whose signatures are shared, near the middle of its group
     pivots = signed.groupBy("sig").agg(F.max_by("x", "hits").alias("p"), F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("sig", "p")
@@ -240,6 +242,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     bloom.unpersist()
     skip.unpersist()
     scratch.drop(signed, rest, copies)
+    del pivots, signed
+    scratch.release()
 
     wanted = scratch.cut(star.select(F.col("a").alias("node")).union(star.select("b")).distinct())
     bloom = spark.sparkContext.broadcast(build_bloom(wanted, "node"))
@@ -255,6 +259,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         links = new if links is None else links.unionByName(new)
         found = connected_components(scratch, links)
         labels = _relabel(scratch, wanted, found)
+        scratch.release()
         pairs = _residual(scratch, got.filter("again"), labels, percent)
         if not pairs.limit(1).count():
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,12 @@ class Scratch:
         back._scratch_path = where
         return back
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nobody holds any more, now rather than
+        when the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path, fs = self._fs(t._scratch_path)
