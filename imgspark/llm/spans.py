@@ -2,9 +2,11 @@
 
 Every run of several consecutive sentences is hashed (128 bits); runs are joined over all
 documents, and the sentences under any run that is not the first of its kind are removed. A run
-closes at its third sentence or later, once it has 16 words, and in any case with 50 words, so a
-passage of 50 words from sentence to sentence always holds one. Runs are taken forward from every
-sentence and backward from every sentence, so that they cover a passage to both its ends.
+closes at its third sentence or later (its second, with least=2, as the query has it), once it has
+16 words, and in any case with 50 words, so a passage of 50 words from sentence to sentence always
+holds one, and with least=2 so do any two whole sentences of 16 words that a longer passage leaves.
+Runs are taken forward from every sentence and backward from every sentence, so that they cover a
+passage to both its ends.
 """
 
 from __future__ import annotations
@@ -47,25 +49,28 @@ def runs(parts: list[str], least: int = SENTENCES, words: int = WORDS, long: int
     return [(places[a], places[b - 1], xxhash.xxh3_128_digest("\n".join(normal[a:b]).encode())) for a, b in sorted(found)]
 
 
-def _runs(batches):
-    """(k1, k2, doc_id, again): each distinct run of each document once; again: repeated inside it."""
+def _runs(least: int):
+    """(k1, k2, doc_id): each distinct run of each document once."""
     import pyarrow as pa
 
     def flat(docs, keys):
         k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(np.array(docs, np.int64))], ["k1", "k2", "doc_id"])
 
-    docs, keys = [], []
-    for batch in in_slices(batches):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            mine = {k for _, _, k in runs(sentences(text))} if doc is not None else ()
-            docs += [doc] * len(mine)
-            keys += mine
-            if len(keys) > 100_000:
-                yield flat(docs, keys)
-                docs, keys = [], []
-    if keys:
-        yield flat(docs, keys)
+    def run(batches):
+        docs, keys = [], []
+        for batch in in_slices(batches):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine = {k for _, _, k in runs(sentences(text), least)} if doc is not None else ()
+                docs += [doc] * len(mine)
+                keys += mine
+                if len(keys) > 100_000:
+                    yield flat(docs, keys)
+                    docs, keys = [], []
+        if keys:
+            yield flat(docs, keys)
+
+    return run
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -78,7 +83,7 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def clean(text: str | None, later: set[bytes]) -> tuple[str | None, int, list[tuple[int, int]]]:
+def clean(text: str | None, later: set[bytes], least: int = SENTENCES) -> tuple[str | None, int, list[tuple[int, int]]]:
     """(kept text, sentences removed, removed spans as places of sentences).
 
     later: keys of runs that an earlier document has. A run that the document repeats itself goes
@@ -87,7 +92,7 @@ def clean(text: str | None, later: set[bytes]) -> tuple[str | None, int, list[tu
     parts = sentences(text)
     seen: set[bytes] = set()
     gone = []
-    for a, b, k in runs(parts):
+    for a, b, k in runs(parts, least):
         if k in later or k in seen:
             gone.append((a, b))
         seen.add(k)
@@ -98,7 +103,7 @@ def clean(text: str | None, later: set[bytes]) -> tuple[str | None, int, list[tu
     return "".join(p for i, p in enumerate(parts) if i not in drop), sum(bool(parts[i].strip()) for i in drop), spans
 
 
-def _clean(schema: T.StructType, at: int, joined: bool):
+def _clean(schema: T.StructType, at: int, joined: bool, least: int):
     """Rows (keys, columns...) -> columns, _s_text, _s_removed, _s_spans; without keys if not joined."""
 
     def run(batches):
@@ -112,14 +117,14 @@ def _clean(schema: T.StructType, at: int, joined: bool):
                 part = batch.slice(lo, 500)
                 keys = part.column(0).to_pylist() if joined else [None] * part.num_rows
                 rest = part.columns[1:] if joined else part.columns
-                got = [clean(t, set(k or ())) for t, k in zip(rest[at].to_pylist(), keys)]
+                got = [clean(t, set(k or ()), least) for t, k in zip(rest[at].to_pylist(), keys)]
                 new = [pa.array([x[0] for x in got], arrow.field("_s_text").type), pa.array([x[1] for x in got], pa.int32()), pa.array([[{"first": a, "last": b} for a, b in x[2]] for x in got], arrow.field("_s_spans").type)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rest, *new], arrow)], schema=arrow)
 
     return run
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES) -> DataFrame:
     """docs plus _s_text (cleaned), _s_removed (sentences removed) and _s_spans (their places).
 
     A run's first occurrence is the one in the smallest id, and there the first place; it stays.
@@ -133,10 +138,10 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch = Scratch(docs.sparkSession, "spans")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "k1 long, k2 long, doc_id long"
-    first = base.mapInArrow(_runs, schema).groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("k1", "k2", "lo")
+    first = base.mapInArrow(_runs(least), schema).groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("k1", "k2", "lo")
     first = scratch.cut(first)
     # only runs that may be repeated are shuffled a second time
-    _, maybe = split_by_keys(scratch, base.mapInArrow(_runs, schema), "k1", first.select("k1"))
+    _, maybe = split_by_keys(scratch, base.mapInArrow(_runs(least), schema), "k1", first.select("k1"))
     later = maybe.join(first, ["k1", "k2"]).filter("doc_id > lo").select("doc_id", "k1", "k2").distinct()
     later = scratch.cut(later)
     by_doc = later.groupBy(F.col("doc_id").alias("_s_doc")).agg(F.collect_list(F.struct("k1", "k2")).alias("_s_pairs"))
@@ -146,8 +151,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     touched = touched.join(by_doc, "_s_doc", "left").select(key.alias("_s_keys"), *[F.col(f"`{c}`") for c in docs.columns])
     fields = [*docs.schema.fields, T.StructField("_s_text", T.StringType()), T.StructField("_s_removed", T.IntegerType()), T.StructField("_s_spans", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))]
     out, at = T.StructType(fields), docs.columns.index(text_col)
-    a = untouched.select(*[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(_clean(out, at, False), out)
-    b = touched.mapInArrow(_clean(out, at, True), out)
+    a = untouched.select(*[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(_clean(out, at, False, least), out)
+    b = touched.mapInArrow(_clean(out, at, True, least), out)
     return a.union(b)
 
 
@@ -160,8 +165,8 @@ def _bytes(pair):
 
 
 def span_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_removed, kept_chars, kept_sha256, removed) of every document."""
-    out = dedup_spans(docs.select("doc_id", "text"))
+    """(doc_id, n_removed, kept_chars, kept_sha256, removed) of every document; runs close at two sentences."""
+    out = dedup_spans(docs.select("doc_id", "text"), least=2)
     return out.select("doc_id", F.col("_s_removed").cast("long").alias("n_removed"), F.coalesce(F.length("_s_text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("_s_text", F.lit("")), 256).alias("kept_sha256"), F.col("_s_spans").alias("removed"))
 
 

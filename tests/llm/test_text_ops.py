@@ -93,6 +93,17 @@ def test_span_edges(spark):
     assert got == [(-1, text, 5), (7, text, 5), (7, text, 5), (8, "", 5)]
 
 
+def test_report_sees_passages_between_fragments(spark):
+    """A passage of over 50 words whose ends are inside sentences leaves two whole sentences of under 50 words."""
+    rng = random.Random(9)
+    middle = words(rng, 12) + ". " + words(rng, 13) + ". "
+    passage = words(rng, 20) + ". " + middle + words(rng, 20)
+    rows = [(i, words(rng, 30) + ". " + words(rng, 9) + " " + passage + " " + words(rng, 9) + ". " + words(rng, 30) + ".") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.kept_chars) for r in spans.span_report(df).collect()}
+    assert got == {i: (2, len(t) - len(middle)) if i else (0, len(t)) for i, t in rows}
+
+
 # ---- URL filters
 
 
