@@ -216,6 +216,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     reps = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.countDistinct("doc_id").alias("copies"))
     reps = scratch.cut(reps)
     by_key = reps.select(F.col("h1").alias("x"), "rep")
+    # rows without an id are not counted in reps: as pivots they would take their bucket's links along
+    base = base.filter("doc_id is not null")
 
     # one document of each class signs; the others are few, and only their texts are shuffled
     copies = scratch.cut(whole.join(reps, ["h1", "h2"]).filter("doc_id <> rep").select("doc_id").distinct())
