@@ -11,7 +11,8 @@ Candidates are verified exactly. A bucket never emits all its pairs: its members
 with one pivot. Partners of a pivot's cluster that are not both linked to the pivot must share
 an element of their difference from the pivot, so what stays unlinked is grouped by the rarest
 elements of that difference (an overlap prefix filter) and the same step is applied again, to
-the end. Components then come from the links alone.
+the end. Components then come from the links alone. Every link lies inside a component, so the
+number of links of each document is counted exactly over all pairs of its component, block by block.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ from imgspark.llm.shingles import U, WordHashes, in_slices, mix, shingle_set, wo
 #: Members of a group up to which pairs from different components are verified at once; a larger
 #: group gets a pivot instead. Either way every possible link is looked at.
 LARGE = 200
+#: Elements of the sets in one block of a component when links are counted; a set counts as LEAST at least.
+BLOCK, LEAST = 300_000, 300
+#: Elements whose columns are multiplied at once there.
+COLUMNS = 2048
 
 
 class Scheme:
@@ -196,16 +201,16 @@ def _sets(k: int, shared):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links_found) of every document.
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", degrees: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links_found) of every document; without the last if not degrees.
 
     Links: 100 * |A n B| >= percent * |A u B| over distinct k-word shingles; component_id is the
     smallest id reachable through links. Null, empty and blank texts have no shingles and link
     with nothing, not even each other; fewer than k words make one shingle; equal sets always
     link. Rows with a null id stay as they are with a null component_id. Repeated ids are taken
     as one document if their texts are equal. Other columns are ignored; an empty table gives an
-    empty table. n_links_found counts the verified links of a document's set that the join used
-    (a spanning subset in large groups), plus its equal copies.
+    empty table. n_links_found is the number of other documents (distinct ids) that link with the
+    document, equal copies among them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "partenum")
@@ -265,18 +270,102 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         pairs = _residual(scratch, got.filter("again"), labels, percent)
         if not pairs.limit(1).count():
             break
-    degree = links.select(F.col("a").alias("rep"), "b").union(links.select("b", "a")).distinct().groupBy("rep").agg(F.count("*").alias("links"))
     members = whole.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep", "copies").distinct()
     comp = labels.select(F.col("node").alias("rep"), "comp")
-    members = members.join(comp, "rep", "left").join(degree, "rep", "left")
-    members = members.select("doc_id", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links_found"))
-    out = classes.select("doc_id", "n_shingles").join(members, "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links_found", F.lit(0)).cast("long").alias("n_links_found"))
+    members = members.join(comp, "rep", "left")
+    found = [F.coalesce("comp", "rep").alias("component_id")]
+    if degrees:
+        members = members.join(_degrees(scratch, labels, reps, sets, percent), "rep", "left")
+        found.append((F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links_found"))
+    out = classes.select("doc_id", "n_shingles").join(members.select("doc_id", *found), "doc_id", "left")
+    last = [F.coalesce("n_links_found", F.lit(0)).cast("long").alias("n_links_found")] if degrees else []
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *last)
     done = scratch.cut(out)
     scratch.drop(sets, star, classes, reps)
     return done
 
 
+def _degrees(scratch: Scratch, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, links): the documents of other classes that link with the class.
+
+    The two classes of a component of two are linked. Larger components are cut into blocks by hash,
+    and each pair of blocks is one group: it yields a row for each member, never one for each pair.
+    """
+    copies = reps.groupBy(F.col("rep").alias("node")).agg(F.max("copies").alias("copies"))
+    member = scratch.cut(labels.join(copies, "node").join(sets.select("node", "n"), "node"))
+    comps = member.groupBy("comp").agg(F.count("*").alias("m"), F.sum("copies").alias("all"), F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / BLOCK).cast("long").alias("blocks")).filter("m > 1")
+    member = scratch.cut(member.join(comps, "comp"))
+    two = member.filter("m = 2").select(F.col("node").alias("rep"), (F.col("all") - F.col("copies")).alias("links"))
+    more = member.filter("m > 2").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    more = more.join(sets.select("node", "s"), "node").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    more = more.select("comp", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "copies", "s")
+    more = more.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    counted = more.mapInArrow(_counted(percent), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    return scratch.cut(two.unionByName(counted))
+
+
+def _counted(percent: int):
+    """(rep, links) of each member in each group (comp, lo, hi); groups lie together in sorted rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held = None, []
+
+        def flush():
+            rep, links = link_counts(key[1], key[2], *map(np.concatenate, zip(*held)), percent)
+            return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links)], ["rep", "links"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            comp, lo, hi, block, node, copies = (batch.column(i).to_numpy() for i in range(6))
+            cut = np.flatnonzero((np.diff(comp) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            size = batch.column(6).value_lengths().to_numpy().astype(np.int64)
+            values, at = batch.column(6).flatten().to_numpy(), np.cumsum([0, *size])
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+                now = (comp[i], lo[i], hi[i])
+                if held and now != key:
+                    yield flush()
+                    held = []
+                key = now
+                held.append((block[i:j].copy(), node[i:j].copy(), copies[i:j].copy(), size[i:j], values[at[i] : at[j]].copy()))
+        if held:
+            yield flush()
+
+    return run
+
+
+def link_counts(lo: int, hi: int, block, node, copies, size, values, percent: int):
+    """(node, copies of what it links with) for members of the blocks lo and hi, over pairs across the two,
+    or over all pairs of one block. size: of each member's set; values: the sets one after another."""
+    a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    row = np.repeat(np.arange(len(node)), size)
+    _, col = np.unique(values, return_inverse=True)
+    n = col.max() + 1
+    # only elements that can be shared count
+    if lo == hi:
+        may = np.bincount(col, minlength=n) > 1
+    else:
+        left = (block == lo)[row]
+        may = (np.bincount(col[left], minlength=n) > 0) & (np.bincount(col[~left], minlength=n) > 0)
+    keep = may[col]
+    row, col = row[keep], (np.cumsum(may) - 1)[col[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col, n = row[order], col[order], int(may.sum())
+    both = np.zeros((len(a), len(b)), np.int64)
+    for c in range(0, n, COLUMNS):
+        i, j = np.searchsorted(col, (c, c + COLUMNS))
+        has = np.zeros((len(node), min(COLUMNS, n - c)), np.float32)
+        has[row[i:j], col[i:j] - c] = 1
+        both += (has[a] @ has[b].T).astype(np.int64)
+    linked = (both > 0) & (100 * both >= percent * (size[a][:, None] + size[b][None] - both))
+    if lo == hi:
+        np.fill_diagonal(linked, False)
+        return node[a], linked @ copies[a]
+    return np.concatenate([node[a], node[b]]), np.concatenate([linked @ copies[b], copies[a] @ linked])
+
+
 def _relabel(scratch: Scratch, nodes: DataFrame, found: DataFrame) -> DataFrame:
     return scratch.cut(nodes.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
 
