@@ -303,3 +303,24 @@ def test_licences(spark):
         assert got[i].families == (family or "")
     assert got[50].n_lines == 0 and got[51].n_lines == 0 and got[52].families == "apache-2.0,mit" and got[52].n_confirmed == 2
     assert licences.licence_report(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_sibling_licences(spark):
+    """Licences that differ in a word or number from another are told apart; unknown ones are nobody's."""
+    lines = {
+        "Licensed under CC BY 4.0.": "cc-by-4.0",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0",
+        "Licensed under CC BY-ND 4.0.": "cc-by-nd-4.0",
+        "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0",
+        "Licensed under CC BY 3.0.": "",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "lgpl-2.1",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0",
+        "Licensed under the Mozilla Public License, version 2.0.": "mpl-2.0",
+        "Released under the ISC License.": "isc",
+        "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0",
+    }
+    rows = [(i, t, "en", "s") for i, t in enumerate(lines)]
+    got = {r.doc_id: r.families for r in licences.licence_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: got[i] for i, t in enumerate(lines)} == lines
