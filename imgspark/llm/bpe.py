@@ -15,6 +15,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -157,9 +158,8 @@ class Encoder:
             self.known[c] = self.entry([c])
 
     def entry(self, ids: list[int]) -> tuple:
-        names = self.vocab.names
         if self.digests:
-            return (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
+            return (len(ids), " ".join(map(str, ids)), ids)
         return (np.array(ids, np.int32), len(ids))
 
     def groups(self, texts: list, most_chars: int = 2_000_000):
@@ -177,7 +177,7 @@ class Encoder:
             yield held
 
 
-def _encode(path: str, id_col: bool):
+def _encode(path: str, digest: bool):
     def run(batches):
         import pyarrow as pa
 
@@ -190,26 +190,32 @@ def _encode(path: str, id_col: bool):
                 offsets = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 rest = batch.slice(at, len(group))
                 at += len(group)
-                yield pa.RecordBatch.from_arrays([*rest.columns[1:], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))], [*rest.schema.names[1:], "ids"])
+                new = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))]
+                if digest:
+                    new.append(pa.array([hashlib.sha256(decode_ids(coder.vocab, x.tolist()).encode()).hexdigest() for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*rest.columns[1:], *new], [*rest.schema.names[1:], "ids", "digest"][: len(rest.columns) - 1 + len(new)])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """docs without its text column, plus out_col array<int>: the ids of the whole text.
+def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids", digest_col: str | None = None) -> DataFrame:
+    """docs without its text column, plus out_col array<int>: the ids of the whole text; with digest_col
+    also the SHA-256 of what decode_ids makes of them.
 
     Null, empty and blank texts have no ids; equal texts have equal ids. Text that reads like a
     special token becomes that token's id, as in the tokenizers library. Other columns stay as
-    they are, whatever their names; out_col must be new. An empty table gives an empty table.
+    they are, whatever their names; out_col and digest_col must be new. An empty table gives an empty table.
     """
     from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    if out_col in docs.columns:
-        raise ValueError(f"column {out_col} exists")
+    for c in (out_col, digest_col):
+        if c in docs.columns:
+            raise ValueError(f"column {c} exists")
     rest = [f for f in docs.schema.fields if f.name != text_col]
     tmp = docs.select(F.col(f"`{text_col}`").cast("string"), *[F.col(f"`{f.name}`") for f in rest])
-    return tmp.mapInArrow(_encode(path, True), T.StructType([*rest, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
+    new = [T.StructField(out_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(digest_col, T.StringType())] if digest_col else [])
+    return tmp.mapInArrow(_encode(path, bool(digest_col)), T.StructType([*rest, *new]))
 
 
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
@@ -240,12 +246,12 @@ def _digest(path: str):
             for group in coder.groups(batch.column(1).to_pylist()):
                 n, ids, back = [], [], []
                 for x in group:
-                    size, text, names = zip(*map(coder.known.__getitem__, x)) if x else ((), (), ())
+                    size, text, parts = zip(*map(coder.known.__getitem__, x)) if x else ((), (), ())
                     if 0 in size:  # a chunk of marks that the split leaves out
-                        text, names = filter(None, text), filter(None, names)
+                        text = filter(None, text)
                     n.append(sum(size))
                     ids.append(sha(" ".join(text)))
-                    back.append(sha(" ".join(names)))
+                    back.append(sha(decode_ids(coder.vocab, list(chain.from_iterable(parts)))))
                 yield pa.RecordBatch.from_arrays([docs.slice(at, len(group)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(group)
 

@@ -55,3 +55,21 @@ def test_small_tables_and_clashes(spark):
     with pytest.raises(ValueError):
         bpe.encode(df, PATH, out_col="ids")
     assert bpe.encode(df.limit(0), PATH).collect() == []
+
+
+def test_queries_decode_the_ids(spark, library, monkeypatch):
+    """The digests come from decode_ids, in op9's pass and in the pipeline's last stage."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    texts = ["some text's end", "", None, "x <|endoftext|> y"]
+    ids = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.token_ids, r.decoded_sha256) for r in corpus_pipeline.bpe_stage(spark, df, "", PATH).collect()}
+    assert got == {i: (x, sha(library.decode(x, skip_special_tokens=False))) for i, x in enumerate(ids)}
+    seen = []
+    monkeypatch.setattr(bpe, "decode_ids", lambda vocab, x: seen.append(list(x)) or "decoded")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["doc_id", "text"])
+    out = pa.Table.from_batches(bpe._digest(PATH)([batch])).to_pydict()
+    assert seen == ids and out["decoded_sha256"] == [sha("decoded")] * 4
