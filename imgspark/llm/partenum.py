@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from imgspark.llm.components import connected_components
-from imgspark.llm.scratch import Scratch, build_bloom, in_bloom, split_by_keys
+from imgspark.llm.scratch import Scratch, broadcast_bloom, in_bloom, lean, split_by_keys
 from imgspark.llm.shingles import U, WordHashes, in_slices, mix, shingle_set, word_hashes
 
 
@@ -135,7 +135,7 @@ def _classes(k: int):
             col = lambda x: pa.array(np.array(x, U).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), col(h1), col(h2)], ["doc_id", "n_shingles", "h1", "h2"])
 
-    return run
+    return lean(run)
 
 
 def _signed(k: int, percent: int, bloom=None, skip=None):
@@ -146,19 +146,18 @@ def _signed(k: int, percent: int, bloom=None, skip=None):
         import pyarrow as pa
 
         table, scheme = WordHashes(), Scheme(percent)
-        bits = np.frombuffer(bloom.value, np.uint8) if bloom else None
         held, n = [], 0
         for batch in in_slices(batches):
             if skip:
                 ids = batch.column(0)
-                batch = batch.filter(pa.array(~in_bloom(np.frombuffer(skip.value, np.uint8), ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)))
+                batch = batch.filter(pa.array(~in_bloom(skip.value, ids.to_numpy())))
             for _, text in _texts(batch):
                 s = shingle_set(word_hashes(text, table), k)
                 found = []
                 for sig, shared in scheme.signatures(s):
                     sig = sig.view(np.int64)
-                    if bits is not None:
-                        sig = sig[in_bloom(bits, sig)]
+                    if bloom:
+                        sig = sig[in_bloom(bloom.value, sig)]
                     # with too few repeated ones there is no partner in that band
                     if len(sig) >= shared:
                         found.append(sig)
@@ -174,7 +173,7 @@ def _signed(k: int, percent: int, bloom=None, skip=None):
         if held:
             yield _flat(pa, held)
 
-    return run
+    return lean(run)
 
 
 def _flat(pa, held):
@@ -188,17 +187,16 @@ def _sets(k: int, shared):
     def run(batches):
         import pyarrow as pa
 
-        table, bits = WordHashes(), np.frombuffer(shared.value, np.uint8)
+        table = WordHashes()
         for batch in in_slices(batches):
-            ids = np.array([-1 if i is None else i for i in batch.column(0).to_pylist()], np.int64)
-            batch = batch.filter(pa.array(in_bloom(bits, ids)))
+            batch = batch.filter(pa.array(in_bloom(shared.value, batch.column(0).to_numpy())))
             if batch.num_rows:
                 out = [(doc, shingle_set(word_hashes(text, table), k).view(np.int64)) for doc, text in _texts(batch)]
                 offsets = np.cumsum([0, *(len(s) for _, s in out)])
                 sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([s for _, s in out])))
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), sets], ["node", "s"])
 
-    return run
+    return lean(run)
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", degrees: bool = True) -> DataFrame:
@@ -228,7 +226,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     copies = scratch.cut(whole.join(reps, ["h1", "h2"]).filter("doc_id <> rep").select("doc_id").distinct())
     _, maybe = split_by_keys(scratch, base, "doc_id", copies)
     rest = scratch.cut(maybe.join(copies, "doc_id", "left_anti"))
-    skip = spark.sparkContext.broadcast(build_bloom(copies, "doc_id"))
+    skip = broadcast_bloom(scratch, copies, "doc_id")
 
     def signing(schema, bloom=None):
         # one Python worker a task: the documents that may be copies are left out in the same pass
@@ -236,10 +234,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
         return sure.unionByName(rest.mapInArrow(_signed(k, percent, bloom), schema))
 
     # signatures that occur twice at least
-    twice = signing("sig long").groupBy("sig").count().filter("count > 1").select("sig")
-    bloom = spark.sparkContext.broadcast(build_bloom(twice, "sig"))
-    del twice
+    twice = scratch.cut(signing("sig long").groupBy("sig").count().filter("count > 1").select("sig"))
     scratch.release()
+    bloom = broadcast_bloom(scratch, twice, "sig")
+    scratch.drop(twice)
     signed = scratch.cut(signing("sig long, x long, hits long", bloom))
     # the pivot of a bucket: the set most of whose signatures are shared, near the middle of its group
     pivots = signed.groupBy("sig").agg(F.max_by("x", "hits").alias("p"), F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("sig", "p")
@@ -253,7 +251,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     scratch.release()
 
     wanted = scratch.cut(star.select(F.col("a").alias("node")).union(star.select("b")).distinct())
-    bloom = spark.sparkContext.broadcast(build_bloom(wanted, "node"))
+    bloom = broadcast_bloom(scratch, wanted, "node")
     sets = base.mapInArrow(_sets(k, bloom), "node long, s array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = scratch.cut(sets.select("node", "s", F.size("s").alias("n")))
 
@@ -333,7 +331,7 @@ def _counted(percent: int):
         if held:
             yield flush()
 
-    return run
+    return lean(run)
 
 
 def link_counts(lo: int, hi: int, block, node, copies, size, values, percent: int):

@@ -1,32 +1,67 @@
-"""Intermediate tables in the folder that all machines share, and fixed-size Bloom filters."""
+"""Intermediate tables in the folder that all machines share, and Bloom filters of a bounded size."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: log2 of the bits of a Bloom filter: 16 MB, whatever the data.
-BLOOM_LOG2 = 27
+#: log2 of the bits of a Bloom filter, least and most (64 MB), and bits for each key. A filter that
+#: would have fewer than LEAST_BITS for each key is not built: everything then goes to the exact join.
+BLOOM_LOG2 = (17, 29)
+BITS, LEAST_BITS = 20, 4
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where that is unset."""
+    """The folder that spark.checkpoint.dir names; one of our own where that is unset and all is on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = tempfile.mkdtemp(prefix="imgspark-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Rows of an Arrow batch at most, as rows hold whole texts.
+BATCH = 1000
+
+
+def lean(run):
+    """A function for mapInArrow whose memory goes back to the system at its end: Python workers
+    stay for later tasks, and many of them share a machine."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not a glibc system
+        pass
+
+
 class Scratch:
     """Cuts lineage by writing a table to the shared folder and reading it back.
 
@@ -40,6 +75,9 @@ class Scratch:
         self.made = 0
         path, fs = self._fs(self.top)
         fs.deleteOnExit(path)
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(rows)) <= BATCH:
+            spark.conf.set(rows, BATCH)
 
     def _fs(self, where: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
@@ -65,13 +103,18 @@ class Scratch:
             fs.delete(path, True)
 
 
-def bloom_positions(key, log2: int = BLOOM_LOG2):
+def bloom_log2(n: int) -> int:
+    """log2 of the bits for n keys."""
+    return min(max((max(n, 1) * BITS - 1).bit_length(), BLOOM_LOG2[0]), BLOOM_LOG2[1])
+
+
+def bloom_positions(key, log2: int):
     """Four bit positions for a long column."""
     a, b, mask = F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2)), (1 << log2) - 1
     return F.array(*[F.shiftrightunsigned(x, n).bitwiseAND(F.lit(mask)) for x in (a, b) for n in (3, 35)])
 
 
-def bloom_columns(words: np.ndarray, salt: int, log2: int = BLOOM_LOG2):
+def bloom_columns(words: np.ndarray, salt: int, log2: int):
     """Two of the same positions for an int64 array, in numpy: Spark's xxhash64 of (long, int)."""
     h = _xxh64_int(salt, _xxh64_long(words.view(np.uint64), np.uint64(42)))
     return [(h >> np.uint64(n)) & np.uint64((1 << log2) - 1) for n in (3, 35)]
@@ -104,8 +147,13 @@ def _xxh64_int(x: int, seed):
         return _avalanche(_rotl(h, 23) * P2 + P3)
 
 
-def build_bloom(keys: DataFrame, column: str, log2: int = BLOOM_LOG2) -> bytes:
-    """The filter's bits (2^log2, so at most 16 MB reach the driver, however many keys)."""
+def build_bloom(keys: DataFrame, column: str) -> bytes | None:
+    """The filter's bits for the keys of a written table, sized by their count; at most 64 MB reach the
+    driver, however many keys. None, which stands for "any", if there are too many for a useful filter."""
+    n = keys.count()
+    log2 = bloom_log2(n)
+    if n * LEAST_BITS > 1 << log2:
+        return None
     rows = (
         keys.select(F.explode(bloom_positions(F.col(column), log2)).alias("p"))
         .groupBy(F.shiftright("p", 15).alias("bucket"))
@@ -118,11 +166,19 @@ def build_bloom(keys: DataFrame, column: str, log2: int = BLOOM_LOG2) -> bytes:
     return bytes(out)
 
 
-def in_bloom(bits: np.ndarray, values: np.ndarray, log2: int = BLOOM_LOG2) -> np.ndarray:
+def broadcast_bloom(scratch: Scratch, keys: DataFrame, column: str):
+    """The filter as a broadcast variable."""
+    return scratch.spark.sparkContext.broadcast(build_bloom(keys, column))
+
+
+def in_bloom(bits: bytes | None, values: np.ndarray) -> np.ndarray:
     """True where an int64 may be among the keys; never false for a key."""
+    if bits is None:
+        return np.ones(len(values), bool)
+    bits, log2 = np.frombuffer(bits, np.uint8), len(bits).bit_length() + 2
     left = np.arange(len(values))
     for salt in (1, 2):  # the second pair of positions only for those that pass the first
-        one, two = bloom_columns(values[left], salt, log2)
+        one, two = bloom_columns(np.ascontiguousarray(values[left]), salt, log2)
         left = left[_bit(bits, one) & _bit(bits, two)]
     hit = np.zeros(len(values), bool)
     hit[left] = True
@@ -135,17 +191,16 @@ def _bit(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def split_by_keys(scratch: Scratch, df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is surely not in keys, rows whose key may be): wide rows that
-    need no join then need no shuffle either. A null key is surely not in keys."""
+    need no join then need no shuffle either. A null key is surely not in keys. keys: a written table."""
     from pyspark.sql.functions import pandas_udf
 
-    shared = scratch.spark.sparkContext.broadcast(build_bloom(keys, key))
+    shared = broadcast_bloom(scratch, keys, key)
 
     @pandas_udf("boolean")
     def maybe(ids):
         import pandas as pd
 
-        bits = np.frombuffer(shared.value, np.uint8)
-        return pd.Series(in_bloom(bits, ids.to_numpy(np.int64)))
+        return pd.Series(in_bloom(shared.value, ids.to_numpy(np.int64)))
 
     # nulls are settled before, as a long column with nulls would reach pandas as doubles
     known = F.col(f"`{key}`").cast("long")

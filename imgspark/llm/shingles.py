@@ -11,7 +11,7 @@ U = np.uint64
 class WordHashes(dict):
     """Word -> hash, emptied when it holds `most` words so that memory stays bounded."""
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

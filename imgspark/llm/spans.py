@@ -1,12 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
 Every run of several consecutive sentences is hashed (128 bits); runs are joined over all
-documents, and the sentences under any run that is not the first of its kind are removed. A run
-closes at its third sentence or later (its second, with least=2, as the query has it), once it has
-16 words, and in any case with 50 words, so a passage of 50 words from sentence to sentence always
-holds one, and with least=2 so do any two whole sentences of 16 words that a longer passage leaves.
-Runs are taken forward from every sentence and backward from every sentence, so that they cover a
-passage to both its ends.
+documents, and the sentences under any run that is not the first of its kind are removed, where
+such runs together cover a span of LEAST words.
+
+A sentence ends with a line, or with a word that ends in a full stop, question or exclamation
+mark (and marks after it). A long sentence is cut further where the hash of two neighbouring words
+says so, away from its ends, and after MOST words at the latest. Every cut depends on words near
+it only, so a passage that is set into the middle of other sentences is still cut alike inside.
+
+A run closes at its second sentence or later, once it has RUN words. Runs are taken forward from
+every sentence and backward from every sentence, so that they cover a passage to both its ends.
 """
 
 from __future__ import annotations
@@ -19,91 +23,182 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from imgspark.llm.scratch import Scratch, split_by_keys
-from imgspark.llm.shingles import in_slices
+from imgspark.llm.scratch import Scratch, broadcast_bloom, in_bloom, lean, split_by_keys
+from imgspark.llm.shingles import U, in_slices, mix
+
+#: Words of a run, of the shortest span that goes, and of the longest piece of a sentence.
+RUN, LEAST, MOST = 16, 40, 16
+#: No cut inside a sentence within NEAR words of its ends; beyond, one place of ONE_IN is a cut.
+NEAR, ONE_IN = 7, 4
+ENDING = re.compile(r"[.!?][^\w]*$")
+WORD = re.compile(r"\S+")
+
 
-SENTENCE_END = re.compile(r"(?<=[.!?]\s)|(?<=\n)")
-SENTENCES, WORDS, LONG = 3, 16, 50
+class Words(dict):
+    """Lower-cased word -> hash whose lowest bit tells that a sentence ends; emptied at `most` words."""
 
+    def __init__(self, most: int = 150_000):
+        super().__init__()
+        self.most = most
 
-def sentences(text: str | None) -> list[str]:
-    """Pieces that join to the text again: cut after a full stop with white space, and after lines."""
-    return [s for s in SENTENCE_END.split(text) if s] if text else []
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = h | 1 if ENDING.search(word) else h & ~1
+        return h
 
 
-def runs(parts: list[str], least: int = SENTENCES, words: int = WORDS, long: int = LONG) -> list[tuple[int, int, bytes]]:
-    """(first, last, key) of each run as places in parts; blank parts are no sentences."""
-    normal = [" ".join(p.split()).lower() for p in parts]
-    places = [i for i, s in enumerate(normal) if s]
-    normal = [normal[i] for i in places]
-    n = len(normal)
+def pieces(text: str | None, table: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, ends): sentence or part of one number i is the words ends[i - 1] to ends[i]."""
+    words: list[str] = []
+    lines = []
+    for line in (text or "").lower().split("\n"):
+        words += line.split()
+        lines.append(len(words))
+    n = len(words)
     if not n:
-        return []
-    upto = np.cumsum([0, *(s.count(" ") + 1 for s in normal)])
+        return np.empty(0, U), np.empty(0, np.int64)
+    h = np.fromiter(map(table.__getitem__, words), U, n)
+    whole = (h & U(1)).astype(bool)
+    lines = np.array(lines)
+    whole[lines[lines > 0] - 1] = True
+    whole[-1] = True
+    # words of the same sentence before and after each place
+    ends = np.flatnonzero(whole) + 1
+    which = np.searchsorted(ends, np.arange(n), "right")
+    after = ends[which] - np.arange(n) - 1
+    before = np.arange(n) + 1 - np.concatenate([[0], ends[:-1]])[which]
+    cut = np.zeros(n, bool)
+    cut[1:] = mix(h[1:] + h[:-1] * U(3)) % U(ONE_IN) == 0
+    ends = np.flatnonzero(whole | (cut & (before > NEAR) & (after > NEAR))) + 1
+    size = np.diff(ends, prepend=0)
+    more = (size - 1) // MOST
+    if more.any():
+        starts = np.repeat(ends - size, more)
+        nth = np.arange(len(starts)) - np.repeat(np.cumsum(more) - more, more) + 1
+        ends = np.sort(np.concatenate([ends, starts + nth * MOST]))
+    return h, ends
+
+
+def powers(base: int, n: int, made: dict = {}) -> np.ndarray:  # noqa: B006
+    """base^0 .. base^(n - 1) modulo 2^64, kept for later calls."""
+    if base not in made or len(made[base]) < n:
+        a = np.full(max(n, 4096), base, U)
+        a[0] = 1
+        made[base] = np.cumprod(a)
+    return made[base][:n]
+
+
+#: Odd factors of the two hashes and their inverses modulo 2^64.
+FACTORS = tuple((b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+
+
+def runs(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last + 1, keys) of each run, as places of pieces in order; keys has two columns."""
+    n = len(ends)
+    starts = np.concatenate([[0], ends[:-1]]) if n else ends
     i = np.arange(n)
-    # the least end e (exclusive) with e - i >= least and words enough, or long words
-    end = np.minimum(np.maximum(i + least, np.searchsorted(upto, upto[:-1] + words)), np.searchsorted(upto, upto[:-1] + long))
-    e = np.arange(1, n + 1)
-    start = np.maximum(np.minimum(e - least, np.searchsorted(upto, upto[1:] - words, "right") - 1), np.searchsorted(upto, upto[1:] - long, "right") - 1)
-    found = {(a, b) for a, b in zip(i.tolist(), end.tolist()) if b <= n} | {(a, b) for a, b in zip(start.tolist(), e.tolist()) if a >= 0}
-    return [(places[a], places[b - 1], xxhash.xxh3_128_digest("\n".join(normal[a:b]).encode())) for a, b in sorted(found)]
-
+    to = np.maximum(i + 2, np.searchsorted(ends, starts + RUN) + 1)
+    e = i + 1
+    since = np.minimum(e - 2, np.searchsorted(starts, ends - RUN, "right") - 1)
+    code = np.unique(np.concatenate([(i * (n + 1) + to)[to <= n], (since * (n + 1) + e)[since >= 0]]))
+    a, b = code // (n + 1), code % (n + 1)
+    lo, hi = starts[a], ends[b - 1]
+    keys = np.empty((len(a), 2), U)
+    # the words of a run as digits: a difference of prefix sums, moved to the first place
+    for c, (base, inverse) in enumerate(FACTORS):
+        sums = np.zeros(len(h) + 1, U)
+        np.cumsum(h * powers(base, len(h)), out=sums[1:])
+        keys[:, c] = mix((sums[hi] - sums[lo]) * powers(inverse, len(h))[lo] + (hi - lo).astype(U))
+    return a, b, keys.view(np.int64)
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """True at every place of a key but its first."""
+    out = np.ones(len(keys), bool)
+    out[np.unique(keys, axis=0, return_index=True)[1]] = False
+    return out
 
-def _runs(least: int):
-    """(k1, k2, doc_id): each distinct run of each document once."""
-    import pyarrow as pa
 
-    def flat(docs, keys):
-        k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(np.array(docs, np.int64))], ["k1", "k2", "doc_id"])
+def _runs(bloom=None):
+    """(k1, k2, doc_id): each distinct run of each document once. With a Bloom filter of k1 only the
+    runs it holds, and own: a row, under a key of its own, for each document that repeats a run itself."""
 
     def run(batches):
-        docs, keys = [], []
-        for batch in in_slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = {k for _, _, k in runs(sentences(text), least)} if doc is not None else ()
-                docs += [doc] * len(mine)
-                keys += mine
-                if len(keys) > 100_000:
-                    yield flat(docs, keys)
-                    docs, keys = [], []
-        if keys:
-            yield flat(docs, keys)
+        import pyarrow as pa
 
-    return run
+        table, held, n = Words(), [], 0
+        bits = bloom.value if bloom else None
 
+        def flat():
+            cols = [np.concatenate(c) for c in zip(*held)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "doc_id", "own"][: len(cols)])
 
-def merged(spans) -> list[tuple[int, int]]:
+        for batch in in_slices(batches):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if doc is None:
+                    continue
+                keys = runs(*pieces(text, table))[2]
+                again = repeated(keys)
+                mine = keys[~again]
+                if bits is not None:
+                    mine = mine[in_bloom(bits, mine[:, 0])]
+                    own = np.zeros(len(mine), bool)
+                    if again.any():
+                        mark = int(mix(np.array([doc], np.int64).view(U))[0:1].view(np.int64)[0])
+                        mine, own = np.vstack([mine, [[mark, mark]]]), np.append(own, True)
+                    held.append((mine[:, 0], mine[:, 1], np.full(len(mine), doc, np.int64), own))
+                else:
+                    held.append((mine[:, 0], mine[:, 1], np.full(len(mine), doc, np.int64)))
+                n += len(mine)
+                if n > 100_000:
+                    yield flat()
+                    held, n = [], 0
+        if n:
+            yield flat()
+
+    return lean(run)
+
+
+def merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """Runs that overlap or touch as one: (first, last + 1), in order."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1] + 1:
+    for a, b in zip(first.tolist(), last.tolist()):
+        if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
     return out
 
 
-def clean(text: str | None, later: set[bytes], least: int = SENTENCES) -> tuple[str | None, int, list[tuple[int, int]]]:
-    """(kept text, sentences removed, removed spans as places of sentences).
+def clean(text: str | None, later: np.ndarray | None, table: Words) -> tuple[str | None, int, list[tuple[int, int]]]:
+    """(kept text, pieces removed, removed spans as places of characters).
 
-    later: keys of runs that an earlier document has. A run that the document repeats itself goes
-    from its second place on. Blank parts between removed sentences go with them.
+    later: keys of runs that an earlier document has, in two columns. A run that the document repeats
+    itself goes from its second place on. White space after a removed piece goes with it.
     """
-    parts = sentences(text)
-    seen: set[bytes] = set()
-    gone = []
-    for a, b, k in runs(parts, least):
-        if k in later or k in seen:
-            gone.append((a, b))
-        seen.add(k)
-    if not gone:
+    h, ends = pieces(text, table)
+    a, b, keys = runs(h, ends)
+    gone = repeated(keys)
+    if later is not None and len(later) and len(keys):
+        may = np.flatnonzero(np.isin(keys[:, 0], later[:, 0]))
+        known = set(map(tuple, later.tolist()))
+        gone[[i for i in may.tolist() if tuple(keys[i].tolist()) in known]] = True
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    spans = [(x, y) for x, y in merged(a[gone], b[gone]) if ends[y - 1] - starts[x] >= LEAST]
+    if not spans:
         return text, 0, []
-    spans = merged(gone)
-    drop = {i for a, b in spans for i in range(a, b + 1)}
-    return "".join(p for i, p in enumerate(parts) if i not in drop), sum(bool(parts[i].strip()) for i in drop), spans
+    at = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    chars = [(at[starts[x]], at[ends[y - 1]]) for x, y in spans]
+    kept, upto = [], 0
+    for x, y in chars:
+        kept.append(text[upto:x])
+        upto = y
+    return "".join([*kept, text[upto:]]), sum(y - x for x, y in spans), chars
 
 
-def _clean(schema: T.StructType, at: int, joined: bool, least: int):
+def _clean(schema: T.StructType, at: int, joined: bool):
     """Rows (keys, columns...) -> columns, _s_text, _s_removed, _s_spans; without keys if not joined."""
 
     def run(batches):
@@ -111,67 +206,73 @@ def _clean(schema: T.StructType, at: int, joined: bool, least: int):
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                keys = part.column(0).to_pylist() if joined else [None] * part.num_rows
-                rest = part.columns[1:] if joined else part.columns
-                got = [clean(t, set(k or ()), least) for t, k in zip(rest[at].to_pylist(), keys)]
-                new = [pa.array([x[0] for x in got], arrow.field("_s_text").type), pa.array([x[1] for x in got], pa.int32()), pa.array([[{"first": a, "last": b} for a, b in x[2]] for x in got], arrow.field("_s_spans").type)]
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rest, *new], arrow)], schema=arrow)
+        arrow, table = to_arrow_schema(schema), Words()
+        for part in in_slices(batches):
+            keys = [None] * part.num_rows
+            if joined:
+                # a list of structs: the flat keys and where each row's begin
+                lists = part.column(0).fill_null([])
+                pairs = np.column_stack([c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()]).reshape(-1, 2)
+                keys = np.split(pairs, np.cumsum(lists.value_lengths().to_numpy())[:-1])
+            rest = part.columns[1:] if joined else part.columns
+            got = [clean(t, k, table) for t, k in zip(rest[at].to_pylist(), keys)]
+            new = [pa.array([x[0] for x in got], arrow.field("_s_text").type), pa.array([x[1] for x in got], pa.int32()), pa.array([[{"start": a, "end": b} for a, b in x[2]] for x in got], arrow.field("_s_spans").type)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rest, *new], arrow)], schema=arrow)
+
+    return lean(run)
 
-    return run
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES) -> DataFrame:
-    """docs plus _s_text (cleaned), _s_removed (sentences removed) and _s_spans (their places).
+
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs plus _s_text (cleaned), _s_removed (sentences removed) and _s_spans (places of their characters).
 
     A run's first occurrence is the one in the smallest id, and there the first place; it stays.
     Comparison ignores case and the amount of white space. Null and empty texts stay as they are.
     A row with a null id takes no part in the join; only what it repeats itself is removed. Rows
-    with an equal id count as one document. All columns stay, whatever their names. An empty table
-    gives an empty table. The run table is aggregated before it is joined back, so a run that
-    many documents share makes one row per document and partition, never a group in memory; the
-    texts of documents without any repeated run are not shuffled.
+    with an equal id count as one document. All columns stay; a column of docs that starts with _s_
+    is an error. An empty table gives an empty table. The run table is aggregated before it is joined
+    back, so a run that many documents share makes one row per document and partition, never a group
+    in memory; the texts of documents without any repeated run are neither shuffled nor read again.
     """
+    if clash := [c for c in docs.columns if c.startswith("_s_")]:
+        raise ValueError(f"columns that dedup_spans makes itself: {clash}")
     scratch = Scratch(docs.sparkSession, "spans")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "k1 long, k2 long, doc_id long"
-    first = base.mapInArrow(_runs(least), schema).groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("k1", "k2", "lo")
+    first = base.mapInArrow(_runs(), schema).groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("k1", "k2", "lo")
     first = scratch.cut(first)
-    # only runs that may be repeated are shuffled a second time
-    _, maybe = split_by_keys(scratch, base.mapInArrow(_runs(least), schema), "k1", first.select("k1"))
-    later = maybe.join(first, ["k1", "k2"]).filter("doc_id > lo").select("doc_id", "k1", "k2").distinct()
+    # only runs that may be repeated are shuffled a second time; no aggregate by key follows, so that
+    # a key with very many rows can be split over tasks
+    bloom = broadcast_bloom(scratch, first, "k1")
+    maybe = base.mapInArrow(_runs(bloom), schema + ", own boolean")
+    later = maybe.join(first, ["k1", "k2"], "left").filter("own or doc_id > lo").select("doc_id", F.when(~F.col("own"), F.struct("k1", "k2")).alias("k"))
     later = scratch.cut(later)
-    by_doc = later.groupBy(F.col("doc_id").alias("_s_doc")).agg(F.collect_list(F.struct("k1", "k2")).alias("_s_pairs"))
+    bloom.unpersist()
+    by_doc = later.groupBy(F.col("doc_id").alias("_s_doc")).agg(F.collect_list("k").alias("_s_keys"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     own = docs.withColumn("_s_doc", F.col(f"`{id_col}`").cast("long"))
-    untouched, touched = split_by_keys(scratch, own, "_s_doc", later.select(F.col("doc_id").alias("_s_doc")))
-    key = F.transform("_s_pairs", lambda p: _bytes(p))
-    touched = touched.join(by_doc, "_s_doc", "left").select(key.alias("_s_keys"), *[F.col(f"`{c}`") for c in docs.columns])
-    fields = [*docs.schema.fields, T.StructField("_s_text", T.StringType()), T.StructField("_s_removed", T.IntegerType()), T.StructField("_s_spans", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))]
-    out, at = T.StructType(fields), docs.columns.index(text_col)
-    a = untouched.select(*[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(_clean(out, at, False, least), out)
-    b = touched.mapInArrow(_clean(out, at, True, least), out)
-    return a.union(b)
-
-
-def _bytes(pair):
-    """The 16 bytes of a key again: each long, least significant byte first."""
-    def little(x):
-        return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(8)]))
-
-    return F.concat(little(pair["k1"]), little(pair["k2"]))
+    known = own.filter("_s_doc is not null")
+    untouched, touched = split_by_keys(scratch, known, "_s_doc", later.select(F.col("doc_id").alias("_s_doc")))
+    touched = touched.join(by_doc, "_s_doc", "left").select("_s_keys", *columns)
+    out = T.StructType([*docs.schema.fields, T.StructField("_s_text", T.StringType()), T.StructField("_s_removed", T.IntegerType()), T.StructField("_s_spans", SPANS)])
+    at = docs.columns.index(text_col)
+    a = untouched.select(*columns, F.col(f"`{text_col}`").cast("string").alias("_s_text"), F.lit(0).alias("_s_removed"), F.array().cast(SPANS).alias("_s_spans"))
+    b = touched.mapInArrow(_clean(out, at, True), out)
+    c = own.filter("_s_doc is null").select(*columns).mapInArrow(_clean(out, at, False), out)
+    return a.union(b).union(c)
 
 
 def span_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_removed, kept_chars, kept_sha256, removed) of every document; runs close at two sentences."""
-    out = dedup_spans(docs.select("doc_id", "text"), least=2)
+    """(doc_id, n_removed, kept_chars, kept_sha256, removed) of every document."""
+    out = dedup_spans(docs.select("doc_id", "text"))
     return out.select("doc_id", F.col("_s_removed").cast("long").alias("n_removed"), F.coalesce(F.length("_s_text"), F.lit(0)).cast("long").alias("kept_chars"), F.sha2(F.coalesce("_s_text", F.lit("")), 256).alias("kept_sha256"), F.col("_s_spans").alias("removed"))
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the cleaned text; documents of which nothing is left go. Lengths in n_chars follow."""
-    out = dedup_spans(docs).filter("_s_removed = 0 or trim(_s_text) <> ''")
+    """docs with the cleaned text; documents of which nothing is left go. Lengths in n_chars follow.
+    Nulls, repeated rows and ids: as in dedup_spans; a text that was blank before stays."""
+    out = dedup_spans(docs, text_col=text_col).filter("_s_removed = 0 or trim(_s_text) <> ''")
     cols = [F.col("_s_text").alias(c) if c == text_col else F.length("_s_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols)

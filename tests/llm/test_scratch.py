@@ -2,15 +2,26 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from imgspark.llm.components import connected_components
+from imgspark.llm import scratch as S
 from imgspark.llm.scratch import Scratch, build_bloom, in_bloom, shared_dir, split_by_keys
 
 
 def test_bloom_holds_its_keys_and_little_else(spark):
     keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 5000)
-    bits = np.frombuffer(build_bloom(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k"), np.uint8)
+    bits = build_bloom(spark.createDataFrame([(int(k),) for k in keys], "k long"), "k")
+    assert len(bits) == 2**14
     assert in_bloom(bits, keys).all()
     assert in_bloom(bits, np.arange(200_000)).mean() < 0.001
-    assert not in_bloom(np.frombuffer(build_bloom(spark.createDataFrame([], "k long"), "k"), np.uint8), keys).any()
+    assert not in_bloom(build_bloom(spark.createDataFrame([], "k long"), "k"), keys).any()
+
+
+def test_bloom_grows_with_its_keys_and_gives_up_beyond(spark, monkeypatch):
+    assert [S.bloom_log2(n) for n in (0, 1, 6553, 6554, 10**6, 10**12)] == [17, 17, 17, 18, 25, 29]
+    monkeypatch.setattr(S, "BLOOM_LOG2", (17, 17))
+    df = spark.range(40_000).withColumnRenamed("id", "k")
+    assert build_bloom(df, "k") is None and in_bloom(None, np.arange(5)).all()
+    a, b = split_by_keys(Scratch(spark, "t"), df, "k", df.limit(33_000))
+    assert a.count() == 0 and b.count() == 40_000
 
 
 def test_split_keeps_every_row(spark):

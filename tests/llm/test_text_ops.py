@@ -1,8 +1,10 @@
 import math
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from imgspark.llm import importance, licences, mixing, quality, spans, trie, urlglob
@@ -17,91 +19,143 @@ def words(rng, n):
 # ---- sentence spans
 
 
+def slow_mix(x):
+    m = 2**64 - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+    return x ^ (x >> 31)
+
+
+def slow_pieces(text):
+    """(first, last + 1) of each piece, as places of words, and the words."""
+    text = (text or "").lower()
+    words, breaks = [], set()
+    for line in text.split("\n"):
+        words += line.split()
+        breaks.add(len(words))
+    ends = lambda w: bool(re.search(r"[.!?][^\w]*$", w))
+    code = [xxhash.xxh3_64_intdigest(w.encode()) >> 1 << 1 | ends(w) for w in words]
+    whole = [i for i in range(1, len(words) + 1) if i in breaks or i == len(words) or ends(words[i - 1])]
+    out, begin = [], 0
+    for end in whole:
+        cuts = [c for c in range(begin + 8, end - 7) if slow_mix((code[c - 1] + 3 * code[c - 2]) % 2**64) % 4 == 0]
+        for x, y in zip([begin, *cuts], [*cuts, end]):
+            out += [(z, min(z + 16, y)) for z in range(x, y, 16)]
+        begin = end
+    return out, words
+
+
 def brute_spans(rows):
     """Kept texts by the definition, one document after another in order of id."""
-    def found(parts):
-        norm = [" ".join(p.split()).lower() for p in parts]
-        real = [i for i, s in enumerate(norm) if s]
-        out = []
-
-        def closes(a, b):
-            n = sum(len(norm[i].split()) for i in real[a : b + 1])
-            return n >= 50 or (b - a + 1 >= 3 and n >= 16)
-
-        for a in range(len(real)):
-            for b in range(a, len(real)):
-                if closes(a, b):
-                    out.append((a, b))
-                    break
-        for b in range(len(real)):
-            for a in range(b, -1, -1):
-                if closes(a, b):
-                    out.append((a, b))
-                    break
-        return [(real[a], real[b], "\n".join(norm[i] for i in real[a : b + 1])) for a, b in sorted(set(out))]
+
+    def found(text):
+        parts, words = slow_pieces(text)
+        out, n = set(), len(parts)
+        closes = lambda a, b: b - a >= 2 and parts[b - 1][1] - parts[a][0] >= 16
+        for a in range(n):
+            out |= {(a, b) for b in range(a + 1, n + 1) if closes(a, b) and not closes(a, b - 1)}
+        for b in range(1, n + 1):
+            out |= {(a, b) for a in range(b) if closes(a, b) and not closes(a + 1, b)}
+        return [(a, b, tuple(words[parts[a][0] : parts[b - 1][1]])) for a, b in sorted(out)], parts
 
     first = {}
     for doc, text in sorted(rows, key=lambda r: r[0]):
-        for _, _, key in found(spans.sentences(text)):
+        for _, _, key in found(text)[0]:
             first.setdefault(key, doc)
     out = {}
     for doc, text in rows:
-        parts, seen, gone = spans.sentences(text), set(), set()
-        for a, b, key in found(parts):
+        (got, parts), seen, gone = found(text), set(), set()
+        for a, b, key in got:
             if first[key] != doc or key in seen:
-                gone |= set(range(a, b + 1))
+                gone.add((a, b))
             seen.add(key)
-        out[doc] = "".join(p for i, p in enumerate(parts) if i not in gone) if gone else text
+        under = {i for a, b in gone for i in range(a, b)}
+        # neighbours under runs are one span; so are runs that only touch
+        drop = []
+        for i in sorted(under):
+            if drop and drop[-1][-1] == i - 1:
+                drop[-1].append(i)
+            else:
+                drop.append([i])
+        places = {w for d in drop if parts[d[-1]][1] - parts[d[0]][0] >= 40 for i in d for w in range(*parts[i])}
+        tokens = re.findall(r"\S+\s*", text or "")
+        blank = re.match(r"\s*", text or "")[0]
+        out[doc] = blank + "".join(t for i, t in enumerate(tokens) if i not in places) if places else text
     return out
 
 
 def span_rows():
     rng = random.Random(1)
-    sentence = lambda: words(rng, rng.randint(1, 14)) + rng.choice([". ", ".\n", "! ", "? ", "\n"])
-    passages = ["".join(sentence() for _ in range(rng.randint(4, 8))) for _ in range(6)] + [words(rng, 60) + ". "]
-    rows = [(0, None), (1, ""), (2, " \n "), (3, "One. Two. Three.")]
-    for i in range(4, 80):
-        text = "".join(rng.choice(passages) if rng.random() < 0.2 else sentence() for _ in range(rng.randint(1, 15)))
+    sentence = lambda: words(rng, rng.choice([1, 2, 5, 9, 14, 30, 60])) + rng.choice([". ", ".\n", "!%% ", "? ", "\n"])
+    passages = ["".join(sentence() for _ in range(rng.randint(3, 6))) for _ in range(6)] + [words(rng, 60) + ". ", words(rng, 30) + ". " + words(rng, 12) + " "]
+    rows = [(0, None), (1, ""), (2, " \n "), (3, "One. Two. Three."), (4, " was" * 70), (5, "x " + "was " * 90), (6, "Y. " + "Was\t" * 90)]
+    for i in range(7, 80):
+        text = "".join(rng.choice(passages) if rng.random() < 0.2 else sentence() for _ in range(rng.randint(1, 12)))
         rows.append((i, text))
-    return rows + [(90, rows[20][1]), (91, rows[20][1])]
+    return rows + [(90, rows[20][1]), (91, rows[20][1].upper()), (92, "  " + rows[20][1].replace(" ", "   "))]
 
 
 def test_spans_equal_brute_force(spark):
     rows = span_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r._s_text for r in spans.dedup_spans(df).collect()}
-    assert got == brute_spans(rows)
-    assert "".join(spans.sentences(rows[30][1])) == rows[30][1]
+    got = {r.doc_id: r for r in spans.dedup_spans(df).collect()}
+    want = brute_spans(rows)
+    assert {d: r._s_text for d, r in got.items()} == want
+    assert sum(t != dict(rows)[d] for d, t in want.items()) > 30
+    for d, r in got.items():  # the spans are what is missing
+        left, upto = "", 0
+        for s in r._s_spans:
+            left, upto = left + r.text[upto : s.start], s.end
+        assert r._s_removed == 0 or left + r.text[upto:] == r._s_text
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4, 9])
+def test_long_passages_are_caught(spark, parts):
+    """Every passage of over 50 words between sentence ends stays in one place only, and nothing else goes."""
+    rng = random.Random(2)
+    passage = "".join(words(rng, -(-54 // parts)) + ". " for _ in range(parts))
+    rows = [(i, words(rng, 30) + ". " + passage + words(rng, 30) + ".") for i in range(5)]
+    kept = {r.doc_id: r._s_text for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [passage in kept[i] for i in range(5)] == [True, False, False, False, False]
+    assert all(rows[i][1].split(". ")[0] in kept[i] and kept[i].endswith(rows[i][1].split(". ")[-1]) for i in range(5))
 
 
-def test_long_passages_are_caught(spark):
-    """Every passage of over 50 words between sentence ends stays in one place only."""
-    rng = random.Random(2)
-    for parts in (1, 2, 4, 9):
-        passage = "".join(words(rng, -(-54 // parts)) + ". " for _ in range(parts))
-        rows = [(i, words(rng, 30) + ". " + passage + words(rng, 30) + ".") for i in range(5)]
-        kept = {r.doc_id: r._s_text for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        assert [passage in kept[i] for i in range(5)] == [True, False, False, False, False]
-        assert all(rows[i][1].split(". ")[0] in kept[i] and kept[i].endswith(rows[i][1].split(". ")[-1]) for i in range(5))
+@pytest.mark.parametrize(("low", "high"), [(3, 8), (8, 20), (15, 30), (25, 40), (55, 70)])
+def test_passages_inside_sentences(spark, low, high):
+    """A passage of 60 words glued at both ends into other sentences, in sentences of low to high words."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"v{rng.randint(0, 10**9)}" for _ in range(n))
+    rows = []
+    for g in range(60):
+        w, at = fresh(60).split(), rng.randint(1, high)
+        while at < 59:
+            w[at] += "."
+            at += rng.randint(low, high)
+        for j in range(2):
+            rows.append((2 * g + j, f"{fresh(30)}. {fresh(rng.randint(3, 20))} {' '.join(w)} {fresh(rng.randint(3, 20))}. {fresh(30)}."))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed > 0 for r in spans.span_report(df).collect()}
+    assert not any(got[2 * g] for g in range(60))
+    assert sum(got[2 * g + 1] for g in range(60)) >= 54
+
+
+def test_clean_documents_stay(spark):
+    """Documents that share passages of at most 36 words, and many short sentences."""
+    rng = random.Random(10)
+    common = [words(rng, rng.randint(2, 6)) + ". " for _ in range(30)]
+    passages = [words(rng, 12) + ". " + words(rng, 12) + ". " + words(rng, 12) + ". " for _ in range(5)]
+    rows = [(i, "".join(rng.choice(common) + words(rng, 9) + str(i) + ". " for _ in range(20)) + "\n" + rng.choice(passages)) for i in range(200)]
+    assert all(r.n_removed == 0 for r in spans.span_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
 def test_span_edges(spark):
     assert spans.dedup_spans(spark.createDataFrame([], "doc_id long, text string, k1 long")).collect() == []
-    text = "a b c d e f. g h i j k l. m n o p q r. "
-    rows = [(None, text), (7, text), (7, text), (8, text + text)]
+    text = "".join(" ".join(f"{c}{i}" for i in range(14)) + ". " for c in "abc")
+    rows = [(None, text), (None, text * 2), (7, text), (7, text), (8, text + text)]
     got = sorted((r.doc_id or -1, r._s_text, r.k1) for r in spans.dedup_spans(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, k1 long")).collect())
-    assert got == [(-1, text, 5), (7, text, 5), (7, text, 5), (8, "", 5)]
-
-
-def test_report_sees_passages_between_fragments(spark):
-    """A passage of over 50 words whose ends are inside sentences leaves two whole sentences of under 50 words."""
-    rng = random.Random(9)
-    middle = words(rng, 12) + ". " + words(rng, 13) + ". "
-    passage = words(rng, 20) + ". " + middle + words(rng, 20)
-    rows = [(i, words(rng, 30) + ". " + words(rng, 9) + " " + passage + " " + words(rng, 9) + ". " + words(rng, 30) + ".") for i in range(4)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_removed, r.kept_chars) for r in spans.span_report(df).collect()}
-    assert got == {i: (2, len(t) - len(middle)) if i else (0, len(t)) for i, t in rows}
+    assert got == [(-1, text, 5), (-1, text, 5), (7, text, 5), (7, text, 5), (8, "", 5)]
+    with pytest.raises(ValueError):
+        spans.dedup_spans(spark.createDataFrame([], "doc_id long, text string, _s_text string"))
 
 
 # ---- URL filters
