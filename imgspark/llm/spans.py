@@ -45,40 +45,68 @@ class Words(dict):
         if len(self) >= self.most:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        self[word] = h = h | 1 if ENDING.search(word) else h & ~1
+        ends = word[-1] in ".!?" or not word[-1].isalnum() and ENDING.search(word)
+        self[word] = h = h | 1 if ends else h & ~1
         return h
 
 
-def pieces(text: str | None, table: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, ends): sentence or part of one number i is the words ends[i - 1] to ends[i]."""
-    words: list[str] = []
-    lines = []
-    for line in (text or "").lower().split("\n"):
-        words += line.split()
-        lines.append(len(words))
-    n = len(words)
-    if not n:
-        return np.empty(0, U), np.empty(0, np.int64)
-    h = np.fromiter(map(table.__getitem__, words), U, n)
-    whole = (h & U(1)).astype(bool)
-    lines = np.array(lines)
-    whole[lines[lines > 0] - 1] = True
-    whole[-1] = True
-    # words of the same sentence before and after each place
-    ends = np.flatnonzero(whole) + 1
-    which = np.searchsorted(ends, np.arange(n), "right")
-    after = ends[which] - np.arange(n) - 1
-    before = np.arange(n) + 1 - np.concatenate([[0], ends[:-1]])[which]
-    cut = np.zeros(n, bool)
-    cut[1:] = mix(h[1:] + h[:-1] * U(3)) % U(ONE_IN) == 0
-    ends = np.flatnonzero(whole | (cut & (before > NEAR) & (after > NEAR))) + 1
-    size = np.diff(ends, prepend=0)
-    more = (size - 1) // MOST
-    if more.any():
-        starts = np.repeat(ends - size, more)
-        nth = np.arange(len(starts)) - np.repeat(np.cumsum(more) - more, more) + 1
-        ends = np.sort(np.concatenate([ends, starts + nth * MOST]))
-    return h, ends
+class Pieces:
+    """Sentences, or parts of long ones, of several texts: words h, piece i from starts[i] to ends[i],
+    and the pieces of text t from first[t] to first[t + 1]."""
+
+    def __init__(self, texts: list[str | None], table: Words):
+        words: list[str] = []
+        lines, texts_end = [0], []
+        for text in texts:
+            if text:
+                for line in text.lower().split("\n"):
+                    words += line.split()
+                    lines.append(len(words))
+            texts_end.append(len(words))
+        n = len(words)
+        self.h = h = np.fromiter(map(table.__getitem__, words), U, n)
+        whole = np.append((h & U(1)).astype(bool), False)
+        whole[np.array(lines) - 1] = True
+        ends = np.flatnonzero(whole[:n]) + 1
+        # words of the same sentence before and after each place
+        size = np.diff(ends, prepend=0)
+        after = np.repeat(ends, size) - np.arange(1, n + 1)
+        before = np.repeat(size, size) - after
+        cut = np.zeros(n, bool)
+        cut[1:] = mix(h[1:] + h[:-1] * U(3)) % U(ONE_IN) == 0
+        cut &= (before > NEAR) & (after > NEAR)
+        ends = np.flatnonzero(whole[:n] | cut) + 1
+        size = np.diff(ends, prepend=0)
+        more = (size - 1) // MOST
+        if more.any():
+            begin = np.repeat(ends - size, more)
+            nth = np.arange(len(begin)) - np.repeat(np.cumsum(more) - more, more) + 1
+            ends = np.sort(np.concatenate([ends, begin + nth * MOST]))
+        self.ends = ends
+        self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+        self.first = np.concatenate([[0], np.searchsorted(ends, np.array(texts_end, np.int64), "right")])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first, last + 1, keys) of each run, as numbers of pieces; keys has two columns."""
+        n, starts, ends = len(self.ends), self.starts, self.ends
+        text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        low, high = self.first[text], self.first[text + 1]
+        i = np.arange(n)
+        to = np.maximum(i + 2, np.searchsorted(ends, starts + RUN) + 1)
+        since = np.minimum(i - 1, np.searchsorted(starts, ends - RUN, "right") - 1)
+        ahead = to <= high
+        # a run that closes backward, unless it is one that closes forward too
+        back = since >= low
+        back[back] = to[since[back]] != i[back] + 1
+        a, b = np.concatenate([i[ahead], since[back]]), np.concatenate([to[ahead], i[back] + 1])
+        lo, hi = starts[a], ends[b - 1]
+        keys = np.empty((len(a), 2), U)
+        # the words of a run as digits: a difference of prefix sums, moved to the first place
+        for c, (base, inverse) in enumerate(FACTORS):
+            sums = np.zeros(len(self.h) + 1, U)
+            np.cumsum(self.h * powers(base, len(self.h)), out=sums[1:])
+            keys[:, c] = mix((sums[hi] - sums[lo]) * powers(inverse, len(self.h))[lo] + (hi - lo).astype(U))
+        return text[a], a, b, keys.view(np.int64)
 
 
 def powers(base: int, n: int, made: dict = {}) -> np.ndarray:  # noqa: B006
@@ -94,69 +122,49 @@ def powers(base: int, n: int, made: dict = {}) -> np.ndarray:  # noqa: B006
 FACTORS = tuple((b, pow(b, -1, 2**64)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 
-def runs(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last + 1, keys) of each run, as places of pieces in order; keys has two columns."""
-    n = len(ends)
-    starts = np.concatenate([[0], ends[:-1]]) if n else ends
-    i = np.arange(n)
-    to = np.maximum(i + 2, np.searchsorted(ends, starts + RUN) + 1)
-    e = i + 1
-    since = np.minimum(e - 2, np.searchsorted(starts, ends - RUN, "right") - 1)
-    code = np.unique(np.concatenate([(i * (n + 1) + to)[to <= n], (since * (n + 1) + e)[since >= 0]]))
-    a, b = code // (n + 1), code % (n + 1)
-    lo, hi = starts[a], ends[b - 1]
-    keys = np.empty((len(a), 2), U)
-    # the words of a run as digits: a difference of prefix sums, moved to the first place
-    for c, (base, inverse) in enumerate(FACTORS):
-        sums = np.zeros(len(h) + 1, U)
-        np.cumsum(h * powers(base, len(h)), out=sums[1:])
-        keys[:, c] = mix((sums[hi] - sums[lo]) * powers(inverse, len(h))[lo] + (hi - lo).astype(U))
-    return a, b, keys.view(np.int64)
-
-
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """True at every place of a key but its first."""
-    out = np.ones(len(keys), bool)
-    out[np.unique(keys, axis=0, return_index=True)[1]] = False
-    return out
+def within(text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One number for a key in a text."""
+    return mix(mix(keys[:, 0].view(U) + text.astype(U) * U(0x9E3779B97F4A7C15)) + keys[:, 1].view(U))
+
+
+def grouped(texts: list, most: int = 400_000):
+    """Ranges of texts of a bounded number of characters together, one text at least."""
+    at = n = 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n > most:
+            yield at, i + 1
+            at, n = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def _runs(bloom=None):
-    """(k1, k2, doc_id): each distinct run of each document once. With a Bloom filter of k1 only the
-    runs it holds, and own: a row, under a key of its own, for each document that repeats a run itself."""
+    """(k1, k2, doc_id) of runs. With a Bloom filter of k1 only the runs it holds, and own: a row,
+    under a key of its own, for each document that repeats a run itself."""
 
     def run(batches):
         import pyarrow as pa
 
-        table, held, n = Words(), [], 0
-        bits = bloom.value if bloom else None
-
-        def flat():
-            cols = [np.concatenate(c) for c in zip(*held)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "doc_id", "own"][: len(cols)])
-
+        table = Words()
         for batch in in_slices(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if doc is None:
+            batch = batch.filter(batch.column(0).is_valid())
+            docs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for i, j in grouped(texts):
+                text, _, _, keys = Pieces(texts[i:j], table).runs()
+                if not len(keys):
+                    continue
+                if bloom is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(docs[i:j][text])], ["k1", "k2", "doc_id"])
                     continue
-                keys = runs(*pieces(text, table))[2]
-                again = repeated(keys)
-                mine = keys[~again]
-                if bits is not None:
-                    mine = mine[in_bloom(bits, mine[:, 0])]
-                    own = np.zeros(len(mine), bool)
-                    if again.any():
-                        mark = int(mix(np.array([doc], np.int64).view(U))[0:1].view(np.int64)[0])
-                        mine, own = np.vstack([mine, [[mark, mark]]]), np.append(own, True)
-                    held.append((mine[:, 0], mine[:, 1], np.full(len(mine), doc, np.int64), own))
-                else:
-                    held.append((mine[:, 0], mine[:, 1], np.full(len(mine), doc, np.int64)))
-                n += len(mine)
-                if n > 100_000:
-                    yield flat()
-                    held, n = [], 0
-        if n:
-            yield flat()
+                order = np.argsort(one := within(text, keys))
+                again = order[1:][one[order[1:]] == one[order[:-1]]]
+                own = docs[i:j][np.unique(text[again])]
+                mark = mix(own.view(U)).view(np.int64)
+                hit = in_bloom(bloom.value, keys[:, 0])
+                hit[again] = False
+                cols = [np.concatenate([keys[hit, 0], mark]), np.concatenate([keys[hit, 1], mark]), np.concatenate([docs[i:j][text[hit]], own]), np.arange(hit.sum() + len(own)) >= hit.sum()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "doc_id", "own"])
 
     return lean(run)
 
@@ -172,30 +180,34 @@ def merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def clean(text: str | None, later: np.ndarray | None, table: Words) -> tuple[str | None, int, list[tuple[int, int]]]:
-    """(kept text, pieces removed, removed spans as places of characters).
+def clean(texts: list[str | None], which: np.ndarray, later: np.ndarray, table: Words) -> list[tuple[str | None, int, list[tuple[int, int]]]]:
+    """(kept text, pieces removed, removed spans as places of characters) of each text.
 
-    later: keys of runs that an earlier document has, in two columns. A run that the document repeats
-    itself goes from its second place on. White space after a removed piece goes with it.
+    later: keys of runs that an earlier document has, in two columns, for the texts numbered `which`. A
+    run that the text repeats itself goes from its second place on. White space after a removed
+    piece goes with it.
     """
-    h, ends = pieces(text, table)
-    a, b, keys = runs(h, ends)
-    gone = repeated(keys)
-    if later is not None and len(later) and len(keys):
-        may = np.flatnonzero(np.isin(keys[:, 0], later[:, 0]))
-        known = set(map(tuple, later.tolist()))
-        gone[[i for i in may.tolist() if tuple(keys[i].tolist()) in known]] = True
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    spans = [(x, y) for x, y in merged(a[gone], b[gone]) if ends[y - 1] - starts[x] >= LEAST]
-    if not spans:
-        return text, 0, []
-    at = [m.start() for m in WORD.finditer(text)] + [len(text)]
-    chars = [(at[starts[x]], at[ends[y - 1]]) for x, y in spans]
-    kept, upto = [], 0
-    for x, y in chars:
-        kept.append(text[upto:x])
-        upto = y
-    return "".join([*kept, text[upto:]]), sum(y - x for x, y in spans), chars
+    p = Pieces(texts, table)
+    text, a, b, keys = p.runs()
+    order = np.lexsort((b, a))
+    text, a, b, keys = text[order], a[order], b[order], keys[order]
+    one = within(text, keys)
+    gone = np.isin(one, within(which, later)) if len(later) else np.zeros(len(one), bool)
+    again = np.ones(len(one), bool)
+    again[np.unique(one, return_index=True)[1]] = False
+    gone |= again
+    out: list = [(t, 0, []) for t in texts]
+    cuts = np.searchsorted(text[gone], np.arange(len(texts) + 1))
+    a, b = a[gone], b[gone]
+    for t in np.flatnonzero(np.diff(cuts)).tolist():
+        spans = [(x, y) for x, y in merged(a[cuts[t] : cuts[t + 1]], b[cuts[t] : cuts[t + 1]]) if p.ends[y - 1] - p.starts[x] >= LEAST]
+        if spans:
+            whole, zero = texts[t], p.starts[p.first[t]]
+            at = [m.start() for m in WORD.finditer(whole)] + [len(whole)]
+            chars = [(at[p.starts[x] - zero], at[p.ends[y - 1] - zero]) for x, y in spans]
+            kept = [whole[i:j] for i, j in zip([0, *(y for _, y in chars)], [*(x for x, _ in chars), len(whole)])]
+            out[t] = ("".join(kept), sum(y - x for x, y in spans), chars)
+    return out
 
 
 def _clean(schema: T.StructType, at: int, joined: bool):
@@ -208,16 +220,17 @@ def _clean(schema: T.StructType, at: int, joined: bool):
 
         arrow, table = to_arrow_schema(schema), Words()
         for part in in_slices(batches):
-            keys = [None] * part.num_rows
-            if joined:
-                # a list of structs: the flat keys and where each row's begin
-                lists = part.column(0).fill_null([])
-                pairs = np.column_stack([c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()]).reshape(-1, 2)
-                keys = np.split(pairs, np.cumsum(lists.value_lengths().to_numpy())[:-1])
-            rest = part.columns[1:] if joined else part.columns
-            got = [clean(t, k, table) for t, k in zip(rest[at].to_pylist(), keys)]
-            new = [pa.array([x[0] for x in got], arrow.field("_s_text").type), pa.array([x[1] for x in got], pa.int32()), pa.array([[{"start": a, "end": b} for a, b in x[2]] for x in got], arrow.field("_s_spans").type)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rest, *new], arrow)], schema=arrow)
+            texts = part.columns[at + joined].to_pylist()
+            for i, j in grouped(texts):
+                rows = part.slice(i, j - i)
+                which, later = np.empty(0, np.int64), np.empty((0, 2), np.int64)
+                if joined:
+                    lists = rows.column(0).fill_null([])
+                    which = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
+                    later = np.column_stack([c.to_numpy() for c in lists.flatten().flatten()])
+                got = clean(texts[i:j], which, later, table)
+                new = [pa.array([x[0] for x in got], arrow.field("_s_text").type), pa.array([x[1] for x in got], pa.int32()), pa.array([[{"start": a, "end": b} for a, b in x[2]] for x in got], arrow.field("_s_spans").type)]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rows.columns[joined:], *new], arrow)], schema=arrow)
 
     return lean(run)
 
