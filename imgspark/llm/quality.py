@@ -29,7 +29,10 @@ MOST_BROADCAST = 100_000
 
 def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs plus _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words,
-    _q_base_failed and the measures _q_symbols, _q_repeats, _q_word_length. Null: an empty text."""
+    _q_base_failed and the measures _q_symbols, _q_repeats, _q_word_length. Null: an empty text.
+    A column of docs that starts with _q_ is an error."""
+    if clash := [c for c in docs.columns if c == "_q" or c.startswith("_q_")]:
+        raise ValueError(f"columns that the quality rules make themselves: {clash}")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     d = docs.withColumn("_q_h", F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)))
     d = d.withColumn("_q_n_words", F.size("_q_h").cast("long"))
@@ -97,8 +100,8 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return merged.groupBy(*keys, "measure").agg(F.max("total").alias("total"), at(25), at(50), at(75))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, lo_<measure>, hi_<measure>): one row a group."""
+def thresholds(sketch: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lang, source, lo_<measure>, hi_<measure>): one row a group; least: see LEAST."""
     groups = sketch.select("lang", "source", "measure").distinct()
     out = groups
     for name, keys in (("by_own", ["lang", "source"]), ("by_lang", ["lang"]), ("by_all", [])):
@@ -107,7 +110,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
         out = out.join(q, on).drop("k_m", *[f"k_{k}" for k in keys])
-    best = F.when(F.col("by_own.total") >= LEAST, F.col("by_own")).when(F.col("by_lang.total") >= LEAST, F.col("by_lang")).otherwise(F.col("by_all"))
+    best = F.when(F.col("by_own.total") >= least, F.col("by_own")).when(F.col("by_lang.total") >= least, F.col("by_lang")).otherwise(F.col("by_all"))
     out = groups_fence(out.withColumn("q", best).select("lang", "source", "measure", "q"))
     return out
 
@@ -122,8 +125,8 @@ def groups_fence(rows: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source").agg(*aggs)
 
 
-def judged(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", measured: DataFrame | None = None) -> DataFrame:
-    """docs plus the _q_ columns and _q_kept.
+def judged(measured: DataFrame, scratch: Scratch, lang_col: str = "lang", source_col: str = "source", least: int = LEAST) -> DataFrame:
+    """The result of with_metrics, written before so that it is computed once, plus _q_kept.
 
     Kept: not failed by the base rules, and every measure within its group's fence. A group with no
     document that passes the base rules has no fence and needs none. Null language or source is a
@@ -131,8 +134,7 @@ def judged(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col:
     often as they occur. An empty table gives an empty table. The sketches hold a row per group,
     measure and bucket; the thresholds, a row per group, are broadcast only if counted to be few.
     """
-    measured = with_metrics(docs, text_col) if measured is None else measured
-    limits = scratch.cut(thresholds(scratch.cut(sketches(measured, lang_col, source_col))))
+    limits = scratch.cut(thresholds(scratch.cut(sketches(measured, lang_col, source_col)), least))
     few = limits.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     limits = limits.select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), *[F.col(c).alias(f"_q_{c}") for c in limits.columns[2:]])
     on = F.col(f"`{lang_col}`").cast("string").eqNullSafe(F.col("_q_lang")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_q_source"))
@@ -144,18 +146,21 @@ def judged(docs: DataFrame, scratch: Scratch, text_col: str = "text", lang_col:
     return out.drop("_q_lang", "_q_source", *[f"_q_{a}_{m}" for a in ("lo", "hi") for m in MEASURES])
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept)."""
     scratch = Scratch(docs.sparkSession, "quality")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    measured = with_metrics(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    out = judged(docs, scratch, measured=scratch.cut(measured))
+    measured = scratch.cut(with_metrics(docs.select("doc_id", "text", "lang", "source")).drop("text"))
+    out = judged(measured, scratch, least=least)
     return out.select("doc_id", *[F.col(f"_q_{n}").alias(n) for n in names], F.col("_q_kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    out = judged(docs, Scratch(docs.sparkSession, "quality"))
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST) -> DataFrame:
+    """The documents that are kept, with their own columns; nulls and repeated rows as in judged. What
+    passes the base rules is written once with its metrics, which are then not computed again."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    passed = scratch.cut(with_metrics(docs, text_col).filter("not _q_base_failed"))
+    out = judged(passed, scratch, lang_col, source_col, least)
     return out.filter("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -283,6 +283,51 @@ def test_importance(spark):
     assert all(r.kept for r in none)
 
 
+def brute_importance(rows, labels, share):
+    """{doc: (log weight, kept)} by plain counting, in the buckets of the definition."""
+    n = importance.bucket_count(len(rows))
+
+    def places(text):
+        h = [xxhash.xxh3_64_intdigest(w.encode()) for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)})) if w]
+        one = [slow_mix((x + 1) % 2**64) for x in h]
+        two = [slow_mix((slow_mix(x) + y) % 2**64) for x, y in zip(h, h[1:])]
+        return [x * n >> 64 for x in one + two]
+
+    good = {d for d, q in labels if q == 1 and d is not None}
+    raw, target = [0] * n, [0] * n
+    for doc, text in rows:
+        for b in places(text):
+            raw[b] += 1
+            target[b] += doc in good
+    weight = lambda b: math.log((target[b] + 1) / (sum(target) + n)) - math.log((raw[b] + 1) / (sum(raw) + n))
+    out = []
+    for doc, text in rows:
+        w = sum(weight(b) for b in places(text))
+        u = ((xxhash.xxh3_64_intdigest(str(-1 if doc is None else doc).encode()) >> 11) + 0.5) / 2**53
+        out.append((doc, w, w - math.log(-math.log(u))))
+    k = math.ceil(share * len(rows))
+    least = sorted((x[2] for x in out), reverse=True)[k - 1] if k else math.inf
+    return sorted(((-1 if d is None else d), round(w, 5), x >= least) for d, w, x in out)
+
+
+def test_importance_equals_brute_force(spark):
+    """Nulls, empty texts, repeated rows, ids that tie, extra columns with names of the result."""
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randint(0, 60))) for i in range(150)] + [(None, words(rng, 9)), (None, None), (200, ""), (201, " \n"), (3, "Alpha1 BETA2 é"), (3, "Alpha1 BETA2 é"), (202, None)]
+    labels = [(i, i % 3 % 2) for i in range(100)] + [(None, 1), (5, None), (3, 1)]
+    df = spark.createDataFrame([(*r, 1.0, True) for r in rows], "doc_id long, text string, log_weight double, kept boolean").repartition(5)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    for share in (0.0, 0.3, 1.0):
+        got = sorted(((-1 if r.doc_id is None else r.doc_id), round(r.log_weight, 5), r.kept) for r in importance.importance_sample(df, lab, share).collect())
+        want = brute_importance(rows, labels, share)
+        assert [(d, k) for d, _, k in got] == [(d, k) for d, _, k in want]
+        assert all(math.isclose(a[1], b[1], abs_tol=2e-5) for a, b in zip(got, want))
+
+
+def test_buckets_grow():
+    assert [importance.bucket_count(n) for n in (0, 1, 16_384, 65_536, 10**6, 10**12)] == [2**14, 2**14, 2**14, 2**15, 2**17, 2**22]
+
+
 def test_kth_largest_and_gumbel(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 100, 500), [0.0, -0.0, 5.0, 5.0, -1e300, 1e300]])
