@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -41,22 +42,33 @@ def canonical(counts, values):
     return out
 
 
-def lookup(counts, values):
-    """For the next 16 bits: value << 8 | length, or 0."""
+@lru_cache(64)
+def lookup(counts: bytes, values: bytes) -> np.ndarray:
+    """For the next 16 bits: value << 8 | length of the code, or 0 where there is none."""
+    spans, held = [], []
+    for v, (_, n) in canonical(counts, values).items():
+        spans.append(1 << (16 - n))
+        held.append(v << 8 | n)
     table = np.zeros(1 << 16, np.int32)
-    for v, (code, n) in canonical(counts, values).items():
-        table[code << (16 - n) : (code + 1) << (16 - n)] = v << 8 | n
-    return table.tolist()
+    full = np.repeat(np.array(held, np.int32), spans)
+    table[: len(full)] = full[: len(table)]
+    return table
+
+
+def windows(data: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The 16 bits from each bit on, for n bytes of data from `first`; past the end come ones."""
+    d = np.full(n + 2, 255, np.int32)
+    part = data[first : first + n + 2]
+    d[: len(part)] = part
+    three = d[:-2] << 16 | d[1:-1] << 8 | d[2:]
+    return (three[:, None] >> (8 - np.arange(8)) & 0xFFFF).ravel()
 
 
 class Reader:
-    """The bits of one restart interval, stuffing removed; past the end come ones."""
+    """The bits of one restart interval one after another, for refinement scans."""
 
-    def __init__(self, data: bytes):
-        data = data.replace(b"\xff\x00", b"\xff")
-        self.n = len(data) * 8
-        self.value = int.from_bytes(data, "big")
-        self.data = data + b"\xff" * 12
+    def __init__(self, data: np.ndarray):
+        self.data = data.tobytes() + b"\xff" * 12
         self.at = 0
 
     def peek(self) -> int:
@@ -70,17 +82,13 @@ class Reader:
         self.at += n
         return v
 
-    def symbol(self, table) -> int:
-        got = table[self.peek()]
+    def symbol(self, table: np.ndarray) -> int:
+        got = int(table[self.peek()])
         if not got:
             raise ValueError("bad Huffman code")
         self.at += got & 255
         return got >> 8
 
-    def signed(self, n: int) -> int:
-        v = self.bits(n)
-        return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
 
 # ---- parsing
 
@@ -93,7 +101,7 @@ class Component:
 class Image:
     def __init__(self):
         self.quant: dict[int, np.ndarray] = {}
-        self.huff: dict[tuple[int, int], list] = {}
+        self.huff: dict[tuple[int, int], np.ndarray] = {}
         self.parts: list[Component] = []
         self.restart = 0
         self.scans: list = []
@@ -137,9 +145,9 @@ def parse(data: bytes, header_only: bool = False) -> Image:
         elif mark == 0xC4:
             i = 0
             while i < len(seg):
-                counts = list(seg[i + 1 : i + 17])
+                counts = bytes(seg[i + 1 : i + 17])
                 n = sum(counts)
-                im.huff[seg[i] >> 4, seg[i] & 15] = lookup(counts, list(seg[i + 17 : i + 17 + n]))
+                im.huff[seg[i] >> 4, seg[i] & 15] = lookup(counts, bytes(seg[i + 17 : i + 17 + n]))
                 i += 17 + n
         elif mark == 0xDD:
             im.restart = struct.unpack(">H", seg)[0]
@@ -174,74 +182,171 @@ def parse(data: bytes, header_only: bool = False) -> Image:
 
 def coefficients(im: Image) -> None:
     """Fills every component's blocks (rows, columns, 64 in zig-zag order) from all scans."""
+    try:
+        _coefficients(im)
+    except IndexError:
+        raise ValueError("JPEG data ends early") from None
+
+
+def _coefficients(im: Image) -> None:
     im.hmax, im.vmax = max(c.h for c in im.parts), max(c.v for c in im.parts)
     mx, my = -(-im.width // (8 * im.hmax)), -(-im.height // (8 * im.vmax))
     for c in im.parts:
         c.across, c.down = -(-(-(-im.width * c.h // im.hmax)) // 8), -(-(-(-im.height * c.v // im.vmax)) // 8)
-        c.blocks = [[[0] * 64 for _ in range(mx * c.h)] for _ in range(my * c.v)]
+        c.blocks = np.zeros((my * c.v, mx * c.h, 64), np.int32)
     for which, first, last, high, low, huff, restart, pieces in im.scans:
-        if len(which) == 1:
-            c = which[0][0]
-            units = [[(c, 0, y, x)] for y in range(c.down) for x in range(c.across)]
-        else:
-            units = [[(c, i, my_ * c.v + v, mx_ * c.h + h) for i, (c, _, _) in enumerate(which) for v in range(c.v) for h in range(c.h)] for my_ in range(my) for mx_ in range(mx)]
-        step = restart or len(units)
-        for k, at in enumerate(range(0, len(units), step)):
-            if k >= len(pieces):
-                break
-            _interval(Reader(pieces[k]), units[at : at + step], which, first, last, high, low, huff, im.progressive)
-
-
-def _interval(r: Reader, units, which, first, last, high, low, huff, progressive) -> None:
-    before, run = [0] * len(which), 0
-    for unit in units:
-        for c, i, y, x in unit:
-            b = c.blocks[y][x]
-            _, dc, ac = which[i]
-            if not progressive:
-                before[i] += r.signed(r.symbol(huff[0, dc]))
-                b[0] = before[i]
-                k = 1
-                table = huff[1, ac]
-                while k < 64:
-                    s = r.symbol(table)
-                    if s & 15:
-                        k += s >> 4
-                        if k > 63:
-                            raise ValueError("coefficients run over")
-                        b[k] = r.signed(s & 15)
-                        k += 1
-                    elif s == 0xF0:
-                        k += 16
-                    else:
-                        break
+        single = len(which) == 1
+        units = which[0][0].across * which[0][0].down if single else mx * my
+        step = restart or units
+        for piece, at in zip(pieces, range(0, units, step)):
+            # parts of this interval: (component, DC table, AC table, rows, columns) of its blocks in order
+            n = np.arange(at, min(at + step, units))
+            parts = []
+            for c, dc, ac in which:
+                if single:
+                    y, x = n // c.across, n % c.across
+                else:
+                    i = np.arange(c.h * c.v)
+                    y, x = ((n // mx * c.v)[:, None] + i // c.h).ravel(), ((n % mx * c.h)[:, None] + i % c.h).ravel()
+                wanted = ([(0, dc)] if first == 0 and high == 0 else []) + ([(1, ac)] if last and (first or not im.progressive) else [])
+                if any(t not in huff for t in wanted):
+                    raise ValueError("JPEG scan without its Huffman table")
+                parts.append((c, huff.get((0, dc)), huff.get((1, ac)), y, x))
+            data = np.frombuffer(piece.replace(b"\xff\x00", b"\xff"), np.uint8)
+            order = [i for i, (c, _, _) in enumerate(which) for _ in range(1 if single else c.h * c.v)]
+            if not im.progressive:
+                _tokens(data, parts, order, len(n), True, 1, 63, 0)
+            elif first == 0 and high == 0:
+                _tokens(data, parts, order, len(n), True, 1, 0, low)
             elif first == 0:
-                if high == 0:
-                    before[i] += r.signed(r.symbol(huff[0, dc]))
-                    b[0] = before[i] << low
-                elif r.bits(1):
-                    b[0] |= 1 << low
+                _refine_dc(data, parts, order, len(n), low)
             elif high == 0:
-                if run:
-                    run -= 1
-                    continue
-                k, table = first, huff[1, ac]
-                while k <= last:
-                    s = r.symbol(table)
-                    n, size = s >> 4, s & 15
-                    if size:
-                        k += n
-                        if k > 63:
-                            raise ValueError("coefficients run over")
-                        b[k] = r.signed(size) << low
-                        k += 1
-                    elif n == 15:
-                        k += 16
-                    else:
-                        run = (1 << n) - 1 + r.bits(n)
-                        break
+                _tokens(data, parts, order, len(n), False, first, last, low)
             else:
-                run = _refine(r, b, first, last, 1 << low, huff[1, ac], run)
+                c, _, table, y, x = parts[0]
+                r, run = Reader(data), 0
+                for i, j in zip(y.tolist(), x.tolist()):
+                    block = c.blocks[i, j].tolist()
+                    run = _refine(r, block, first, last, 1 << low, table, run)
+                    c.blocks[i, j] = block
+
+
+#: Bytes whose bits are looked up at a time, bits that one block may take at most, and bytes of ones
+#: after the end of the data.
+CHUNK, BLOCK_BITS, SPARE = 16384, 2048, 64
+#: Added to a place in a block by a token that ends it.
+END = 100
+
+
+def _steps(table: np.ndarray, win: np.ndarray, dc: bool) -> list[int]:
+    """For a token at each bit: its bits, times 128, plus how far it moves on in the block."""
+    got = table[win]
+    length, s = got & 255, got >> 8
+    if dc:
+        return (length + np.minimum(s, 16)).tolist()
+    size, run = s & 15, s >> 4
+    # a token without a size ends a block, and may have bits that count further blocks
+    move = np.where(size > 0, run + 1, np.where(run == 15, 16, END))
+    more = np.where(size > 0, size, np.where(run == 15, 0, run))
+    move[length == 0] = END
+    return ((length + more) * 128 + move).tolist()
+
+
+def _values(win: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Signed numbers of `size` bits at places; a leading 0 means negative."""
+    v = win[at] >> (16 - size)
+    return np.where((size > 0) & (v >> np.maximum(size - 1, 0) == 0), v - (1 << size) + 1, v)
+
+
+def _tokens(data: np.ndarray, parts: list, order: list[int], units: int, dc: bool, first: int, last: int, low: int) -> None:
+    """Decodes one interval: only the walk from token to token is a loop; what tokens mean at each bit
+    of a chunk, and the values of those met, are found for all at once."""
+    margin = len(order) * BLOCK_BITS
+    size = max(CHUNK, margin // 2)
+    p = done = base = 0
+    limit, win = -1, np.empty(0, np.int32)
+    diffs: list[list[np.ndarray]] = [[] for _ in parts]
+    filled = [0] * len(parts)
+    met: list[tuple[list[int], list[int], list[int]]] = []  # places of DC tokens, of AC tokens, tokens of each block
+    steps: list = []
+
+    def settle() -> None:
+        for i, (c, dct, act, y, x) in enumerate(parts):
+            dcs, acs, counts = met[i]
+            if dcs:
+                at = np.array(dcs) - base
+                got = dct[win[at]]
+                if (got == 0).any() or (got >> 8 > 16).any():
+                    raise ValueError("bad Huffman code")
+                diffs[i].append(_values(win, at + (got & 255), got >> 8))
+            if acs:
+                at, per = np.array(acs) - base, np.array(counts)
+                got = act[win[at]]
+                if (got == 0).any():
+                    raise ValueError("bad Huffman code")
+                s = got >> 8
+                size, run = s & 15, s >> 4
+                move = np.where(size > 0, run + 1, np.where(run == 15, 16, 0))
+                upto = np.cumsum(move)
+                begin = np.cumsum(per) - per
+                k = first - 1 + upto - np.repeat((upto - move)[begin[per > 0]], per[per > 0])
+                block = np.repeat(np.arange(len(per)) + filled[i], per)
+                real = size > 0
+                if (k[real] > 63).any():
+                    raise ValueError("coefficients run over")
+                b = block[real]
+                c.blocks[y[b], x[b], k[real]] = _values(win, at[real] + (got[real] & 255), size[real]) << low
+            filled[i] += len(counts)
+
+    while done < units:
+        if p >= limit:
+            if met:
+                settle()
+            base = p & ~7
+            left = len(data) - (base >> 3) + SPARE
+            win = windows(data, base >> 3, min(size, left))
+            limit = base + size * 8 - margin if left > size else 1 << 62
+            met = [([], [], []) for _ in parts]
+            steps = [(_steps(d, win, True) if dc else None, _steps(a, win, False) if last else None) for _, d, a, _, _ in parts]
+        skip = 0
+        for i in order:
+            dcs, acs, counts = met[i]
+            if dc:
+                dcs.append(p)
+                p += steps[i][0][p - base]
+            n = len(acs)
+            k, walk = first, steps[i][1]
+            while k <= last:
+                acs.append(p)
+                e = walk[p - base]
+                p += e >> 7
+                k += e & 127
+            counts.append(len(acs) - n)
+            if not dc and k >= END:
+                # the run of further blocks that this end of block stands for
+                at = acs[-1] - base
+                got = int(parts[i][2][win[at]])
+                bits = got >> 12
+                skip = (1 << bits) - 1 + (int(win[at + (got & 255)]) >> (16 - bits))
+                counts.extend([0] * min(skip, units - done - 1))
+        done += 1 + skip
+    if met:
+        settle()
+    if dc:
+        for (c, _, _, y, x), d in zip(parts, diffs):
+            c.blocks[y, x, 0] = np.cumsum(np.concatenate(d)) << low
+
+
+def _refine_dc(data: np.ndarray, parts: list, order: list[int], units: int, low: int) -> None:
+    """One more bit for the DC of each block: the bits in order of blocks."""
+    n = units * len(order)
+    bits = np.ones(n, np.uint8)
+    got = np.unpackbits(data[: -(-n // 8)])[:n]
+    bits[: len(got)] = got
+    bits = bits.reshape(units, len(order))
+    for i, (c, _, _, y, x) in enumerate(parts):
+        mine = bits[:, [j for j, o in enumerate(order) if o == i]].ravel()
+        c.blocks[y, x, 0] |= mine.astype(np.int32) << low
 
 
 def _refine(r: Reader, b, first, last, bit, table, run) -> int:
@@ -285,7 +390,7 @@ def planes(im: Image, half: bool = False) -> list[np.ndarray]:
     """Samples of each component: dequantised blocks through the inverse transform, all at once."""
     out = []
     for c in im.parts:
-        z = np.array(c.blocks, np.float64)
+        z = c.blocks.astype(np.float64)
         rows, cols = z.shape[:2]
         block = np.zeros_like(z)
         block[..., ZIGZAG] = z * im.quant[c.table]
@@ -331,18 +436,13 @@ def scaled(base, quality: int) -> np.ndarray:
     return np.clip((np.array(base) * s + 50) // 100, 1, 255)
 
 
-class BitWriter:
-    def __init__(self):
-        self.parts: list[str] = []
-
-    def put(self, value: int, n: int):
-        if n:
-            self.parts.append(f"{value:0{n}b}")
-
-    def bytes(self) -> bytes:
-        bits = "".join(self.parts)
-        bits += "1" * (-len(bits) % 8)
-        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
+def pack_bits(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Numbers of so many bits one after another, filled up with ones, with a zero byte after each 255."""
+    each = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    bits = (values[each] >> (sizes[each] - 1 - place) & 1).astype(np.uint8)
+    bits = np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)])
+    return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def optimal(counts: np.ndarray):
@@ -378,37 +478,41 @@ def optimal(counts: np.ndarray):
     return n[1:17], values
 
 
-def size_of(v: int) -> int:
-    return abs(v).bit_length()
+def bit_size(v: np.ndarray) -> np.ndarray:
+    return np.frexp(np.abs(v).astype(np.float64))[1]
 
 
-def low_bits(v: int) -> int:
-    return v if v >= 0 else v + (1 << size_of(v)) - 1
+def low_bits(v: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.where(v >= 0, v, v + (1 << size) - 1)
 
 
-def dc_symbols(blocks):
-    """(0, size, value bits, n) of DC differences."""
-    before = 0
-    for b in blocks:
-        d = b[0] - before
-        before = b[0]
-        yield size_of(d), low_bits(d), size_of(d)
+def dc_tokens(blocks: np.ndarray):
+    """(block, order in it, symbol, value, bits) of the DC differences."""
+    d = np.diff(blocks[:, 0], prepend=0)
+    size = bit_size(d)
+    n = np.arange(len(d))
+    return n, np.zeros_like(n), size, low_bits(d, size), size
 
 
-def ac_symbols(b, first, last):
-    run = 0
-    for k in range(first, last + 1):
-        v = b[k]
-        if not v:
-            run += 1
-            continue
-        while run > 15:
-            yield 0xF0, 0, 0
-            run -= 16
-        yield run << 4 | size_of(v), low_bits(v), size_of(v)
-        run = 0
-    if run:
-        yield 0, 0, 0
+def ac_tokens(blocks: np.ndarray, first: int, last: int):
+    """The same of coefficients first to last: runs of zeros, runs of 16, ends of blocks."""
+    part = blocks[:, first : last + 1]
+    b, k = np.nonzero(part)
+    v = part[b, k]
+    before = np.full(len(b), -1)
+    if len(b):
+        before[1:] = np.where(b[1:] == b[:-1], k[:-1], -1)
+    run, size = k - before - 1, bit_size(v)
+    long = np.repeat(np.arange(len(b)), run // 16)
+    ended = np.flatnonzero(part[:, -1] == 0)
+    zero = np.zeros(len(long) + len(ended), np.int64)
+    return (
+        np.concatenate([b, b[long], ended]),
+        np.concatenate([2 * k + 2, 2 * k[long] + 1, np.full(len(ended), 200)]),
+        np.concatenate([(run % 16) << 4 | size, np.full(len(long), 0xF0), np.zeros(len(ended), np.int64)]),
+        np.concatenate([low_bits(v, size), zero]),
+        np.concatenate([size, zero]),
+    )
 
 
 def write_jpeg(f: np.ndarray, quality: int = 85, progressive: bool = True) -> bytes:
@@ -425,7 +529,7 @@ def write_jpeg(f: np.ndarray, quality: int = 85, progressive: bool = True) -> by
     for i, p in enumerate(ycc):
         p = np.pad(np.clip(p, 0, 255), ((0, rows * 8 - h), (0, cols * 8 - w)), mode="edge") - 128.0
         block = np.einsum("ki,ricj,lj->rckl", C8, p.reshape(rows, 8, cols, 8), C8, optimize=True).reshape(rows * cols, 64)
-        comps.append(np.floor(block / quant[min(i, 1)] + 0.5).astype(np.int64)[:, ZIGZAG].tolist())
+        comps.append(np.floor(block / quant[min(i, 1)] + 0.5).astype(np.int64)[:, ZIGZAG])
     out = bytearray(b"\xff\xd8")
 
     def segment(mark: int, body: bytes):
@@ -436,28 +540,27 @@ def write_jpeg(f: np.ndarray, quality: int = 85, progressive: bool = True) -> by
     segment(0xC2 if progressive else 0xC0, struct.pack(">BHHB", 8, h, w, 3) + b"".join(bytes([i + 1, 0x11, min(i, 1)]) for i in range(3)))
 
     def scan(which, first, last):
-        """which: components; tokens are (class, table, symbol, bits, n)."""
-        tokens = []
-        differences = {i: list(dc_symbols(comps[i])) for i in which} if first == 0 else {}
-        for n in range(rows * cols):
-            for i in which:
-                t = min(i, 1)
-                if first == 0:
-                    tokens.append((0, t, *differences[i][n]))
-                if last:
-                    tokens += [(1, t, *s) for s in ac_symbols(comps[i][n], max(1, first), last)]
-        codes = {}
-        for key in sorted({(a, t) for a, t, *_ in tokens}):
-            counts = np.bincount([s for a, t, s, _, _ in tokens if (a, t) == key], minlength=256)
-            n, values = optimal(counts)
-            codes[key] = canonical(n, values)
-            segment(0xC4, bytes([key[0] << 4 | key[1]]) + bytes(n) + bytes(values))
+        """which: components. A token's place: its block, the component there, the order in it."""
+        found = []
+        for j, i in enumerate(which):
+            kinds = [(0, dc_tokens(comps[i]))] if first == 0 else []
+            kinds += [(1, ac_tokens(comps[i], max(1, first), last))] if last else []
+            for kind, (block, place, *token) in kinds:
+                found.append([(block * len(which) + j) * 256 + place, np.full(len(block), kind << 4 | min(i, 1)), *token])
+        place, table, symbol, value, size = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(place, kind="stable")
+        table, symbol, value, size = table[order], symbol[order], value[order], size[order]
+        code, length = np.zeros((2, len(symbol)), np.int64)
+        for t in np.unique(table).tolist():
+            mine = table == t
+            counts, values = optimal(np.bincount(symbol[mine], minlength=256))
+            segment(0xC4, bytes([t]) + bytes(counts) + bytes(values))
+            codes = np.zeros((256, 2), np.int64)
+            for v, c in canonical(counts, values).items():
+                codes[v] = c
+            code[mine], length[mine] = codes[symbol[mine]].T
         segment(0xDA, bytes([len(which)]) + b"".join(bytes([i + 1, min(i, 1) * 0x11]) for i in which) + bytes([first, last, 0]))
-        bits = BitWriter()
-        for a, t, s, v, n in tokens:
-            bits.put(*codes[a, t][s])
-            bits.put(v, n)
-        out.extend(bits.bytes())
+        out.extend(pack_bits(np.column_stack([code, value]).ravel(), np.column_stack([length, size]).ravel()))
 
     if progressive:
         scan([0, 1, 2], 0, 0)
