@@ -7,7 +7,13 @@ own band and the next. Within a band the hash domain is cut into n1 * n2 partiti
 of n2; with n1 * (k2 + 1) > k some group has at most k2 partitions that differ, so one of the
 subsets of n2 - k2 partitions of that group agrees, and its hash is a shared signature.
 
-Candidates are verified exactly. A bucket never emits all its pairs: its members are compared
+Partners share several signatures, not one: of the f partitions of a band's pairs at least f - k
+agree. Signatures of few sets (SMALL) give their pairs with counts, and a pair is a candidate if
+what it shares there, with all larger buckets that both are in, reaches that number. If it can only
+be reached in larger buckets, a set needs that many of them, and may leave the clusters where it has
+least of them, fewer than half of that number together: a partner remains in one of the others.
+
+Candidates are verified exactly. A larger bucket never emits all its pairs: its members are compared
 with one pivot. Partners of a pivot's cluster that are not both linked to the pivot must share
 an element of their difference from the pivot, so what stays unlinked is grouped by the rarest
 elements of that difference (an overlap prefix filter) and the same step is applied again, to
@@ -33,6 +39,8 @@ from imgspark.llm.shingles import U, WordHashes, in_slices, mix, shingle_set, wo
 #: Members of a group up to which pairs from different components are verified at once; a larger
 #: group gets a pivot instead. Either way every possible link is looked at.
 LARGE = 200
+#: Members of a bucket up to which all its pairs are counted.
+SMALL = 6
 #: Elements of the sets in one block of a component when links are counted; a set counts as LEAST at least.
 BLOCK, LEAST = 300_000, 300
 #: Elements whose columns are multiplied at once there.
@@ -69,9 +77,9 @@ class Scheme:
     def most_differing(self, band: int) -> int:
         return 2 * self.high[band] * (100 - self.percent) // (100 + self.percent)
 
-    def signatures(self, s: np.ndarray) -> list[tuple[np.ndarray, int]]:
-        """(signatures, how many of them a partner shares at least) of a sorted set of hashes, for its
-        band and the next.
+    def signatures(self, s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """(signatures, how many of them a partner shares at least, band) of a sorted set of hashes, for
+        its band and the next.
 
         With pairs of partitions a signature is one partition, and of f = 2 * n1 at least f - k agree
         with a partner's. Empty ones tell nothing: a set with fewer than f - k of them does not sign
@@ -96,7 +104,7 @@ class Scheme:
                     least = n1 * n2 - self.most_differing(b)
                     if empty.sum() < least:
                         sig, shared = sig[~empty], least - int(empty.sum())
-                out.append((sig.ravel(), shared))
+                out.append((sig.ravel(), shared, b))
         return out
 
 
@@ -139,48 +147,43 @@ def _classes(k: int):
 
 
 def _signed(k: int, percent: int, bloom=None, skip=None):
-    """All signatures; with a Bloom filter of repeated ones only those, with the set's key and their
-    count. skip: a Bloom filter of ids to leave out."""
+    """All signatures; with a Bloom filter of repeated ones only those, with the set's key, how many
+    a partner shares at least and the band. skip: a Bloom filter of ids to leave out."""
 
     def run(batches):
         import pyarrow as pa
 
         table, scheme = WordHashes(), Scheme(percent)
-        held, n = [], 0
         for batch in in_slices(batches):
             if skip:
-                ids = batch.column(0)
-                batch = batch.filter(pa.array(~in_bloom(skip.value, ids.to_numpy())))
+                batch = batch.filter(pa.array(~in_bloom(skip.value, batch.column(0).to_numpy())))
+            held, sigs = [], [np.empty(0, np.int64)]
             for _, text in _texts(batch):
                 s = shingle_set(word_hashes(text, table), k)
-                found = []
-                for sig, shared in scheme.signatures(s):
-                    sig = sig.view(np.int64)
-                    if bloom:
-                        sig = sig[in_bloom(bloom.value, sig)]
-                    # with too few repeated ones there is no partner in that band
+                key = int(mix(s + U(1)).sum().view(np.int64)) if bloom else 0
+                for sig, shared, band in scheme.signatures(s):
                     if len(sig) >= shared:
-                        found.append(sig)
-                if not found:
-                    continue
-                sig = np.concatenate(found)
-                key = int(mix(s + U(1)).sum()) if bloom else 0
-                held.append((sig, np.full(len(sig), key, U).view(np.int64), np.full(len(sig), len(sig), np.int64)) if bloom else (sig,))
-                n += len(sig)
-                if n > 200_000:
-                    yield _flat(pa, held)
-                    held, n = [], 0
-        if held:
-            yield _flat(pa, held)
+                        sigs.append(sig.view(np.int64))
+                        held.append((len(sig), key, shared, band))
+            if not held:
+                continue
+            sig = np.concatenate(sigs)
+            if not bloom:
+                yield pa.RecordBatch.from_arrays([pa.array(sig)], ["sig"])
+                continue
+            size, key, shared, band = np.array(held, np.int64).T
+            # with too few repeated ones there is no partner in that band
+            hit = in_bloom(bloom.value, sig)
+            own = np.repeat(np.arange(len(size)), size)
+            n = np.bincount(own[hit], minlength=len(size))
+            hit &= (n >= shared)[own]
+            own = own[hit]
+            cols = [pa.array(sig[hit]), pa.array(key[own]), pa.array(n[own].astype(np.int32)), pa.array(shared[own].astype(np.int32)), pa.array(band[own].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["sig", "x", "hits", "least", "band"])
 
     return lean(run)
 
 
-def _flat(pa, held):
-    cols = [pa.array(np.concatenate(c)) for c in zip(*held)]
-    return pa.RecordBatch.from_arrays(cols, ["sig", "x", "hits"][: len(cols)])
-
-
 def _sets(k: int, shared):
     """(doc_id, set) of the documents that the filter holds."""
 
@@ -205,9 +208,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     Links: 100 * |A n B| >= percent * |A u B| over distinct k-word shingles; component_id is the
     smallest id reachable through links. Null, empty and blank texts have no shingles and link
     with nothing, not even each other; fewer than k words make one shingle; equal sets always
-    link. Rows with a null id stay as they are with a null component_id. Repeated ids are taken
-    as one document if their texts are equal. Other columns are ignored; an empty table gives an
-    empty table. n_links_found is the number of other documents (distinct ids) that link with the
+    link. Rows with a null id stay as they are with a null component_id. Rows with an equal id are one
+    document: if their texts differ, the least of those with words stands for it, and each row has
+    its own n_shingles. Other columns are ignored; an empty table gives an empty table. n_links_found is the number of other documents (distinct ids) that link with the
     document, equal copies among them.
     """
     spark = docs.sparkSession
@@ -216,11 +219,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     classes = scratch.cut(base.mapInArrow(_classes(k), "doc_id long, n_shingles long, h1 long, h2 long"))
 
     whole = classes.filter("n_shingles > 0 and doc_id is not null")
+    # rows without an id are not counted in reps: as pivots they would take their bucket's links along
+    base = base.filter("doc_id is not null")
+    base, whole = _one_text(scratch, base, whole, k)
     reps = whole.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.countDistinct("doc_id").alias("copies"))
     reps = scratch.cut(reps)
     by_key = reps.select(F.col("h1").alias("x"), "rep")
-    # rows without an id are not counted in reps: as pivots they would take their bucket's links along
-    base = base.filter("doc_id is not null")
 
     # one document of each class signs; the others are few, and only their texts are shuffled
     copies = scratch.cut(whole.join(reps, ["h1", "h2"]).filter("doc_id <> rep").select("doc_id").distinct())
@@ -238,32 +242,28 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     scratch.release()
     bloom = broadcast_bloom(scratch, twice, "sig")
     scratch.drop(twice)
-    signed = scratch.cut(signing("sig long, x long, hits long", bloom))
-    # the pivot of a bucket: the set most of whose signatures are shared, near the middle of its group
-    pivots = signed.groupBy("sig").agg(F.max_by("x", "hits").alias("p"), F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo <> hi").select("sig", "p")
-    star = signed.join(pivots, "sig").filter("x <> p").select("p", "x").distinct()
-    star = star.join(by_key, "x").select("p", F.col("rep").alias("b")).join(by_key.withColumnRenamed("x", "p"), "p").select(F.col("rep").alias("a"), "b")
-    star = scratch.cut(star.filter("a <> b").withColumn("again", F.lit(True)))
-    bloom.unpersist()
-    skip.unpersist()
+    signed = scratch.cut(signing("sig long, x long, hits int, least int, band int", bloom))
+    pairs = scratch.cut(_candidates(scratch, signed))
     scratch.drop(signed, rest, copies)
-    del pivots, signed
     scratch.release()
+    by_x, by_y = by_key.withColumnRenamed("rep", "a"), by_key.select(F.col("x").alias("y"), F.col("rep").alias("b"))
+    pairs = scratch.cut(pairs.join(by_x, "x").join(by_y, "y").select("a", "b", "again").filter("a <> b"))
+    bloom.unpersist()
+    skip.unpersist()
 
-    wanted = scratch.cut(star.select(F.col("a").alias("node")).union(star.select("b")).distinct())
+    wanted = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     bloom = broadcast_bloom(scratch, wanted, "node")
     sets = base.mapInArrow(_sets(k, bloom), "node long, s array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = scratch.cut(sets.select("node", "s", F.size("s").alias("n")))
+    scratch.release()
 
     links = None
-    labels = scratch.cut(wanted.select("node", F.col("node").alias("comp")))
-    pairs = star
     while True:
         got = scratch.cut(_verified(pairs, sets, percent))
         new = got.filter("linked").select("a", "b").distinct()
-        links = new if links is None else links.unionByName(new)
-        found = connected_components(scratch, links)
-        labels = _relabel(scratch, wanted, found)
+        if links is None or new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            labels = _relabel(scratch, wanted, connected_components(scratch, links))
         scratch.release()
         pairs = _residual(scratch, got.filter("again"), labels, percent)
         if not pairs.limit(1).count():
@@ -279,10 +279,46 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     last = [F.coalesce("n_links_found", F.lit(0)).cast("long").alias("n_links_found")] if degrees else []
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *last)
     done = scratch.cut(out)
-    scratch.drop(sets, star, classes, reps)
+    scratch.drop(sets, classes, reps)
     return done
 
 
+def _one_text(scratch: Scratch, base: DataFrame, whole: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """base and whole with the least text only, of those with words, for ids that have several."""
+    several = whole.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).filter("a <> b").select("doc_id")
+    several = scratch.cut(several)
+    if not several.limit(1).count():
+        return base, whole
+    sure, maybe = split_by_keys(scratch, base, "doc_id", several)
+    maybe = scratch.cut(maybe)
+    least = maybe.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    least = scratch.cut(least)
+    base = sure.unionByName(maybe.join(several, "doc_id", "left_anti")).unionByName(least)
+    made = least.mapInArrow(_classes(k), "doc_id long, n_shingles long, h1 long, h2 long")
+    return base, whole.join(several, "doc_id", "left_anti").unionByName(made)
+
+
+def _candidates(scratch: Scratch, signed: DataFrame) -> DataFrame:
+    """(x, y, again): pairs of sets to verify; again marks y as a member of the cluster of the pivot x."""
+    size = signed.groupBy("sig").agg(F.count("*").alias("m"), F.max_by("x", F.struct("hits", "x")).alias("p")).filter("m > 1")
+    rows = scratch.cut(signed.join(size, "sig").select("sig", "x", "least", "band", "m", "p"))
+    few = rows.filter(F.col("m") <= SMALL).groupBy("sig", "band").agg(F.array_sort(F.collect_set(F.struct("x", "least"))).alias("e"))
+    two = F.flatten(F.transform("e", lambda u, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda v: F.struct(u.alias("u"), v.alias("v")))))
+    few = few.select("band", F.explode(two).alias("t")).groupBy("band", F.col("t.u.x").alias("x"), F.col("t.v.x").alias("y")).agg(F.count("*").alias("c"), F.max(F.greatest("t.u.least", "t.v.least")).alias("least"))
+    many = rows.filter(F.col("m") > SMALL).groupBy("x", "band", "p").agg(F.count("*").alias("c"), F.max("least").alias("least"))
+    many = scratch.cut(many)
+    total = many.groupBy("x", "band").agg(F.sum("c").alias("tx"))
+    few = few.join(total, ["x", "band"], "left").join(total.select(F.col("x").alias("y"), "band", F.col("tx").alias("ty")), ["y", "band"], "left")
+    few = few.filter(F.col("c") + F.least(F.coalesce("tx", F.lit(0)), F.coalesce("ty", F.lit(0))) >= F.col("least")).filter("x <> y")
+    # the clusters of a set, those it shares least of first, itself as a pivot last
+    of = Window.partitionBy("x", "band")
+    upto = F.sum("c").over(of.orderBy(F.col("p") == F.col("x"), "c", "p").rowsBetween(Window.unboundedPreceding, 0))
+    many = many.withColumn("t", F.sum("c").over(of)).withColumn("upto", upto)
+    many = many.filter("t >= least and upto > floor((least - 1) / 2) and x <> p")
+    pairs = few.select("x", "y", F.lit(False).alias("again")).union(many.select(F.col("p").alias("x"), F.col("x").alias("y"), F.lit(True)))
+    return pairs.groupBy("x", "y").agg(F.max("again").alias("again"))
+
+
 def _degrees(scratch: Scratch, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(rep, links): the documents of other classes that link with the class.
 
