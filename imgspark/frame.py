@@ -70,11 +70,16 @@ def to_pixels(fr: DataFrame) -> DataFrame:
 
 
 def from_pixels(px: DataFrame, origin: str = "pixels") -> DataFrame:
-    """Frames from complete pixel sets, in Catalyst: sorted values as hex, then bytes."""
-    rows = F.array_sort(F.collect_list(F.struct("y", "x", "c", "v")))
-    g = px.groupBy("img_id").agg(rows.alias("p"), *[(F.max(n) + 1).cast("int").alias(m) for n, m in (("x", "width"), ("y", "height"), ("c", "channels"))])
-    data = F.unhex(F.array_join(F.transform("p", lambda s: F.lpad(F.hex(s["v"]), 2, "0")), ""))
-    return g.select("img_id", F.lit(origin).alias("origin"), "width", "height", "channels", data.alias("data"))
+    """Frames from complete pixel sets, in Catalyst. Each row of an image becomes bytes first, wherever
+    its pixels are; only those, a byte a sample, are brought together for the image."""
+    order = F.array_sort(F.collect_list(F.struct("x", "c", "v")))
+    rows = px.groupBy("img_id", "y").agg(order.alias("p"), (F.max("x") + 1).alias("w"), (F.max("c") + 1).alias("n"))
+    # one character a sample, encoded as one byte
+    data = F.encode(F.array_join(F.transform("p", lambda s: F.char(s["v"])), ""), "ISO-8859-1")
+    rows = rows.select("img_id", "y", "w", "n", data.alias("b"))
+    g = rows.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("y", "b"))).alias("r"), F.max("w").cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), F.max("n").cast("int").alias("channels"))
+    whole = F.unhex(F.array_join(F.transform("r", lambda s: F.hex(s["b"])), ""))
+    return g.select("img_id", F.lit(origin).alias("origin"), "width", "height", "channels", whole.alias("data"))
 
 
 def from_spark_image(df: DataFrame, column: str = "image") -> DataFrame:

@@ -467,12 +467,11 @@ def canny_maxima(f, radius=1, sigma=None):
 
 def canny(f, low=50, high=150, radius=1, sigma=None):
     thin = canny_maxima(f, radius, sigma)
-    reached, weak = thin >= high, thin >= low
-    while True:
-        grown = _extreme(_extreme(reached, 1, 1, False), 1, 0, False) & weak | reached
-        if (grown == reached).all():
-            return np.where(reached, 255, 0).astype(np.uint8)[..., None]
-        reached = grown
+    hot = thin >= high
+    found = labels(hot | (thin >= low))
+    lit = np.zeros(found.max(initial=-1) + 2, bool)  # the last one stands for -1, outside
+    lit[found[hot]] = True
+    return np.where(lit[found], 255, 0).astype(np.uint8)[..., None]
 
 
 # ---- aggregates
@@ -507,41 +506,71 @@ def sum_rect(table, x, y, width, height):
     return table[y + height, x + width] - table[y, x + width] - table[y + height, x] + table[y, x]
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of all that 0..n-1 are connected with by edges (a, b): larger roots hook onto smaller
+    ones, then all point to their roots; each round joins what is left."""
+    root = np.arange(n)
+    while True:
+        ra, rb = root[a], root[b]
+        left = ra != rb
+        if not left.any():
+            return root
+        a, b, ra, rb = a[left], b[left], ra[left], rb[left]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def run_labels(on: np.ndarray, connectivity: int = 8):
+    """(y, first, last + 1, component) of every run of set pixels in a row; components are numbered in
+    raster order of their first pixels."""
+    h, w = on.shape
+    framed = np.zeros((h, w + 2), np.int8)
+    framed[:, 1:-1] = on
+    step = np.diff(framed, axis=1)
+    (y, a), (_, b) = np.nonzero(step == 1), np.nonzero(step == -1)
+    reach = 1 if connectivity == 8 else 0
+    below = (y + 1) * (w + 2)
+    # runs of the next row that touch: those that end after this one begins and begin before it ends
+    lo = np.searchsorted(y * (w + 2) + b, below + a - reach, "right")
+    hi = np.searchsorted(y * (w + 2) + a, below + b + reach, "left")
+    n = np.maximum(hi - lo, 0)
+    upper = np.repeat(np.arange(len(a)), n)
+    lower = np.repeat(lo, n) + np.arange(len(upper)) - np.repeat(np.cumsum(n) - n, n)
+    return y, a, b, np.unique(joined(len(a), upper, lower), return_inverse=True)[1]
+
+
+def labels(on: np.ndarray, connectivity: int = 8) -> np.ndarray:
+    """The component of every set pixel, -1 elsewhere."""
+    _, a, b, which = run_labels(on, connectivity)
+    out = np.full(on.shape, -1)
+    out[on] = np.repeat(which, b - a)
+    return out
+
+
 def components(f, min_area=1, max_area=None, connectivity=8):
     """(id, x, y, width, height, area, centroid_x, centroid_y) of each component, ids in raster order
-    of first pixels and given before the area filter. Runs of rows are joined by union-find."""
+    of first pixels and given before the area filter."""
     need(f, 1)
-    on = f[..., 0] > 0
-    parent: list[int] = []
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    runs, above = [], []
-    reach = 1 if connectivity == 8 else 0
-    for y, row in enumerate(on):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], row.view(np.int8), [0]])))
-        here = []
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            k = len(parent)
-            parent.append(k)
-            for a2, b2, k2 in above:
-                if a2 < b + reach and a < b2 + reach:
-                    p, q = root(k), root(k2)
-                    parent[max(p, q)] = min(p, q)
-            here.append((a, b, k))
-            runs.append((y, a, b, k))
-        above = here
-    found: dict[int, list] = {}
-    for y, a, b, k in runs:
-        c = found.setdefault(root(k), [a, y, b - 1, y, 0, 0, 0])
-        n = b - a
-        c[0], c[2], c[3] = min(c[0], a), max(c[2], b - 1), y
-        c[4], c[5], c[6] = c[4] + n, c[5] + (a + b - 1) * n // 2, c[6] + y * n
-    rows = [(i, c[0], c[1], c[2] - c[0] + 1, c[3] - c[1] + 1, c[4], c[5] / c[4], c[6] / c[4]) for i, (_, c) in enumerate(sorted(found.items()))]
+    y, a, b, which = run_labels(f[..., 0] > 0, connectivity)
+    m = which.max(initial=-1) + 1
+    size = b - a
+
+    def total(v):
+        out = np.zeros(m, np.int64)
+        np.add.at(out, which, v)
+        return out
+
+    def extreme(f, v, start):
+        out = np.full(m, start)
+        f.at(out, which, v)
+        return out
+
+    far = max(on_side for on_side in f.shape)
+    x0, y0 = extreme(np.minimum, a, far), extreme(np.minimum, y, far)
+    x1, y1 = extreme(np.maximum, b, 0), extreme(np.maximum, y + 1, 0)
+    area, sx, sy = total(size), total((a + b - 1) * size // 2), total(y * size)
+    rows = zip(range(m), x0.tolist(), y0.tolist(), (x1 - x0).tolist(), (y1 - y0).tolist(), area.tolist(), (sx / np.maximum(area, 1)).tolist(), (sy / np.maximum(area, 1)).tolist())
     return [r for r in rows if r[5] >= min_area and (max_area is None or r[5] <= max_area)]
 
 

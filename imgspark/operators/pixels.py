@@ -53,8 +53,10 @@ def long(px: DataFrame, *values: Column) -> DataFrame:
 
 
 def sized(px: DataFrame) -> DataFrame:
-    """px plus w and h of its image."""
-    return px.withColumn("w", F.max("x").over(image_window()) + 1).withColumn("h", F.max("y").over(image_window()) + 1)
+    """px plus w and h of its image: an aggregate of a row an image joined back, so that no task has to
+    hold an image, and pixels are not shuffled where that side is small enough to be broadcast."""
+    size = px.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    return px.join(size, "img_id")
 
 
 def gray_of(r, g, b) -> Column:
@@ -152,7 +154,7 @@ def crop(px, x, y, width, height):
 
 
 def moved(px, y: Column, x: Column):
-    return sized(by_image(px)).select("img_id", y.cast("int").alias("y"), x.cast("int").alias("x"), "c", "v")
+    return sized(px).select("img_id", y.cast("int").alias("y"), x.cast("int").alias("x"), "c", "v")
 
 
 def flip_h(px):
@@ -195,45 +197,74 @@ def gathered(px, grid, taps: list[tuple[Column, Column, Column]], finish, border
     return got.select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", finish(v, [F.col(f"k{i}") for i in range(n)]).cast("int").alias("v"))
 
 
+def _axis(p: Column, n: Column, target: int):
+    """(first tap, second tap, weight of the second) of a target place on an axis of n source places."""
+    at = (p + F.lit(0.5)) * n / target - F.lit(0.5)
+    first = F.greatest(F.lit(0), F.floor(at)).cast("int")
+    return first, F.least(n - 1, first + 1), at - first
+
+
+def _used(p: str, n: str, target: int, spread: float):
+    """The target places that may use source place p: a few around its image on the target axis."""
+    scale = F.lit(float(target)) / F.col(n)
+    low = F.floor((F.col(p) + F.lit(0.5 - spread)) * scale - F.lit(1.5))
+    high = F.ceil((F.col(p) + F.lit(0.5 + spread)) * scale + F.lit(0.5))
+    # the last source place also serves what lies beyond it, the first what lies before
+    high = F.when(F.col(p) >= F.col(n) - 2, F.lit(target - 1)).otherwise(high)
+    low = F.when(F.col(p) <= 1, F.lit(0)).otherwise(low)
+    return F.sequence(F.greatest(F.lit(0), low).cast("int"), F.greatest(F.lit(0), F.least(F.lit(target - 1), high)).cast("int"))
+
+
 def resize_nearest(px, width, height):
-    g = targets(px, width, height)
-    g = g.select("img_id", "c", "ty", "tx", F.least(F.col("h") - 1, F.floor(F.col("ty") * F.col("h") / height)).cast("int").alias("y"), F.least(F.col("w") - 1, F.floor(F.col("tx") * F.col("w") / width)).cast("int").alias("x"))
-    return g.join(px, KEYS).select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", "v")
+    """Each source pixel goes to the targets that it is nearest to: no join but that of sizes."""
+    d = sized(px).withColumn("ty", F.explode(_used("y", "h", height, 0.5))).withColumn("tx", F.explode(_used("x", "w", width, 0.5)))
+    at = lambda t, n, to: F.least(F.col(n) - 1, F.floor(F.col(t) * F.col(n) / to)).cast("int")
+    d = d.filter((F.col("y") == at("ty", "h", height)) & (F.col("x") == at("tx", "w", width)))
+    return d.select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", "v")
 
 
-def _axis(n: str, t: str, target: int):
-    at = (F.col(t) + F.lit(0.5)) * F.col(n) / target - F.lit(0.5)
-    first = F.greatest(F.lit(0), F.floor(at)).cast("int")
-    return first, F.least(F.col(n) - 1, first + 1), at - first
+def _spread(d, width, height, weight, finish):
+    """d: sized pixels. Each source pixel goes to the targets that it is a tap of; one aggregate by target then has the
+    four taps (y, x) in order 00, 01, 10, 11. weight: from a place's fraction to what finish takes."""
 
+    def taps(d, p, n, t, to):
+        d = d.withColumn(t, F.explode(_used(p, n, to, 1.0)))
+        first, second, k = _axis(F.col(t), F.col(n), to)
+        d = d.withColumn(f"{t}0", F.col(p) == first).withColumn(f"{t}1", F.col(p) == second).withColumn(f"{t}k", weight(k))
+        return d.filter(F.col(f"{t}0") | F.col(f"{t}1"))
 
-def _corners(x, y):
-    return [(y[0], x[0]), (y[0], x[1]), (y[1], x[0]), (y[1], x[1])]
+    d = taps(taps(d, "y", "h", "ty", height), "x", "w", "tx", width)
+    v = [F.max(F.when(F.col(f"ty{i}") & F.col(f"tx{j}"), F.col("v"))).alias(f"v{i}{j}") for i in (0, 1) for j in (0, 1)]
+    got = d.groupBy("img_id", "ty", "tx", "c").agg(*v, F.first("txk").alias("kx"), F.first("tyk").alias("ky"))
+    out = finish([F.col(f"v{i}{j}") for i in (0, 1) for j in (0, 1)], F.col("kx"), F.col("ky"))
+    return got.select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", out.cast("int").alias("v"))
 
 
 def resize_bilinear(px, width, height):
-    x, y = _axis("w", "tx", width), _axis("h", "ty", height)
-    wx, wy = x[2], y[2]
-    weights = [(1 - wx) * (1 - wy), wx * (1 - wy), (1 - wx) * wy, wx * wy]
-    taps = [(*p, k) for p, k in zip(_corners(x, y), weights)]
-    return gathered(px, targets(px, width, height), taps, lambda v, k: trunc_u8(v[0] * k[0] + v[1] * k[1] + v[2] * k[2] + v[3] * k[3]))
+    return _bilinear(sized(px), width, height)
 
 
-def resize_q15(px, width, height):
-    x, y = _axis("w", "tx", width), _axis("h", "ty", height)
-    q = [(a[2] * 32768 + F.lit(0.5)).cast("long") for a in (x, y)]
-    taps = [(*p, k) for p, k in zip(_corners(x, y), [q[0], q[1], F.lit(0), F.lit(0)])]
+def _bilinear(d, width, height):
+    return _spread(d, width, height, lambda k: k, lambda v, x, y: trunc_u8(v[0] * ((1 - x) * (1 - y)) + v[1] * (x * (1 - y)) + v[2] * ((1 - x) * y) + v[3] * (x * y)))
 
-    def finish(v, k):
-        row = lambda a, b: F.shiftright(a * (32768 - k[0]) + b * k[0] + 16384, 15)
-        return F.least(F.lit(255), F.greatest(F.lit(0), F.shiftright(row(v[0], v[1]) * (32768 - k[1]) + row(v[2], v[3]) * k[1] + 16384, 15)))
 
-    return gathered(px, targets(px, width, height), taps, finish)
+def resize_q15(px, width, height):
+    def finish(v, x, y):
+        row = lambda a, b: F.shiftright(a * (32768 - x) + b * x + 16384, 15)
+        return F.least(F.lit(255), F.greatest(F.lit(0), F.shiftright(row(v[0], v[1]) * (32768 - y) + row(v[2], v[3]) * y + 16384, 15)))
+
+    return _spread(sized(px), width, height, lambda k: (k * 32768 + F.lit(0.5)).cast("long"), finish)
 
 
 def resize_area(px, width, height):
-    """Every pixel goes to the cells that it overlaps: a range join as an explode, then a weighted sum."""
-    d = sized(by_image(px))
+    """Every pixel goes to the cells that it overlaps: a range join as an explode, then a weighted sum.
+    Images that don't shrink on both sides are resized bilinearly."""
+    both = sized(px)
+    shrinks = (F.col("w") > width) & (F.col("h") > height)
+    return _area(both.filter(shrinks), width, height).unionByName(_bilinear(both.filter(~shrinks), width, height))
+
+
+def _area(d, width, height):
     sx, sy = F.col("w") / F.lit(float(width)), F.col("h") / F.lit(float(height))
 
     def cells(p, step, n):
@@ -519,12 +550,12 @@ def draw_filled_circle(px, channels, cx, cy, radius, colour=None):
 
 
 def draw_boxes(px, channels, boxes: DataFrame, colour=None, thickness=2):
-    """boxes: (img_id, x, y, width, height). An equi-join on the image with the border test."""
-    b = boxes.select(F.col("img_id").alias("b_id"), *[F.col(n).alias(f"b_{n}") for n in ("x", "y", "width", "height")])
+    """boxes: (img_id, x, y, width, height). The boxes of an image are one array, so the pixels take part in
+    one join on the image, in none where that table is small enough to be broadcast."""
+    b = boxes.groupBy("img_id").agg(F.collect_list(F.struct("x", "y", "width", "height")).alias("boxes"))
     r = thickness // 2
-    border = on_border(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y"), F.col("b_x") + F.col("b_width") - 1, F.col("b_y") + F.col("b_height") - 1, r)
-    hit = px.join(b, (F.col("img_id") == F.col("b_id")) & border, "left_semi").select(*KEYS, F.lit(True).alias("hit"))
-    return painted(px.join(hit, KEYS, "left"), F.coalesce("hit", F.lit(False)), channels, colour)
+    border = F.exists("boxes", lambda b: on_border(F.col("x"), F.col("y"), b["x"], b["y"], b["x"] + b["width"] - 1, b["y"] + b["height"] - 1, r))
+    return painted(px.join(b, "img_id", "left"), F.coalesce(border, F.lit(False)), channels, colour)
 
 
 # ---- fused steps

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,16 +97,51 @@ def encode_frames(fr: DataFrame, fmt: str, **how) -> DataFrame:
     return fr.select(*SCHEMA.names).mapInArrow(run, FILES)
 
 
-def decode_frames(files: DataFrame, resize: dict | None = None, shrink_on_load: bool = False) -> DataFrame:
-    """Frames of (path, content); img_id is taken over, or made from the path's hash."""
-    ids = F.col("img_id") if "img_id" in files.columns else F.xxhash64("path")
+WITH_ERROR = T.StructType([*SCHEMA.fields, T.StructField("error", T.StringType())])
+#: What a broken or unknown file raises while it is decoded.
+BROKEN = (ValueError, IndexError, KeyError, TypeError, struct.error, zlib.error)
+
+
+def path_id(path: str) -> int:
+    """The id of a file, the same for each way of reading it; path_id_column says it in Catalyst."""
+    local = re.sub("^file:/+", "/", path)
+    return int(np.uint64(xxhash.xxh64_intdigest(local.encode(), seed=42)).view(np.int64))
+
+
+def path_id_column(path: str = "path"):
+    return F.xxhash64(F.regexp_replace(path, "^file:/+", "/"))
+
+
+def decode_frames(files: DataFrame, resize: dict | None = None, shrink_on_load: bool = False, errors: str = "raise") -> DataFrame:
+    """Frames of (path, content); img_id is taken over, or made from the path's hash.
+
+    errors: what becomes of a file that can't be decoded. "raise" ends the job, as for one file;
+    "drop" leaves it out; "column" adds a column `error`, null for good frames, and keeps the file
+    as a row with its id and path alone. A null content counts as such a file.
+    """
+    if errors not in ("raise", "drop", "column"):
+        raise ValueError("errors: raise, drop or column")
+    ids = F.col("img_id") if "img_id" in files.columns else path_id_column()
 
     def run(batches):
-        for batch in batches:
-            for i, path, data in zip(*(c.to_pylist() for c in batch.columns)):
-                yield from_arrays([(i, path, decode_bytes(data, path, resize, shrink_on_load))])
+        import pyarrow as pa
 
-    return files.select(ids.cast("long").alias("img_id"), "path", "content").mapInArrow(run, SCHEMA)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                i, path, data = (c[0].as_py() for c in batch.slice(at, 1).columns)
+                try:
+                    a = decode_bytes(data if data is not None else b"", path, resize, shrink_on_load)
+                except BROKEN as e:
+                    if errors == "raise":
+                        raise ValueError(f"{path}: {e}") from e
+                    if errors == "column":
+                        none = [pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary())]
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([path], pa.string()), *none, pa.array([f"{type(e).__name__}: {e}"])], WITH_ERROR.names)
+                    continue
+                good = from_arrays([(i, path, a)])
+                yield good if errors != "column" else pa.RecordBatch.from_arrays([*good.columns, pa.nulls(1, pa.string())], WITH_ERROR.names)
+
+    return files.select(ids.cast("long").alias("img_id"), "path", "content").mapInArrow(run, WITH_ERROR if errors == "column" else SCHEMA)
 
 
 def header_dims(files: DataFrame) -> DataFrame:

@@ -179,3 +179,55 @@ def test_affine_composition():
 def test_batches():
     b = from_arrays([(1, "a", np.zeros((2, 3, 1), np.uint8))])
     assert b.to_pylist() == [{"img_id": 1, "origin": "a", "width": 3, "height": 2, "channels": 1, "data": bytes(6)}]
+
+
+def masks():
+    rng = np.random.default_rng(3)
+    yield (rng.random((60, 50)) < 0.55)
+    yield (rng.random((40, 70)) < 0.3)
+    y, x = np.mgrid[:50, :50]
+    yield (np.maximum(abs(y - 25), abs(x - 25)) % 2 == 0) | ((x == 25) & (y < 25))  # rings on a spoke
+    snake = np.zeros((33, 47), bool)  # one path that crosses tiles many times
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    yield snake
+    yield np.zeros((9, 9), bool)
+    yield np.ones((17, 17), bool)
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_components_over_tiles(spark, connectivity):
+    """Tiles of 8 x 8 that are joined give what a whole frame gives."""
+    from imgspark.frame import SCHEMA, to_pixels
+    from imgspark.operators import components as C
+
+    all_ = list(masks())
+    fr = spark.createDataFrame([(i, "m", m.shape[1], m.shape[0], 1, bytearray((m * 255).astype(np.uint8).tobytes())) for i, m in enumerate(all_)], SCHEMA)
+    got = sorted(tuple(r) for r in C.components_pixels(to_pixels(fr), connectivity=connectivity, tile=8).collect())
+    want = sorted((i, *c) for i, m in enumerate(all_) for c in K.components((m * 255).astype(np.uint8)[..., None], connectivity=connectivity))
+    assert [g[:7] for g in got] == [w[:7] for w in want] and np.allclose([g[7:] for g in got], [w[7:] for w in want])
+
+
+def test_canny_over_tiles(spark):
+    from imgspark.frame import SCHEMA, from_pixels, to_pixels
+    from imgspark.operators import components as C
+
+    y, x = np.mgrid[:45, :61]
+    im = ((np.sin(x / 5.0) + np.cos(y / 7.0) + 2) * 50 + (x > 30) * 40).astype(np.uint8)[..., None]
+    fr = spark.createDataFrame([(1, "m", 61, 45, 1, bytearray(im.tobytes()))], SCHEMA)
+    for low, high in ((20, 90), (5, 60), (90, 20)):
+        got = from_pixels(C.canny_pixels(to_pixels(fr), low, high, tile=8)).first()
+        assert bytes(got.data) == K.canny(im, low, high).tobytes()
+
+
+@pytest.mark.parametrize(("w", "h"), [(5, 3), (13, 11), (24, 30), (1, 1)])
+def test_resizing_pixels_of_any_ratio(spark, w, h):
+    from imgspark.frame import SCHEMA, from_pixels, to_pixels
+
+    rng = np.random.default_rng(w)
+    ims = [rng.integers(0, 256, (b, a, 3), dtype=np.uint8) for a, b in ((13, 11), (7, 9), (1, 4), (2, 2))]
+    fr = spark.createDataFrame([(i, "m", m.shape[1], m.shape[0], 3, bytearray(m.tobytes())) for i, m in enumerate(ims)], SCHEMA)
+    px = to_pixels(fr).cache()
+    for f, g in ((P.resize_nearest, "nearest"), (P.resize_bilinear, "bilinear"), (P.resize_area, "area")):
+        got = {r.img_id: bytes(r.data) for r in from_pixels(f(px, w, h)).collect()}
+        assert got == {i: K.resize(m, w, h, g).tobytes() for i, m in enumerate(ims)}, g
