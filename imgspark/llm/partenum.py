@@ -428,11 +428,12 @@ def _residual(scratch: Scratch, got: DataFrame, labels: DataFrame, percent: int)
     open_ = seen.groupBy("a").agg(F.count("*").alias("m"), F.max((F.col("ca") != F.col("cb")).cast("int")).alias("out")).filter("m > 1 and out = 1").select("a")
     kx = F.floor(F.col("nb") * (100 - percent) / percent)
     member = scratch.cut(seen.join(open_, "a").select("a", "b", "cb", kx.alias("kx"), "nd"))
-    tok = got.select("a", "b", "d").join(member.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.explode("d").alias("e"))
-    # elements that no other member has are missing from any partner: more than kx of them rule a
-    # member out; fewer come first in its order by rarity
-    shared = tok.groupBy("a", "e").agg(F.count("*").alias("f")).filter("f > 1")
-    tok = tok.join(shared, ["a", "e"]).join(member, ["a", "b"])
+    tok = got.select("a", "b", "d").join(member, ["a", "b"]).select("a", "b", "cb", "kx", "nd", F.explode("d").alias("e"))
+    # only pairs across components are wanted: elements that no member of another component has are
+    # missing from any such partner; more than kx of them rule a member out, fewer come first in its
+    # order by rarity
+    shared = tok.groupBy("a", "e").agg(F.count("*").alias("f"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).filter("lo <> hi").select("a", "e", "f")
+    tok = tok.join(shared, ["a", "e"])
     own = Window.partitionBy("a", "b")
     tok = tok.withColumn("u", F.col("nd") - F.count("*").over(own)).withColumn("r", F.col("u") + F.row_number().over(own.orderBy("f", "e")))
     tok = scratch.cut(tok.filter("r <= kx + 1 and u <= kx").select("a", "e", "b", "cb", "kx", "nd", "u"))
