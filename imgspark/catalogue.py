@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from imgspark import fixtures as X
+from imgspark.catalogue_files import FILE_QUERIES, file_sql
 from imgspark.catalogue_more import MORE, more_sql
 from imgspark.functions.semantics import gamma_table, gaussian3_weights, gaussian_weights
 from imgspark.operators import kernels as K
@@ -52,9 +53,9 @@ QUERIES = {
     "g_crop": _gray(lambda p: P.crop(p, 2, 1, 5, 4)),
     "g_flip_h": _gray(P.flip_h),
     "g_flip_v": _gray(P.flip_v),
-    "g_rotate90": _gray(lambda p: P.rotate90(P.crop(p, 0, 0, 8, 5))),
-    "g_rotate180": _gray(lambda p: P.rotate180(P.crop(p, 0, 0, 8, 5))),
-    "g_rotate270": _gray(lambda p: P.rotate270(P.crop(p, 0, 0, 8, 5))),
+    "g_rotate90": lambda s, d: P.rotate90(X.pairs(X.gray8(s, d))),
+    "g_rotate180": lambda s, d: P.rotate180(X.pairs(X.gray8(s, d))),
+    "g_rotate270": lambda s, d: P.rotate270(X.pairs(X.gray8(s, d))),
     "g_resize_nearest": _gray(lambda p: P.resize_nearest(p, 5, 11)),
     "g_resize_bilinear": _long(lambda p: P.resize_bilinear(p, 11, 5)),
     "g_resize_area": _gray(lambda p: P.resize_area(p, 4, 8), "ev16"),
@@ -241,7 +242,7 @@ def coloured(cond, colour, channels):
 
 
 def _flip(y, x, src="gray8", where=""):
-    return sql(f"SELECT img_id, CAST({y} AS INT) AS y, CAST({x} AS INT) AS x, c, v FROM {src} {where}", src)
+    return sql(f"SELECT img_id, CAST({y} AS INT) AS y, CAST({x} AS INT) AS x, c, v FROM {src} {where}", "gray8")
 
 
 def _box(compat, src, n, r):
@@ -299,9 +300,9 @@ ORACLE = {
     "g_crop": _flip("y - 1", "x - 2", where="WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 4"),
     "g_flip_h": _flip("y", "7 - x"),
     "g_flip_v": _flip("7 - y", "x"),
-    "g_rotate90": _flip("x", "4 - y", where="WHERE y < 5"),
-    "g_rotate180": _flip("4 - y", "7 - x", where="WHERE y < 5"),
-    "g_rotate270": _flip("7 - x", "y", where="WHERE y < 5"),
+    "g_rotate90": _flip("x", "7 - y", src=X.PAIRS),
+    "g_rotate180": _flip("7 - y", "15 - x", src=X.PAIRS),
+    "g_rotate270": _flip("15 - x", "y", src=X.PAIRS),
     "g_resize_nearest": sql("SELECT g.img_id, ty AS y, tx AS x, g.c, v FROM grid g JOIN src s ON s.img_id = g.img_id AND s.y = least(7, ty * 8 // 11) AND s.x = least(7, tx * 8 // 5)", "gray8", target("gray8", 8, 8, 5, 11)),
     "g_resize_bilinear": _bilinear(),
     "g_resize_area": sql("SELECT img_id, y // 2 AS y, x // 4 AS x, c, CAST(floor(sum(v) / 8.0::DOUBLE + 0.5) AS INT) AS v FROM ev16 GROUP BY img_id, y // 2, x // 4, c", "ev16"),
@@ -347,8 +348,8 @@ ORACLE = {
 
 
 def queries():
-    return QUERIES | MORE
+    return QUERIES | MORE | FILE_QUERIES
 
 
 def oracle_sql():
-    return ORACLE | more_sql()
+    return ORACLE | more_sql() | file_sql()

@@ -106,8 +106,8 @@ MORE = {
     "s_bmp_rt": _trip("bmp", "rgb8"),
     "s_png_rt": _trip("png", "rgba8"),
     "s_png_sub_rt": _trip("png", "gray8", filter="sub", level=6),
-    "s_jpeg_tol": _jpeg("rgb8", 40, quality=100),
-    "s_jpeg_baseline_tol": _jpeg("rgb8", 40, quality=100, progressive=False),
+    "s_jpeg_tol": _jpeg("rgb8", 8, quality=100),
+    "s_jpeg_baseline_tol": _jpeg("rgb8", 8, quality=100, progressive=False),
     "s_jpeg_shrink": _shrink,
     "s_header_dims": _header,
     "u_sql_udf": _udf,

@@ -34,6 +34,12 @@ def mask8(spark, sf_dir):
     return gray8(spark, sf_dir).withColumn("v", F.when(F.col("v") >= 128, 255).otherwise(0))
 
 
+def events_values(spark, sf_dir):
+    """(event_id, v): a sample for each event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", (F.floor(F.abs("value")) % 256).cast("int").alias("v"))
+
+
 def ev16(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
     full = e.agg(F.expr("count(*) div 256").alias("full"))
@@ -41,6 +47,15 @@ def ev16(spark, sf_dir):
     return e.selectExpr("event_id div 256 AS img_id", "cast((event_id % 256) div 16 as int) AS y", "cast(event_id % 16 as int) AS x", "0 AS c", "cast(floor(abs(value)) % 256 as int) AS v")
 
 
+def pairs(px: DataFrame) -> DataFrame:
+    """Two frames of 8 x 8 side by side, so that width and height differ."""
+    return px.select(F.expr("img_id div 2").alias("img_id"), "y", (F.col("x") + 8 * (F.col("img_id") % 2)).cast("int").alias("x"), "c", "v")
+
+
+#: The same of gray8.
+PAIRS = "(SELECT img_id // 2 AS img_id, y, CAST(x + 8 * (img_id % 2) AS INT) AS x, c, v FROM gray8)"
+
+
 def long3(wide: DataFrame, names: str = "rgb") -> DataFrame:
     return wide.select("img_id", "y", "x", F.posexplode(F.array(*names)).alias("c", "v"))
 
