@@ -34,8 +34,28 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
 
 #: Fixed by the contract: (verdict, host, path).
 CONTRACT = [host_rule("allow", "com", "/"), host_rule("block", "example.com", "/en/"), host_rule("allow", "www.example.com", "/en/"), host_rule("block", "net", "/es/"), host_rule("block", "net", "/fr/")]
-#: The method's own globs decide where no host rule fits; else the verdict is allow.
-DEFAULTS = [Rule("spam", "^spam*", "block", 0), Rule("pills", "^pills*", "block", 0), Rule("casino", "^casino*", "block", 0)]
+#: The method's own rules decide where no host rule fits; else the verdict is allow. Fixed words of
+#: unwanted sites (gambling, pills, adult, piracy, fraud, advertising), each in every form.
+UNWANTED = (
+    "casino poker roulette jackpot betting bookmaker slotmachine lottery pills viagra cialis levitra xanax painkiller pharmacy "
+    "porn xxx escort hentai camgirl sexchat hookup warez torrent keygen crackz serialz nulled payday replica counterfeit "
+    "spam phishing scam malware spyware ransomware adserver adclick popunder clicktrack doorway linkfarm sweepstakes"
+).split()
+#: In the host; a part of the path, alone or with one more character on either side; the start of one;
+#: the name of a page.
+FORMS = ("^{}*", "*/{}/*", "*/{}?/*", "*/?{}/*", "*/{}-*", "*?{}.htm*")
+
+
+def default_rules(words=UNWANTED, forms=FORMS) -> list[Rule]:
+    return [Rule(w, f.format(w), "block", 0) for w in words for f in forms]
+
+
+DEFAULTS = default_rules()
+
+
+def symbols_of(glob: str) -> list:
+    """The places of a glob: *, ^ or ?, or a byte of its UTF-8 form."""
+    return [x for c in glob for x in ([c] if c in "*^?" else c.encode())]
 
 
 class Automaton:
@@ -43,26 +63,27 @@ class Automaton:
 
     def __init__(self, rules: list[Rule]):
         self.rules = rules
-        symbols: list[str] = []
+        symbols: list = []
         first, last = [], []
         for r in rules:
             if not r.glob:
                 raise ValueError("an empty glob")
             first.append(len(symbols))
-            symbols += r.glob
+            symbols += symbols_of(r.glob)
             last.append(len(symbols) - 1)
         self.words = (len(symbols) + 63) // 64
         at = lambda places: self._pack(places, len(symbols))
-        stars = [i for i, s in enumerate(symbols) if s in "*^"]
+        stars = [i for i, s in enumerate(symbols) if s in ("*", "^")]
         self.step = np.zeros((256, self.words), U)
         self.loop = np.zeros((256, self.words), U)
         for c in range(256):
-            self.step[c] = at([i for i, s in enumerate(symbols) if s == "?" or s not in "*^" and s.encode() == bytes([c])])
-            self.loop[c] = at([i for i in stars if symbols[i] == "*" or c != ord("/")])
+            # ? moves on with the first byte of a character and stays for its others
+            inside = 0x80 <= c < 0xC0
+            self.step[c] = at([i for i, s in enumerate(symbols) if s == c or s == "?" and not inside])
+            self.loop[c] = at([i for i, s in enumerate(symbols) if s == "*" or s == "^" and c != ord("/") or s == "?" and inside])
         self.star, self.last = at(stars), last
-        self.first = at(first)
         # a star may be empty: its bit is set as soon as the bit before it is, and it starts set
-        self.follows = [i for i in stars if i not in first]
+        self.first = at(first)
         self.chain = max((self._run(i, symbols, first) for i in stars), default=0)
         self.not_first = ~self.first
         self.start = self._closed(at([i for i in stars if i in first])[None, :])
@@ -77,7 +98,7 @@ class Automaton:
     @staticmethod
     def _run(i, symbols, first):
         n = 1
-        while i not in first and symbols[i - 1] in "*^":
+        while i not in first and symbols[i - 1] in ("*", "^"):
             i, n = i - 1, n + 1
         return n
 
@@ -163,6 +184,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
 
+WORDS_SQL = "(" + "|".join(UNWANTED) + ")"
 SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 s AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
@@ -174,5 +196,5 @@ m AS (SELECT *, CASE
   WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM s)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host || path, '^[^/]*(spam|pills|casino)') THEN 'block' ELSE 'allow' END AS verdict FROM m
-"""
+  WHEN regexp_matches('.' || host || path, '(?s)^[^/]*WORDS|/WORDS/|/WORDS./|/.WORDS/|/WORDS-|.WORDS\.htm') THEN 'block' ELSE 'allow' END AS verdict FROM m
+""".replace("WORDS", WORDS_SQL)

@@ -181,13 +181,29 @@ def test_globs_against_regex():
     rng = random.Random(1)
     part = {"*": ".*", "^": "[^/]*", "?": "."}
     for _ in range(60):
-        globs = ["".join(rng.choices("ab./*^?", k=rng.randint(1, 40))) for _ in range(9)]
+        globs = ["".join(rng.choices("abé./*^?", k=rng.randint(1, 40))) for _ in range(9)]
         machine = urlglob.Automaton([urlglob.Rule(g, g, "x", 0) for g in globs])
-        texts = ["".join(rng.choices("ab./", k=rng.randint(0, 14))) for _ in range(20)]
+        texts = ["".join(rng.choices("abé日./", k=rng.randint(0, 14))) for _ in range(20)]
         want = [[bool(re.fullmatch("".join(part.get(c, re.escape(c)) for c in g), t)) for g in globs] for t in texts]
         assert machine.fits([t.encode() for t in texts]).tolist() == want
 
 
+def test_default_rules_by_regex(spark):
+    """Several hundred globs over host and path against their regular expressions."""
+    rng = random.Random(13)
+    parts = [*urlglob.UNWANTED[::5], "a", "ab", "", "é", "日本", "index.htm", "x-y", "news"]
+    glue = ["/", ".", "-", "s", "é", "", "//", ".html"]
+    rows = [(i, "http://" + "".join(rng.choice(parts) + rng.choice(glue) for _ in range(rng.randint(1, 6)))) for i in range(400)]
+    form = {"*": ".*", "^": "[^/]*", "?": "."}
+    tests = [re.compile("".join(form.get(c, re.escape(c)) for c in r.glob), re.S) for r in urlglob.DEFAULTS]
+    assert len(tests) > 250
+    got = {r.page_id: r for r in urlglob.judge(spark.createDataFrame(rows, "page_id long, url string"), rules=[]).collect()}
+    for i, u in rows:
+        host, path = urlglob.canonical(u)
+        assert got[i].verdict == ("block" if any(t.fullmatch(f".{host}{path}") for t in tests) else "allow"), u
+    assert {r.verdict for r in got.values()} == {"block", "allow"}
+
+
 # ---- mixing
 
 
@@ -400,7 +416,7 @@ def test_licences(spark):
     got = {r.doc_id: r for r in licences.licence_report(spark.createDataFrame(rows, SCHEMA)).collect()}
     for i, family in enumerate(lines.values()):
         assert got[i].families == (family or "")
-    assert got[50].n_lines == 0 and got[51].n_lines == 0 and got[52].families == "apache-2.0,mit" and got[52].n_confirmed == 2
+    assert got[50].n_paragraphs == 0 and got[51].n_paragraphs == 0 and got[52].families == "apache-2.0,mit" and got[52].n_confirmed == 2
     assert licences.licence_report(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
@@ -423,3 +439,69 @@ def test_sibling_licences(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate(lines)]
     got = {r.doc_id: r.families for r in licences.licence_report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {t: got[i] for i, t in enumerate(lines)} == lines
+
+
+def brute_licences(rows):
+    """{row: (paragraphs, claimed, confirmed, families)} by the rules, one document after another."""
+    families, vocab, w, b, threshold, _ = licences.model()
+    place = {g: i for i, g in enumerate(vocab)}
+    anchor = lambda t: any(a in t for a in licences.ANCHORS)
+
+    def judge(text):
+        tokens = [x for x in (y.strip("./+-") for y in re.split(r"[^a-z0-9./+-]+", text)) if x]
+        found = licences.grams(tokens) & set(place)
+        z = np.exp(sum((w[place[g]] for g in found), np.zeros(len(families))) + b)
+        best = max(zip((z / z.sum()).tolist(), families))
+        if not found or best[1] == licences.NEGATIVE or best[0] < threshold:
+            return None
+        share = 0
+        for t in licences.TEMPLATES[best[1]]:
+            t = [x.strip("./+-") for x in licences.words(t)]
+            if set(licences.telling(t)) <= found:
+                share = max(share, len(licences.grams(t) & found) / len(licences.grams(t)))
+        return best[1], share >= licences.CONFIRM
+
+    texts = {}
+    for doc, text in rows:
+        texts.setdefault(doc, set()).add(text or "")
+    claims = {}
+    for doc, all_ in texts.items():
+        assert len(all_) == 1
+        for part in re.split(licences.BREAK, next(iter(all_)).lower()):
+            if not anchor(part):
+                continue
+            lines = [x for x in map(judge, filter(anchor, part.split("\n"))) if x]
+            told = [x for x in lines if x[1]]
+            whole = judge(part) if "\n" in part else None
+            claims.setdefault(doc, []).extend(told or ([whole] if whole else lines))
+    out = []
+    for doc, text in rows:
+        c = claims.get(doc, [])
+        n = len(re.split(licences.BREAK, text)) if text else 0
+        out.append((-1 if doc is None else doc, n, len(c), sum(x[1] for x in c), ",".join(sorted({f for f, ok in c if ok}))))
+    return sorted(out)
+
+
+def test_licences_equal_brute_force(spark):
+    """Wrapped notices, repeated rows, null ids, very long lines, extra columns, other languages."""
+    rng = random.Random(14)
+    notices = [t for ts in licences.TEMPLATES.values() for t in ts] + licences.UNKNOWN
+    rows = []
+    for i, t in enumerate(notices):
+        ws = t.split()
+        at = rng.randint(1, len(ws) - 1) if len(ws) > 1 else 1
+        wrapped = " ".join(ws[:at]) + "\n" + " ".join(ws[at:])
+        rows.append((i, rng.choice([f"{words(rng, 9)}.\n{t.title()}.\n{words(rng, 5)}", f"{words(rng, 4)}\n\n{wrapped}\n \nend", wrapped, f"{t} {t}. {words(rng, 30)}", f"He gave permission: {t}\nlicence {words(rng, 3)}"])))
+    rows += [(500, "released under the mit license"), (500, "released under the mit license"), (None, "all rights reserved"), (None, "all rights reserved"), (501, None), (502, ""), (503, "x " * 40_000 + "released under the mit license " + "y " * 40_000), (504, "\n\n\n"), (505, "Lizenz: licenÇe ©")]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, paragraph int, family string").repartition(3)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_paragraphs, r.n_claimed, r.n_confirmed, r.families) for r in licences.licence_report(df).collect())
+    assert got == brute_licences(rows)
+
+
+def test_licences_of_no_family_are_unknown(spark):
+    """Notices that neither the fit nor the calibration saw."""
+    rows = [(i, t, None, None) for i, t in enumerate(licences.UNKNOWN[1::2])]
+    assert all(r.n_confirmed == 0 for r in licences.licence_report(spark.createDataFrame(rows, SCHEMA)).collect())
+    wrapped = "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated files"
+    got = licences.licence_report(spark.createDataFrame([(1, f"Some words.\n{wrapped}\n\nCode", None, None)], SCHEMA)).first()
+    assert got.families == "mit" and got.n_confirmed == 1
