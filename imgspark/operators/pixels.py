@@ -282,19 +282,42 @@ def _area(d, width, height):
     return out.select("img_id", F.col("ty").cast("int").alias("y"), F.col("tx").cast("int").alias("x"), "c", "v")
 
 
+#: Candidate targets for each target pixel up to which sources are sent to them; beyond (matrices that are
+#: singular or nearly so) targets are joined with their sources.
+MOST_CANDIDATES = 40
+
+
 def warp_affine(px, matrix, width, height, border=0):
-    a, b, c, d, e, f = (F.lit(float(m)) for m in matrix)
+    """Bilinear, through the inverse map. Each source pixel goes to the targets around its image, and one
+    aggregate has the four taps of a target; the grid itself takes part with no value, so that targets
+    without any source are there."""
+    a, b, c, d, e, f = map(float, matrix)
+    det = a * e - b * d
+    rx, ry = (abs(e) + abs(b)) / abs(det) if det else 0, (abs(d) + abs(a)) / abs(det) if det else 0
     tx, ty = F.col("tx").cast("double"), F.col("ty").cast("double")
-    sx, sy = a * tx + b * ty + c, d * tx + e * ty + f
+    sx, sy = F.lit(a) * tx + F.lit(b) * ty + F.lit(c), F.lit(d) * tx + F.lit(e) * ty + F.lit(f)
     x0, y0 = F.floor(sx), F.floor(sy)
-    wx, wy = sx - x0, sy - y0
-    taps = [(y0, x0, wx), (y0, x0 + 1, wy), (y0 + 1, x0, F.lit(0.0)), (y0 + 1, x0 + 1, F.lit(0.0))]
 
     def finish(v, k):
-        wx, wy = k[0], k[1]
+        wx, wy = k
         return trunc_u8(v[0] * (1 - wx) * (1 - wy) + v[1] * wx * (1 - wy) + v[2] * (1 - wx) * wy + v[3] * wx * wy)
 
-    return gathered(px, targets(px, width, height), taps, finish, F.lit(border))
+    if not det or (2 * rx + 3) * (2 * ry + 3) * abs(det) > MOST_CANDIDATES:
+        taps = [(y0, x0, sx - x0), (y0, x0 + 1, sy - y0), (y0 + 1, x0, F.lit(0.0)), (y0 + 1, x0 + 1, F.lit(0.0))]
+        return gathered(px, targets(px, width, height), taps, lambda v, k: finish(v, k[:2]), F.lit(border))
+
+    def around(centre, r, n):
+        low, high = F.greatest(F.lit(0), F.floor(centre - r) - 1).cast("int"), F.least(F.lit(n - 1), F.ceil(centre + r) + 1).cast("int")
+        return F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")))
+
+    dx, dy = F.col("x") - F.lit(c), F.col("y") - F.lit(f)
+    hit = px.withColumn("tx", around(F.lit(e / det) * dx - F.lit(b / det) * dy, rx, width)).withColumn("ty", around(F.lit(a / det) * dy - F.lit(d / det) * dx, ry, height))
+    hit = hit.select("img_id", "c", "ty", "tx", (F.col("y") - y0).alias("i"), (F.col("x") - x0).alias("j"), "v").filter("i in (0, 1) and j in (0, 1)")
+    grid = targets(px, width, height).select("img_id", "c", "ty", "tx", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(None).cast("int").alias("v"))
+    v = [F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v"))).alias(f"v{i}{j}") for i in (0, 1) for j in (0, 1)]
+    got = hit.unionByName(grid).groupBy("img_id", "ty", "tx", "c").agg(*v)
+    out = finish([F.coalesce(F.col(f"v{i}{j}"), F.lit(border)) for i in (0, 1) for j in (0, 1)], (sx - x0, sy - y0))
+    return got.select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", out.cast("int").alias("v"))
 
 
 # ---- neighbourhoods

@@ -231,3 +231,15 @@ def test_resizing_pixels_of_any_ratio(spark, w, h):
     for f, g in ((P.resize_nearest, "nearest"), (P.resize_bilinear, "bilinear"), (P.resize_area, "area")):
         got = {r.img_id: bytes(r.data) for r in from_pixels(f(px, w, h)).collect()}
         assert got == {i: K.resize(m, w, h, g).tobytes() for i, m in enumerate(ims)}, g
+
+
+@pytest.mark.parametrize("matrix", [(1, 0, 0, 0, 1, 0), (0.4, 0.3, 1.5, -0.2, 0.7, 2.0), (2.5, 0, -3, 0, 1.5, 4), (0, -1, 12, 1, 0, 0.25), (1, 2, 0, 2, 4, 1), (1, 1, 0, 1, 1.001, 0), (-1, 0, 9.5, 0, -1, 7.5)])
+def test_warping_pixels(spark, matrix):
+    """Turned, scaled, sheared, and singular maps; targets beyond the image have the border."""
+    from imgspark.frame import SCHEMA, from_pixels, to_pixels
+
+    rng = np.random.default_rng(1)
+    ims = [rng.integers(0, 256, (b, a, 3), dtype=np.uint8) for a, b in ((13, 11), (4, 9), (1, 1))]
+    fr = spark.createDataFrame([(i, "m", m.shape[1], m.shape[0], 3, bytearray(m.tobytes())) for i, m in enumerate(ims)], SCHEMA)
+    got = {r.img_id: bytes(r.data) for r in from_pixels(P.warp_affine(to_pixels(fr), matrix, 15, 12, 9)).collect()}
+    assert got == {i: K.warp_affine(m, matrix, 15, 12, 9).tobytes() for i, m in enumerate(ims)}
