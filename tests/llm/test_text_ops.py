@@ -229,10 +229,36 @@ def test_targets_equal_repeated_resharing(spark):
         assert math.isclose(sum(got.values()), total)
 
 
+def test_ranks_and_sums_over_ranges(spark):
+    """Order and running sums over many ranges equal those in one place; so do targets of many sources."""
+    from imgspark.llm.scratch import Scratch
+
+    rng = random.Random(15)
+    sizes = [(f"s{i}" if i else None, rng.randint(0, 50)) for i in range(3000)]
+    df = spark.createDataFrame(sizes, "source string, size long").withColumn("cap", F.col("size").cast("double")).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.source: (r._n, r._cap) for r in mixing.running(Scratch(spark, "t"), df, [F.col("source").asc_nulls_last()], ("cap",)).collect()}
+        targets = [r.target for r in mixing.source_targets(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    upto = 0
+    for n, (s, size) in enumerate(sorted(sizes, key=lambda x: (x[0] is None, x[0]))):
+        assert got[s] == (n, upto)
+        upto += size
+    assert math.isclose(sum(targets), upto) and len(targets) == 3000
+
+
+def test_clashing_columns_are_errors(spark):
+    for f, c in ((mixing.mix_plan, "_mix_size"), (quality.keep_good, "_q_symbols"), (quality.keep_good, "_q")):
+        with pytest.raises(ValueError):
+            f(spark.createDataFrame([], SCHEMA + f", {c} long"))
+
+
 def test_mixing_rows(spark):
     rng = random.Random(4)
     rows = [(i, words(rng, rng.randint(0, 30)), "en", rng.choice(["a", "a", "a", "b", None])) for i in range(600)] + [(900, None, None, "b"), (None, "x y", "en", "a")]
-    df = spark.createDataFrame(rows, SCHEMA).withColumn("_mix", F.lit(1))
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_mix", F.lit(1)).withColumn("rate", F.lit(2))
     plan = mixing.mix_plan(df).collect()
     assert len(plan) == len(rows) and max(r._mix_copies for r in plan) <= 3
     for s in ("a", "b", None):
