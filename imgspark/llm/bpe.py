@@ -21,6 +21,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
+from imgspark.llm.scratch import lean
 from imgspark.llm.shingles import in_slices
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -195,7 +196,7 @@ def _encode(path: str, digest: bool):
                     new.append(pa.array([hashlib.sha256(decode_ids(coder.vocab, x.tolist()).encode()).hexdigest() for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*rest.columns[1:], *new], [*rest.schema.names[1:], "ids", "digest"][: len(rest.columns) - 1 + len(new)])
 
-    return run
+    return lean(run)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "token_ids", digest_col: str | None = None) -> DataFrame:
@@ -255,7 +256,7 @@ def _digest(path: str):
                 yield pa.RecordBatch.from_arrays([docs.slice(at, len(group)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(group)
 
-    return run
+    return lean(run)
 
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imgspark.llm.scratch import lean
 from imgspark.llm.shingles import in_slices
 
 MARK = "▁"
@@ -109,4 +110,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 scores.append(round(math.fsum(g[1] for g in got), 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(tokens, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "n_pretokens", "n_tokens", "score"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, score double")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), "doc_id long, n_pretokens long, n_tokens long, score double")

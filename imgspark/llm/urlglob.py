@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imgspark.llm.scratch import lean
+
 U = np.uint64
 
 
@@ -181,7 +183,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
                     ["page_id", "host", "path", "rule", "verdict"],
                 )
 
-    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string")).mapInArrow(lean(run), "page_id long, host string, path string, rule string, verdict string")
 
 
 WORDS_SQL = "(" + "|".join(UNWANTED) + ")"
