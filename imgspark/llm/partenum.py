@@ -36,11 +36,14 @@ from imgspark.llm.scratch import Scratch, broadcast_bloom, in_bloom, lean, split
 from imgspark.llm.shingles import U, WordHashes, in_slices, mix, shingle_set, word_hashes
 
 
-#: Members of a group up to which pairs from different components are verified at once; a larger
-#: group gets a pivot instead. Either way every possible link is looked at.
+#: Members of a group up to which pairs from different components are compared at once, by their
+#: parities, and verified if these allow a link; a larger group gets a pivot instead. Either way
+#: every possible link is looked at.
 LARGE = 200
 #: Members of a bucket up to which all its pairs are counted.
 SMALL = 6
+#: 64-bit words of the parities that a difference is compared by; a power of two.
+WORDS = 8
 #: Elements of the sets in one block of a component when links are counted; a set counts as LEAST at least.
 BLOCK, LEAST = 300_000, 300
 #: Elements whose columns are multiplied at once there.
@@ -427,8 +430,8 @@ def _residual(scratch: Scratch, got: DataFrame, labels: DataFrame, percent: int)
     seen = scratch.cut(got.select("a", "b", "nb", F.size("d").alias("nd")).join(la, "a").join(lb, "b"))
     open_ = seen.groupBy("a").agg(F.count("*").alias("m"), F.max((F.col("ca") != F.col("cb")).cast("int")).alias("out")).filter("m > 1 and out = 1").select("a")
     kx = F.floor(F.col("nb") * (100 - percent) / percent)
-    member = scratch.cut(seen.join(open_, "a").select("a", "b", "cb", kx.alias("kx"), "nd"))
-    tok = got.select("a", "b", "d").join(member, ["a", "b"]).select("a", "b", "cb", "kx", "nd", F.explode("d").alias("e"))
+    member = scratch.cut(seen.join(open_, "a").select("a", "b", "cb", "nb", kx.alias("kx"), "nd"))
+    tok = got.select("a", "b", "d").join(member, ["a", "b"]).select("a", "b", "cb", "nb", "kx", "nd", F.explode("d").alias("e"))
     # only pairs across components are wanted: elements that no member of another component has are
     # missing from any such partner; more than kx of them rule a member out, fewer come first in its
     # order by rarity
@@ -436,14 +439,22 @@ def _residual(scratch: Scratch, got: DataFrame, labels: DataFrame, percent: int)
     tok = tok.join(shared, ["a", "e"])
     own = Window.partitionBy("a", "b")
     tok = tok.withColumn("u", F.col("nd") - F.count("*").over(own)).withColumn("r", F.col("u") + F.row_number().over(own.orderBy("f", "e")))
-    tok = scratch.cut(tok.filter("r <= kx + 1 and u <= kx").select("a", "e", "b", "cb", "kx", "nd", "u"))
+    # parities of the elements by hash: where two members' bits differ, an element is in one of them only
+    word, bit = F.shiftright("e", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(e & 63 as int))")
+    for i in range(WORDS):
+        tok = tok.withColumn(f"w{i}", F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).over(own))
+    bits = [f"w{i}" for i in range(WORDS)]
+    tok = scratch.cut(tok.filter("r <= kx + 1 and u <= kx").select("a", "e", "b", "cb", "nb", "nd", "u", *bits))
     groups = tok.groupBy("a", "e").agg(F.count("*").alias("m"), F.min_by("b", "nd").alias("p"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).filter("lo <> hi")
     groups = scratch.cut(groups.select("a", "e", "m", "p"))
     # a group that is large still gets a pivot of its own, and the step is applied again
     star = tok.join(groups.filter(F.col("m") > LARGE).select("a", "e", "p"), ["a", "e"]).filter("b <> p").select(F.col("p").alias("a"), "b").distinct()
     few = tok.join(groups.filter(F.col("m") <= LARGE).select("a", "e"), ["a", "e"])
-    other = few.select("a", "e", F.col("b").alias("b2"), F.col("cb").alias("cb2"), F.col("kx").alias("kx2"), F.col("u").alias("u2"))
-    direct = few.join(other, ["a", "e"]).filter("b < b2 and cb <> cb2 and u + u2 <= kx and u + u2 <= kx2").select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
+    other = few.select("a", "e", *[F.col(c).alias(f"{c}2") for c in ("b", "cb", "nb", "u", *bits)])
+    # |b - b2| + |b2 - b| is at least the elements that neither shares plus the differing parities
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in bits), F.col("u") + F.col("u2"))
+    near = apart * (100 + percent) <= (F.col("nb") + F.col("nb2")) * (100 - percent)
+    direct = few.join(other, ["a", "e"]).filter((F.col("b") < F.col("b2")) & (F.col("cb") != F.col("cb2")) & near).select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
     pairs = star.withColumn("again", F.lit(True)).unionByName(direct.withColumn("again", F.lit(False)))
     pairs = scratch.cut(pairs)
     scratch.drop(seen, member, tok, groups)
