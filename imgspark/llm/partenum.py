@@ -36,14 +36,15 @@ from imgspark.llm.scratch import Scratch, broadcast_bloom, in_bloom, lean, split
 from imgspark.llm.shingles import U, WordHashes, in_slices, mix, shingle_set, word_hashes
 
 
-#: Members of a group up to which pairs from different components are compared at once, by their
-#: parities, and verified if these allow a link; a larger group gets a pivot instead. Either way
-#: every possible link is looked at.
+#: Members outside a group's largest component up to which they are compared with all of the group,
+#: by parities, and verified if these allow a link; with more, the group gets a pivot instead. Either
+#: way every possible link is looked at.
 LARGE = 200
 #: Members of a bucket up to which all its pairs are counted.
 SMALL = 6
-#: 64-bit words of the parities that a difference is compared by; a power of two.
-WORDS = 8
+#: 64-bit words of the parities that sets are compared by before they are verified.
+WORDS = 16
+BITS = [f"w{i}_" for i in range(WORDS)]
 #: Elements of the sets in one block of a component when links are counted; a set counts as LEAST at least.
 BLOCK, LEAST = 300_000, 300
 #: Elements whose columns are multiplied at once there.
@@ -187,8 +188,16 @@ def _signed(k: int, percent: int, bloom=None, skip=None):
     return lean(run)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words, each element flipping one bit. Where the words of two sets differ, an element is
+    in one of them only, so the differing bits are at most their symmetric difference."""
+    place = (mix(s + U(0x8CB92BA72F3D8DD7)) % U(64 * WORDS)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _sets(k: int, shared):
-    """(doc_id, set) of the documents that the filter holds."""
+    """(doc_id, set, parities) of the documents that the filter holds."""
 
     def run(batches):
         import pyarrow as pa
@@ -197,10 +206,11 @@ def _sets(k: int, shared):
         for batch in in_slices(batches):
             batch = batch.filter(pa.array(in_bloom(shared.value, batch.column(0).to_numpy())))
             if batch.num_rows:
-                out = [(doc, shingle_set(word_hashes(text, table), k).view(np.int64)) for doc, text in _texts(batch)]
+                out = [(doc, shingle_set(word_hashes(text, table), k)) for doc, text in _texts(batch)]
                 offsets = np.cumsum([0, *(len(s) for _, s in out)])
-                sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([s for _, s in out])))
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), sets], ["node", "s"])
+                sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([s.view(np.int64) for _, s in out])))
+                bits = np.array([parities(s) for _, s in out])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), sets, *[pa.array(np.ascontiguousarray(w)) for w in bits.T]], ["node", "s", *BITS])
 
     return lean(run)
 
@@ -256,19 +266,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
 
     wanted = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     bloom = broadcast_bloom(scratch, wanted, "node")
-    sets = base.mapInArrow(_sets(k, bloom), "node long, s array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    sets = scratch.cut(sets.select("node", "s", F.size("s").alias("n")))
+    sets = base.mapInArrow(_sets(k, bloom), f"node long, s array<long>, {', '.join(f'{w} long' for w in BITS)}").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    sets = scratch.cut(sets.select("node", "s", F.size("s").alias("n"), *BITS))
     scratch.release()
 
-    links = None
+    labels = scratch.cut(wanted.select("node", F.col("node").alias("comp")))
     while True:
-        got = scratch.cut(_verified(pairs, sets, percent))
-        new = got.filter("linked").select("a", "b").distinct()
-        if links is None or new.limit(1).count():
-            links = new if links is None else links.unionByName(new)
-            labels = _relabel(scratch, wanted, connected_components(scratch, links))
+        links = scratch.cut(_verified(pairs, sets, percent))
+        labels = _merged(scratch, labels, links)
+        rest = _residual(scratch, pairs.filter("again").select("a", "b"), labels, sets, percent)
+        scratch.drop(links, pairs)
         scratch.release()
-        pairs = _residual(scratch, got.filter("again"), labels, percent)
+        pairs = rest
         if not pairs.limit(1).count():
             break
     members = whole.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep", "copies").distinct()
@@ -403,35 +412,83 @@ def link_counts(lo: int, hi: int, block, node, copies, size, values, percent: in
     return np.concatenate([node[a], node[b]]), np.concatenate([linked @ copies[b], copies[a] @ linked])
 
 
-def _relabel(scratch: Scratch, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    return scratch.cut(nodes.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+def _merged(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels with the components that links join as one: only components are joined, not nodes again."""
+    la = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    lb = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    edges = scratch.cut(links.join(la, "a").join(lb, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
+    if not edges.limit(1).count():
+        scratch.drop(edges)
+        return labels
+    found = connected_components(scratch, edges).withColumnRenamed("comp", "to").withColumnRenamed("node", "comp")
+    new = scratch.cut(labels.join(found, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+    scratch.drop(edges, labels)
+    return new
+
+
+def _apart(percent: int, other: str = "2"):
+    """Whether the parities of two sets allow a link; columns n and BITS, and the same with a suffix."""
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}{other}"))) for w in BITS), F.lit(0))
+    return apart * (100 + percent) <= (F.col("n") + F.col(f"n{other}")) * (100 - percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, again, linked, nb, d) by the exact sets."""
+    """(a, b) of the pairs that are links by their exact sets; parities rule most others out before."""
+    light = sets.select("node", "n", *BITS)
+    a = light.withColumnRenamed("node", "a")
+    b = light.select(F.col("node").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", *BITS)])
+    near = pairs.join(b, "b").join(a, "a").filter(_apart(percent)).select("a", "b").distinct()
     sa = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
     sb = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(sb, "b").join(sa, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    linked = F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("i"))
-    # what the two don't share goes along with the pairs of a pivot, for _residual
-    d = F.when(F.col("again"), F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb")))
-    return both.select("a", "b", "again", linked.alias("linked"), "nb", d.alias("d"))
+    both = near.join(sb, "b").join(sa, "a").withColumn("i", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+
+
+def _across(rows: DataFrame, groups: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """(a, b): pairs of members of a group in different components that parities allow to be links. groups:
+    (key, mode), mode the largest component of the group; what is outside of it, LARGE members at most,
+    is compared with all of the group."""
+    all_ = rows.join(groups, key)
+    other = all_.select(*key, *[F.col(c).alias(f"{c}2") for c in ("b", "cb", "n", *BITS)])
+    pairs = all_.filter("cb <> mode").join(other, key).filter((F.col("cb") != F.col("cb2")) & ((F.col("b") < F.col("b2")) | (F.col("cb2") == F.col("mode"))) & _apart(percent))
+    return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
+
+
+def _modes(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, mode, outside) of groups with members of several components."""
+    per = rows.groupBy(*key, "cb").agg(F.count("*").alias("k"))
+    per = per.groupBy(*key).agg(F.max_by("cb", F.struct("k", "cb")).alias("mode"), (F.sum("k") - F.max("k")).alias("outside"))
+    return per.filter("outside > 0")
 
 
-def _residual(scratch: Scratch, got: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """The next pairs to verify: (a, b, again) of groups that share a rare element of the difference from
-    a pivot; again marks the pairs of a new pivot.
+def _residual(scratch: Scratch, star: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The next pairs to verify, (a, b, again); again marks those of a new pivot.
 
-    A cluster is a pivot a with the members b compared with it. If every member is in the pivot's
-    component, or there is one member only, nothing can be missing there.
+    star: pairs (a, b) of a pivot a with the members b of its cluster. Only pairs of members from different
+    components can add anything. Where few members are outside the largest component, they are
+    compared with all; else members are grouped by the rare elements of their difference from the pivot.
     """
-    la = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    lb = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    seen = scratch.cut(got.select("a", "b", "nb", F.size("d").alias("nd")).join(la, "a").join(lb, "b"))
-    open_ = seen.groupBy("a").agg(F.count("*").alias("m"), F.max((F.col("ca") != F.col("cb")).cast("int")).alias("out")).filter("m > 1 and out = 1").select("a")
-    kx = F.floor(F.col("nb") * (100 - percent) / percent)
-    member = scratch.cut(seen.join(open_, "a").select("a", "b", "cb", "nb", kx.alias("kx"), "nd"))
-    tok = got.select("a", "b", "d").join(member, ["a", "b"]).select("a", "b", "cb", "nb", "kx", "nd", F.explode("d").alias("e"))
+    light = sets.select(F.col("node").alias("b"), "n", *BITS)
+    seen = scratch.cut(star.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").distinct())
+    modes = scratch.cut(_modes(seen, ["a"]))
+    few = modes.filter(F.col("outside") <= LARGE).select("a", "mode")
+    pairs = _across(seen.join(few.select("a"), "a", "left_semi").join(light, "b"), few, ["a"], percent).withColumn("again", F.lit(False))
+    many = modes.filter(F.col("outside") > LARGE).select("a")
+    if many.limit(1).count():
+        pairs = pairs.unionByName(_by_elements(scratch, seen.join(many, "a", "left_semi"), sets, percent))
+    pairs = scratch.cut(pairs)
+    scratch.drop(seen, modes)
+    return pairs
+
+
+def _by_elements(scratch: Scratch, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The same for the members (a, b, cb) of large clusters."""
+    sa = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    sb = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"), "n", *BITS)
+    d = F.concat(F.array_except("sb", "sa"), F.array_except("sa", "sb"))
+    kx = F.floor(F.col("n") * (100 - percent) / percent)
+    tok = member.join(sb, "b").join(sa, "a").select("a", "b", "cb", "n", kx.alias("kx"), d.alias("d"), *BITS)
+    tok = tok.select("a", "b", "cb", "n", "kx", F.size("d").alias("nd"), *BITS, F.explode("d").alias("e"))
     # only pairs across components are wanted: elements that no member of another component has are
     # missing from any such partner; more than kx of them rule a member out, fewer come first in its
     # order by rarity
@@ -439,25 +496,11 @@ def _residual(scratch: Scratch, got: DataFrame, labels: DataFrame, percent: int)
     tok = tok.join(shared, ["a", "e"])
     own = Window.partitionBy("a", "b")
     tok = tok.withColumn("u", F.col("nd") - F.count("*").over(own)).withColumn("r", F.col("u") + F.row_number().over(own.orderBy("f", "e")))
-    # parities of the elements by hash: where two members' bits differ, an element is in one of them only
-    word, bit = F.shiftright("e", 6).bitwiseAND(F.lit(WORDS - 1)), F.expr("shiftleft(1L, cast(e & 63 as int))")
-    for i in range(WORDS):
-        tok = tok.withColumn(f"w{i}", F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).over(own))
-    bits = [f"w{i}" for i in range(WORDS)]
-    tok = scratch.cut(tok.filter("r <= kx + 1 and u <= kx").select("a", "e", "b", "cb", "nb", "nd", "u", *bits))
-    groups = tok.groupBy("a", "e").agg(F.count("*").alias("m"), F.min_by("b", "nd").alias("p"), F.min("cb").alias("lo"), F.max("cb").alias("hi")).filter("lo <> hi")
-    groups = scratch.cut(groups.select("a", "e", "m", "p"))
-    # a group that is large still gets a pivot of its own, and the step is applied again
-    star = tok.join(groups.filter(F.col("m") > LARGE).select("a", "e", "p"), ["a", "e"]).filter("b <> p").select(F.col("p").alias("a"), "b").distinct()
-    few = tok.join(groups.filter(F.col("m") <= LARGE).select("a", "e"), ["a", "e"])
-    other = few.select("a", "e", *[F.col(c).alias(f"{c}2") for c in ("b", "cb", "nb", "u", *bits)])
-    # |b - b2| + |b2 - b| is at least the elements that neither shares plus the differing parities
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in bits), F.col("u") + F.col("u2"))
-    near = apart * (100 + percent) <= (F.col("nb") + F.col("nb2")) * (100 - percent)
-    direct = few.join(other, ["a", "e"]).filter((F.col("b") < F.col("b2")) & (F.col("cb") != F.col("cb2")) & near).select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
-    pairs = star.withColumn("again", F.lit(True)).unionByName(direct.withColumn("again", F.lit(False)))
-    pairs = scratch.cut(pairs)
-    scratch.drop(seen, member, tok, groups)
-    return pairs
-
-
+    tok = scratch.cut(tok.filter("r <= kx + 1 and u <= kx").select("a", "e", "b", "cb", "n", "nd", *BITS))
+    groups = scratch.cut(_modes(tok, ["a", "e"]))
+    direct = _across(tok, groups.filter(F.col("outside") <= LARGE).select("a", "e", "mode"), ["a", "e"], percent)
+    # a group with many outside gets a pivot of its own, and the step is applied again
+    large = tok.join(groups.filter(F.col("outside") > LARGE).select("a", "e"), ["a", "e"], "left_semi")
+    pivot = large.groupBy("a", "e").agg(F.min_by("b", F.struct("nd", "b")).alias("p"))
+    star = large.join(pivot, ["a", "e"]).filter("b <> p").select(F.col("p").alias("a"), "b").distinct()
+    return direct.withColumn("again", F.lit(False)).unionByName(star.withColumn("again", F.lit(True)))
