@@ -109,6 +109,14 @@ class Image:
 
 
 def parse(data: bytes, header_only: bool = False) -> Image:
+    """The segments of a file; a broken one is a ValueError."""
+    try:
+        return _parse(data, header_only)
+    except (struct.error, IndexError, StopIteration) as e:
+        raise ValueError(f"broken JPEG: {e!r}") from None
+
+
+def _parse(data: bytes, header_only: bool) -> Image:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     im, at = Image(), 2
@@ -186,6 +194,8 @@ def coefficients(im: Image) -> None:
         _coefficients(im)
     except IndexError:
         raise ValueError("JPEG data ends early") from None
+    if any(c.table not in im.quant for c in im.parts):
+        raise ValueError("JPEG without a quantisation table")
 
 
 def _coefficients(im: Image) -> None:

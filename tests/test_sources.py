@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from imgspark.api import ImageFrame
 from imgspark.frame import SCHEMA, from_pixels, from_spark_image, to_pixels
@@ -185,3 +186,100 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) AS n FROM arrivals").first().n == 4
+
+
+def with_restarts(data, every):
+    """The same baseline picture with a restart marker after so many units, coded anew."""
+    im = jpeg.parse(data)
+    jpeg.coefficients(im)
+    n = im.parts[0].blocks.shape[0] * im.parts[0].blocks.shape[1]
+    comps = [c.blocks.reshape(n, 64).astype(np.int64) for c in im.parts]
+    intervals = []
+    for at in range(0, n, every):
+        found = []
+        for i, c in enumerate(comps):
+            for kind, (block, place, *token) in ((0, jpeg.dc_tokens(c[at : at + every])), (1, jpeg.ac_tokens(c[at : at + every], 1, 63))):
+                found.append([(block * 3 + i) * 256 + place, np.full(len(block), kind << 4 | min(i, 1)), *token])
+        parts = [np.concatenate(x) for x in zip(*found)]
+        order = np.argsort(parts[0], kind="stable")
+        intervals.append([p[order] for p in parts[1:]])
+    table, symbol = (np.concatenate(x) for x in list(zip(*intervals))[:2])
+    head, codes = data[: data.index(b"\xff\xc4")], {}
+    out = bytearray(head + struct.pack(">HHH", 0xFFDD, 4, every))
+    for t in np.unique(table).tolist():
+        counts, values = jpeg.optimal(np.bincount(symbol[table == t], minlength=256))
+        out += struct.pack(">HHB", 0xFFC4, 3 + 16 + len(values), t) + bytes(counts) + bytes(values)
+        codes |= {(t, v): c for v, c in jpeg.canonical(counts, values).items()}
+    out += bytes([0xFF, 0xDA, 0, 12, 3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])
+    for i, (t, s, v, k) in enumerate(intervals):
+        code = np.array([codes[x] for x in zip(t.tolist(), s.tolist())])
+        out += jpeg.pack_bits(np.column_stack([code[:, 0], v]).ravel(), np.column_stack([code[:, 1], k]).ravel())
+        if i + 1 < len(intervals):
+            out += bytes([0xFF, 0xD0 + i % 8])
+    return bytes(out + b"\xff\xd9")
+
+
+@pytest.mark.parametrize("every", [1, 3, 7, 100])
+def test_jpeg_restart_markers(every):
+    data = jpeg.write_jpeg(smooth(40, 33), 90, False)
+    assert (jpeg.read_jpeg(with_restarts(data, every)) == jpeg.read_jpeg(data)).all()
+
+
+def test_jpeg_in_many_chunks(monkeypatch):
+    """Looking bits up a little at a time gives the same."""
+    noise = RNG.integers(0, 256, (64, 48, 3), dtype=np.uint8)
+    files = [jpeg.write_jpeg(noise, 95, p) for p in (True, False)]
+    want = [jpeg.read_jpeg(f) for f in files]
+    monkeypatch.setattr(jpeg, "CHUNK", 1)
+    assert all((jpeg.read_jpeg(f) == w).all() for f, w in zip(files, want))
+
+
+def test_broken_jpeg_is_a_value_error():
+    data = jpeg.write_jpeg(smooth(40, 33), 90, False)
+    for cut in range(2, len(data) - 30, 7):
+        try:
+            jpeg.read_jpeg(data[:cut])
+        except ValueError:
+            pass
+    for at in range(len(data) // 2, len(data), 5):
+        bad = bytearray(data)
+        bad[at] ^= 0x55
+        try:
+            jpeg.read_jpeg(bytes(bad))
+        except ValueError:
+            pass
+
+
+def test_broken_files(spark, tmp_path):
+    """Each way of handling errors, by both readers; ids agree between them."""
+    reader.register(spark)
+    good = raster.write_png(smooth(6, 6))
+    (tmp_path / "sub").mkdir()
+    for name, data in {"a.png": good, "b.png": good[:40], "c.jpg": b"no image", "d.ppm": b"P6 x", "sub/e.png": good, "x.txt": b"x", ".hidden.png": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    where = str(tmp_path)
+    with pytest.raises(Exception, match="b.png|c.jpg|d.ppm"):
+        reader.read_images(spark, where).collect()
+    kept = reader.read_images(spark, where, errors="drop", recursive=True).collect()
+    assert sorted(r.origin.rsplit("/", 1)[-1] for r in kept) == ["a.png", "e.png"]
+    every = {r.origin.rsplit("/", 1)[-1]: r for r in reader.read_images(spark, where, errors="column").collect()}
+    assert set(every) == {"a.png", "b.png", "c.jpg", "d.ppm"} and every["a.png"].error is None
+    assert all(every[n].error and every[n].data is None for n in ("b.png", "c.jpg", "d.ppm"))
+    source = spark.read.format("imgspark").option("errors", "drop").option("tasks", "3").load(where).collect()
+    assert sorted(r.img_id for r in source) == sorted(r.img_id for r in kept)
+    with pytest.raises(ValueError):
+        reader.read_images(spark, where, errors="skip")
+
+
+def test_source_writes_in_two_phases(spark, tmp_path):
+    reader.register(spark)
+    fr = made(spark, 6).cache()
+    to = tmp_path / "out"
+    to.mkdir()
+    (to / "0.png").write_bytes(b"was here")
+    bad = fr.withColumn("data", F.when(F.col("img_id") == 5, F.lit(bytearray(b"short"))).otherwise(F.col("data"))).coalesce(1)
+    with pytest.raises(Exception, match="bad frame"):
+        bad.write.format("imgspark").mode("append").save(str(to))
+    assert (to / "0.png").read_bytes() == b"was here" and not (to / "1.png").exists()
+    fr.write.format("imgspark").mode("append").save(reader.qualified(spark, str(to)))
+    assert sorted(p.name for p in to.glob("*.png")) == [f"{i}.png" for i in range(6)] and (to / "0.png").read_bytes() != b"was here"
