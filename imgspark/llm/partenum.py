@@ -42,6 +42,9 @@ from imgspark.llm.shingles import U, WordHashes, in_slices, mix, shingle_set, wo
 LARGE = 200
 #: Members of a bucket up to which all its pairs are counted.
 SMALL = 6
+#: log2 of the buckets that short names of signatures are counted in, least and most, and signatures that a
+#: task packs at a time.
+BUCKETS, PACKED = (4, 13), 1 << 21
 #: 64-bit words of the parities that sets are compared by before they are verified.
 WORDS = 16
 BITS = [f"w{i}_" for i in range(WORDS)]
@@ -150,9 +153,76 @@ def _classes(k: int):
     return lean(run)
 
 
-def _signed(k: int, percent: int, bloom=None, skip=None):
-    """All signatures; with a Bloom filter of repeated ones only those, with the set's key, how many
-    a partner shares at least and the band. skip: a Bloom filter of ids to leave out."""
+def bucket_log2(shingles: int) -> int:
+    """log2 of the buckets for sets of so many shingles: some 2^16 in a bucket, up to the most."""
+    return min(max((shingles >> 16).bit_length(), BUCKETS[0]), BUCKETS[1])
+
+
+def short_names(sig: np.ndarray, log2: int) -> np.ndarray:
+    """32 + log2 bits of signatures, by which repeated ones are found; those of equal signatures are equal, and
+    what others share is told apart when pairs are counted."""
+    return sig >> U(32 - log2)
+
+
+def _packed(k: int, percent: int, log2: int, skip=None):
+    """(bucket, part): the short names of all signatures; log2 bits name a bucket, the other 32 lie packed in
+    its parts, so that four bytes for each signature are shuffled. skip: a Bloom filter of ids to leave out."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def flush(held):
+            s = np.sort(short_names(np.concatenate(held), log2))
+            s = s[np.concatenate([np.ones(min(2, len(s)), bool), s[2:] != s[:-2]])]  # two of a name tell as much as more
+            ends = np.searchsorted(s, np.arange(1 << log2, dtype=U) << U(32))
+            full = np.diff(ends, append=len(s)).nonzero()[0]
+            parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(4 * np.append(ends[full], len(s)).astype(np.int64)), pa.py_buffer(s.astype(np.uint32))])
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), parts.cast(pa.binary())], ["bucket", "part"])
+
+        table, scheme, held, n = WordHashes(), Scheme(percent), [], 0
+        for batch in in_slices(batches):
+            if skip:
+                batch = batch.filter(pa.array(~in_bloom(skip.value, batch.column(0).to_numpy())))
+            for _, text in _texts(batch):
+                for sig, shared, _ in scheme.signatures(shingle_set(word_hashes(text, table), k)):
+                    if len(sig) >= shared:
+                        held.append(sig)
+                        n += len(sig)
+                if n >= PACKED:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+
+    return lean(run)
+
+
+def _repeated(batches):
+    """The short names that two parts of a bucket hold, or one part twice; buckets lie together in sorted rows."""
+    import pyarrow as pa
+
+    key, held = None, []
+
+    def flush():
+        s = np.sort(np.frombuffer(b"".join(held), np.uint32))
+        s = s[1:][s[1:] == s[:-1]]
+        s = s[np.concatenate([np.ones(min(1, len(s)), bool), s[1:] != s[:-1]])]
+        return pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64) | np.int64(key) << 32)], ["sig"])
+
+    for batch in batches:
+        for bucket, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if held and bucket != key:
+                yield flush()
+                held = []
+            key = bucket
+            held.append(part)
+    if held:
+        yield flush()
+
+
+def _signed(k: int, percent: int, log2: int, bloom, skip=None):
+    """The signatures that a Bloom filter of repeated short names holds, with the set's key, how many a partner
+    shares at least and the band. skip: a Bloom filter of ids to leave out."""
 
     def run(batches):
         import pyarrow as pa
@@ -161,28 +231,25 @@ def _signed(k: int, percent: int, bloom=None, skip=None):
         for batch in in_slices(batches):
             if skip:
                 batch = batch.filter(pa.array(~in_bloom(skip.value, batch.column(0).to_numpy())))
-            held, sigs = [], [np.empty(0, np.int64)]
+            held, sigs = [], [np.empty(0, U)]
             for _, text in _texts(batch):
                 s = shingle_set(word_hashes(text, table), k)
-                key = int(mix(s + U(1)).sum().view(np.int64)) if bloom else 0
+                key = int(mix(s + U(1)).sum().view(np.int64))
                 for sig, shared, band in scheme.signatures(s):
                     if len(sig) >= shared:
-                        sigs.append(sig.view(np.int64))
+                        sigs.append(sig)
                         held.append((len(sig), key, shared, band))
             if not held:
                 continue
             sig = np.concatenate(sigs)
-            if not bloom:
-                yield pa.RecordBatch.from_arrays([pa.array(sig)], ["sig"])
-                continue
             size, key, shared, band = np.array(held, np.int64).T
             # with too few repeated ones there is no partner in that band
-            hit = in_bloom(bloom.value, sig)
+            hit = in_bloom(bloom.value, short_names(sig, log2).view(np.int64))
             own = np.repeat(np.arange(len(size)), size)
             n = np.bincount(own[hit], minlength=len(size))
             hit &= (n >= shared)[own]
             own = own[hit]
-            cols = [pa.array(sig[hit]), pa.array(key[own]), pa.array(n[own].astype(np.int32)), pa.array(shared[own].astype(np.int32)), pa.array(band[own].astype(np.int32))]
+            cols = [pa.array(sig[hit].view(np.int64)), pa.array(key[own]), pa.array(n[own].astype(np.int32)), pa.array(shared[own].astype(np.int32)), pa.array(band[own].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, ["sig", "x", "hits", "least", "band"])
 
     return lean(run)
@@ -245,17 +312,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     rest = scratch.cut(maybe.join(copies, "doc_id", "left_anti"))
     skip = broadcast_bloom(scratch, copies, "doc_id")
 
-    def signing(schema, bloom=None):
+    log2 = bucket_log2(classes.agg(F.sum("n_shingles")).first()[0] or 0)
+
+    def signing(schema, how, *filters):
         # one Python worker a task: the documents that may be copies are left out in the same pass
-        sure = base.mapInArrow(_signed(k, percent, bloom, skip), schema)
-        return sure.unionByName(rest.mapInArrow(_signed(k, percent, bloom), schema))
+        sure = base.mapInArrow(how(k, percent, log2, *filters, skip), schema)
+        return sure.unionByName(rest.mapInArrow(how(k, percent, log2, *filters), schema))
 
-    # signatures that occur twice at least
-    twice = scratch.cut(signing("sig long").groupBy("sig").count().filter("count > 1").select("sig"))
+    # the short names of signatures that occur twice at least
+    packed = signing("bucket int, part binary", _packed).repartition("bucket").sortWithinPartitions("bucket")
+    twice = scratch.cut(packed.mapInArrow(lean(_repeated), "sig long"))
+    del packed
     scratch.release()
     bloom = broadcast_bloom(scratch, twice, "sig")
     scratch.drop(twice)
-    signed = scratch.cut(signing("sig long, x long, hits int, least int, band int", bloom))
+    signed = scratch.cut(signing("sig long, x long, hits int, least int, band int", _signed, bloom))
     pairs = scratch.cut(_candidates(scratch, signed))
     scratch.drop(signed, rest, copies)
     scratch.release()
