@@ -5,11 +5,13 @@ It is fitted on the driver from the templates below and made negatives, a fixed
 paragraph's class is unknown unless its probability passes a threshold calibrated on held-out
 rows, and a prediction is confirmed by the share of the template's n-grams that the paragraph has,
 if it has all the words that tell the template from other licences (names, versions, variants).
-Features are all n-grams of a paragraph that holds an anchor word; other paragraphs are not looked at.
+Features are all n-grams of a paragraph. Paragraphs without an anchor word are not looked at: they cannot
+reach the threshold, whatever other words they have.
 
 A paragraph ends with a blank line, or with a line that ends a sentence; so the lines of a wrapped
 notice are judged together. Each line of a paragraph is judged by itself too, and what a line
-claims and its template confirms goes before what the whole paragraph claims.
+claims and its template confirms goes before what the whole paragraph claims of the same family; a
+confirmed claim of another family stands beside it.
 """
 
 from __future__ import annotations
@@ -139,7 +141,13 @@ UNKNOWN = [
     "licensed under the server side public license version 1",
     "licensed under the business source license version 1.1",
 ]
-ANCHORS = ("licen", "copyright", "reserved", "permission", "redistribut", "spdx", "commons", "gnu", "apache")
+#: What a text must hold one of to be looked at. The n-grams without any of these cannot, all together,
+#: lift a family to the threshold (see reach), so nothing that the classifier claims is left out.
+ANCHORS = (
+    "licen", "copyright", "reserved", "permission", "redistribut", "spdx", "commons", "gnu", "apache", "4.0", "version", "bsd", "mozilla", "without", "rights", "any", "may", "cc",
+    "copy", "granted", "software", "charge", "form", "released", "and/or", "isc", "source", "gpl-3.0-only", "lesser", "gpl-3.0-or-later", "work", "obtaining", "use", "reproduced",
+    "hereby", "public", "part", "modification", "purpose", "affero", "binary", "distribute", "under", "terms", "can", "person", "modify", "2", "mit",
+)
 NEGATIVE = "none"
 NAMES = {"apache", "mit", "bsd", "isc", "gnu", "lesser", "affero", "mozilla", "cc", "commons", "by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd", "attribution", "attribution-sharealike", "attribution-noderivatives", "attribution-noncommercial", "attribution-noncommercial-sharealike", "attribution-noncommercial-noderivatives"}
 ORDER = 3
@@ -229,6 +237,16 @@ def model():
     return families, vocab, np.round(w, 6), np.round(b, 6), float(round(threshold, 2)), float(right)
 
 
+def reach() -> float:
+    """The largest share of any family that a text without an anchor can have, and more than it can: as if
+    it held every n-gram without an anchor that speaks for the family, and none for others but NEGATIVE."""
+    families, vocab, w, b, *_ = model()
+    free = np.array([not any(a in g for a in ANCHORS) for g in vocab])
+    none = families.index(NEGATIVE)
+    most = np.maximum(w - w[:, [none]], 0)[free].sum(0) + b - b[none]
+    return float((1 / (1 + np.exp(-np.delete(most, none)))).max())
+
+
 def softmax(z):
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -258,7 +276,7 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, paragraph, family, confidence, confirmed) of each paragraph or line that the classifier claims.
 
     paragraph is the number of the paragraph, from 0. Texts are whole; the scan first drops those
-    without an anchor, which have no feature and so belong to no family. The tables of weights and of
+    without an anchor, which cannot reach the threshold. The tables of weights and of
     template n-grams are broadcast: their size is that of TEMPLATES. Null and empty texts have no
     paragraphs; repeated rows with an equal id, null ids among them, count as one document; ties of
     classes go to the family last in order; other columns are ignored.
@@ -290,10 +308,11 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = found.join(F.broadcast(size), ["family", "template"]).filter("told = n_tell").groupBy(*key, "family").agg(F.max(F.col("c") / F.col("n")).alias("share"))
     same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*key, "family"]]
     out = claimed.alias("c").join(found.alias("s"), same, "left").select("c.*", (F.coalesce("share", F.lit(0.0)) >= CONFIRM).alias("confirmed"))
-    # a paragraph speaks as a whole only where none of its lines is confirmed
+    # a paragraph speaks as a whole only where none of its lines is confirmed, or of a family that none has
     lines = Window.partitionBy("doc_id", "paragraph")
     out = out.withColumn("spoken", F.max((F.col("confirmed") & (F.col("line") >= 0)).cast("int")).over(lines)).withColumn("whole", F.max((F.col("line") < 0).cast("int")).over(lines))
-    mine = F.when(F.col("spoken") == 1, F.col("confirmed") & (F.col("line") >= 0)).otherwise((F.col("line") < 0) | (F.col("whole") == 0))
+    out = out.withColumn("told", F.collect_set(F.when(F.col("confirmed") & (F.col("line") >= 0), F.col("family"))).over(lines))
+    mine = F.when(F.col("spoken") == 1, F.col("confirmed") & ((F.col("line") >= 0) | ~F.array_contains("told", F.col("family")))).otherwise((F.col("line") < 0) | (F.col("whole") == 0))
     return out.filter(mine).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("p", 4).alias("confidence"), "confirmed")
 
 

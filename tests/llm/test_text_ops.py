@@ -524,6 +524,19 @@ def test_licences_equal_brute_force(spark):
     assert got == brute_licences(rows)
 
 
+def test_licences_without_a_usual_anchor(spark):
+    """No text can reach the threshold without an anchor, and notices without the word licence are found."""
+    assert licences.reach() < licences.model()[4]
+    texts = {
+        "This photo is shared under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0",
+        "This source code form is subject to the terms of the Mozilla Public v 2.0.": "mpl-2.0",
+        "Use in source and binary forms, with or without modification, are permitted.": "bsd",
+        "Released under the MIT License\nand this program is licensed under the Apache\nLicense Version 2.0 the License you may not\nuse this file except in compliance with the License": "apache-2.0,mit",
+    }
+    got = {r.doc_id: r.families for r in licences.licence_report(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_licences_of_no_family_are_unknown(spark):
     """Notices that neither the fit nor the calibration saw."""
     rows = [(i, t, None, None) for i, t in enumerate(licences.UNKNOWN[1::2])]
