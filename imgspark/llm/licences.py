@@ -295,10 +295,13 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     key = ["doc_id", "paragraph", "line"]
     hit = rows.select(*key, F.explode(gram_array(F.col("w"))).alias("g")).join(F.broadcast(table.select("g", "i")), "g").select(*key, "i").distinct()
     z = hit.join(F.broadcast(table.drop("g")), "i").groupBy(*key).agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(families))])
-    e = [F.exp(F.col(f"z{i}") + F.lit(float(b[i]))) for i in range(len(families))]
-    total = sum(e[1:], e[0])
-    best = F.array_max(F.array(*[F.struct((x / total).alias("p"), F.lit(f).alias("family")) for x, f in zip(e, families)]))
-    claimed = z.select(*key, best.alias("b")).select(*key, F.col("b.family").alias("family"), F.col("b.p").alias("p"))
+    # arrays, as the filter below is moved under these projections and takes a copy of every expression with
+    # it: written out by family, 19 sums for each of 19 shares were too much code to compile
+    e = z.select(*key, F.transform(F.array(*[F.col(f"z{i}") + F.lit(float(v)) for i, v in enumerate(b)]), F.exp).alias("e"))
+    named = F.array(*[F.lit(f) for f in families])
+    best = F.array_max(F.transform("e", lambda x, i: F.struct(x.alias("e"), F.get(named, i).alias("family"))))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    claimed = e.select(*key, best.alias("b"), total.alias("total")).select(*key, F.col("b.family").alias("family"), (F.col("b.e") / F.col("total")).alias("p"))
     claimed = claimed.filter((F.col("family") != NEGATIVE) & (F.col("p") >= threshold))
     place = {g: i for i, g in enumerate(vocab)}
     every = [(f, i, [bare(x) for x in words(t)]) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]

@@ -544,3 +544,13 @@ def test_licences_of_no_family_are_unknown(spark):
     wrapped = "Permission is hereby granted, free of charge,\nto any person obtaining a copy\nof this software and associated files"
     got = licences.licence_report(spark.createDataFrame([(1, f"Some words.\n{wrapped}\n\nCode", None, None)], SCHEMA)).first()
     assert got.families == "mit" and got.n_confirmed == 1
+
+
+def test_licences_compile(spark):
+    """The code that Spark generates compiles: where it did not, the driver kept it, its errors and its log by the hundred MB."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # an error, not slower rows
+    try:
+        got = licences.licence_report(spark.createDataFrame([(1, "Released under the MIT license.", None, None)], SCHEMA)).first()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert got.families == "mit"
