@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from imgspark.llm import bpe, importance, licences, mixing, quality, spans, trie, urlglob, webp
+from imgspark.llm import bpe, centroids, importance, licences, mixing, quality, spans, trie, urlglob, webp, whitening
 from imgspark.llm.partenum import jaccard_components
 
 
@@ -84,6 +84,14 @@ def op9_bpe_encoding(spark, sf_dir, vocabulary=None):
     return bpe.encoded_digests(_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return centroids.cluster_report(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -91,9 +99,9 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    ops = [op1_lossless_webp, op2_ngram_jaccard_join, op3_sentence_spans, op4_importance_resampling, op5_url_filters, op6_token_counts, op7_licence_scan, op8_quality_rules, op9_bpe_encoding, op10_source_mixing]
+    ops = [op1_lossless_webp, op2_ngram_jaccard_join, op3_sentence_spans, op4_importance_resampling, op5_url_filters, op6_token_counts, op7_licence_scan, op8_quality_rules, op9_bpe_encoding, op10_source_mixing, op11_embedding_whitening, op12_centroid_clustering]
     return {"pipeline": pipeline} | {f.__name__: f for f in ops}
 
 
 def oracle_sql():
-    return {"op5_url_filters": urlglob.SQL, "op8_quality_rules": quality.sql(), "op10_source_mixing": OP10_SQL}
+    return {"op5_url_filters": urlglob.SQL, "op8_quality_rules": quality.sql(), "op10_source_mixing": OP10_SQL, "op12_centroid_clustering": centroids.SQL}
