@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from imgspark.llm import bpe, centroids, importance, licences, mixing, quality, spans, trie, urlglob, webp, whitening
+from imgspark.llm import bpe, centroids, importance, licences, mixing, pages, quality, spans, trie, urlglob, webp, whitening
 from imgspark.llm.partenum import jaccard_components
 
 
@@ -92,6 +92,10 @@ def op12_centroid_clustering(spark, sf_dir):
     return centroids.cluster_report(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_html_extraction(spark, sf_dir):
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -99,7 +103,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    ops = [op1_lossless_webp, op2_ngram_jaccard_join, op3_sentence_spans, op4_importance_resampling, op5_url_filters, op6_token_counts, op7_licence_scan, op8_quality_rules, op9_bpe_encoding, op10_source_mixing, op11_embedding_whitening, op12_centroid_clustering]
+    ops = [op1_lossless_webp, op2_ngram_jaccard_join, op3_sentence_spans, op4_importance_resampling, op5_url_filters, op6_token_counts, op7_licence_scan, op8_quality_rules, op9_bpe_encoding, op10_source_mixing, op11_embedding_whitening, op12_centroid_clustering, op13_html_extraction]
     return {"pipeline": pipeline} | {f.__name__: f for f in ops}
 
 

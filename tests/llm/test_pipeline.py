@@ -44,7 +44,7 @@ def test_pipeline_equals_brute_force(spark):
 
 def test_stage_contract():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
-    assert {n.split("_")[0] for n in registry.queries()} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in registry.queries()} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
 
 
 def test_empty_tables_pass_every_stage(spark):
