@@ -1,7 +1,6 @@
 """The operators over pixels as a relation (img_id, y, x, c, v), in Catalyst expressions.
 
-Neighbourhoods are windows over rows and columns. Both partition by img_id first, so rows are dealt
-out once by `by_image` and neither window nor aggregate after it shuffles again.
+Neighbourhoods and prefix sums go by tiles (`operators/tiles.py`), so no task has to hold an image.
 """
 
 from __future__ import annotations
@@ -12,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from imgspark.functions.semantics import GRAY, gamma_table, gaussian3_weights, gaussian_weights, half_up, half_up_u8, trunc_u8, wrap_u8
+from imgspark.functions.semantics import GRAY, gamma_table, half_up, half_up_u8, trunc_u8, wrap_u8
 from imgspark.operators import kernels as K
+from imgspark.operators.tiles import integral as prefix_sums
+from imgspark.operators.tiles import neighbourhood
 
 KEYS = ["img_id", "y", "x", "c"]
 
@@ -26,18 +27,6 @@ def column_window():
     return Window.partitionBy("img_id", "c", "x").orderBy("y")
 
 
-def image_window():
-    return Window.partitionBy("img_id")
-
-
-def plane_window():
-    return Window.partitionBy("img_id", "c")
-
-
-def by_image(px: DataFrame) -> DataFrame:
-    return px.repartition("img_id")
-
-
 def value(px: DataFrame, v: Column) -> DataFrame:
     return px.select(*KEYS, v.cast("int").alias("v"))
 
@@ -320,154 +309,80 @@ def warp_affine(px, matrix, width, height, border=0):
     return got.select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", out.cast("int").alias("v"))
 
 
-# ---- neighbourhoods
-
-
-def near(v: str, k: int, window) -> Column:
-    """The value k places on, with the border repeated."""
-    if not k:
-        return F.col(v)
-    ends = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = F.last(v).over(ends) if k > 0 else F.first(v).over(ends)
-    return F.coalesce(F.lead(v, k).over(window) if k > 0 else F.lag(v, -k).over(window), edge)
+# ---- neighbourhoods: a numpy kernel on tiles with a halo, one exchange by tile
 
 
 def convolve(px, kernel, kw, kh):
-    d = by_image(px)
-    d = d.select(*KEYS, *[near("v", k - kw // 2, row_window()).alias(f"h{k}") for k in range(kw)])
-    taps = [near(f"h{kx}", ky - kh // 2, column_window()) * F.lit(float(kernel[ky * kw + kx])) for ky in range(kh) for kx in range(kw)]
-    return value(d, trunc_u8(reduce(lambda a, b: a + b, taps, F.lit(0.0))))
+    if kw % 2 == 0 or kh % 2 == 0 or len(kernel) != kw * kh:
+        raise ValueError("the kernel needs odd sides and kw * kh values")
+    return neighbourhood(px, lambda a: K.convolve(a, kernel, kw, kh), max(kw, kh) // 2)
 
 
 def sharpen(px, strength=1.0):
-    s = strength
-    return convolve(px, [0, -s, 0, -s, 1 + 4 * s, -s, 0, -s, 0], 3, 3)
+    return neighbourhood(px, lambda a: K.sharpen(a, strength), 1)
 
 
 def box_blur(px, radius=1, mode="mean"):
-    d = by_image(px)
+    if mode != "compat":
+        return neighbourhood(px, lambda a: K.box_blur(a, radius), radius)
+    # here a row's first and last pixel have a part in all of its sums, so rows stay whole
+    d = sized(px)
     row, col = row_window().rowsBetween(-radius, radius), column_window().rowsBetween(-radius, radius)
-    s, n = F.sum("v").over(row), F.count("*").over(row)
-    if mode == "compat":
-        d = sized(d)
-        ends = row_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        over = F.least(F.col("x"), F.greatest(F.lit(0), F.col("x") + radius - (F.col("w") - 1)))
-        s = s + radius * F.first("v").over(ends) + over * F.last("v").over(ends)
-    d = d.select(*KEYS, wrap_u8(F.floor(s / n + F.lit(0.5))).alias("v"))
+    ends = row_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    over = F.least(F.col("x"), F.greatest(F.lit(0), F.col("x") + radius - (F.col("w") - 1)))
+    s = F.sum("v").over(row) + radius * F.first("v").over(ends) + over * F.last("v").over(ends)
+    d = d.select(*KEYS, wrap_u8(F.floor(s / F.count("*").over(row) + F.lit(0.5))).alias("v"))
     return value(d, wrap_u8(F.floor(F.sum("v").over(col) / F.count("*").over(col) + F.lit(0.5))))
 
 
-def weighted(weights, window, v="v") -> Column:
-    r = len(weights) // 2
-    return reduce(lambda a, b: a + b, [near(v, i - r, window) * F.lit(w) for i, w in enumerate(weights)], F.lit(0.0))
-
-
 def gaussian_taps(px, radius=1, sigma=None):
-    w = gaussian_weights(radius, sigma)
-    d = by_image(px).select(*KEYS, trunc_u8(weighted(w, row_window())).alias("v"))
-    return value(d, trunc_u8(weighted(w, column_window())))
+    return neighbourhood(px, lambda a: K.gaussian_blur_taps(a, radius, sigma), radius)
 
 
 def gaussian3(px, sigma=None):
-    centre, side = gaussian3_weights(sigma)
-
-    def one(window):
-        left, right, v = F.lag("v", 1).over(window), F.lead("v", 1).over(window), F.col("v")
-        c, s, both = F.lit(centre), F.lit(side), F.lit(centre + side)
-        return trunc_u8(F.when(left.isNull() & right.isNull(), v * both + v * s).when(left.isNull(), v * both + right * s).when(right.isNull(), left * s + v * both).otherwise(left * s + v * c + right * s))
-
-    return value(by_image(px).select(*KEYS, one(row_window()).alias("v")), one(column_window()))
-
-
-def gradients(d: DataFrame, *keep: str) -> DataFrame:
-    """gx, gy, inner: the row parts of both kernels first, then sums down the columns."""
-    left, right = F.lag("v", 1).over(row_window()), F.lead("v", 1).over(row_window())
-    d = d.select(*KEYS, *keep, (right - left).alias("dx"), (left + 2 * F.col("v") + right).alias("sm"))
-    up, down = (lambda c: F.lag(c, 1).over(column_window())), (lambda c: F.lead(c, 1).over(column_window()))
-    return d.select(*KEYS, *keep, (up("dx") + 2 * F.col("dx") + down("dx")).alias("gx"), (down("sm") - up("sm")).alias("gy"))
-
-
-def edge_value() -> Column:
-    """|gx| + |gy| up to 255; 0 at the border, where a gradient is null (least() would skip it)."""
-    return F.when(F.col("gx").isNull() | F.col("gy").isNull(), 0).otherwise(F.least(F.lit(255), F.abs("gx") + F.abs("gy")))
+    return neighbourhood(px, lambda a: K.gaussian_blur(a, 1, sigma), 1)
 
 
 def sobel(px):
-    d = gradients(by_image(px))
-    return value(d, edge_value())
-
-
-def extreme(px, radius, f):
-    d = px.select(*KEYS, f("v").over(row_window().rowsBetween(-radius, radius)).alias("v"))
-    return d.select(*KEYS, f("v").over(column_window().rowsBetween(-radius, radius)).alias("v"))
+    return neighbourhood(px, K.sobel, 1)
 
 
 def erode(px, radius=1):
-    return extreme(by_image(px), radius, F.min)
+    return neighbourhood(px, lambda a: K.erode(a, radius), radius)
 
 
 def dilate(px, radius=1):
-    return extreme(by_image(px), radius, F.max)
+    return neighbourhood(px, lambda a: K.dilate(a, radius), radius)
 
 
 def open_(px, radius=1):
-    return extreme(erode(px, radius), radius, F.max)
+    return neighbourhood(px, lambda a: K.open_(a, radius), 2 * radius)
 
 
 def close(px, radius=1):
-    return extreme(dilate(px, radius), radius, F.min)
-
-
-def _with_source(px, radius, first, second=None):
-    """v (the source) and m (the filtered value) side by side: the windows carry v along."""
-    d = by_image(px).withColumn("m", F.col("v"))
-    for f in (first, second) if second else (first,):
-        d = d.withColumn("m", f("m").over(row_window().rowsBetween(-radius, radius))).withColumn("m", f("m").over(column_window().rowsBetween(-radius, radius)))
-    return d
+    return neighbourhood(px, lambda a: K.close(a, radius), 2 * radius)
 
 
 def morph_gradient(px, radius=1):
-    d = by_image(px)
-    d = d.select(*KEYS, *[f("v").over(row_window().rowsBetween(-radius, radius)).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    over = column_window().rowsBetween(-radius, radius)
-    return value(d, F.max("hi").over(over) - F.min("lo").over(over))
+    return neighbourhood(px, lambda a: K.morph_gradient(a, radius), radius)
 
 
 def top_hat(px, radius=1):
-    return value(_with_source(px, radius, F.min, F.max), F.greatest(F.lit(0), F.col("v") - F.col("m")))
+    return neighbourhood(px, lambda a: K.top_hat(a, radius), 2 * radius)
 
 
 def black_hat(px, radius=1):
-    return value(_with_source(px, radius, F.max, F.min), F.greatest(F.lit(0), F.col("m") - F.col("v")))
+    return neighbourhood(px, lambda a: K.black_hat(a, radius), 2 * radius)
 
 
 def adaptive_threshold(px, block_size=15, c=5, invert_=False, method="mean"):
-    size = max(3, block_size)
-    r = (size + 1 - size % 2) // 2
-    d = by_image(px)
-    if method == "mean":
-        row, col = row_window().rowsBetween(-r, r), column_window().rowsBetween(-r, r)
-        d = d.select(*KEYS, "v", F.sum("v").over(row).alias("s"), F.count("*").over(row).alias("n"))
-        mean = F.sum("s").over(col) / F.sum("n").over(col)
-    else:
-        w = gaussian_weights(r, r / 3)
-        d = d.select(*KEYS, "v", weighted(w, row_window()).alias("s"))
-        mean = weighted(w, column_window(), "s")
-    return value(d, F.when((F.col("v") > mean - c) != F.lit(invert_), 255).otherwise(0))
+    reach = max(3, block_size) // 2 + 1
+    return neighbourhood(px, lambda a: K.adaptive_threshold(a, block_size, c, invert_, method), reach)
 
 
 def canny_maxima(px, radius=1, sigma=None):
     """(img_id, y, x, c, m): float magnitude where it is a maximum along its direction, else 0."""
-    d = gradients(gaussian3(px, sigma) if radius == 1 else gaussian_taps(px, radius, sigma))
-    angle = F.atan2(F.abs("gy").cast("double"), F.abs("gx").cast("double")) * 180 / F.pi()
-    mag = F.coalesce(F.sqrt((F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).cast("double")).cast("float"), F.lit(0.0).cast("float"))
-    way = F.when(angle < 22.5, 0).when(angle < 67.5, 1).otherwise(2)
-    d = d.select(*KEYS, mag.alias("m"), F.when(F.col("gx").isNotNull(), way).alias("way"))
-    d = d.withColumn("l", F.lag("m", 1).over(row_window())).withColumn("r", F.lead("m", 1).over(row_window()))
-    d = d.select(*KEYS, "m", "way", "l", "r", F.lag("r", 1).over(column_window()).alias("ne"), F.lead("l", 1).over(column_window()).alias("sw"), F.lag("m", 1).over(column_window()).alias("n"), F.lead("m", 1).over(column_window()).alias("s"))
-    q = F.when(F.col("way") == 0, F.col("r")).when(F.col("way") == 1, F.col("ne")).otherwise(F.col("n"))
-    p = F.when(F.col("way") == 0, F.col("l")).when(F.col("way") == 1, F.col("sw")).otherwise(F.col("s"))
-    return d.select(*KEYS, F.when((F.col("m") >= q) & (F.col("m") >= p), F.col("m")).otherwise(F.lit(0.0).cast("float")).alias("m"))
+    return neighbourhood(px, lambda a: K.canny_maxima(a, radius, sigma), radius + 2, kind="float", name="m")
 
 
 # ---- aggregates
@@ -483,26 +398,25 @@ def histogram(px):
 
 
 def equalize(px):
-    d = by_image(px)
-    rank = plane_window().orderBy("v")
-    d = d.withColumn("cdf", F.count("*").over(rank.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.count("*").over(plane_window()))
-    d = d.withColumn("least", F.min("cdf").over(plane_window()))
+    """A plane's counts are at most 256 rows; their running sums are looked up by the pixels."""
+    counts = px.groupBy("img_id", "c", "v").agg(F.count("*").alias("k"))
+    plane = Window.partitionBy("img_id", "c")
+    cdf = counts.withColumn("cdf", F.sum("k").over(plane.orderBy("v"))).withColumn("n", F.sum("k").over(plane))
+    cdf = cdf.withColumn("least", F.min("cdf").over(plane))
     flat = F.col("n") == F.col("least")
-    return value(d, F.when(flat, 0).otherwise(half_up_u8((F.col("cdf") - F.col("least")) / F.when(flat, 1).otherwise(F.col("n") - F.col("least")) * 255)))
+    to = F.when(flat, 0).otherwise(half_up_u8((F.col("cdf") - F.col("least")) / F.when(flat, 1).otherwise(F.col("n") - F.col("least")) * 255))
+    return px.join(cdf.select("img_id", "c", "v", to.cast("int").alias("to")), ["img_id", "c", "v"]).select("img_id", "y", "x", "c", F.col("to").alias("v"))
 
 
 def normalize(px):
-    d = by_image(px).withColumn("lo", F.min("v").over(plane_window())).withColumn("hi", F.max("v").over(plane_window()))
+    d = px.join(px.groupBy("img_id", "c").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), ["img_id", "c"])
     span = F.when(F.col("hi") == F.col("lo"), 1).otherwise(F.col("hi") - F.col("lo"))
     return value(d, trunc_u8((F.col("v") - F.col("lo")) / span * 255))
 
 
 def integral(px):
     """(img_id, y, x, s): (w + 1) x (h + 1) sums, with a zero row and column."""
-    d = by_image(px)
-    run = (Window.unboundedPreceding, Window.currentRow)
-    d = d.select(*KEYS, F.sum("v").over(row_window().rowsBetween(*run)).alias("s"))
-    d = d.select("img_id", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), F.sum("s").over(column_window().rowsBetween(*run)).alias("s"))
+    d = prefix_sums(px.filter("c = 0")).select("img_id", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), "s")
     size = px.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     top = size.select("img_id", F.lit(0).alias("y"), F.explode(F.sequence(F.lit(0), F.col("w"))).alias("x"), F.lit(0).cast("long").alias("s"))
     side = size.select("img_id", F.explode(F.sequence(F.lit(1), F.col("h"))).alias("y"), F.lit(0).alias("x"), F.lit(0).cast("long").alias("s"))
@@ -585,7 +499,4 @@ def draw_boxes(px, channels, boxes: DataFrame, colour=None, thickness=2):
 
 
 def binomial_edges(px):
-    d = by_image(px)
-    d = d.select(*KEYS, (near("v", -1, row_window()) + 2 * F.col("v") + near("v", 1, row_window())).alias("s"))
-    d = d.select(*KEYS, F.shiftright(near("s", -1, column_window()) + 2 * F.col("s") + near("s", 1, column_window()), 4).alias("v"))
-    return value(gradients(d), edge_value())
+    return neighbourhood(px, K.binomial_edges, 2)
