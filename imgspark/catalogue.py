@@ -1,7 +1,7 @@
 """All queries of the image engine over the derived frames, with their SQL for DuckDB.
 
 The SQL states each operator in its own way (joins on clamped coordinates where the engine uses
-windows), so that the two sides check each other.
+tiles), so that the two sides check each other.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from imgspark import fixtures as X
 from imgspark.catalogue_files import FILE_QUERIES, file_sql
 from imgspark.catalogue_more import MORE, more_sql
+from imgspark.frame import from_pixels, map_frames, to_pixels
 from imgspark.functions.semantics import gamma_table, gaussian3_weights, gaussian_weights
 from imgspark.operators import kernels as K
 from imgspark.operators import pixels as P
+from imgspark.plans.pipeline import Plan
 
 SHARP = [0, -1, 0, -1, 5, -1, 0, -1, 0]
 EDGE5 = [1, 0, -1, 0, 1, 2, 1, 0, -1, -2, 3, 2, 1, -2, -3, -1, 0, 1, 2, -2, 1, 1, -1, 0, 0]
@@ -33,12 +35,32 @@ def _long(f):
     return lambda spark, d: f(X.long3(X.rgb8(spark, d)))
 
 
+def _to_rgb(spark, d):
+    """Frames of one and of three channels together."""
+    gray = from_pixels(X.gray8(spark, d)).withColumn("img_id", -1 - F.col("img_id"))
+    return to_pixels(map_frames(gray.unionByName(from_pixels(X.long3(X.rgb8(spark, d)))), K.to_rgb))
+
+
+def _planned(plan, name):
+    """A plan over frames, fused as it is run."""
+    return lambda spark, d: to_pixels(plan.run(from_pixels(X.long3(X.rgb8(spark, d)) if name == "rgb8" else getattr(X, name)(spark, d))))
+
+
+#: Plans of the fused steps; what they fuse to is in tests/test_kernels.py.
+PLANS = {
+    "l_gt": (Plan().grayscale().threshold(128), "rgb8"),
+    "l_gte": (Plan().grayscale().threshold(128).erode(1), "rgb8"),
+    "l_be": (Plan().blur(1).edges(), "gray8"),
+    "l_gbe": (Plan().grayscale().blur(1).edges(), "rgb8"),
+    "l_bte": (Plan().blur(2).edges(), "ev16"),
+}
+
 QUERIES = {
     "p_grayscale": _wide(P.grayscale),
     "p_grayscale_rgba": _wide(P.grayscale, "rgba8"),
     "p_threshold": _gray(lambda p: P.threshold(p, 100)),
     "p_gray_to_rgb": _gray(P.gray_to_rgb),
-    "p_to_rgb": _long(lambda p: p),
+    "p_to_rgb": _to_rgb,
     "p_invert": lambda s, d: P.invert(X.long3(X.rgba8(s, d), "rgba")),
     "p_brightness_contrast": _long(lambda p: P.brightness_contrast(p, 12.5, 1.4)),
     "p_gamma": _long(lambda p: P.gamma(p, 2.2)),
@@ -91,11 +113,7 @@ QUERIES = {
     "d_filled_rect": _long(lambda p: P.draw_filled_rect(p, 3, 4, 5, 10, 10, TEAL)),
     "d_circle": _gray(lambda p: P.draw_circle(p, 1, 7, 7, 5, None, 1), "ev16"),
     "d_filled_circle": _long(lambda p: P.draw_filled_circle(p, 3, 3, 4, 3, RED)),
-    "l_gt": _wide(lambda p: P.threshold(P.grayscale(p), 128)),
-    "l_gte": _wide(lambda p: P.erode(P.threshold(P.grayscale(p), 128), 1)),
-    "l_be": _gray(P.binomial_edges),
-    "l_gbe": _wide(lambda p: P.binomial_edges(P.grayscale(p))),
-    "l_bte": _gray(lambda p: P.sobel(P.gaussian_taps(p, 2)), "ev16"),
+    **{name: _planned(*p) for name, p in PLANS.items()},
     "l_unfused_chain": _wide(lambda p: P.sobel(P.gaussian3(P.grayscale(p)))),
 }
 
@@ -270,12 +288,12 @@ def _q15():
     return sql(body, "gray8", ctes)
 
 
-def _warp():
-    a, b, c, d, e, f = (D(m) for m in ROT)
-    ctes = f"""{target('gray8', 8, 8, 10, 7)},
+def _warp(matrix=ROT, width=10, height=7, border=9):
+    a, b, c, d, e, f = (D(m) for m in matrix)
+    ctes = f"""{target('gray8', 8, 8, width, height)},
       pnt AS (SELECT *, {a} * tx + {b} * ty + {c} AS sx, {d} * tx + {e} * ty + {f} AS sy FROM grid),
       pos AS (SELECT *, floor(sx)::INT AS x0, floor(sy)::INT AS y0, sx - floor(sx) AS wx, sy - floor(sy) AS wy FROM pnt)"""
-    tap = lambda dy, dx: f"coalesce((SELECT v FROM src s WHERE s.img_id = p.img_id AND s.y = p.y0 + {dy} AND s.x = p.x0 + {dx}), 9)"
+    tap = lambda dy, dx: f"coalesce((SELECT v FROM src s WHERE s.img_id = p.img_id AND s.y = p.y0 + {dy} AND s.x = p.x0 + {dx}), {border})"
     e = f"{tap(0, 0)} * (1 - wx) * (1 - wy) + {tap(0, 1)} * wx * (1 - wy) + {tap(1, 0)} * (1 - wx) * wy + {tap(1, 1)} * wx * wy"
     return sql(f"SELECT img_id, ty AS y, tx AS x, c, CAST({T8(e)} AS INT) AS v FROM pos p", "gray8", ctes)
 
@@ -285,7 +303,7 @@ ORACLE = {
     "p_grayscale_rgba": px(GRAY, "rgba8", c="0"),
     "p_threshold": px("CASE WHEN v >= 100 THEN 255 ELSE 0 END"),
     "p_gray_to_rgb": sql("SELECT img_id, y, x, c2::INT AS c, v FROM gray8, (SELECT unnest([0, 1, 2]) AS c2)"),
-    "p_to_rgb": px("v", "rgbl"),
+    "p_to_rgb": sql("SELECT -1 - img_id AS img_id, y, x, c2::INT AS c, v FROM gray8, (SELECT unnest([0, 1, 2]) AS c2) UNION ALL SELECT img_id, y, x, c::INT AS c, CAST(v AS INT) AS v FROM rgbl", "rgbl"),
     "p_invert": sql(wide3("rgba8", *[f"255 - {n}" for n in "rgba"]), "rgba8"),
     "p_brightness_contrast": px(T8("(v - 128) * 1.4::DOUBLE + 128 + 12.5::DOUBLE"), "rgbl"),
     "p_gamma": px(f"([{', '.join(map(str, gamma_table(2.2)))}])[v + 1]", "rgbl"),

@@ -1,4 +1,4 @@
-"""Queries over files: by an independent encoder, broken ones, written and read back; and over a large frame."""
+"""Queries over files: by an independent encoder, broken ones, written and read back; and over large frames."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from imgspark import fixtures as X
 from imgspark.api import ImageFrame
 from imgspark.frame import from_pixels, map_frames, to_pixels
+from imgspark.functions.semantics import gaussian_weights
 from imgspark.operators import components as C
 from imgspark.operators import kernels as K
 from imgspark.operators import pixels as P
@@ -56,28 +57,31 @@ FILES = {
     ),
 }
 
-#: Cells across a large frame, their side, and the margin that is 0.
-ACROSS, SIDE, MARGIN = 43, 24, 2
+#: Cells across a large frame, their side (so that tiles of 512 cut cells), and the margin that is 0.
+ACROSS, SIDE, MARGIN = 43, 18, 2
 
 
-def _stored(spark, kind):
-    rows = [(n, bytearray(base64.b64decode(t))) for n, t in FILES.items() if n.startswith(kind)]
-    return to_pixels(codecs.decode_frames(spark.createDataFrame(rows, "path string, content binary"))), {codecs.path_id(n): n for n, _ in rows}
-
-
-def _named(spark, kind, v):
-    px, names = _stored(spark, kind)
-    name = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return px.select(F.element_at(name, F.col("img_id")).alias("name"), "y", "x", "c", v.cast("int").alias("v"))
+def _stored(spark, d, kind, v):
+    """Every supplier has one of the files as its picture. Of all pictures of a file: how many there are of each
+    pixel, with the least and the largest value."""
+    files = [(n, t) for n, t in FILES.items() if n.startswith(kind)]
+    which = F.col("s_suppkey") % len(files) + 1
+    pick = lambda of: F.element_at(F.array(*[F.lit(x) for x in of]), which.cast("int"))
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    pictures = s.select(F.concat(F.lit("/"), F.col("s_suppkey").cast("string"), F.lit("/"), pick([n for n, _ in files])).alias("path"), F.unbase64(pick([t for _, t in files])).alias("content"))
+    frames = codecs.decode_frames(pictures)
+    names = frames.select("img_id", F.element_at(F.split("origin", "/"), -1).alias("name"))
+    px = to_pixels(frames).join(names, "img_id").withColumn("v", v.cast("int"))
+    return px.groupBy("name", "y", "x", "c").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("largest"))
 
 
 def _jpeg_files(spark, d):
     """Colours of blocks that are multiples of ten; a decoded value is at most some units off."""
-    return _named(spark, "jpeg", F.floor((F.col("v") + 5) / 10) * 10)
+    return _stored(spark, d, "jpeg", F.floor((F.col("v") + 5) / 10) * 10)
 
 
 def _png_files(spark, d):
-    return _named(spark, "png", F.col("v"))
+    return _stored(spark, d, "png", F.col("v"))
 
 
 def folder(spark) -> str:
@@ -128,20 +132,30 @@ SHRUNK = 8
 
 
 def large(spark, d):
-    """One frame of more than a megapixel: squares in a grid of cells, each with the value of an event."""
-    e = X.events_values(spark, d)
-    cells = spark.range(ACROSS * ACROSS).withColumn("event_id", F.col("id") % 1000).join(F.broadcast(e.filter("event_id < 1000")), "event_id")
-    px = cells.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("p"))
+    """Frames of ACROSS x ACROSS cells, as many as all events need: each event is a square of its value, in a cell
+    with a margin of 0. Cells after the last event are 0."""
+    e = X.events_values(spark, d).select(F.expr(f"event_id div {ACROSS * ACROSS}").alias("img_id"), (F.col("event_id") % (ACROSS * ACROSS)).alias("k"), "v")
+    frames = e.agg(F.max("img_id").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("img_id"))
+    cells = frames.select("img_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ACROSS * ACROSS - 1).cast("long"))).alias("k")).join(e, ["img_id", "k"], "left")
+    px = cells.select("img_id", "k", F.coalesce("v", F.lit(0)).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("p"))
     y, x = F.expr(f"p div {SIDE}"), F.col("p") % SIDE
     inside = y.between(MARGIN, SIDE - 1 - MARGIN) & x.between(MARGIN, SIDE - 1 - MARGIN)
     at = lambda cell, p: (cell * SIDE + p).cast("int")
-    return px.select(F.lit(1).cast("long").alias("img_id"), at(F.expr(f"id div {ACROSS}"), y).alias("y"), at(F.col("id") % ACROSS, x).alias("x"), F.lit(0).alias("c"), F.when(inside, F.col("v")).otherwise(0).cast("int").alias("v"))
+    return px.select("img_id", at(F.expr(f"k div {ACROSS}"), y).alias("y"), at(F.col("k") % ACROSS, x).alias("x"), F.lit(0).alias("c"), F.when(inside, F.col("v")).otherwise(0).cast("int").alias("v"))
 
 
 def _counted(px):
-    return px.groupBy("v").agg(F.count("*").alias("n"))
+    """Of each value of an image: its pixels, and a sum that tells their places apart."""
+    return px.groupBy("img_id", "v").agg(F.count("*").alias("n"), F.sum(F.col("y") * 1009 + F.col("x")).cast("long").alias("places"))
+
+
+def _row_sums(table):
+    return table.groupBy("img_id", "y").agg(F.count("*").alias("n"), F.sum("s").cast("long").alias("s"), F.sum(F.col("s") * F.col("x")).cast("long").alias("sx"))
 
 
+#: A kernel of 5 x 5 without symmetry.
+KERNEL5 = [1, 0, -1, 0, 1, 2, 1, 0, -1, -2, 3, 2, 1, -2, -3, -1, 0, 1, 2, -2, 1, 1, -1, 0, 0]
+
 FILE_QUERIES = {
     "s_jpeg_files": _jpeg_files,
     "s_png_files": _png_files,
@@ -151,6 +165,13 @@ FILE_QUERIES = {
     "s_jpeg_shrink_px": _shrink_pixels,
     "b_threshold": lambda s, d: _counted(to_pixels(map_frames(from_pixels(large(s, d)), K.threshold))),
     "b_erode_px": lambda s, d: _counted(P.erode(large(s, d), 2)),
+    "b_dilate_px": lambda s, d: _counted(P.dilate(large(s, d), 1)),
+    "b_convolve_px": lambda s, d: _counted(P.convolve(large(s, d), KERNEL5, 5, 5)),
+    "b_gaussian_px": lambda s, d: _counted(P.gaussian_taps(large(s, d), 2)),
+    "b_adaptive_px": lambda s, d: _counted(P.adaptive_threshold(large(s, d), 5, 3)),
+    "b_integral_px": lambda s, d: _row_sums(P.integral(large(s, d))),
+    "b_equalize_px": lambda s, d: _counted(P.equalize(large(s, d))),
+    "b_normalize_px": lambda s, d: _counted(P.normalize(large(s, d))),
     "b_resize_area_px": lambda s, d: P.resize_area(large(s, d), ACROSS, ACROSS),
     "b_histogram": lambda s, d: P.histogram(large(s, d)),
     "b_components_px": lambda s, d: C.components_pixels(P.threshold(large(s, d))),
@@ -159,7 +180,7 @@ FILE_QUERIES = {
 
 
 def file_sql():
-    from imgspark.catalogue import px, sql
+    from imgspark.catalogue import D, R8, T8, px, sql
 
     three = "(SELECT unnest([0, 1, 2]) AS c)"
     grid = lambda w, h: f"(SELECT unnest(range({w})) AS x), (SELECT unnest(range({h})) AS y), {three}"
@@ -168,23 +189,67 @@ def file_sql():
     png = f"""SELECT 'png_indexed.png' AS name, y::INT AS y, x::INT AS x, c::INT AS c, CAST(51 * ((CASE c WHEN 0 THEN x WHEN 1 THEN y ELSE x + y END) % 6) AS INT) AS v FROM {grid(12, 10)}
       UNION ALL SELECT 'png_rgb.png', y::INT, x::INT, c::INT, CAST(CASE c WHEN 0 THEN x * 20 + y WHEN 1 THEN y * 25 ELSE 255 - x * y * 2 END AS INT) FROM {grid(12, 10)}
       UNION ALL SELECT 'png_gray16.png', y::INT, x::INT, 0, CAST(x * 20 + y AS INT) FROM {grid(12, 10)} WHERE c = 0"""
-    cells = f"cells AS (SELECT k, k // {ACROSS} AS cy, k % {ACROSS} AS cx, CAST(floor(abs(value)) % 256 AS INT) AS v FROM (SELECT unnest(range({ACROSS * ACROSS})) AS k) JOIN events ON event_id = k % 1000)"
-    zeros = lambda side: f"CAST((SELECT count(*) FROM cells) * ({SIDE * SIDE} - {side * side}) AS BIGINT)"
+
+    def pictures(pixels, names):
+        return f"""WITH p AS ({pixels}), s AS (SELECT ({names})[s_suppkey % {len(names)} + 1] AS name, count(*) AS n FROM supplier GROUP BY ALL)
+          SELECT name, y, x, c, n, v AS least, v AS largest FROM p JOIN s USING (name)"""
+
+    all_ = ACROSS * ACROSS
+    cells = f"""cells AS (SELECT f.i AS img_id, g.k, g.k // {ACROSS} AS cy, g.k % {ACROSS} AS cx, CAST(coalesce(floor(abs(value)) % 256, 0) AS INT) AS v
+      FROM (SELECT unnest(range((SELECT max(event_id) // {all_} + 1 FROM events))) AS i) f CROSS JOIN (SELECT unnest(range({all_})) AS k) g LEFT JOIN events ON event_id = f.i * {all_} + g.k)"""
     inner = SIDE - 2 * MARGIN
-    counted = lambda v, side: f"WITH {cells} SELECT v, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {v} AS v, {side * side} AS n FROM cells UNION ALL SELECT 0, {zeros(side)}) GROUP BY v"
-    lit = f"""WITH {cells} SELECT 1::BIGINT AS img_id, CAST(row_number() OVER (ORDER BY cy, cx) - 1 AS INT) AS id, CAST(cx * {SIDE} + {MARGIN} AS INT) AS x, CAST(cy * {SIDE} + {MARGIN} AS INT) AS y, {inner} AS width, {inner} AS height, {inner * inner}::BIGINT AS area,
+    # the places of a cell; what a neighbourhood of up to MARGIN sees depends on its own cell only
+    inside = lambda e: f"({e} BETWEEN {MARGIN} AND {SIDE - 1 - MARGIN})"
+    places = f"places AS (SELECT unnest(range({SIDE})) AS ly), xs AS (SELECT unnest(range({SIDE})) AS lx), levels AS (SELECT unnest(range(256)) AS v)"
+    pixel = f"cy * {SIDE} + ly AS y, cx * {SIDE} + lx AS x"
+
+    def counted(value, more=""):
+        """value: of v, ly and lx."""
+        return f"""WITH {cells}, {places}{more}, pat AS (SELECT v, ly, lx, CAST({value} AS INT) AS o FROM levels, places, xs),
+          pp AS (SELECT img_id, o, {pixel} FROM cells JOIN pat USING (v))
+          SELECT img_id, o AS v, count(*) AS n, CAST(sum(y * 1009 + x) AS BIGINT) AS places FROM pp GROUP BY ALL"""
+
+    square = lambda grow=0: f"(ly BETWEEN {MARGIN - grow} AND {SIDE - 1 - MARGIN + grow} AND lx BETWEEN {MARGIN - grow} AND {SIDE - 1 - MARGIN + grow})"
+    taps = " + ".join(f"{k} * CAST({inside(f'ly + {i // 5 - 2}')} AND {inside(f'lx + {i % 5 - 2}')} AS INT)" for i, k in enumerate(KERNEL5) if k)
+    weights = gaussian_weights(2)
+    row = T8(" + ".join(["0.0::DOUBLE", *[f"CASE WHEN {inside(f'lx + {i - 2}')} THEN v ELSE 0 END * {D(w)}" for i, w in enumerate(weights)]]))
+    blur = T8(" + ".join(["0.0::DOUBLE", *[f"CASE WHEN {inside(f'ly + {i - 2}')} THEN {row} ELSE 0 END * {D(w)}" for i, w in enumerate(weights)]]))
+    full, last = ACROSS * SIDE, SIDE - 1 - MARGIN
+    lit_in = lambda e: f"greatest(0, least({last}, {e} + 2) - greatest({MARGIN}, {e} - 2) + 1)"
+    window = lambda e: f"(least({full - 1}, {e} + 2) - greatest(0, {e} - 2) + 1)"
+    adaptive = f"""WITH {cells}, {places}, pp AS (SELECT img_id, v, ly, lx, {pixel} FROM cells, places, xs),
+      o AS (SELECT img_id, y, x, CASE WHEN CASE WHEN {square()} THEN v ELSE 0 END > (v * {lit_in('ly')} * {lit_in('lx')}) / ({window('y')} * {window('x')})::DOUBLE - 3 THEN 255 ELSE 0 END AS v FROM pp)
+      SELECT img_id, CAST(v AS INT) AS v, count(*) AS n, CAST(sum(y * 1009 + x) AS BIGINT) AS places FROM o GROUP BY ALL"""
+    pixels = f"{cells}, {places}, pp AS (SELECT img_id, CASE WHEN {square()} THEN v ELSE 0 END AS v, {pixel} FROM cells, places, xs)"
+    integral = f"""WITH {pixels}, r AS (SELECT img_id, y, x, sum(v) OVER (PARTITION BY img_id, y ORDER BY x) AS s FROM pp),
+      t AS (SELECT img_id, y + 1 AS y, x + 1 AS x, sum(s) OVER (PARTITION BY img_id, x ORDER BY y) AS s FROM r),
+      z AS (SELECT * FROM t UNION ALL SELECT i.img_id, 0, x, 0 FROM (SELECT DISTINCT img_id FROM cells) i, (SELECT unnest(range({full + 1})) AS x) UNION ALL SELECT i.img_id, y, 0, 0 FROM (SELECT DISTINCT img_id FROM cells) i, (SELECT unnest(range(1, {full + 1})) AS y))
+      SELECT img_id, CAST(y AS INT) AS y, count(*) AS n, CAST(sum(s) AS BIGINT) AS s, CAST(sum(s * x) AS BIGINT) AS sx FROM z GROUP BY ALL"""
+    looked = lambda lut: f"""WITH {pixels}, h AS (SELECT img_id, v, count(*) AS k FROM pp GROUP BY ALL), {lut}
+      SELECT img_id, CAST(o AS INT) AS v, count(*) AS n, CAST(sum(y * 1009 + x) AS BIGINT) AS places FROM pp JOIN m USING (img_id, v) GROUP BY ALL"""
+    equal = f"""d AS (SELECT *, sum(k) OVER (PARTITION BY img_id ORDER BY v) AS cdf, sum(k) OVER (PARTITION BY img_id) AS n FROM h), e AS (SELECT *, min(cdf) OVER (PARTITION BY img_id) AS low FROM d),
+      m AS (SELECT img_id, v, CASE WHEN n = low THEN 0 ELSE {R8("(cdf - low)::DOUBLE / greatest(1, n - low)::DOUBLE * 255")} END AS o FROM e)"""
+    normal = f"e AS (SELECT *, min(v) OVER (PARTITION BY img_id) AS lo, max(v) OVER (PARTITION BY img_id) AS hi FROM h), m AS (SELECT img_id, v, {T8('(v - lo)::DOUBLE / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * 255')} AS o FROM e)"
+    lit = f"""WITH {cells} SELECT img_id, CAST(row_number() OVER (PARTITION BY img_id ORDER BY cy, cx) - 1 AS INT) AS id, CAST(cx * {SIDE} + {MARGIN} AS INT) AS x, CAST(cy * {SIDE} + {MARGIN} AS INT) AS y, {inner} AS width, {inner} AS height, {inner * inner}::BIGINT AS area,
       cx * {SIDE} + {MARGIN} + {(inner - 1) / 2}::DOUBLE AS centroid_x, cy * {SIDE} + {MARGIN} + {(inner - 1) / 2}::DOUBLE AS centroid_y FROM cells WHERE v >= 128"""
     return {
-        "s_jpeg_files": jpeg,
-        "s_png_files": png,
+        "s_jpeg_files": pictures(jpeg, ["jpeg_420.jpg", "jpeg_refined.jpg"]),
+        "s_png_files": pictures(png, ["png_indexed.png", "png_rgb.png", "png_gray16.png"]),
         "s_read_save": px("v", "gray8"),
         "s_source": px("v", "rgbl"),
         "s_broken": sql("SELECT DISTINCT img_id, img_id % 7 <> 0 AND img_id % 11 <> 0 AS good, CASE WHEN img_id % 7 <> 0 AND img_id % 11 <> 0 THEN 8 END AS width FROM gray8", "gray8"),
         "s_jpeg_shrink_px": sql("SELECT DISTINCT img_id, 3072::BIGINT AS n, true AS within FROM gray8", "gray8"),
-        "b_threshold": counted("CASE WHEN v >= 128 THEN 255 ELSE 0 END", inner),
-        "b_erode_px": counted("v", inner - 4),
-        "b_resize_area_px": f"WITH {cells} SELECT 1::BIGINT AS img_id, cy::INT AS y, cx::INT AS x, 0 AS c, CAST(floor(v * {inner * inner} / {SIDE * SIDE}.0::DOUBLE + 0.5) AS INT) AS v FROM cells",
-        "b_histogram": f"WITH {cells}, h AS (SELECT v, sum(n) AS n FROM (SELECT v, {inner * inner} AS n FROM cells UNION ALL SELECT 0, {zeros(inner)}) GROUP BY v) SELECT 1::BIGINT AS img_id, 0 AS c, CAST(bin AS INT) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(range(256)) AS bin) LEFT JOIN h ON h.v = bin",
+        "b_threshold": counted(f"CASE WHEN v >= 128 AND {square()} THEN 255 ELSE 0 END"),
+        "b_erode_px": counted(f"CASE WHEN {square(-2)} THEN v ELSE 0 END"),
+        "b_dilate_px": counted(f"CASE WHEN {square(1)} THEN v ELSE 0 END"),
+        "b_convolve_px": counted(T8(f"v * ({taps})")),
+        "b_gaussian_px": counted(blur),
+        "b_adaptive_px": adaptive,
+        "b_integral_px": integral,
+        "b_equalize_px": looked(equal),
+        "b_normalize_px": looked(normal),
+        "b_resize_area_px": f"WITH {cells} SELECT img_id, cy::INT AS y, cx::INT AS x, 0 AS c, CAST(floor(v * {inner * inner} / {SIDE * SIDE}.0::DOUBLE + 0.5) AS INT) AS v FROM cells",
+        "b_histogram": f"WITH {pixels}, h AS (SELECT img_id, v, count(*) AS k FROM pp GROUP BY ALL) SELECT i.img_id, 0 AS c, CAST(bin AS INT) AS bin, CAST(coalesce(k, 0) AS BIGINT) AS n FROM (SELECT DISTINCT img_id FROM cells) i CROSS JOIN (SELECT unnest(range(256)) AS bin) b LEFT JOIN h ON h.v = bin AND h.img_id = i.img_id",
         "b_components_px": lit,
         "b_components": lit,
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from imgspark import fixtures as X
@@ -54,9 +56,20 @@ def _plan(spark, d):
     return to_pixels(plan.run(fr(spark, d, "rgb8")))
 
 
+#: Inverse maps of the affine helpers; turns by 30 and 90 degrees, a move, and a scaling about a point after it.
+MATRICES = {
+    "rotation": K.rotation_matrix(90, 3.5, 3.5),
+    "translation": K.translation_matrix(3, -2),
+    "scale": K.scale_matrix(2, 4, 8, 8),
+    "composed": K.compose_affine(K.translation_matrix(1, -2), K.scale_matrix(2, 0.5, 3, 3)),
+}
+
+
 def _matrices(spark, d):
-    found = {"rotation": K.rotation_matrix(90, 2, 3, 2), "translation": K.translation_matrix(3, -2), "scale": K.scale_matrix(2, 4, 8, 8), "composed": K.compose_affine(K.translation_matrix(3, -2), K.scale_matrix(2, 4, 8, 8))}
-    return spark.createDataFrame([(n, i, round(float(v), 9)) for n, m in found.items() for i, v in enumerate(m)], "name string, i int, v double")
+    """Every frame through every matrix: warps of one image are told apart by their names."""
+    px = X.gray8(spark, d)
+    parts = [P.warp_affine(px, m, 8, 8, 5).select(F.lit(n).alias("name"), *P.KEYS, "v") for n, m in MATRICES.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _boxes(spark, d):
@@ -116,7 +129,7 @@ MORE = {
 
 
 def more_sql():
-    from imgspark.catalogue import GRAY, GRAYW, SOBEL, T8, BINOMIAL, ext, gauss3, px, sobel, sql, stencil, _box
+    from imgspark.catalogue import GRAY, GRAYW, SOBEL, T8, BINOMIAL, ext, gauss3, px, sobel, sql, stencil, _box, _warp
 
     def comps(connectivity):
         near = "abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1" if connectivity == 8 else "abs(b.x - a.x) + abs(b.y - a.y) = 1"
@@ -150,14 +163,12 @@ def more_sql():
     within = sql("SELECT DISTINCT img_id, true AS within FROM rgb8", "rgb8")
     comp_cols = "SELECT img_id, id, x, y, width, height, area, centroid_x, centroid_y FROM o"
     near = lambda w, h, W, H: sql(f"SELECT g.img_id, ty::INT AS y, tx::INT AS x, g.c, v FROM (SELECT DISTINCT img_id, c FROM gray8) g CROSS JOIN range({H}) a(ty) CROSS JOIN range({W}) b(tx) JOIN gray8 s ON s.img_id = g.img_id AND s.y = least({h - 1}, ty * {h} // {H}) AND s.x = least({w - 1}, tx * {w} // {W})")
-    matrices = [("rotation", (0.0, 2.0, -4.0, -2.0, 0.0, 7.0)), ("translation", (1, 0, -3, 0, 1, 2)), ("scale", (0.5, 0, 4, 0, 0.25, 6)), ("composed", (0.5, 0, 2.5, 0, 0.25, 6.5))]
-    rows = ", ".join(f"('{n}', {i}, {float(v)}::DOUBLE)" for n, m in matrices for i, v in enumerate(m))
     return {
         "p_clamp_u8": f"SELECT l_orderkey, l_linenumber, l_partkey, CAST({T8('l_extendedprice / 200.0::DOUBLE - 20.0::DOUBLE')} AS INT) AS v FROM lineitem",
         "g_resize_fit": near(8, 8, 5, 5),
         "g_scale": near(8, 8, 12, 12),
         "g_resize_auto": sql("SELECT img_id, (y // 4)::INT AS y, (x // 4)::INT AS x, c, CAST(floor(sum(v) / 16.0::DOUBLE + 0.5) AS INT) AS v FROM ev16 GROUP BY img_id, y // 4, x // 4, c", "ev16"),
-        "g_affine_matrices": f"SELECT name, i, v FROM (VALUES {rows}) t(name, i, v)",
+        "g_affine_matrices": " UNION ALL ".join(f"SELECT '{n}' AS name, * FROM ({_warp(m, 8, 8, 5)})" for n, m in MATRICES.items()),
         "f_grayscale": px(GRAY, "rgb8", c="0"),
         "f_gaussian_r1": px("v", "o", gauss3("o", "gray8"), used="gray8"),
         "f_box_blur_compat": _box(True, "gray8", 8, 2),

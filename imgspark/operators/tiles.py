@@ -150,7 +150,8 @@ def integral(px: DataFrame, side: int = SIDE) -> DataFrame:
         rows = Rows(["img_id", "c", "ty", "tx", "way", "p", "s"], [np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.int64])
         for key, y0, x0, a in groups(batches):
             down, right = a.sum(0, dtype=np.int64).cumsum(), a.sum(1, dtype=np.int64).cumsum()
-            tall, wide = a.shape[0] == side, a.shape[1] == side  # else no tile comes after it that way
+            _, _, ty, tx = key
+            tall, wide = a.shape[0] == side or ty > 0, a.shape[1] == side or tx > 0  # else it is the only one that way
             for way, s in ((0, down[: tall * side]), (1, right[: wide * side]), (2, down[-1:] if tall and wide else down[:0])):
                 rows.add(*[np.full(len(s), k) for k in key], np.full(len(s), way), np.arange(len(s)), s)
             yield from rows.taken()
