@@ -172,6 +172,8 @@ FILE_QUERIES = {
     "b_integral_px": lambda s, d: _row_sums(P.integral(large(s, d))),
     "b_equalize_px": lambda s, d: _counted(P.equalize(large(s, d))),
     "b_normalize_px": lambda s, d: _counted(P.normalize(large(s, d))),
+    "b_resize_px": lambda s, d: _counted(P.resize_bilinear(large(s, d), ACROSS * SIDE // 2, ACROSS * SIDE // 2)),
+    "b_warp_px": lambda s, d: _counted(P.warp_affine(large(s, d), (1, 0, 2.5, 0, 1, -1.25), ACROSS * SIDE, ACROSS * SIDE)),
     "b_resize_area_px": lambda s, d: P.resize_area(large(s, d), ACROSS, ACROSS),
     "b_histogram": lambda s, d: P.histogram(large(s, d)),
     "b_components_px": lambda s, d: C.components_pixels(P.threshold(large(s, d))),
@@ -227,6 +229,13 @@ def file_sql():
       SELECT img_id, CAST(y AS INT) AS y, count(*) AS n, CAST(sum(s) AS BIGINT) AS s, CAST(sum(s * x) AS BIGINT) AS sx FROM z GROUP BY ALL"""
     looked = lambda lut: f"""WITH {pixels}, h AS (SELECT img_id, v, count(*) AS k FROM pp GROUP BY ALL), {lut}
       SELECT img_id, CAST(o AS INT) AS v, count(*) AS n, CAST(sum(y * 1009 + x) AS BIGINT) AS places FROM pp JOIN m USING (img_id, v) GROUP BY ALL"""
+    # each source pixel has a part in four targets; the last row is for targets without any
+    shift = f"""WITH {pixels}, parts AS (SELECT img_id, y + 2 AS y, x - 2 AS x, v * 0.125::DOUBLE AS v FROM pp UNION ALL SELECT img_id, y + 2, x - 3, v * 0.125::DOUBLE FROM pp
+        UNION ALL SELECT img_id, y + 1, x - 2, v * 0.375::DOUBLE FROM pp UNION ALL SELECT img_id, y + 1, x - 3, v * 0.375::DOUBLE FROM pp UNION ALL SELECT img_id, y, x, 0.0::DOUBLE FROM pp),
+      o AS (SELECT img_id, y, x, trunc(sum(v)) AS v FROM parts WHERE y BETWEEN 0 AND {full - 1} AND x BETWEEN 0 AND {full - 1} GROUP BY ALL)
+      SELECT img_id, CAST(v AS INT) AS v, count(*) AS n, CAST(sum(y * 1009 + x) AS BIGINT) AS places FROM o GROUP BY ALL"""
+    half = f"""WITH {pixels}, o AS (SELECT img_id, y // 2 AS y, x // 2 AS x, trunc(sum(v) / 4.0::DOUBLE) AS v FROM pp GROUP BY ALL)
+      SELECT img_id, CAST(v AS INT) AS v, count(*) AS n, CAST(sum(y * 1009 + x) AS BIGINT) AS places FROM o GROUP BY ALL"""
     equal = f"""d AS (SELECT *, sum(k) OVER (PARTITION BY img_id ORDER BY v) AS cdf, sum(k) OVER (PARTITION BY img_id) AS n FROM h), e AS (SELECT *, min(cdf) OVER (PARTITION BY img_id) AS low FROM d),
       m AS (SELECT img_id, v, CASE WHEN n = low THEN 0 ELSE {R8("(cdf - low)::DOUBLE / greatest(1, n - low)::DOUBLE * 255")} END AS o FROM e)"""
     normal = f"e AS (SELECT *, min(v) OVER (PARTITION BY img_id) AS lo, max(v) OVER (PARTITION BY img_id) AS hi FROM h), m AS (SELECT img_id, v, {T8('(v - lo)::DOUBLE / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * 255')} AS o FROM e)"
@@ -248,6 +257,8 @@ def file_sql():
         "b_integral_px": integral,
         "b_equalize_px": looked(equal),
         "b_normalize_px": looked(normal),
+        "b_resize_px": half,
+        "b_warp_px": shift,
         "b_resize_area_px": f"WITH {cells} SELECT img_id, cy::INT AS y, cx::INT AS x, 0 AS c, CAST(floor(v * {inner * inner} / {SIDE * SIDE}.0::DOUBLE + 0.5) AS INT) AS v FROM cells",
         "b_histogram": f"WITH {pixels}, h AS (SELECT img_id, v, count(*) AS k FROM pp GROUP BY ALL) SELECT i.img_id, 0 AS c, CAST(bin AS INT) AS bin, CAST(coalesce(k, 0) AS BIGINT) AS n FROM (SELECT DISTINCT img_id FROM cells) i CROSS JOIN (SELECT unnest(range(256)) AS bin) b LEFT JOIN h ON h.v = bin AND h.img_id = i.img_id",
         "b_components_px": lit,

@@ -152,11 +152,13 @@ def _size(f, width, height):
     return f.shape[1], f.shape[0]
 
 
+def nearest_axis(n, target):
+    return np.minimum(n - 1, np.arange(target) * n // target)
+
+
 def resize_nearest(f, width, height):
     w, h = _size(f, width, height)
-    sx = np.minimum(w - 1, np.arange(width) * w // width)
-    sy = np.minimum(h - 1, np.arange(height) * h // height)
-    return f[sy][:, sx]
+    return f[nearest_axis(h, height)][:, nearest_axis(w, width)]
 
 
 def bilinear_axis(n, target):
@@ -166,16 +168,20 @@ def bilinear_axis(n, target):
     return first, np.minimum(n - 1, first + 1), at - first
 
 
-def resize_bilinear(f, width, height):
-    w, h = _size(f, width, height)
-    x0, x1, wx = bilinear_axis(w, width)
-    y0, y1, wy = bilinear_axis(h, height)
+def bilinear_taps(f, rows, columns):
+    """rows, columns: places of f and weights, as of bilinear_axis."""
+    (y0, y1, wy), (x0, x1, wx) = rows, columns
     wx, wy = wx[None, :, None], wy[:, None, None]
     d = f.astype(np.float64)
     top, low = d[y0], d[y1]
     return np_trunc(top[:, x0] * ((1 - wx) * (1 - wy)) + top[:, x1] * (wx * (1 - wy)) + low[:, x0] * ((1 - wx) * wy) + low[:, x1] * (wx * wy))
 
 
+def resize_bilinear(f, width, height):
+    w, h = _size(f, width, height)
+    return bilinear_taps(f, bilinear_axis(h, height), bilinear_axis(w, width))
+
+
 def overlap(n, target):
     """(target, n) lengths that cell t shares with pixel s."""
     t, s, step = np.arange(target)[:, None], np.arange(n)[None, :], n / target
@@ -224,22 +230,25 @@ def scale(f, factor, method="bilinear"):
     return resize(f, max(1, half_up(f.shape[1] * factor)), max(1, half_up(f.shape[0] * factor)), method)
 
 
-def resize_q15(f, width, height):
-    """Bilinear in fixed point: weights and each of the two passes rounded at 15 bits."""
-    w, h = _size(f, width, height)
+def q15_axis(n, target):
+    first, second, weight = bilinear_axis(n, target)
+    return first, second, np.trunc(weight * 32768 + 0.5).astype(np.int64)
 
-    def axis(n, target):
-        first, second, weight = bilinear_axis(n, target)
-        return first, second, np.trunc(weight * 32768 + 0.5).astype(np.int64)
 
-    x0, x1, qx = axis(w, width)
-    y0, y1, qy = axis(h, height)
+def q15_taps(f, rows, columns):
+    (y0, y1, qy), (x0, x1, qx) = rows, columns
     qx, qy, d = qx[None, :, None], qy[:, None, None], f.astype(np.int64)
     top = (d[y0][:, x0] * (32768 - qx) + d[y0][:, x1] * qx + 16384) >> 15
     low = (d[y1][:, x0] * (32768 - qx) + d[y1][:, x1] * qx + 16384) >> 15
     return np.clip((top * (32768 - qy) + low * qy + 16384) >> 15, 0, 255).astype(np.uint8)
 
 
+def resize_q15(f, width, height):
+    """Bilinear in fixed point: weights and each of the two passes rounded at 15 bits."""
+    w, h = _size(f, width, height)
+    return q15_taps(f, q15_axis(h, height), q15_axis(w, width))
+
+
 def resize_auto(f, width, height):
     """Area where both sides shrink below a half, else fixed-point bilinear."""
     if width / f.shape[1] < 0.5 and height / f.shape[0] < 0.5:
@@ -272,18 +281,24 @@ def compose_affine(a, b):
 
 def warp_affine(f, matrix, width=None, height=None, border=0):
     h, w = f.shape[:2]
-    width, height = width or w, height or h
+    return warp_part(f, 0, 0, h, w, (0, 0, height or h, width or w), matrix, border)
+
+
+def warp_part(f, y0, x0, h, w, box, matrix, border=0):
+    """The targets of box (top, left, bottom, right) of a warp of an h x w image; f is the part of it at (y0, x0) that holds
+    all of their taps."""
+    top, left, bottom, right = box
     a, b, c, d, e, g = matrix
-    x, y = np.meshgrid(np.arange(width, dtype=np.float64), np.arange(height, dtype=np.float64))
+    x, y = np.meshgrid(np.arange(left, right, dtype=np.float64), np.arange(top, bottom, dtype=np.float64))
     sx, sy = a * x + b * y + c, d * x + e * y + g
-    x0, y0 = np.floor(sx).astype(np.int64), np.floor(sy).astype(np.int64)
-    wx, wy = (sx - x0)[..., None], (sy - y0)[..., None]
+    fx, fy = np.floor(sx).astype(np.int64), np.floor(sy).astype(np.int64)
+    wx, wy = (sx - fx)[..., None], (sy - fy)[..., None]
 
     def tap(px, py):
         ok = (px >= 0) & (px < w) & (py >= 0) & (py < h)
-        return np.where(ok[..., None], f[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)], border).astype(np.float64)
+        return np.where(ok[..., None], f[np.clip(py - y0, 0, f.shape[0] - 1), np.clip(px - x0, 0, f.shape[1] - 1)], border).astype(np.float64)
 
-    return np_trunc(tap(x0, y0) * (1 - wx) * (1 - wy) + tap(x0 + 1, y0) * wx * (1 - wy) + tap(x0, y0 + 1) * (1 - wx) * wy + tap(x0 + 1, y0 + 1) * wx * wy)
+    return np_trunc(tap(fx, fy) * (1 - wx) * (1 - wy) + tap(fx + 1, fy) * wx * (1 - wy) + tap(fx, fy + 1) * (1 - wx) * wy + tap(fx + 1, fy + 1) * wx * wy)
 
 
 # ---- neighbourhoods

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from imgspark.functions.semantics import GRAY, gamma_table, half_up, half_up_u8, trunc_u8, wrap_u8
 from imgspark.operators import kernels as K
+from imgspark.operators.tiles import gather
 from imgspark.operators.tiles import integral as prefix_sums
 from imgspark.operators.tiles import neighbourhood
 
@@ -166,83 +167,37 @@ def rotate270(px):
     return moved(px, F.col("w") - 1 - F.col("x"), F.col("y"))
 
 
-def targets(px, width, height) -> DataFrame:
-    """The target grid of every plane: img_id, c, w, h, ty, tx."""
-    planes = px.groupBy("img_id", "c").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    grid = planes.withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    return grid
+def _resized(px, width, height, axis, taps) -> DataFrame:
+    """Target tiles ask for the source tiles under them; axis and taps are a frame kernel's."""
 
+    def part(of, places, start, stop, origin):
+        got = axis(of, places)
+        first = [g[start:stop] for g in (got if isinstance(got, tuple) else (got,))]
+        return [g - origin if i < 2 else g for i, g in enumerate(first)]
 
-def gathered(px, grid, taps: list[tuple[Column, Column, Column]], finish, border: Column | None = None) -> DataFrame:
-    """Target pixels from weighted source pixels: taps are (sy, sx, weight); one equi-join on the
-    exploded taps, then the taps of a target in their order. finish: expression of v0, v1, ..."""
-    n = len(taps)
-    rows = grid.select("img_id", "c", "ty", "tx", *[w.alias(f"k{i}") for i, (_, _, w) in enumerate(taps)], F.posexplode(F.array(*[F.struct(y.cast("int").alias("y"), x.cast("int").alias("x")) for y, x, _ in taps])).alias("i", "s"))
-    rows = rows.select("img_id", "c", "ty", "tx", "i", *[f"k{i}" for i in range(n)], F.col("s.y").alias("y"), F.col("s.x").alias("x"))
-    hit = rows.join(px, KEYS, "left")
-    keys = ["img_id", "ty", "tx", "c"]
-    got = hit.groupBy(*keys, *[f"k{i}" for i in range(n)]).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"v{i}") for i in range(n)])
-    v = [F.coalesce(F.col(f"v{i}"), border) if border is not None else F.col(f"v{i}") for i in range(n)]
-    return got.select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", finish(v, [F.col(f"k{i}") for i in range(n)]).cast("int").alias("v"))
+    def sample(a, y0, x0, h, w, box):
+        top, left, bottom, right = box
+        return taps(a, part(h, height, top, bottom, y0), part(w, width, left, right, x0))
 
+    def under(start, stop, n, target):
+        return F.floor(start * n / target) - 2, F.ceil(stop * n / target) + 2
 
-def _axis(p: Column, n: Column, target: int):
-    """(first tap, second tap, weight of the second) of a target place on an axis of n source places."""
-    at = (p + F.lit(0.5)) * n / target - F.lit(0.5)
-    first = F.greatest(F.lit(0), F.floor(at)).cast("int")
-    return first, F.least(n - 1, first + 1), at - first
+    def box(top, left, bottom, right, h, w):
+        return *under(top, bottom, h, height), *under(left, right, w, width)
 
-
-def _used(p: str, n: str, target: int, spread: float):
-    """The target places that may use source place p: a few around its image on the target axis."""
-    scale = F.lit(float(target)) / F.col(n)
-    low = F.floor((F.col(p) + F.lit(0.5 - spread)) * scale - F.lit(1.5))
-    high = F.ceil((F.col(p) + F.lit(0.5 + spread)) * scale + F.lit(0.5))
-    # the last source place also serves what lies beyond it, the first what lies before
-    high = F.when(F.col(p) >= F.col(n) - 2, F.lit(target - 1)).otherwise(high)
-    low = F.when(F.col(p) <= 1, F.lit(0)).otherwise(low)
-    return F.sequence(F.greatest(F.lit(0), low).cast("int"), F.greatest(F.lit(0), F.least(F.lit(target - 1), high)).cast("int"))
+    return gather(px, width, height, lambda h, w: (h / height, w / width), box, sample)
 
 
 def resize_nearest(px, width, height):
-    """Each source pixel goes to the targets that it is nearest to: no join but that of sizes."""
-    d = sized(px).withColumn("ty", F.explode(_used("y", "h", height, 0.5))).withColumn("tx", F.explode(_used("x", "w", width, 0.5)))
-    at = lambda t, n, to: F.least(F.col(n) - 1, F.floor(F.col(t) * F.col(n) / to)).cast("int")
-    d = d.filter((F.col("y") == at("ty", "h", height)) & (F.col("x") == at("tx", "w", width)))
-    return d.select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", "v")
-
-
-def _spread(d, width, height, weight, finish):
-    """d: sized pixels. Each source pixel goes to the targets that it is a tap of; one aggregate by target then has the
-    four taps (y, x) in order 00, 01, 10, 11. weight: from a place's fraction to what finish takes."""
-
-    def taps(d, p, n, t, to):
-        d = d.withColumn(t, F.explode(_used(p, n, to, 1.0)))
-        first, second, k = _axis(F.col(t), F.col(n), to)
-        d = d.withColumn(f"{t}0", F.col(p) == first).withColumn(f"{t}1", F.col(p) == second).withColumn(f"{t}k", weight(k))
-        return d.filter(F.col(f"{t}0") | F.col(f"{t}1"))
-
-    d = taps(taps(d, "y", "h", "ty", height), "x", "w", "tx", width)
-    v = [F.max(F.when(F.col(f"ty{i}") & F.col(f"tx{j}"), F.col("v"))).alias(f"v{i}{j}") for i in (0, 1) for j in (0, 1)]
-    got = d.groupBy("img_id", "ty", "tx", "c").agg(*v, F.first("txk").alias("kx"), F.first("tyk").alias("ky"))
-    out = finish([F.col(f"v{i}{j}") for i in (0, 1) for j in (0, 1)], F.col("kx"), F.col("ky"))
-    return got.select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", out.cast("int").alias("v"))
+    return _resized(px, width, height, K.nearest_axis, lambda a, rows, columns: a[rows[0]][:, columns[0]])
 
 
 def resize_bilinear(px, width, height):
-    return _bilinear(sized(px), width, height)
-
-
-def _bilinear(d, width, height):
-    return _spread(d, width, height, lambda k: k, lambda v, x, y: trunc_u8(v[0] * ((1 - x) * (1 - y)) + v[1] * (x * (1 - y)) + v[2] * ((1 - x) * y) + v[3] * (x * y)))
+    return _resized(px, width, height, K.bilinear_axis, K.bilinear_taps)
 
 
 def resize_q15(px, width, height):
-    def finish(v, x, y):
-        row = lambda a, b: F.shiftright(a * (32768 - x) + b * x + 16384, 15)
-        return F.least(F.lit(255), F.greatest(F.lit(0), F.shiftright(row(v[0], v[1]) * (32768 - y) + row(v[2], v[3]) * y + 16384, 15)))
-
-    return _spread(sized(px), width, height, lambda k: (k * 32768 + F.lit(0.5)).cast("long"), finish)
+    return _resized(px, width, height, K.q15_axis, K.q15_taps)
 
 
 def resize_area(px, width, height):
@@ -250,7 +205,7 @@ def resize_area(px, width, height):
     Images that don't shrink on both sides are resized bilinearly."""
     both = sized(px)
     shrinks = (F.col("w") > width) & (F.col("h") > height)
-    return _area(both.filter(shrinks), width, height).unionByName(_bilinear(both.filter(~shrinks), width, height))
+    return _area(both.filter(shrinks), width, height).unionByName(resize_bilinear(both.filter(~shrinks), width, height))
 
 
 def _area(d, width, height):
@@ -271,42 +226,22 @@ def _area(d, width, height):
     return out.select("img_id", F.col("ty").cast("int").alias("y"), F.col("tx").cast("int").alias("x"), "c", "v")
 
 
-#: Candidate targets for each target pixel up to which sources are sent to them; beyond (matrices that are
-#: singular or nearly so) targets are joined with their sources.
-MOST_CANDIDATES = 40
-
-
 def warp_affine(px, matrix, width, height, border=0):
-    """Bilinear, through the inverse map. Each source pixel goes to the targets around its image, and one
-    aggregate has the four taps of a target; the grid itself takes part with no value, so that targets
-    without any source are there."""
+    """Bilinear, through the inverse map, which may be singular: a target tile asks for the source tiles that the
+    images of its corners span."""
     a, b, c, d, e, f = map(float, matrix)
-    det = a * e - b * d
-    rx, ry = (abs(e) + abs(b)) / abs(det) if det else 0, (abs(d) + abs(a)) / abs(det) if det else 0
-    tx, ty = F.col("tx").cast("double"), F.col("ty").cast("double")
-    sx, sy = F.lit(a) * tx + F.lit(b) * ty + F.lit(c), F.lit(d) * tx + F.lit(e) * ty + F.lit(f)
-    x0, y0 = F.floor(sx), F.floor(sy)
-
-    def finish(v, k):
-        wx, wy = k
-        return trunc_u8(v[0] * (1 - wx) * (1 - wy) + v[1] * wx * (1 - wy) + v[2] * (1 - wx) * wy + v[3] * wx * wy)
-
-    if not det or (2 * rx + 3) * (2 * ry + 3) * abs(det) > MOST_CANDIDATES:
-        taps = [(y0, x0, sx - x0), (y0, x0 + 1, sy - y0), (y0 + 1, x0, F.lit(0.0)), (y0 + 1, x0 + 1, F.lit(0.0))]
-        return gathered(px, targets(px, width, height), taps, lambda v, k: finish(v, k[:2]), F.lit(border))
-
-    def around(centre, r, n):
-        low, high = F.greatest(F.lit(0), F.floor(centre - r) - 1).cast("int"), F.least(F.lit(n - 1), F.ceil(centre + r) + 1).cast("int")
-        return F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")))
-
-    dx, dy = F.col("x") - F.lit(c), F.col("y") - F.lit(f)
-    hit = px.withColumn("tx", around(F.lit(e / det) * dx - F.lit(b / det) * dy, rx, width)).withColumn("ty", around(F.lit(a / det) * dy - F.lit(d / det) * dx, ry, height))
-    hit = hit.select("img_id", "c", "ty", "tx", (F.col("y") - y0).alias("i"), (F.col("x") - x0).alias("j"), "v").filter("i in (0, 1) and j in (0, 1)")
-    grid = targets(px, width, height).select("img_id", "c", "ty", "tx", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(None).cast("int").alias("v"))
-    v = [F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v"))).alias(f"v{i}{j}") for i in (0, 1) for j in (0, 1)]
-    got = hit.unionByName(grid).groupBy("img_id", "ty", "tx", "c").agg(*v)
-    out = finish([F.coalesce(F.col(f"v{i}{j}"), F.lit(border)) for i in (0, 1) for j in (0, 1)], (sx - x0, sy - y0))
-    return got.select("img_id", F.col("ty").alias("y"), F.col("tx").alias("x"), "c", out.cast("int").alias("v"))
+
+    def span(k, m, n, top, left, bottom, right):
+        ends = [F.lit(k) * x + F.lit(m) * y + F.lit(n) for x in (left, right - 1) for y in (top, bottom - 1)]
+        return F.floor(F.least(*ends)) - 1, F.floor(F.greatest(*ends)) + 2
+
+    def box(top, left, bottom, right, h, w):
+        return *span(d, e, f, top, left, bottom, right), *span(a, b, c, top, left, bottom, right)
+
+    def sample(part, y0, x0, h, w, at):
+        return K.warp_part(part, y0, x0, h, w, at, (a, b, c, d, e, f), border)
+
+    return gather(px, width, height, lambda h, w: (F.lit(abs(d) + abs(e)), F.lit(abs(a) + abs(b))), box, sample)
 
 
 # ---- neighbourhoods: a numpy kernel on tiles with a halo, one exchange by tile

@@ -193,3 +193,61 @@ def integral(px: DataFrame, side: int = SIDE) -> DataFrame:
         yield from rows.taken(1)
 
     return whole.join(carries, TILE, "left").mapInArrow(run, "img_id long, c int, y int, x int, s long")
+
+
+# ---- resampling
+
+
+def gather(px: DataFrame, width: int, height: int, scale, box, sample, side: int = SIDE) -> DataFrame:
+    """width x height targets of every plane, tile by tile: a target tile asks for the source tiles that it needs, runs
+    of these come to it in one exchange, and numpy resamples.
+
+    scale(h, w): source places for each target place, (down, across), as columns; target tiles shrink by it, so
+    that what a tile asks for stays about as large as a tile. box(top, left, bottom, right, h, w): columns for the
+    first and last source row and column that a target tile may use. sample(part, y0, x0, h, w, box): its values."""
+    sizes = px.groupBy("img_id", "c").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    down, across = scale(F.col("h"), F.col("w"))
+    step = lambda s, n: F.greatest(F.lit(1), F.least(F.lit(n), F.floor(side / F.greatest(s, F.lit(1.0))))).cast("int")
+    grid = sizes.withColumn("ys", step(down, height)).withColumn("xs", step(across, width))
+    grid = grid.withColumn("ty", F.explode(F.sequence(F.lit(0), F.expr(f"cast(({height} - 1) div ys as int)")))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.expr(f"cast(({width} - 1) div xs as int)"))))
+    grid = grid.withColumn("top", F.col("ty") * F.col("ys")).withColumn("left", F.col("tx") * F.col("xs"))
+    grid = grid.withColumn("bottom", F.least(F.lit(height), F.col("top") + F.col("ys"))).withColumn("right", F.least(F.lit(width), F.col("left") + F.col("xs")))
+    about = [*TILE, "top", "left", "bottom", "right", "h", "w"]
+    y0, y1, x0, x1 = box(*[F.col(n) for n in about[4:]])
+    asked = grid.select(*about, F.greatest(F.lit(0), y0).cast("int").alias("y0"), F.least(F.col("h") - 1, y1).cast("int").alias("y1"), F.greatest(F.lit(0), x0).cast("int").alias("x0"), F.least(F.col("w") - 1, x1).cast("int").alias("x1")).filter("y0 <= y1 AND x0 <= x1")
+    asked = asked.withColumn("sy", F.explode(F.expr(f"sequence(y0 div {side}, y1 div {side})"))).withColumn("sx", F.explode(F.expr(f"sequence(x0 div {side}, x1 div {side})")))
+    source = runs(px, 0, side).select("img_id", "c", F.col("ty").cast("long").alias("sy"), F.col("tx").cast("long").alias("sx"), "y", "x", "v")
+    hit = asked.join(source, ["img_id", "c", "sy", "sx"]).filter("y BETWEEN y0 AND y1").select(*about, "y", "x", "v")
+    # every target tile is there, also where it asks for nothing
+    nothing = [F.lit(None).cast(k).alias(n) for n, k in (("y", "int"), ("x", "int"), ("v", "binary"))]
+    rows = grid.select(*about, *nothing).unionByName(hit).repartition(*TILE).sortWithinPartitions(*TILE)
+
+    def run(batches):
+        out = Rows(["img_id", "y", "x", "c", "v"], [np.int64, np.int32, np.int32, np.int32, np.int32])
+        held, key = [], None
+
+        def made():
+            img, c, _, _, top, left, bottom, right, h, w = key
+            y, x = min((r[0] for r in held), default=0), min((r[1] for r in held), default=0)
+            a = np.zeros((max((r[0] for r in held), default=0) - y + 1, max((r[1] + len(r[2]) for r in held), default=1) - x, 1), np.uint8)
+            for at, start, v in held:
+                a[at - y, start - x : start - x + len(v), 0] = np.frombuffer(v, np.uint8)
+            v = np.asarray(sample(a, y, x, h, w, (top, left, bottom, right))).reshape(bottom - top, right - left)
+            ys, xs = np.indices(v.shape, np.int32)
+            out.add(np.full(v.size, img), (ys + top).ravel(), (xs + left).ravel(), np.full(v.size, c), v.ravel())
+
+        for batch in batches:
+            cols = [batch.column(n).to_pylist() for n in (*about, "y", "x", "v")]
+            for *this, y, x, v in zip(*cols):
+                if tuple(this) != key:
+                    if key is not None:
+                        made()
+                        yield from out.taken()
+                    held, key = [], tuple(this)
+                if v is not None:
+                    held.append((y, x, v))
+        if key is not None:
+            made()
+        yield from out.taken(1)
+
+    return rows.mapInArrow(run, "img_id long, y int, x int, c int, v int")

@@ -79,6 +79,32 @@ def test_aggregates_per_plane(px, frames):
             assert (normal[i][..., c : c + 1] == K.normalize(a[..., c : c + 1])).all()
 
 
+SIZES = [(9, 5), (40, 70), (1, 1), (29, 3)]
+
+
+@pytest.mark.parametrize("side", [8, 512])
+@pytest.mark.parametrize("width, height", SIZES)
+@pytest.mark.parametrize("name", ["resize_nearest", "resize_bilinear", "resize_q15"])
+def test_resizing_by_tiles(px, frames, monkeypatch, side, width, height, name):
+    monkeypatch.setattr(P, "gather", lambda *a: T.gather(*a, side=side))
+    want = {i: getattr(K, name)(a, width, height) for i, a in frames.items()}
+    got = arrays(getattr(P, name)(px, width, height), want)
+    assert all((got[i] == want[i]).all() for i in want)
+
+
+MATRICES = [K.rotation_matrix(30, 12, 9, 1.3), (1, 0, 3, 0, 1, -2), (0.1, 0, 2, 0, 0.2, 1), (7.5, 0, -20, 0, 9, -3), (0, 0, 4.5, 0, 0, 2.25), (1, 1, 0, 1, 1, 0), (1, 0, 500, 0, 1, 500)]
+
+
+@pytest.mark.parametrize("side", [8, 512])
+@pytest.mark.parametrize("matrix", MATRICES)
+def test_warps_by_tiles(px, frames, monkeypatch, side, matrix):
+    """Shrinking, growing, singular and far-off maps alike."""
+    monkeypatch.setattr(P, "gather", lambda *a: T.gather(*a, side=side))
+    want = {i: K.warp_affine(a, matrix, 21, 33, 7) for i, a in frames.items()}
+    got = arrays(P.warp_affine(px, matrix, 21, 33, 7), want)
+    assert all((got[i] == want[i]).all() for i in want)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
