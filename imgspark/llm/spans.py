@@ -26,10 +26,11 @@ from pyspark.sql import types as T
 from imgspark.llm.scratch import Scratch, broadcast_bloom, in_bloom, lean, split_by_keys
 from imgspark.llm.shingles import U, in_slices, mix
 
-#: Words of a run, of the shortest span that goes, and of the longest piece of a sentence.
-RUN, LEAST, MOST = 16, 40, 16
+#: Words of a run, of the shortest span that goes, and of the longest piece of a sentence. A passage that is set
+#: into other sentences loses a piece at either end, so a span is shorter than what is to be found (51 words).
+RUN, LEAST, MOST = 16, 39, 16
 #: No cut inside a sentence within NEAR words of its ends; beyond, one place of ONE_IN is a cut.
-NEAR, ONE_IN = 7, 4
+NEAR, ONE_IN = 3, 3
 ENDING = re.compile(r"[.!?][^\w]*$")
 WORD = re.compile(r"\S+")
 
