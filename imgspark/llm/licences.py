@@ -199,6 +199,8 @@ NEAR_MISSES = [
 ]
 NEGATIVE, RESERVED, GENERAL, VERSIONED = "none", "proprietary", "gpl", "^[al]?gpl-"
 NAMES = {"apache", "mit", "bsd", "isc", "gnu", "lesser", "affero", "mozilla", "cc", "commons", "by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd", "attribution", "attribution-sharealike", "attribution-noderivatives", "attribution-noncommercial", "attribution-noncommercial-sharealike", "attribution-noncommercial-noderivatives"}
+#: Fixed list: words of any text. N-grams of these alone are no features.
+COMMON = frozenset("the of and to in is that for it was on be with are this from at or a an as you he her his not but".split())
 ORDER = 3
 #: Rows that the classifier is fitted on, for each family; half as many are held out for calibration.
 ROWS = 160
@@ -223,8 +225,9 @@ def bare(w: str) -> str:
 
 
 def grams(tokens: list[str]) -> set[str]:
-    """The 1- to 3-word n-grams; the end of a sentence alone is none."""
-    return {" ".join(tokens[i : i + n]) for n in range(1, ORDER + 1) for i in range(len(tokens) - n + 1)} - {STOP}
+    """The 1- to 3-word n-grams with a word that is not in any text."""
+    dull = [w in COMMON or w == STOP for w in tokens]
+    return {" ".join(tokens[i : i + n]) for n in range(1, ORDER + 1) for i in range(len(tokens) - n + 1) if not all(dull[i : i + n])}
 
 
 def telling(tokens: list[str]) -> list[str]:
@@ -305,6 +308,29 @@ def model():
     return families, vocab, np.round(w, 6), np.round(b, 6), float(round(threshold, 2)), float(right)
 
 
+@lru_cache(1)
+def anchors() -> tuple[list[str], float]:
+    """(words, reach): a text without any of these words cannot reach the threshold, even if it had every other
+    n-gram that speaks for a family and none that speaks against it; reach is the share that such a text could
+    have. Words that speak least are left out first, as long as that holds."""
+    families, vocab, w, b, threshold, _ = model()
+    none = families.index(NEGATIVE)
+    gain = np.delete(np.maximum(w - w[:, [none]], 0), none, 1)
+    start = np.delete(b - b[none], none)
+    held = [{x for x in g.split() if x not in COMMON and x != STOP} for g in vocab]
+    mass: dict[str, float] = {}
+    for ws, m in zip(held, gain.max(1)):
+        for x in ws:
+            mass[x] = mass.get(x, 0.0) + float(m)
+    kept, total = set(mass), start.copy()
+    for x in sorted(mass, key=lambda x: (mass[x], x)):
+        freed = [i for i, ws in enumerate(held) if x in ws and not (ws - {x}) & kept]
+        after = total + gain[freed].sum(0)
+        if (1 / (1 + np.exp(-after))).max() < threshold - 0.01:
+            kept, total = kept - {x}, after
+    return sorted(kept), float((1 / (1 + np.exp(-total))).max())
+
+
 def softmax(z):
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -333,8 +359,8 @@ BREAK = r"(?<=[.!?:;])[ \t\r]*\n|\n(?=[ \t\r]*\n)"
 def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, family, confidence, confirmed) of each paragraph or line that the classifier claims.
 
-    paragraph is the number of the paragraph, from 0. Texts are whole, and every paragraph is judged. The tables of
-    weights and of template n-grams are broadcast: their size is that of TEMPLATES. Null and empty texts have no
+    paragraph is the number of the paragraph, from 0. Texts are whole; what has no anchor cannot reach the
+    threshold and goes no further. The tables of weights and of template n-grams are broadcast: their size is that of TEMPLATES. Null and empty texts have no
     paragraphs; repeated rows with an equal id, null ids among them, count as one document; ties of
     classes go to the family last in order; other columns are ignored.
     """
@@ -346,6 +372,7 @@ def licence_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     units = F.filter(F.transform(F.split("p", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("s"))), lambda u: F.trim(u["s"]) != "")
     units = F.when(F.col("p").contains("\n"), F.concat(units, F.array(F.struct(F.lit(-1).alias("line"), F.col("p").alias("s"))))).otherwise(units)
     rows = parts.select("doc_id", "paragraph", F.explode(units).alias("u")).select("doc_id", "paragraph", "u.line", word_array(F.col("u.s")).alias("w"))
+    rows = rows.filter(F.arrays_overlap("w", F.array(*map(F.lit, anchors()[0]))))
     table = spark.createDataFrame([(g, i, [float(v) for v in w[i]]) for i, g in enumerate(vocab)], "g string, i int, w array<double>")
     # n-grams that no template has don't go further; distinct, as rows of one id may repeat
     key = ["doc_id", "paragraph", "line"]

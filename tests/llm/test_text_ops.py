@@ -532,7 +532,9 @@ def test_licences_equal_brute_force(spark):
 
 
 def test_licences_without_a_usual_anchor(spark):
-    """Notices without the word licence, or with words left out, are found."""
+    """No text can reach the threshold without an anchor; notices without the word licence, or with words left out, are found."""
+    words_, reach = licences.anchors()
+    assert reach < licences.model()[4] and len(words_) < 200
     texts = {
         "This photo is shared under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0",
         "This source code form is subject to the terms of the Mozilla Public v 2.0.": "mpl-2.0",
