@@ -53,6 +53,9 @@ PLANS = {
     "l_be": (Plan().blur(1).edges(), "gray8"),
     "l_gbe": (Plan().grayscale().blur(1).edges(), "rgb8"),
     "l_bte": (Plan().blur(2).edges(), "ev16"),
+    "l_point_table": (Plan().brightness_contrast(12.5, 1.4).gamma(2.2).invert(), "rgb8"),
+    "l_crop_first": (Plan().blur(2).edges().crop(1, 3, 9, 6), "ev16"),
+    "l_channel_first": (Plan().sharpen(1.0).invert().extract_channel(1), "rgb8"),
 }
 
 QUERIES = {
@@ -361,6 +364,9 @@ ORACLE = {
     "l_be": sql("SELECT * FROM o", "gray8", stencil("bn", "gray8", BINOMIAL, 8, "k::INT >> 4") + ", " + sobel("o", "bn")),
     "l_gbe": sql("SELECT * FROM o", "rgb8", GRAYW + ", " + stencil("bn", "gw", BINOMIAL, 8, "k::INT >> 4") + ", " + sobel("o", "bn")),
     "l_bte": sql("SELECT * FROM o", "ev16", gauss("gs", "ev16", gaussian_weights(2)) + ", " + sobel("o", "gs", 16)),
+    "l_point_table": px(f"255 - ([{', '.join(map(str, gamma_table(2.2)))}])[{T8('(v - 128) * 1.4::DOUBLE + 128 + 12.5::DOUBLE')}::INT + 1]", "rgbl"),
+    "l_crop_first": sql("SELECT img_id, y - 3 AS y, x - 1 AS x, c, v FROM o WHERE x BETWEEN 1 AND 9 AND y BETWEEN 3 AND 8", "ev16", gauss("gs", "ev16", gaussian_weights(2)) + ", " + sobel("o", "gs", 16)),
+    "l_channel_first": sql("SELECT img_id, y, x, 0 AS c, 255 - v AS v FROM o WHERE c = 1", "rgbl", stencil("o", "rgbl", kernel(SHARP, 3, 3), 8, "least(255, greatest(0, k))")),
     "l_unfused_chain": sql("SELECT * FROM o", "rgb8", GRAYW + ", " + gauss3("gs", "gw") + ", " + sobel("o", "gs")),
 }
 

@@ -16,6 +16,7 @@ from imgspark.operators import components as C
 from imgspark.operators import kernels as K
 from imgspark.operators import pixels as P
 from imgspark.sources import codecs, reader
+from imgspark.sources.bands import png_files
 
 #: Small files written by the Java runtime's image writers: 4:2:0 baseline; 4:2:0 progressive with
 #: successive approximation; palette; 8-bit RGB; 16-bit gray.
@@ -163,6 +164,7 @@ FILE_QUERIES = {
     "s_source": _source,
     "s_broken": _broken,
     "s_jpeg_shrink_px": _shrink_pixels,
+    "s_png_parallel": lambda s, d: _counted(to_pixels(codecs.decode_frames(png_files(large(s, d)).select("path", "content")).withColumn("img_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long")))),
     "b_threshold": lambda s, d: _counted(to_pixels(map_frames(from_pixels(large(s, d)), K.threshold))),
     "b_erode_px": lambda s, d: _counted(P.erode(large(s, d), 2)),
     "b_dilate_px": lambda s, d: _counted(P.dilate(large(s, d), 1)),
@@ -248,6 +250,7 @@ def file_sql():
         "s_source": px("v", "rgbl"),
         "s_broken": sql("SELECT DISTINCT img_id, img_id % 7 <> 0 AND img_id % 11 <> 0 AS good, CASE WHEN img_id % 7 <> 0 AND img_id % 11 <> 0 THEN 8 END AS width FROM gray8", "gray8"),
         "s_jpeg_shrink_px": sql("SELECT DISTINCT img_id, 3072::BIGINT AS n, true AS within FROM gray8", "gray8"),
+        "s_png_parallel": counted(f"CASE WHEN {square()} THEN v ELSE 0 END"),
         "b_threshold": counted(f"CASE WHEN v >= 128 AND {square()} THEN 255 ELSE 0 END"),
         "b_erode_px": counted(f"CASE WHEN {square(-2)} THEN v ELSE 0 END"),
         "b_dilate_px": counted(f"CASE WHEN {square(1)} THEN v ELSE 0 END"),

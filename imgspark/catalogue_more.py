@@ -96,6 +96,19 @@ def _udtf(spark, d):
     return spark.sql("SELECT f.img_id, t.id, t.x, t.y, t.width, t.height, t.area FROM frames_t f, LATERAL frame_components(f.width, f.height, f.channels, f.data) t")
 
 
+def _arrow_udf(spark, d):
+    R.register_functions(spark)
+    fr(spark, d).createOrReplaceTempView("frames_h")
+    got = spark.sql("SELECT img_id, posexplode(frame_histogram(width, height, channels, data)) AS (bin, n) FROM frames_h")
+    return got.filter("n > 0")
+
+
+def _arrow_udtf(spark, d):
+    R.register_functions(spark)
+    fr(spark, d, "mask8").createOrReplaceTempView("frames_a")
+    return spark.sql("SELECT * FROM components_of_frames(TABLE(SELECT img_id, width, height, channels, data FROM frames_a))")
+
+
 MORE = {
     "p_clamp_u8": _clamp,
     "g_resize_fit": _frame(lambda a: K.resize_fit(a, 5, 3, "cover", "nearest")),
@@ -124,6 +137,8 @@ MORE = {
     "s_jpeg_shrink": _shrink,
     "s_header_dims": _header,
     "u_sql_udf": _udf,
+    "u_arrow_udf": _arrow_udf,
+    "u_arrow_udtf": _arrow_udtf,
     "u_udtf_components": _udtf,
 }
 
@@ -191,5 +206,7 @@ def more_sql():
         "s_jpeg_shrink": sql("SELECT DISTINCT img_id, 8 AS width, 8 AS height, 3 AS channels FROM ev16", "ev16"),
         "s_header_dims": sql(dims, "rgb8"),
         "u_sql_udf": sql("SELECT img_id, sum(v) / 64.0::DOUBLE AS mean FROM gray8 GROUP BY img_id"),
+        "u_arrow_udf": sql("SELECT img_id, v AS bin, count(*) AS n FROM gray8 GROUP BY ALL"),
+        "u_arrow_udtf": sql("SELECT img_id, id, x, y, width, height, area FROM o", "mask8", comps(8)),
         "u_udtf_components": sql("SELECT img_id, id, x, y, width, height, area FROM o", "mask8", comps(8)),
     }

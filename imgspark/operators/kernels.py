@@ -33,6 +33,13 @@ def threshold(f, value=128):
     return np.where(f >= value, 255, 0).astype(np.uint8)
 
 
+def point_table(f, table, gray_only=False):
+    """Bytes looked up in a table of 256."""
+    if gray_only:
+        need(f, 1)
+    return np.frombuffer(table, np.uint8)[f]
+
+
 def gray_to_rgb(f):
     need(f, 1)
     return np.repeat(f, 3, 2)
@@ -126,6 +133,12 @@ def crop(f, x, y, width, height):
     return f[y : y + height, x : x + width]
 
 
+def crop_around(f, x, y, width, height, halo):
+    """The crop with a border of up to halo, as far as the frame goes."""
+    crop(f, x, y, width, height)  # the same errors
+    return f[max(0, y - halo) : y + height + halo, max(0, x - halo) : x + width + halo]
+
+
 def flip_h(f):
     return f[:, ::-1]
 

@@ -122,3 +122,55 @@ def test_plans(spark, px):
 def test_empty(spark):
     none = spark.createDataFrame([], "img_id long, y int, x int, c int, v int")
     assert P.erode(none, 3).count() == 0 and P.integral(none).count() == 0 and P.equalize(none).count() == 0
+
+
+# ---- one PNG by bands
+
+
+@pytest.mark.parametrize("shape, rows", [((300, 90, 3), 16), ((300, 90, 3), 500), ((5, 40_000, 1), 1), ((130, 7, 4), 64)])
+def test_png_by_bands(spark, shape, rows):
+    """The same pixels as one stream, about its size; a band refers back to the rows before it."""
+    import zlib
+
+    from imgspark.frame import from_arrays, SCHEMA, to_pixels
+    from imgspark.sources import bands, raster
+
+    rng = np.random.default_rng(3)
+    a = (np.indices(shape).sum(0) // 3 % 256).astype(np.uint8) ^ rng.integers(0, 4, shape, dtype=np.uint8)
+    fr = spark.createDataFrame([(7, "a", shape[1], shape[0], shape[2], bytearray(a.tobytes()))], SCHEMA)
+    files = bands.png_files(to_pixels(fr), 6, rows).collect()
+    assert len(files) == 1 and files[0]["path"] == "7.png"
+    data = bytes(files[0]["content"])
+    assert (raster.read_png(data) == a).all()
+    one = raster.write_png(a, 6)
+    assert len(data) <= 1.01 * len(one) + 40 * -(-shape[0] // rows)
+    assert bands.adler_combined(zlib.adler32(one[:50]), zlib.adler32(one[50:]), len(one) - 50) == zlib.adler32(one)
+
+
+# ---- rules of plans
+
+
+def test_plan_rules():
+    from imgspark.plans.pipeline import Plan, chained, rewrite
+
+    rng = np.random.default_rng(4)
+    rgb, gray = rng.integers(0, 256, (23, 31, 3), dtype=np.uint8), rng.integers(0, 256, (23, 31, 1), dtype=np.uint8)
+    cases = [
+        (Plan().grayscale().threshold(128), rgb, "gray_threshold(128,)"),
+        (Plan().grayscale().threshold(100).erode(2), rgb, "gray_threshold_erode(100, 2)"),
+        (Plan().blur(1).edges(), gray, "binomial_edges"),
+        (Plan().grayscale().blur(1).edges(), rgb, "gray_binomial_edges"),
+        (Plan().blur(2).edges(), gray, "blur_edges(2, None)"),
+        (Plan().brightness_contrast(12.5, 1.4).gamma(2.2).invert(), rgb, "point_table"),
+        (Plan().gamma(0.5).threshold(99), gray, "point_table"),
+        (Plan().gaussian_blur_taps(3).erode(2).crop(2, 9, 12, 11), gray, "crop_around(2, 9, 12, 11, 5) -> gaussian_blur_taps(3,) -> erode(2,) -> crop(2, 5, 12, 11)"),
+        (Plan().invert().crop(2, 9, 12, 11), rgb, "crop_around(2, 9, 12, 11, 0) -> invert"),
+        (Plan().sharpen(1.0).invert().extract_channel(2), rgb, "extract_channel(2,) -> sharpen(1.0,) -> invert"),
+        (Plan().flip_h().crop(1, 1, 4, 4), rgb, "flip_h -> crop(1, 1, 4, 4)"),
+    ]
+    for plan_, frame, text in cases:
+        assert plan_.explain() == text
+        if "binomial" not in text:  # which is another filter by design
+            assert (chained(rewrite(plan_.steps))(frame) == chained(plan_.steps)(frame)).all(), text
+    with pytest.raises(ValueError):
+        chained(rewrite(Plan().invert().crop(30, 1, 4, 4).steps))(rgb)
