@@ -283,3 +283,35 @@ def test_source_writes_in_two_phases(spark, tmp_path):
     assert (to / "0.png").read_bytes() == b"was here" and not (to / "1.png").exists()
     fr.write.format("imgspark").mode("append").save(reader.qualified(spark, str(to)))
     assert sorted(p.name for p in to.glob("*.png")) == [f"{i}.png" for i in range(6)] and (to / "0.png").read_bytes() != b"was here"
+
+
+def test_frames_of_one_name_are_an_error(spark, tmp_path):
+    a = np.zeros((2, 2, 1), np.uint8)
+    reader.register(spark)
+    fr = spark.createDataFrame([(1, "a", 2, 2, 1, bytearray(a.tobytes())), (1, "b", 2, 2, 1, bytearray((a + 1).tobytes()))], SCHEMA)
+    with pytest.raises(Exception, match="several frames are named"):
+        reader.write_images(fr, str(tmp_path / "w"), "png").collect()
+    to = reader.qualified(spark, str(tmp_path / "s"))
+    with pytest.raises(Exception, match="several frames are named"):
+        fr.write.format("imgspark").mode("append").save(to)
+    # written again under the same names is no error
+    for _ in range(2):
+        assert reader.write_images(fr.limit(1), str(tmp_path / "w2"), "png").count() == 1
+
+
+def test_filters_reach_the_source(spark, tmp_path):
+    """Of files that don't fit, the header alone is read: broken pixels behind it raise nothing."""
+    where = tmp_path / "f"
+    where.mkdir()
+    for i, (h, w) in enumerate([(4, 8), (4, 16), (9, 16), (9, 40)]):
+        data = raster.write_png(np.full((h, w, 1), i, np.uint8))
+        (where / f"{i}.png").write_bytes(data if w != 40 else data[:40])  # the largest has a header only
+    reader.register(spark)
+    path = reader.qualified(spark, str(where))
+    read = lambda: spark.read.format("imgspark").option("tasks", "2").load(path)
+    with pytest.raises(Exception):
+        read().collect()
+    assert sorted((r.height, r.width) for r in read().filter("width < 20 AND height >= 4").collect()) == [(4, 8), (4, 16), (9, 16)]
+    assert [(r.height, r.width) for r in read().filter("width = 16 AND height > 5").collect()] == [(9, 16)]
+    name = read().filter("width = 8").first()["origin"]
+    assert read().filter(F.col("origin") == name).count() == 1 and read().filter(F.col("origin").isin(name, "x")).count() == 1

@@ -174,3 +174,38 @@ def test_plan_rules():
             assert (chained(rewrite(plan_.steps))(frame) == chained(plan_.steps)(frame)).all(), text
     with pytest.raises(ValueError):
         chained(rewrite(Plan().invert().crop(30, 1, 4, 4).steps))(rgb)
+
+
+# ---- components over many tiles
+
+
+def spiral(n):
+    """A path of one pixel that winds inwards, two apart."""
+    a = np.zeros((n, n), bool)
+    y, x, dy, dx = 0, 0, 0, 1
+    a[0, 0] = True
+    turns = 0
+    while turns < 4:
+        ny, nx, fy, fx = y + dy, x + dx, y + 2 * dy, x + 2 * dx
+        if not (0 <= ny < n and 0 <= nx < n) or a[ny, nx] or (0 <= fy < n and 0 <= fx < n and a[fy, fx]):
+            dy, dx, turns = dx, -dy, turns + 1
+            continue
+        y, x, turns = ny, nx, 0
+        a[y, x] = True
+    return a
+
+
+@pytest.mark.parametrize("fan, levels", [(16, 0), (4, 1), (3, 2)])
+def test_a_spiral_over_many_tiles(spark, monkeypatch, fan, levels):
+    """One component through 30 x 30 tiles, and a second image of noise, at any number of levels."""
+    from imgspark.operators import components as C
+
+    joined = C._joined
+    monkeypatch.setattr(C, "_joined", lambda pieces, connectivity, tile: joined(pieces, connectivity, tile, fan, levels))
+    images = {1: spiral(120), 2: np.random.default_rng(0).random((50, 70)) < 0.5}
+    rows = [(i, int(y), int(x), 0, 255) for i, a in images.items() for y, x in zip(*np.nonzero(a))]
+    px = spark.createDataFrame(rows, "img_id long, y int, x int, c int, v int")
+    got = C.components_pixels(px, connectivity=4, tile=4).orderBy("img_id", "id").collect()
+    assert sum(r["img_id"] == 1 for r in got) == 1 and got[0]["area"] == images[1].sum()
+    want = list(K.components(images[2].astype(np.uint8)[..., None] * 255, connectivity=4))
+    assert [(r["id"], r["x"], r["y"], r["width"], r["height"], r["area"]) for r in got if r["img_id"] == 2] == [tuple(c[:6]) for c in want]
