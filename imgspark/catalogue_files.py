@@ -17,6 +17,7 @@ from imgspark.operators import kernels as K
 from imgspark.operators import pixels as P
 from imgspark.sources import codecs, reader
 from imgspark.sources.bands import png_files
+from imgspark.sources.intervals import join_bands, jpeg_bands, jpeg_files
 
 #: Small files written by the Java runtime's image writers: 4:2:0 baseline; 4:2:0 progressive with
 #: successive approximation; palette; 8-bit RGB; 16-bit gray.
@@ -150,6 +151,20 @@ def _counted(px):
     return px.groupBy("img_id", "v").agg(F.count("*").alias("n"), F.sum(F.col("y") * 1009 + F.col("x")).cast("long").alias("places"))
 
 
+def _jpeg_intervals(spark, d):
+    """Large frames written by bands as progressive JPEG with restart intervals and read by them: the bands, the
+    pixels, whether they are the picture that the whole file gives, and near the source."""
+    px = large(spark, d)
+    files = jpeg_files(px, quality=100)
+    bands = jpeg_bands(files)
+    digest = lambda fr, name: fr.select("img_id", F.sha2("data", 256).alias(name))
+    same = digest(join_bands(bands), "by_bands").join(digest(codecs.decode_frames(files), "whole"), "img_id")
+    near = px.join(to_pixels(bands).where("c = 0").select("img_id", "y", "x", F.col("v").alias("got")), ["img_id", "y", "x"], "left")
+    worst = near.groupBy("img_id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.abs(F.col("v") - F.col("got")), F.lit(999))).alias("worst"))
+    count = bands.groupBy("img_id").agg(F.count("*").alias("n_bands"))
+    return worst.join(same, "img_id").join(count, "img_id").select("img_id", "n_bands", "n", (F.col("by_bands") == F.col("whole")).alias("same"), (F.col("worst") <= SHRUNK).alias("within"))
+
+
 def _row_sums(table):
     return table.groupBy("img_id", "y").agg(F.count("*").alias("n"), F.sum("s").cast("long").alias("s"), F.sum(F.col("s") * F.col("x")).cast("long").alias("sx"))
 
@@ -165,6 +180,7 @@ FILE_QUERIES = {
     "s_broken": _broken,
     "s_jpeg_shrink_px": _shrink_pixels,
     "s_png_parallel": lambda s, d: _counted(to_pixels(codecs.decode_frames(png_files(large(s, d)).select("path", "content")).withColumn("img_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long")))),
+    "s_jpeg_intervals": _jpeg_intervals,
     "b_threshold": lambda s, d: _counted(to_pixels(map_frames(from_pixels(large(s, d)), K.threshold))),
     "b_erode_px": lambda s, d: _counted(P.erode(large(s, d), 2)),
     "b_dilate_px": lambda s, d: _counted(P.dilate(large(s, d), 1)),
@@ -251,6 +267,7 @@ def file_sql():
         "s_broken": sql("SELECT DISTINCT img_id, img_id % 7 <> 0 AND img_id % 11 <> 0 AS good, CASE WHEN img_id % 7 <> 0 AND img_id % 11 <> 0 THEN 8 END AS width FROM gray8", "gray8"),
         "s_jpeg_shrink_px": sql("SELECT DISTINCT img_id, 3072::BIGINT AS n, true AS within FROM gray8", "gray8"),
         "s_png_parallel": counted(f"CASE WHEN {square()} THEN v ELSE 0 END"),
+        "s_jpeg_intervals": f"WITH {cells} SELECT DISTINCT img_id, {-(-ACROSS * SIDE // 64)}::BIGINT AS n_bands, {(ACROSS * SIDE) ** 2}::BIGINT AS n, true AS same, true AS within FROM cells",
         "b_threshold": counted(f"CASE WHEN v >= 128 AND {square()} THEN 255 ELSE 0 END"),
         "b_erode_px": counted(f"CASE WHEN {square(-2)} THEN v ELSE 0 END"),
         "b_dilate_px": counted(f"CASE WHEN {square(1)} THEN v ELSE 0 END"),

@@ -54,7 +54,8 @@ def map_frames(fr: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFram
 
 
 def to_pixels(fr: DataFrame) -> DataFrame:
-    """One row a pixel and channel: (img_id, y, x, c, v)."""
+    """One row a pixel and channel: (img_id, y, x, c, v). With a column top, frames are bands of an image that
+    start at that row."""
 
     def run(batches):
         import pyarrow as pa
@@ -63,10 +64,10 @@ def to_pixels(fr: DataFrame) -> DataFrame:
             for at in range(batch.num_rows):
                 for r, a in frames(batch.slice(at, 1)):
                     y, x, c = np.indices(a.shape, dtype=np.int32)
-                    cols = [np.full(a.size, r["img_id"], np.int64), y.ravel(), x.ravel(), c.ravel(), a.ravel().astype(np.int32)]
+                    cols = [np.full(a.size, r["img_id"], np.int64), y.ravel() + np.int32(r.get("top", 0)), x.ravel(), c.ravel(), a.ravel().astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["img_id", "y", "x", "c", "v"])
 
-    return fr.select(*SCHEMA.names).mapInArrow(run, PX_SCHEMA)
+    return fr.select(*SCHEMA.names, *[c for c in ("top",) if c in fr.columns]).mapInArrow(run, PX_SCHEMA)
 
 
 def from_pixels(px: DataFrame, origin: str = "pixels") -> DataFrame:

@@ -49,13 +49,13 @@ def decode_bytes(data: bytes, path: str | None = None, resize: dict | None = Non
     return K.resize_fit(f, resize.get("width"), resize.get("height"), resize.get("fit", "exact"), resize.get("method", "bilinear")) if resize else f
 
 
-def encode_bytes(f: np.ndarray, fmt: str, quality: int = 85, progressive: bool = True, level: int = 1, filter: str = "none") -> bytes:
+def encode_bytes(f: np.ndarray, fmt: str, quality: int = 85, progressive: bool = True, level: int = 1, filter: str = "none", restart_rows: int = 0) -> bytes:
     """Gray becomes RGB where the format has no gray; RGBA goes to PNG only."""
     if fmt == "png":
         return raster.write_png(f, level, filter)
     f = K.gray_to_rgb(f) if f.shape[2] == 1 else f
     if fmt == "jpg":
-        return jpeg.write_jpeg(f, quality, progressive)
+        return jpeg.write_jpeg(f, quality, progressive, restart_rows)
     return {"ppm": raster.write_ppm, "bmp": raster.write_bmp}[fmt](f)
 
 

@@ -116,10 +116,12 @@ def parse(data: bytes, header_only: bool = False) -> Image:
         raise ValueError(f"broken JPEG: {e!r}") from None
 
 
-def _parse(data: bytes, header_only: bool) -> Image:
+def segments(data: bytes):
+    """(mark, body, pieces) of each segment with a body; pieces: the coded data after a scan's header, cut at
+    its restart markers, else None."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    im, at = Image(), 2
+    at = 2
     while at + 4 <= len(data):
         if data[at] != 0xFF:
             at += 1
@@ -131,8 +133,36 @@ def _parse(data: bytes, header_only: bool) -> Image:
             at += 1 if mark == 0xFF else 2
             continue
         size = struct.unpack_from(">H", data, at + 2)[0]
-        seg = data[at + 4 : at + 2 + size]
+        body = data[at + 4 : at + 2 + size]
         at += 2 + size
+        if mark != 0xDA:
+            yield mark, body, None
+            continue
+        end, pieces, start = at, [], at
+        while end + 1 < len(data):
+            end = data.find(b"\xff", end)
+            if end < 0 or end + 1 >= len(data):
+                end = len(data)
+                break
+            m = data[end + 1]
+            if m == 0:
+                end += 2
+            elif 0xD0 <= m <= 0xD7:
+                pieces.append(data[start:end])
+                end += 2
+                start = end
+            elif m == 0xFF:
+                end += 1
+            else:
+                break
+        pieces.append(data[start:end])
+        yield mark, body, pieces
+        at = end
+
+
+def _parse(data: bytes, header_only: bool) -> Image:
+    im = Image()
+    for mark, seg, pieces in segments(data):
         if mark == 0xDB:
             i = 0
             while i < len(seg):
@@ -163,26 +193,7 @@ def _parse(data: bytes, header_only: bool) -> Image:
             n = seg[0]
             which = [(next(c for c in im.parts if c.ident == seg[1 + 2 * i]), seg[2 + 2 * i] >> 4, seg[2 + 2 * i] & 15) for i in range(n)]
             first, last, bits = seg[1 + 2 * n : 4 + 2 * n]
-            end, pieces, start = at, [], at
-            while end + 1 < len(data):
-                end = data.find(b"\xff", end)
-                if end < 0 or end + 1 >= len(data):
-                    end = len(data)
-                    break
-                m = data[end + 1]
-                if m == 0:
-                    end += 2
-                elif 0xD0 <= m <= 0xD7:
-                    pieces.append(data[start:end])
-                    end += 2
-                    start = end
-                elif m == 0xFF:
-                    end += 1
-                else:
-                    break
-            pieces.append(data[start:end])
             im.scans.append((which, first, last, bits >> 4, bits & 15, dict(im.huff), im.restart, pieces))
-            at = end
     if not im.parts or not im.scans:
         raise ValueError("JPEG without a frame or a scan")
     return im
@@ -198,11 +209,17 @@ def coefficients(im: Image) -> None:
         raise ValueError("JPEG without a quantisation table")
 
 
-def _coefficients(im: Image) -> None:
+def measure(im: Image) -> tuple[int, int]:
+    """(columns, rows) of units of an interleaved scan; sets each component's blocks across and down."""
     im.hmax, im.vmax = max(c.h for c in im.parts), max(c.v for c in im.parts)
-    mx, my = -(-im.width // (8 * im.hmax)), -(-im.height // (8 * im.vmax))
     for c in im.parts:
         c.across, c.down = -(-(-(-im.width * c.h // im.hmax)) // 8), -(-(-(-im.height * c.v // im.vmax)) // 8)
+    return -(-im.width // (8 * im.hmax)), -(-im.height // (8 * im.vmax))
+
+
+def _coefficients(im: Image) -> None:
+    mx, my = measure(im)
+    for c in im.parts:
         c.blocks = np.zeros((my * c.v, mx * c.h, 64), np.int32)
     for which, first, last, high, low, huff, restart, pieces in im.scans:
         single = len(which) == 1
@@ -525,59 +542,92 @@ def ac_tokens(blocks: np.ndarray, first: int, last: int):
     )
 
 
-def write_jpeg(f: np.ndarray, quality: int = 85, progressive: bool = True) -> bytes:
-    """4:4:4, with tables of the standard scaled by quality and Huffman codes made for the image.
-    Progressive: DC of all, then luma 1-5 and 6-63, then each chroma. Baseline: one scan."""
+#: Scans as (components, first, last coefficient). Progressive: DC of all, then luma 1-5 and 6-63, then each chroma.
+SCANS = {True: [([0, 1, 2], 0, 0), ([0], 1, 5), ([0], 6, 63), ([1], 1, 63), ([2], 1, 63)], False: [([0, 1, 2], 0, 63)]}
+
+
+def segment(mark: int, body: bytes) -> bytes:
+    return struct.pack(">BBH", 0xFF, mark, len(body) + 2) + body
+
+
+def restarted(pieces) -> bytes:
+    """Intervals with the restart markers between them."""
+    return b"".join(p if i == 0 else bytes([0xFF, 0xD0 + (i - 1) % 8]) + p for i, p in enumerate(pieces))
+
+
+def quantised(f: np.ndarray, quality: int) -> list[np.ndarray]:
+    """The blocks of the three components, row by row, in zig-zag order."""
     if f.shape[2] != 3:
         raise ValueError("JPEG needs 3 channels")
     h, w = f.shape[:2]
     r, g, b = (f[..., i].astype(np.int32) for i in range(3))
     ycc = [(77 * r + 150 * g + 29 * b) >> 8, ((-43 * r - 85 * g + 128 * b) >> 8) + 128, ((128 * r - 107 * g - 21 * b) >> 8) + 128]
-    quant = [scaled(LUMA, quality), scaled(CHROMA, quality)]
     rows, cols = -(-h // 8), -(-w // 8)
-    comps = []
-    for i, p in enumerate(ycc):
+    out = []
+    for p, base in zip(ycc, (LUMA, CHROMA, CHROMA)):
         p = np.pad(np.clip(p, 0, 255), ((0, rows * 8 - h), (0, cols * 8 - w)), mode="edge") - 128.0
         block = np.einsum("ki,ricj,lj->rckl", C8, p.reshape(rows, 8, cols, 8), C8, optimize=True).reshape(rows * cols, 64)
-        comps.append(np.floor(block / quant[min(i, 1)] + 0.5).astype(np.int64)[:, ZIGZAG])
-    out = bytearray(b"\xff\xd8")
-
-    def segment(mark: int, body: bytes):
-        out.extend(struct.pack(">BBH", 0xFF, mark, len(body) + 2) + body)
-
-    for i, q in enumerate(quant):
-        segment(0xDB, bytes([i]) + bytes(q[ZIGZAG].astype(np.uint8).tolist()))
-    segment(0xC2 if progressive else 0xC0, struct.pack(">BHHB", 8, h, w, 3) + b"".join(bytes([i + 1, 0x11, min(i, 1)]) for i in range(3)))
-
-    def scan(which, first, last):
-        """which: components. A token's place: its block, the component there, the order in it."""
-        found = []
-        for j, i in enumerate(which):
-            kinds = [(0, dc_tokens(comps[i]))] if first == 0 else []
-            kinds += [(1, ac_tokens(comps[i], max(1, first), last))] if last else []
-            for kind, (block, place, *token) in kinds:
-                found.append([(block * len(which) + j) * 256 + place, np.full(len(block), kind << 4 | min(i, 1)), *token])
-        place, table, symbol, value, size = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(place, kind="stable")
-        table, symbol, value, size = table[order], symbol[order], value[order], size[order]
-        code, length = np.zeros((2, len(symbol)), np.int64)
-        for t in np.unique(table).tolist():
-            mine = table == t
-            counts, values = optimal(np.bincount(symbol[mine], minlength=256))
-            segment(0xC4, bytes([t]) + bytes(counts) + bytes(values))
-            codes = np.zeros((256, 2), np.int64)
-            for v, c in canonical(counts, values).items():
-                codes[v] = c
-            code[mine], length[mine] = codes[symbol[mine]].T
-        segment(0xDA, bytes([len(which)]) + b"".join(bytes([i + 1, min(i, 1) * 0x11]) for i in which) + bytes([first, last, 0]))
-        out.extend(pack_bits(np.column_stack([code, value]).ravel(), np.column_stack([length, size]).ravel()))
-
-    if progressive:
-        scan([0, 1, 2], 0, 0)
-        scan([0], 1, 5)
-        scan([0], 6, 63)
-        scan([1], 1, 63)
-        scan([2], 1, 63)
-    else:
-        scan([0, 1, 2], 0, 63)
-    return bytes(out + b"\xff\xd9")
+        out.append(np.floor(block / scaled(base, quality) + 0.5).astype(np.int64)[:, ZIGZAG])
+    return out
+
+
+def scan_tokens(comps: list[np.ndarray], which: list[int], first: int, last: int):
+    """(table, symbol, value, size) of one interval's tokens in their order. A token's place: its block, the
+    component there, the order in it."""
+    found = []
+    for j, i in enumerate(which):
+        kinds = [(0, dc_tokens(comps[i]))] if first == 0 else []
+        kinds += [(1, ac_tokens(comps[i], max(1, first), last))] if last else []
+        for kind, (block, place, *token) in kinds:
+            found.append([(block * len(which) + j) * 256 + place, np.full(len(block), kind << 4 | min(i, 1)), *token])
+    place, *token = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(place, kind="stable")
+    return [t[order] for t in token]
+
+
+def symbol_counts(tokens) -> np.ndarray:
+    """How often each symbol of each table occurs, at table * 256 + symbol."""
+    return np.bincount(tokens[0] * 256 + tokens[1], minlength=0x12 * 256)
+
+
+def opening(width: int, height: int, quality: int, progressive: bool, restart: int = 0) -> bytes:
+    """All up to the first scan; restart: units of an interval."""
+    if restart > 0xFFFF:
+        raise ValueError("a restart interval is too long")
+    tables = b"".join(segment(0xDB, bytes([i]) + bytes(scaled(base, quality)[ZIGZAG].astype(np.uint8).tolist())) for i, base in enumerate((LUMA, CHROMA)))
+    parts = b"".join(bytes([i + 1, 0x11, min(i, 1)]) for i in range(3))
+    frame = segment(0xC2 if progressive else 0xC0, struct.pack(">BHHB", 8, height, width, 3) + parts)
+    return b"\xff\xd8" + tables + frame + (segment(0xDD, struct.pack(">H", restart)) if restart else b"")
+
+
+def scan_head(which: list[int], first: int, last: int, seen: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The Huffman tables made for the counts of all of a scan's tokens and the scan's header, and (code, length)
+    at table * 256 + symbol."""
+    out, codes = b"", np.zeros((len(seen), 2), np.int64)
+    for t in np.unique(np.flatnonzero(seen) // 256).tolist():
+        counts, values = optimal(seen[t * 256 : t * 256 + 256])
+        out += segment(0xC4, bytes([t]) + bytes(counts) + bytes(values))
+        for v, c in canonical(counts, values).items():
+            codes[t * 256 + v] = c
+    return out + segment(0xDA, bytes([len(which)]) + b"".join(bytes([i + 1, min(i, 1) * 0x11]) for i in which) + bytes([first, last, 0])), codes
+
+
+def coded(tokens, codes: np.ndarray) -> bytes:
+    """One interval."""
+    table, symbol, value, size = tokens
+    code, length = codes[table * 256 + symbol].T
+    return pack_bits(np.column_stack([code, value]).ravel(), np.column_stack([length, size]).ravel())
+
+
+def write_jpeg(f: np.ndarray, quality: int = 85, progressive: bool = True, restart_rows: int = 0) -> bytes:
+    """4:4:4, with tables of the standard scaled by quality and Huffman codes made for the image.
+    Baseline: one scan. restart_rows: rows of blocks after which coding starts anew, so that files can be read by
+    intervals; 0: never."""
+    comps = quantised(f, quality)
+    n, step = len(comps[0]), restart_rows * -(-f.shape[1] // 8)
+    out = opening(f.shape[1], f.shape[0], quality, progressive, step)
+    for scan in SCANS[progressive]:
+        parts = [scan_tokens([c[at : at + (step or n)] for c in comps], *scan) for at in range(0, n, step or n)]
+        head, codes = scan_head(*scan, sum(map(symbol_counts, parts)))
+        out += head + restarted(coded(p, codes) for p in parts)
+    return out + b"\xff\xd9"
