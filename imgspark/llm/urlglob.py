@@ -3,12 +3,19 @@
 All glob rules are packed into one bit string, one bit per pattern character. For every URL the
 set of active positions is a row of 64-bit words; one character moves all rules of all URLs of a
 batch: shift, and with the mask of the character, or the loops of stars, then open the places
-after stars. `*` is any run of characters, `?` any one character, `^` any run without a slash.
+after stars. `*` is any run of characters, `?` any one character, `^` any run without a slash, `|` a border
+of words: one of `.`, `-` and `/`.
+
+The host rules of a list see the url as it is written. The method's own globs see its canonical form: the host
+without user, port and last dots, the path with escapes decoded, A-Z lower-cased, `_`, `+` and blanks as `-`, and
+a slash at its end. One automaton simulates all of them at once over a form.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,28 +43,34 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
 
 #: Fixed by the contract: (verdict, host, path).
 CONTRACT = [host_rule("allow", "com", "/"), host_rule("block", "example.com", "/en/"), host_rule("allow", "www.example.com", "/en/"), host_rule("block", "net", "/es/"), host_rule("block", "net", "/fr/")]
-#: The method's own rules decide where no host rule fits; else the verdict is allow. Fixed words of
-#: unwanted sites (gambling, pills, adult, piracy, fraud, advertising), each in every form.
+#: The method's own rules decide where no host rule fits; else the verdict is allow. Fixed words of unwanted sites
+#: (gambling, pills, adult, piracy, fraud, advertising), and of these the ones that no other word holds.
 UNWANTED = (
-    "casino poker roulette jackpot betting bookmaker slotmachine lottery pills viagra cialis levitra xanax painkiller pharmacy "
-    "porn xxx escort hentai camgirl sexchat hookup warez torrent keygen crackz serialz nulled payday replica counterfeit "
-    "spam phishing scam malware spyware ransomware adserver adclick popunder clicktrack doorway linkfarm sweepstakes"
+    "casino poker roulette jackpot bets betting bookmaker slotmachine pills viagra cialis levitra xanax painkillers "
+    "porn xxx hentai camgirl sexchat hookup warez keygen crackz serialz nulled payday counterfeit "
+    "adult-x adult-video ads adserver adclick popunder clicktrack linkfarm sweepstakes"
 ).split()
-#: In the host; a part of the path, alone or with one more character on either side; the start of one;
-#: the name of a page.
-FORMS = ("^{}*", "*/{}/*", "*/{}?/*", "*/?{}/*", "*/{}-*", "*?{}.htm*")
+ANYWHERE = "casino roulette jackpot bookmaker slotmachine viagra levitra xanax porn hentai camgirl sexchat keygen warez popunder clicktrack linkfarm".split()
+#: Words of a host's name only, as pages about them are no harm.
+IN_HOST = ("spam", "scam")
+#: Public bodies and schools, whose pages are about such things and do not sell them.
+PUBLIC = ("gov", "edu", "mil", "int")
+#: A word between borders of host or path, also as a plural; a telling word anywhere in the host.
+FORMS, HOST_FORMS, ANYWHERE_FORM = ("*|{}|*", "*|{}s|*"), ("^.{}|*", "^-{}|*"), "^{}*"
 
 
-def default_rules(words=UNWANTED, forms=FORMS) -> list[Rule]:
-    return [Rule(w, f.format(w), "block", 0) for w in words for f in forms]
+def default_rules(words=UNWANTED, anywhere=ANYWHERE, in_host=IN_HOST, public=PUBLIC) -> list[Rule]:
+    """The first that fits decides, so what is allowed comes first: *.gov and, by country, *.gov.uk or *.ac.jp."""
+    spared = [Rule(p, f"^.{p}/*", "allow", 0) for p in public] + [Rule(p, f"^.{p}.??/*", "allow", 0) for p in (*public, "ac")]
+    return spared + [Rule(w, f.format(w), "block", 0) for of, forms in ((words, FORMS), (in_host, HOST_FORMS), (anywhere, (ANYWHERE_FORM,))) for w in of for f in forms]
 
 
 DEFAULTS = default_rules()
 
 
 def symbols_of(glob: str) -> list:
-    """The places of a glob: *, ^ or ?, or a byte of its UTF-8 form."""
-    return [x for c in glob for x in ([c] if c in "*^?" else c.encode())]
+    """The places of a glob: *, ^, ? or |, or a byte of its UTF-8 form."""
+    return [x for c in glob for x in ([c] if c in "*^?|" else c.encode())]
 
 
 class Automaton:
@@ -81,7 +94,8 @@ class Automaton:
         for c in range(256):
             # ? moves on with the first byte of a character and stays for its others
             inside = 0x80 <= c < 0xC0
-            self.step[c] = at([i for i, s in enumerate(symbols) if s == c or s == "?" and not inside])
+            border = c in b".-/"
+            self.step[c] = at([i for i, s in enumerate(symbols) if s == c or s == "?" and not inside or s == "|" and border])
             self.loop[c] = at([i for i, s in enumerate(symbols) if s == "*" or s == "^" and c != ord("/") or s == "?" and inside])
         self.star, self.last = at(stars), last
         # a star may be empty: its bit is set as soon as the bit before it is, and it starts set
@@ -152,14 +166,30 @@ def canonical(url: str | None) -> tuple[str, str]:
     end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
     host, tail = rest[:end], rest[end:]
     cut = min((i for i in map(tail.find, "?#") if i >= 0), default=len(tail))
-    return host.translate({i: i + 32 for i in range(65, 91)}), tail[:cut]
+    return host.translate(LOWER), tail[:cut]
+
+
+LOWER = {i: i + 32 for i in range(65, 91)}
+FOLDED = LOWER | {ord(c): ord("-") for c in "_+ "}
+
+
+def folded(host: str, path: str) -> str:
+    """The form that the method's own globs see, of a url's host and path."""
+    host = re.sub(r"\.+$", "", re.sub(":[0-9]*$", "", host.rpartition("@")[2]))
+    if "%" in path:
+        try:
+            path = unquote_to_bytes(path).decode()
+        except UnicodeDecodeError:
+            pass  # as it is written
+    path = path.translate(FOLDED)
+    return f".{host}{'' if path.startswith('/') else '/'}{path}{'' if path.endswith('/') else '/'}"
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=None, defaults=None) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
     The heaviest (longest) host rule that fits decides, ties by its place in the list; else the
-    first default glob that fits, with a null rule; else allow. A null url, or one without ://,
+    first default glob that fits the folded form, with a null rule; else allow. A null url, or one without ://,
     has an empty host and path and fits no rule. Long urls are simulated whole. Rows repeat as
     they occur, a null id stays null, other columns are ignored; an empty table gives an empty one.
     """
@@ -169,24 +199,31 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         import pyarrow as pa
 
         machine = Automaton(rules + defaults)
-        order = sorted(range(len(rules)), key=lambda i: (-rules[i].weight, i)) + list(range(len(rules), len(rules) + len(defaults)))
+        order, n = sorted(range(len(rules)), key=lambda i: (-rules[i].weight, i)), len(rules)
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 split = [canonical(u) for u in part.column(1).to_pylist()]
-                fits = machine.fits([f".{h}{p}".encode() if h or p else b"" for h, p in split])[:, order]
-                any_, best = fits.any(1), fits.argmax(1)
-                found = [(rules + defaults)[order[b]] if a else None for a, b in zip(any_, best)]
-                own = set(map(id, rules))
+                known = [i for i, (h, p) in enumerate(split) if h or p]
+                named, verdicts, open_ = [None] * len(split), ["allow"] * len(split), []
+                fits = machine.fits([f".{split[i][0]}{split[i][1]}".encode() for i in known])[:, :n][:, order]
+                for i, fit, best in zip(known, fits.any(1).tolist(), fits.argmax(1).tolist() if n else [0] * len(known)):
+                    if fit:
+                        named[i], verdicts[i] = rules[order[best]].name, rules[order[best]].verdict
+                    else:
+                        open_.append(i)
+                fits = machine.fits([folded(*split[i]).encode() for i in open_])[:, n:]
+                for i, fit, best in zip(open_, fits.any(1).tolist(), fits.argmax(1).tolist() if defaults else [0] * len(open_)):
+                    if fit:
+                        verdicts[i] = defaults[best].verdict
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([h for h, _ in split], pa.string()), pa.array([p for _, p in split], pa.string()), pa.array([r.name if r is not None and id(r) in own else None for r in found], pa.string()), pa.array([r.verdict if r else "allow" for r in found], pa.string())],
+                    [part.column(0), *(pa.array(v, pa.string()) for v in ([h for h, _ in split], [p for _, p in split], named, verdicts))],
                     ["page_id", "host", "path", "rule", "verdict"],
                 )
 
     return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string")).mapInArrow(lean(run), "page_id long, host string, path string, rule string, verdict string")
 
 
-WORDS_SQL = "(" + "|".join(UNWANTED) + ")"
 SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 s AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
@@ -195,8 +232,12 @@ m AS (SELECT *, CASE
   WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
   WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
   WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
-  WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM s)
+  WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM s),
+f AS (SELECT *, '.' || regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS h,
+  translate(coalesce(TRY(url_decode(path)), path), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_+ ', 'abcdefghijklmnopqrstuvwxyz---') AS p FROM m),
+c AS (SELECT *, h || CASE WHEN starts_with(p, '/') THEN '' ELSE '/' END || p || CASE WHEN ends_with(p, '/') THEN '' ELSE '/' END AS form FROM f)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches('.' || host || path, '(?s)^[^/]*WORDS|/WORDS/|/WORDS./|/.WORDS/|/WORDS-|.WORDS\.htm') THEN 'block' ELSE 'allow' END AS verdict FROM m
-""".replace("WORDS", WORDS_SQL)
+  WHEN host = '' AND path = '' OR regexp_matches(form, '(?s)^[^/]*\.(PUBLIC/|(ac|PUBLIC)\.../)') THEN 'allow'
+  WHEN regexp_matches(form, '(?s)[./-](UNWANTED)s?[./-]|^[^/]*(ANYWHERE)|^[^/]*[.-](IN_HOST)[./-]') THEN 'block' ELSE 'allow' END AS verdict FROM c
+""".replace("UNWANTED", "|".join(UNWANTED)).replace("ANYWHERE", "|".join(ANYWHERE)).replace("IN_HOST", "|".join(IN_HOST)).replace("PUBLIC", f"({'|'.join(PUBLIC)})")
