@@ -18,6 +18,7 @@ from imgspark.operators import pixels as P
 from imgspark.sources import codecs, reader
 from imgspark.sources.bands import png_files
 from imgspark.sources.intervals import join_bands, jpeg_bands, jpeg_files
+from imgspark.streaming.frames import stream_images, write_stream
 
 #: Small files written by the Java runtime's image writers: 4:2:0 baseline; 4:2:0 progressive with
 #: successive approximation; palette; 8-bit RGB; 16-bit gray.
@@ -114,6 +115,24 @@ def _source(spark, d):
     return to_pixels(_ids(spark.read.format("imgspark").load(where)))
 
 
+def _stream_batches(spark, d):
+    """Frames that arrive as files in two parts, each taken up by a run of one stream, and a replay of all by another;
+    the names are the frames', so every frame is there once."""
+    source, where, seen = folder(spark), folder(spark), folder(spark)
+
+    def run(checkpoint):
+        write_stream(stream_images(spark, source, files_per_trigger=50), where, checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    fr = from_pixels(X.gray8(spark, d))
+    for part in (0, 1):
+        ImageFrame.from_frames(fr.where(F.pmod("img_id", F.lit(2)) == part)).save(source, "png")
+        run(seen)
+    run(folder(spark))
+    named = reader.image_files(spark, source).select(codecs.path_id_column().alias("stored"), F.regexp_extract("path", r"(-?\d+)\.png$", 1).cast("long").alias("own"))
+    back = ImageFrame.read(spark, where).df.withColumn("stored", F.regexp_extract("origin", r"(-?\d+)\.png$", 1).cast("long"))
+    return to_pixels(back.join(named, "stored").withColumn("img_id", F.col("own")))
+
+
 def _broken(spark, d):
     files = codecs.encode_frames(from_pixels(X.gray8(spark, d)), "png")
     cut = files.withColumn("content", F.when(F.col("img_id") % 7 == 0, F.expr("substring(content, 1, 30)")).when(F.col("img_id") % 11 == 0, F.lit(None)).otherwise(F.col("content")))
@@ -177,6 +196,7 @@ FILE_QUERIES = {
     "s_png_files": _png_files,
     "s_read_save": _read_save,
     "s_source": _source,
+    "s_stream_batches": _stream_batches,
     "s_broken": _broken,
     "s_jpeg_shrink_px": _shrink_pixels,
     "s_png_parallel": lambda s, d: _counted(to_pixels(codecs.decode_frames(png_files(large(s, d)).select("path", "content")).withColumn("img_id", F.regexp_extract("origin", r"(\d+)\.png$", 1).cast("long")))),
@@ -264,6 +284,7 @@ def file_sql():
         "s_png_files": pictures(png, ["png_indexed.png", "png_rgb.png", "png_gray16.png"]),
         "s_read_save": px("v", "gray8"),
         "s_source": px("v", "rgbl"),
+        "s_stream_batches": px("v", "gray8"),
         "s_broken": sql("SELECT DISTINCT img_id, img_id % 7 <> 0 AND img_id % 11 <> 0 AS good, CASE WHEN img_id % 7 <> 0 AND img_id % 11 <> 0 THEN 8 END AS width FROM gray8", "gray8"),
         "s_jpeg_shrink_px": sql("SELECT DISTINCT img_id, 3072::BIGINT AS n, true AS within FROM gray8", "gray8"),
         "s_png_parallel": counted(f"CASE WHEN {square()} THEN v ELSE 0 END"),
