@@ -173,7 +173,8 @@ def _counted(px):
 def _jpeg_intervals(spark, d):
     """Large frames written by bands as progressive JPEG with restart intervals and read by them: the bands, the
     pixels, whether they are the picture that the whole file gives, and near the source."""
-    px = large(spark, d)
+    # the fixture's cells come from one task
+    px = large(spark, d).repartition(64, "img_id", "y")
     files = jpeg_files(px, quality=100)
     bands = jpeg_bands(files)
     digest = lambda fr, name: fr.select("img_id", F.sha2("data", 256).alias(name))
