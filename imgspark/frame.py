@@ -72,7 +72,9 @@ def to_pixels(fr: DataFrame) -> DataFrame:
 
 def from_pixels(px: DataFrame, origin: str = "pixels") -> DataFrame:
     """Frames from complete pixel sets, in Catalyst. Each row of an image becomes bytes first, wherever
-    its pixels are; only those, a byte a sample, are brought together for the image."""
+    its pixels are; only those, a byte a sample, are brought together for the image. Packed pixels are such bytes."""
+    if px.schema["v"].dataType.typeName() == "binary":
+        return from_runs(px, origin)
     order = F.array_sort(F.collect_list(F.struct("x", "c", "v")))
     rows = px.groupBy("img_id", "y").agg(order.alias("p"), (F.max("x") + 1).alias("w"), (F.max("c") + 1).alias("n"))
     # one character a sample, encoded as one byte
@@ -83,6 +85,59 @@ def from_pixels(px: DataFrame, origin: str = "pixels") -> DataFrame:
     return g.select("img_id", F.lit(origin).alias("origin"), "width", "height", "channels", whole.alias("data"))
 
 
+def assembled(held) -> np.ndarray:
+    """An array of runs (y, x, c, bytes) of rows that are complete; the first row is the least y."""
+    top, n = min(r[0] for r in held), max(r[2] for r in held) + 1
+    a = np.zeros((max(r[0] for r in held) - top + 1, max(r[1] + len(r[3]) for r in held), n), np.uint8)
+    for y, x, c, v in held:
+        a[y - top, x : x + len(v), c] = np.frombuffer(v, np.uint8)
+    return a
+
+
+def gathered(batches, keys: list[str]):
+    """(key, runs) of rows of packed pixels that are sorted by key; one key's runs are in memory."""
+    key, held = None, []
+    for batch in batches:
+        cols = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (*keys, "y", "x", "c", "v")]
+        for row in zip(*cols):
+            if row[: len(keys)] != key:
+                if held:
+                    yield key, held
+                key, held = row[: len(keys)], []
+            held.append(row[len(keys) :])
+    if held:
+        yield key, held
+
+
+def from_runs(px: DataFrame, origin: str = "pixels") -> DataFrame:
+    """Frames from complete packed pixels: one exchange of bytes by image."""
+    n = int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        for (img,), held in gathered(batches, ["img_id"]):
+            yield from_arrays([(img, origin, assembled(held))])
+
+    return px.select("img_id", "y", "x", "c", "v").repartition(n, "img_id").sortWithinPartitions("img_id").mapInArrow(run, SCHEMA)
+
+
+def to_runs(fr: DataFrame) -> DataFrame:
+    """Packed pixels of frames, a run for each row and channel; a column top as for to_pixels."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                for r, a in frames(batch.slice(at, 1)):
+                    h, w, n = a.shape
+                    planes, top = np.ascontiguousarray(a.transpose(2, 0, 1)).tobytes(), r.get("top", 0)
+                    v = [planes[i * w : (i + 1) * w] for i in range(n * h)]
+                    cols = [np.full(n * h, r["img_id"], np.int64), np.tile(np.arange(top, top + h, dtype=np.int32), n), np.zeros(n * h, np.int32), np.repeat(np.arange(n, dtype=np.int32), h)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(k) for k in cols], pa.array(v, pa.binary())], ["img_id", "y", "x", "c", "v"])
+
+    return fr.select(*SCHEMA.names, *[c for c in ("top",) if c in fr.columns]).mapInArrow(run, "img_id long, y int, x int, c int, v binary")
+
+
 def from_spark_image(df: DataFrame, column: str = "image") -> DataFrame:
     """Frames from Spark's own image source, whose bytes are BGR(A)."""
     im = F.col(column)

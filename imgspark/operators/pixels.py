@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from imgspark.functions.semantics import GRAY, gamma_table, half_up, half_up_u8, trunc_u8, wrap_u8
 from imgspark.operators import kernels as K
-from imgspark.operators.tiles import gather
+from imgspark.operators.tiles import gather, is_packed, looked_up, value_counts
 from imgspark.operators.tiles import integral as prefix_sums
 from imgspark.operators.tiles import neighbourhood
 
@@ -28,6 +28,11 @@ def column_window():
     return Window.partitionBy("img_id", "c", "x").orderBy("y")
 
 
+def width_of(px: DataFrame) -> Column:
+    """An aggregate: the width, or that of a part of an image."""
+    return F.max(F.col("x") + F.length("v")) if is_packed(px) else F.max("x") + 1
+
+
 def value(px: DataFrame, v: Column) -> DataFrame:
     return px.select(*KEYS, v.cast("int").alias("v"))
 
@@ -202,12 +207,34 @@ def resize_q15(px, width, height):
 
 def resize_area(px, width, height):
     """Every pixel goes to the cells that it overlaps: a range join as an explode, then a weighted sum.
-    Images that don't shrink on both sides are resized bilinearly."""
+    Images that don't shrink on both sides are resized bilinearly. Packed pixels go by tiles, at a byte a pixel."""
+    if is_packed(px):
+        return _area_tiles(px, width, height)
     both = sized(px)
     shrinks = (F.col("w") > width) & (F.col("h") > height)
     return _area(both.filter(shrinks), width, height).unionByName(resize_bilinear(both.filter(~shrinks), width, height))
 
 
+def _area_tiles(px, width, height):
+    def sample(a, y0, x0, h, w, at):
+        top, left, bottom, right = at
+        if w > width and h > height:
+            return K.area_part(a, y0, x0, h, w, at, width, height)
+        rows, columns = (
+            [g[start:stop] - origin if i < 2 else g[start:stop] for i, g in enumerate(K.bilinear_axis(of, places))]
+            for of, places, start, stop, origin in ((h, height, top, bottom, y0), (w, width, left, right, x0))
+        )
+        return K.bilinear_taps(a, rows, columns)
+
+    def under(start, stop, n, target):
+        return F.floor(start * n / target) - 2, F.ceil(stop * n / target) + 2
+
+    def box(top, left, bottom, right, h, w):
+        return *under(top, bottom, h, height), *under(left, right, w, width)
+
+    return gather(px, width, height, lambda h, w: (h / height, w / width), box, sample)
+
+
 def _area(d, width, height):
     sx, sy = F.col("w") / F.lit(float(width)), F.col("h") / F.lit(float(height))
 
@@ -325,7 +352,7 @@ def canny_maxima(px, radius=1, sigma=None):
 
 def histogram(px):
     """(img_id, c, bin, n): dense bins; counts are combined before the shuffle."""
-    counts = px.groupBy("img_id", "c", "v").agg(F.count("*").alias("n"))
+    counts = value_counts(px).select("img_id", "c", "v", "n") if is_packed(px) else px.groupBy("img_id", "c", "v").agg(F.count("*").alias("n"))
     planes = counts.select("img_id", "c").distinct()
     bins = planes.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(255))))
     counts = counts.withColumnRenamed("v", "bin")
@@ -334,16 +361,23 @@ def histogram(px):
 
 def equalize(px):
     """A plane's counts are at most 256 rows; their running sums are looked up by the pixels."""
-    counts = px.groupBy("img_id", "c", "v").agg(F.count("*").alias("k"))
+    counts = value_counts(px).select("img_id", "c", "v", F.col("n").alias("k")) if is_packed(px) else px.groupBy("img_id", "c", "v").agg(F.count("*").alias("k"))
     plane = Window.partitionBy("img_id", "c")
     cdf = counts.withColumn("cdf", F.sum("k").over(plane.orderBy("v"))).withColumn("n", F.sum("k").over(plane))
     cdf = cdf.withColumn("least", F.min("cdf").over(plane))
     flat = F.col("n") == F.col("least")
     to = F.when(flat, 0).otherwise(half_up_u8((F.col("cdf") - F.col("least")) / F.when(flat, 1).otherwise(F.col("n") - F.col("least")) * 255))
+    if is_packed(px):
+        return looked_up(px, cdf.select("img_id", "c", "v", to.cast("int").alias("to")))
     return px.join(cdf.select("img_id", "c", "v", to.cast("int").alias("to")), ["img_id", "c", "v"]).select("img_id", "y", "x", "c", F.col("to").alias("v"))
 
 
 def normalize(px):
+    if is_packed(px):
+        counts, plane = value_counts(px), Window.partitionBy("img_id", "c")
+        d = counts.withColumn("lo", F.min("v").over(plane)).withColumn("hi", F.max("v").over(plane))
+        span = F.when(F.col("hi") == F.col("lo"), 1).otherwise(F.col("hi") - F.col("lo"))
+        return looked_up(px, d.select("img_id", "c", "v", trunc_u8((F.col("v") - F.col("lo")) / span * 255).cast("int").alias("to")))
     d = px.join(px.groupBy("img_id", "c").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), ["img_id", "c"])
     span = F.when(F.col("hi") == F.col("lo"), 1).otherwise(F.col("hi") - F.col("lo"))
     return value(d, trunc_u8((F.col("v") - F.col("lo")) / span * 255))
@@ -352,7 +386,7 @@ def normalize(px):
 def integral(px):
     """(img_id, y, x, s): (w + 1) x (h + 1) sums, with a zero row and column."""
     d = prefix_sums(px.filter("c = 0")).select("img_id", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), "s")
-    size = px.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    size = px.groupBy("img_id").agg(width_of(px).alias("w"), (F.max("y") + 1).alias("h"))
     top = size.select("img_id", F.lit(0).alias("y"), F.explode(F.sequence(F.lit(0), F.col("w"))).alias("x"), F.lit(0).cast("long").alias("s"))
     side = size.select("img_id", F.explode(F.sequence(F.lit(1), F.col("h"))).alias("y"), F.lit(0).alias("x"), F.lit(0).cast("long").alias("s"))
     return d.unionByName(top).unionByName(side)

@@ -5,6 +5,9 @@ holds it; a numpy kernel then sees a tile as if it were a frame, and what it say
 kept. Pixels at an image's border have no halo beyond it, so the kernel's own rule for borders holds there and
 nowhere else. Before the one exchange, pixels become runs of bytes: neighbours in a row travel together at a
 byte each. A task holds one tile at a time.
+
+Pixels may be packed from the start: (img_id, y, x, c, v) where v is a run of bytes along x, x its first place.
+What takes packed pixels gives packed pixels, where values are bytes.
 """
 
 from __future__ import annotations
@@ -33,8 +36,131 @@ def spread(at: np.ndarray, halo: int, side: int):
     return row, np.repeat(low, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
 
+PACKED = "img_id long, y int, x int, c int, v binary"
+NAMES = ["img_id", "y", "x", "c", "v"]
+
+
+def is_packed(px: DataFrame) -> bool:
+    return px.schema["v"].dataType.typeName() == "binary"
+
+
+def tasks(px: DataFrame) -> int:
+    """Tasks to deal runs to. A fixed number: they are few bytes for much work, and adaptive execution would bring
+    them together again."""
+    return int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def run_batch(img, y, x, c, v):
+    """A batch of runs; v: a list of bytes."""
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip((img, y, x, c, v), kinds)], NAMES)
+
+
+def row_runs(a: np.ndarray) -> list[bytes]:
+    """The rows of height x width bytes."""
+    data, w = np.ascontiguousarray(a, np.uint8).tobytes(), a.shape[1]
+    return [data[i * w : (i + 1) * w] for i in range(a.shape[0])]
+
+
+def flat(batch):
+    """(bytes one after the other, length of each run) of a batch of runs."""
+    data = batch.column(batch.schema.get_field_index("v")).to_pylist()
+    return np.frombuffer(b"".join(data), np.uint8), np.fromiter(map(len, data), np.int64, len(data))
+
+
+def unpack(px: DataFrame) -> DataFrame:
+    """One row a pixel, of packed ones."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                v, n = flat(part)
+                img, y, x, c = (np.repeat(part.column(k).to_numpy(), n) for k in range(4))
+                x = x + np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(k.astype(t)) for k, t in zip((img, y, x, c, v), (np.int64, *[np.int32] * 4))], NAMES)
+
+    return px.select(*NAMES).mapInArrow(run, "img_id long, y int, x int, c int, v int")
+
+
+def value_counts(px: DataFrame) -> DataFrame:
+    """(img_id, c, v, n, sy, sx) of packed pixels: how often a plane has a value, and the sums of its places, counted in
+    batches before the shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                v, n = flat(batch)
+                img, y, x, c = (batch.column(k).to_numpy() for k in range(4))
+                planes, which = np.unique(np.stack([img, c.astype(np.int64)]), axis=1, return_inverse=True)
+                of = np.repeat(which.ravel() * 256, n) + v
+                place = np.repeat(x, n) + np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)
+                size = 256 * planes.shape[1]
+                # sums of whole numbers below 2 ** 53 are exact
+                k, sy, sx = (np.bincount(of, w, size).astype(np.int64) for w in (None, np.repeat(y, n), place))
+                at = np.flatnonzero(k)
+                cols = [planes[0][at >> 8], planes[1][at >> 8].astype(np.int32), (at & 255).astype(np.int32), k[at], sy[at], sx[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in cols], ["img_id", "c", "v", "n", "sy", "sx"])
+
+    parts = px.select(*NAMES).mapInArrow(run, "img_id long, c int, v int, n long, sy long, sx long")
+    return parts.groupBy("img_id", "c", "v").agg(*[F.sum(n).alias(n) for n in ("n", "sy", "sx")])
+
+
+def looked_up(px: DataFrame, to: DataFrame, side: int = SIDE) -> DataFrame:
+    """Packed pixels through a table of each plane, to: (img_id, c, v, to) for the values that it has. A plane's table is
+    one row for each band of `side` rows, so that bands of one image are dealt to many tasks."""
+    last = px.groupBy("img_id", "c").agg(F.expr(f"max(y) div {side}").cast("int").alias("last"))
+    listed = to.groupBy("img_id", "c").agg(F.map_from_entries(F.collect_list(F.struct("v", "to"))).alias("m"))
+    byte = lambda v: F.lpad(F.hex(F.coalesce(F.element_at("m", v), F.lit(0))), 2, "0")
+    table = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), byte), "")).alias("to")
+    bands = listed.select("img_id", "c", table).join(last, ["img_id", "c"]).select("img_id", "c", "to", F.explode(F.sequence(F.lit(0), "last")).alias("band"))
+    met = px.withColumn("band", F.expr(f"cast(y div {side} as int)")).join(bands.hint("shuffle_hash"), ["img_id", "c", "band"])
+
+    def run(batches):
+        for batch in batches:
+            out = [v.translate(table) for v, table in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield run_batch(*batch.columns[:4], out)
+
+    return met.select(*NAMES, "to").mapInArrow(run, PACKED)
+
+
+def _split(px: DataFrame, halo: int, side: int) -> DataFrame:
+    """Packed pixels, cut at the tiles that need them."""
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = batch.column(4).to_pylist()
+            img, y, x, c = (batch.column(k).to_numpy().astype(np.int64) for k in range(4))
+            n = np.fromiter(map(len, data), np.int64, len(data))
+            row, ty = spread(y, halo, side)
+            low, high = np.maximum(0, (x[row] - halo) // side), (x[row] + n[row] - 1 + halo) // side
+            k = high - low + 1
+            again = np.repeat(np.arange(len(row)), k)
+            tx = np.repeat(low, k) + np.arange(len(again)) - np.repeat(np.cumsum(k) - k, k)
+            row, ty = row[again], ty[again]
+            start = np.maximum(x[row], tx * side - halo)
+            stop = np.minimum(x[row] + n[row], (tx + 1) * side + halo)
+            part = [data[r][a:b] for r, a, b in zip(row.tolist(), (start - x[row]).tolist(), (stop - x[row]).tolist())]
+            cols = [pa.array(img[row]), *[pa.array(a.astype(np.int32)) for a in (c[row], ty, tx, y[row], start)], pa.array(part, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["img_id", "c", "ty", "tx", "y", "x", "v"])
+
+    return px.select(*NAMES).mapInArrow(cut, RUNS)
+
+
 def runs(px: DataFrame, halo: int, side: int = SIDE) -> DataFrame:
     """Pixels as runs along x for each tile that needs them; narrow."""
+    if is_packed(px):
+        return _split(px, halo, side)
 
     def pack(batches):
         import pyarrow as pa
@@ -86,7 +212,7 @@ def groups(batches):
 
 def by_tile(packed: DataFrame) -> DataFrame:
     """The exchange: runs of a tile together, one tile after the other."""
-    return packed.repartition(*TILE).sortWithinPartitions(*TILE)
+    return packed.repartition(tasks(packed), *TILE).sortWithinPartitions(*TILE)
 
 
 class Rows:
@@ -120,7 +246,9 @@ def own_part(key, y0: int, x0: int, a: np.ndarray, side: int):
 
 def neighbourhood(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], halo: int, side: int = SIDE, kind: str = "int", name: str = "v") -> DataFrame:
     """kernel on every plane of px (complete planes), tile by tile: it takes a height x width x 1 array of bytes,
-    gives one value a pixel, and looks no further than halo. (img_id, y, x, c, <name>)."""
+    gives one value a pixel, and looks no further than halo. (img_id, y, x, c, <name>); packed pixels stay packed where
+    values are whole numbers."""
+    packed = is_packed(px) and kind == "int"
 
     def run(batches):
         rows = Rows(["img_id", "y", "x", "c", name], [np.int64, np.int32, np.int32, np.int32, np.float32 if kind == "float" else np.int32])
@@ -128,12 +256,16 @@ def neighbourhood(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], hal
             if own_part(key, y0, x0, a, side) is None:
                 continue
             y, x, v = own_part(key, y0, x0, np.asarray(kernel(a[..., None])).reshape(a.shape), side)
+            if packed:
+                m = len(v)
+                yield run_batch([key[0]] * m, np.arange(y, y + m), [x] * m, [key[1]] * m, row_runs(v))
+                continue
             ys, xs = np.indices(v.shape, np.int32)
             rows.add(np.full(v.size, key[0]), (ys + y).ravel(), (xs + x).ravel(), np.full(v.size, key[1]), v.ravel())
             yield from rows.taken()
         yield from rows.taken(1)
 
-    return by_tile(runs(px, halo, side)).mapInArrow(run, f"img_id long, y int, x int, c int, {name} {kind}")
+    return by_tile(runs(px, halo, side)).mapInArrow(run, f"img_id long, y int, x int, c int, {name} {'binary' if packed else kind}")
 
 
 # ---- prefix sums in two levels
@@ -205,7 +337,9 @@ def gather(px: DataFrame, width: int, height: int, scale, box, sample, side: int
     scale(h, w): source places for each target place, (down, across), as columns; target tiles shrink by it, so
     that what a tile asks for stays about as large as a tile. box(top, left, bottom, right, h, w): columns for the
     first and last source row and column that a target tile may use. sample(part, y0, x0, h, w, box): its values."""
-    sizes = px.groupBy("img_id", "c").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    packed = is_packed(px)
+    end = F.max(F.col("x") + F.length("v")) if packed else F.max("x") + 1
+    sizes = px.groupBy("img_id", "c").agg(end.alias("w"), (F.max("y") + 1).alias("h"))
     down, across = scale(F.col("h"), F.col("w"))
     step = lambda s, n: F.greatest(F.lit(1), F.least(F.lit(n), F.floor(side / F.greatest(s, F.lit(1.0))))).cast("int")
     grid = sizes.withColumn("ys", step(down, height)).withColumn("xs", step(across, width))
@@ -217,10 +351,10 @@ def gather(px: DataFrame, width: int, height: int, scale, box, sample, side: int
     asked = grid.select(*about, F.greatest(F.lit(0), y0).cast("int").alias("y0"), F.least(F.col("h") - 1, y1).cast("int").alias("y1"), F.greatest(F.lit(0), x0).cast("int").alias("x0"), F.least(F.col("w") - 1, x1).cast("int").alias("x1")).filter("y0 <= y1 AND x0 <= x1")
     asked = asked.withColumn("sy", F.explode(F.expr(f"sequence(y0 div {side}, y1 div {side})"))).withColumn("sx", F.explode(F.expr(f"sequence(x0 div {side}, x1 div {side})")))
     source = runs(px, 0, side).select("img_id", "c", F.col("ty").cast("long").alias("sy"), F.col("tx").cast("long").alias("sx"), "y", "x", "v")
-    hit = asked.join(source, ["img_id", "c", "sy", "sx"]).filter("y BETWEEN y0 AND y1").select(*about, "y", "x", "v")
+    hit = asked.join(source.hint("merge"), ["img_id", "c", "sy", "sx"]).filter("y BETWEEN y0 AND y1").select(*about, "y", "x", "v")
     # every target tile is there, also where it asks for nothing
     nothing = [F.lit(None).cast(k).alias(n) for n, k in (("y", "int"), ("x", "int"), ("v", "binary"))]
-    rows = grid.select(*about, *nothing).unionByName(hit).repartition(*TILE).sortWithinPartitions(*TILE)
+    rows = grid.select(*about, *nothing).unionByName(hit).repartition(tasks(px), *TILE).sortWithinPartitions(*TILE)
 
     def run(batches):
         out = Rows(["img_id", "y", "x", "c", "v"], [np.int64, np.int32, np.int32, np.int32, np.int32])
@@ -233,21 +367,24 @@ def gather(px: DataFrame, width: int, height: int, scale, box, sample, side: int
             for at, start, v in held:
                 a[at - y, start - x : start - x + len(v), 0] = np.frombuffer(v, np.uint8)
             v = np.asarray(sample(a, y, x, h, w, (top, left, bottom, right))).reshape(bottom - top, right - left)
+            if packed:
+                m = len(v)
+                return [run_batch([img] * m, np.arange(top, bottom), [left] * m, [c] * m, row_runs(v))]
             ys, xs = np.indices(v.shape, np.int32)
             out.add(np.full(v.size, img), (ys + top).ravel(), (xs + left).ravel(), np.full(v.size, c), v.ravel())
+            return out.taken()
 
         for batch in batches:
             cols = [batch.column(n).to_pylist() for n in (*about, "y", "x", "v")]
             for *this, y, x, v in zip(*cols):
                 if tuple(this) != key:
                     if key is not None:
-                        made()
-                        yield from out.taken()
+                        yield from made()
                     held, key = [], tuple(this)
                 if v is not None:
                     held.append((y, x, v))
         if key is not None:
-            made()
+            yield from made()
         yield from out.taken(1)
 
-    return rows.mapInArrow(run, "img_id long, y int, x int, c int, v int")
+    return rows.mapInArrow(run, PACKED if packed else "img_id long, y int, x int, c int, v int")

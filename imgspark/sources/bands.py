@@ -13,6 +13,8 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from imgspark.frame import assembled, gathered
+
 #: Rows of a band, and bytes that a deflated stream may refer back to.
 ROWS, WINDOW = 64, 32768
 ADLER = 65521
@@ -37,11 +39,27 @@ def adler_combined(one: int, two: int, size: int) -> int:
 
 def pixel_rows(px: DataFrame) -> DataFrame:
     """(img_id, y, w, n, b): each row of an image as bytes, where its pixels are."""
+    if px.schema["v"].dataType.typeName() == "binary":
+        return _run_rows(px)
     rows = px.groupBy("img_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "c", "v"))).alias("p"), (F.max("x") + 1).alias("w"), (F.max("c") + 1).alias("n"))
     data = F.encode(F.array_join(F.transform("p", lambda s: F.char(s["v"])), ""), "ISO-8859-1")
     return rows.select("img_id", "y", "w", "n", data.alias("b"))
 
 
+def _run_rows(px: DataFrame) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        for (img, y), held in gathered(batches, ["img_id", "row"]):
+            a = assembled(held)
+            cols = [[img], [y], [a.shape[1]], [a.shape[2]], [a.tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["img_id", "y", "w", "n", "b"])
+
+    n = int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = px.select("img_id", F.col("y").alias("row"), "y", "x", "c", "v").repartition(n, "img_id", "row").sortWithinPartitions("img_id", "row")
+    return dealt.mapInArrow(run, "img_id long, y int, w int, n int, b binary")
+
+
 def png_files(px: DataFrame, level: int = 6, rows: int = ROWS, directory: str = "") -> DataFrame:
     """(img_id, path, content) of complete images in pixels of 1, 3 or 4 channels."""
     lines = pixel_rows(px)
@@ -73,7 +91,7 @@ def png_files(px: DataFrame, level: int = 6, rows: int = ROWS, directory: str =
         if held:
             yield made()
 
-    sorted_ = dealt.repartition("img_id", "band").sortWithinPartitions("img_id", "band", "y")
+    sorted_ = dealt.repartition(int(px.sparkSession.conf.get("spark.sql.shuffle.partitions")), "img_id", "band").sortWithinPartitions("img_id", "band", "y")
     parts = sorted_.mapInArrow(deflate, "img_id long, band long, w int, n int, rows int, part binary, adler long, size long")
     files = parts.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("band", "part", "adler", "size"))).alias("parts"), F.max("w").alias("w"), F.max("n").alias("n"), F.sum("rows").cast("int").alias("h"))
 
