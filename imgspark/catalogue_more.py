@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from imgspark import fixtures as X
-from imgspark.frame import from_pixels, map_frames, to_pixels
+from imgspark.frame import distances, from_pixels, map_frames, to_pixels
 from imgspark.functions import registry as R
 from imgspark.operators import components as C
 from imgspark.operators import kernels as K
@@ -33,10 +33,8 @@ def _trip(fmt, name, **how):
 def _jpeg(name, bound, **how):
     def run(spark, d):
         src = fr(spark, d, name)
-        back = to_pixels(codecs.decode_frames(codecs.encode_frames(src, "jpg", **how)))
-        a, b = to_pixels(src), back.withColumnRenamed("v", "v2")
-        diff = a.join(b, P.KEYS, "left").groupBy("img_id").agg(F.max(F.coalesce(F.abs(F.col("v") - F.col("v2")), F.lit(999))).alias("worst"))
-        return diff.select("img_id", (F.col("worst") <= bound).alias("within"))
+        worst = distances(src, codecs.decode_frames(codecs.encode_frames(src, "jpg", **how)))
+        return worst.select("img_id", (F.col("worst") <= bound).alias("within"))
 
     return run
 

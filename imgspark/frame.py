@@ -80,7 +80,9 @@ def from_pixels(px: DataFrame, origin: str = "pixels") -> DataFrame:
     # one character a sample, encoded as one byte
     data = F.encode(F.array_join(F.transform("p", lambda s: F.char(s["v"])), ""), "ISO-8859-1")
     rows = rows.select("img_id", "y", "w", "n", data.alias("b"))
-    g = rows.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("y", "b"))).alias("r"), F.max("w").cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), F.max("n").cast("int").alias("channels"))
+    # to a fixed number of tasks, as frames are few bytes for what is then done with them
+    n = int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = rows.repartition(n, "img_id").groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("y", "b"))).alias("r"), F.max("w").cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), F.max("n").cast("int").alias("channels"))
     whole = F.unhex(F.array_join(F.transform("r", lambda s: F.hex(s["b"])), ""))
     return g.select("img_id", F.lit(origin).alias("origin"), "width", "height", "channels", whole.alias("data"))
 
@@ -138,6 +140,59 @@ def to_runs(fr: DataFrame) -> DataFrame:
     return fr.select(*SCHEMA.names, *[c for c in ("top",) if c in fr.columns]).mapInArrow(run, "img_id long, y int, x int, c int, v binary")
 
 
+def distances(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(img_id, n, worst) of each frame of a: its samples, and the largest difference from the frame of b with its id, 999
+    where there is none of that shape. Frames meet as bytes; neither side is broadcast, as its size is hard to guess."""
+    sides = [F.struct("width", "height", "channels").alias("shape"), "data"]
+    other = b.select("img_id", *sides).toDF("img_id", "other", "got")
+    met = a.select("img_id", *sides).join(other.hint("merge"), "img_id", "left")
+    same = F.when(F.col("shape") == F.col("other"), F.col("got"))
+    return distances_of(met.select("img_id", F.col("data").alias("v"), same.alias("got")))
+
+
+def distances_of(pairs: DataFrame) -> DataFrame:
+    """(img_id, n, worst) of (img_id, v, got), two strings of bytes: how many, and the largest difference, 999 where they are not alike."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for i, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                same = b is not None and len(a) == len(b)
+                rows.append((i, len(a), int(np.abs(np.frombuffer(a, np.uint8).astype(np.int16) - np.frombuffer(b, np.uint8)).max(initial=0)) if same else 999))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (pa.int64(), pa.int64(), pa.int32()))], ["img_id", "n", "worst"])
+
+    return pairs.mapInArrow(run, "img_id long, n long, worst int")
+
+
+def place_values(fr: DataFrame) -> DataFrame:
+    """(origin, y, x, c, n, least, largest) over all frames of an origin: of each of its places, how many samples there are
+    and between which values, added up in batches before the shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = {}
+            for at in range(batch.num_rows):
+                for r, a in frames(batch.slice(at, 1)):
+                    t = found.get((r["origin"], a.shape))
+                    if t is None:
+                        found[r["origin"], a.shape] = [1, a.copy(), a.copy()]
+                    else:
+                        t[0] += 1
+                        np.minimum(t[1], a, out=t[1])
+                        np.maximum(t[2], a, out=t[2])
+            for (origin, shape), (n, least, largest) in found.items():
+                places = [k.ravel() for k in np.indices(shape, np.int32)]
+                cols = [pa.array([origin] * least.size), *map(pa.array, places), pa.array(np.full(least.size, n, np.int64)), *[pa.array(v.ravel().astype(np.int32)) for v in (least, largest)]]
+                yield pa.RecordBatch.from_arrays(cols, ["origin", "y", "x", "c", "n", "least", "largest"])
+
+    parts = fr.select(*SCHEMA.names).mapInArrow(run, "origin string, y int, x int, c int, n long, least int, largest int")
+    return parts.groupBy("origin", "y", "x", "c").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("largest").alias("largest"))
+
+
 def from_spark_image(df: DataFrame, column: str = "image") -> DataFrame:
     """Frames from Spark's own image source, whose bytes are BGR(A)."""
     im = F.col(column)

@@ -90,3 +90,26 @@ def test_shuffles_carry_runs(spark):
         df = f(Q.large(spark, SF))
         assert T.is_packed(df)
         assert "Generate explode(sequence(0, 323" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_meet_as_frames(spark):
+    """No row a pixel in the join, and no side of a guessed size is broadcast."""
+    from imgspark import catalogue_more as M
+    from imgspark.frame import distances
+
+    for name, f in (("shrink", Q.FILE_QUERIES["s_jpeg_shrink_px"]), ("tol", M.MORE["s_jpeg_tol"]), ("baseline", M.MORE["s_jpeg_baseline_tol"])):
+        text = f(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        join = next(line for line in text.splitlines() if "Join" in line)
+        assert "SortMergeJoin [img_id#" in join and "BroadcastHashJoin" not in text, name
+    rng = np.random.default_rng(1)
+    a = {i: rng.integers(0, 256, (3, 4, 3), dtype=np.uint8) for i in range(3)}
+    b = {0: a[0], 1: (a[1].astype(int) // 2).astype(np.uint8).reshape(4, 3, 3), 2: np.minimum(a[2], 200)}
+    one, two = (spark.createDataFrame(from_arrays([(i, "a", x) for i, x in d.items()]).to_pylist(), SCHEMA) for d in (a, b))
+    got = {r["img_id"]: (r["n"], r["worst"]) for r in distances(one, two).collect()}
+    assert got == {0: (36, 0), 1: (36, 999), 2: (36, max(0, int(a[2].max()) - 200))}
+
+
+def test_pictures_are_dealt_to_tasks(spark):
+    """The small table of suppliers must not leave all decoding to one task; each picture is decoded once."""
+    text = Q.FILE_QUERIES["s_jpeg_files"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in text and text.count("Scan parquet") == 1 and "Join" not in text
