@@ -164,6 +164,18 @@ def short_names(sig: np.ndarray, log2: int) -> np.ndarray:
     return sig >> U(32 - log2)
 
 
+def packed_names(held: list, log2: int):
+    """(bucket, part) of many signatures."""
+    import pyarrow as pa
+
+    s = np.sort(short_names(np.concatenate(held), log2))
+    s = s[np.concatenate([np.ones(min(2, len(s)), bool), s[2:] != s[:-2]])]  # two of a name tell as much as more
+    ends = np.searchsorted(s, np.arange(1 << log2, dtype=U) << U(32))
+    full = np.diff(ends, append=len(s)).nonzero()[0]
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(4 * np.append(ends[full], len(s)).astype(np.int64)), pa.py_buffer(s.astype(np.uint32))])
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), parts.cast(pa.binary())], ["bucket", "part"])
+
+
 def _packed(k: int, percent: int, log2: int, skip=None):
     """(bucket, part): the short names of all signatures; log2 bits name a bucket, the other 32 lie packed in
     its parts, so that four bytes for each signature are shuffled. skip: a Bloom filter of ids to leave out."""
@@ -171,14 +183,6 @@ def _packed(k: int, percent: int, log2: int, skip=None):
     def run(batches):
         import pyarrow as pa
 
-        def flush(held):
-            s = np.sort(short_names(np.concatenate(held), log2))
-            s = s[np.concatenate([np.ones(min(2, len(s)), bool), s[2:] != s[:-2]])]  # two of a name tell as much as more
-            ends = np.searchsorted(s, np.arange(1 << log2, dtype=U) << U(32))
-            full = np.diff(ends, append=len(s)).nonzero()[0]
-            parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(4 * np.append(ends[full], len(s)).astype(np.int64)), pa.py_buffer(s.astype(np.uint32))])
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), parts.cast(pa.binary())], ["bucket", "part"])
-
         table, scheme, held, n = WordHashes(), Scheme(percent), [], 0
         for batch in in_slices(batches):
             if skip:
@@ -189,10 +193,10 @@ def _packed(k: int, percent: int, log2: int, skip=None):
                         held.append(sig)
                         n += len(sig)
                 if n >= PACKED:
-                    yield flush(held)
+                    yield packed_names(held, log2)
                     held, n = [], 0
         if held:
-            yield flush(held)
+            yield packed_names(held, log2)
 
     return lean(run)
 
@@ -331,7 +335,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     scratch.drop(signed, rest, copies)
     scratch.release()
     by_x, by_y = by_key.withColumnRenamed("rep", "a"), by_key.select(F.col("x").alias("y"), F.col("rep").alias("b"))
-    pairs = scratch.cut(pairs.join(by_x, "x").join(by_y, "y").select("a", "b", "again").filter("a <> b"))
+    named = scratch.cut(pairs.join(by_x, "x").join(by_y, "y").select("a", "b", "again").filter("a <> b"))
+    scratch.drop(pairs)
+    pairs = named
     bloom.unpersist()
     skip.unpersist()
 
@@ -362,7 +368,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: s
     last = [F.coalesce("n_links_found", F.lit(0)).cast("long").alias("n_links_found")] if degrees else []
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *last)
     done = scratch.cut(out)
-    scratch.drop(sets, classes, reps)
+    scratch.drop(sets, classes, reps, labels)
+    scratch.release()
     return done
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from imgspark.llm.partenum import PACKED, _repeated, bucket_log2, packed_names, short_names
 from imgspark.llm.scratch import Scratch, broadcast_bloom, in_bloom, lean, split_by_keys
 from imgspark.llm.shingles import U, in_slices, mix
 
@@ -140,8 +141,30 @@ def grouped(texts: list, most: int = 400_000):
         yield at, len(texts)
 
 
-def _runs(bloom=None):
-    """(k1, k2, doc_id) of runs. With a Bloom filter of k1 only the runs it holds, and own: a row,
+def _names(log2: int):
+    """(bucket, part): the short names of all runs, four bytes for each; partenum's _repeated finds those that occur twice."""
+
+    def run(batches):
+        table, held, n = Words(), [], 0
+        for batch in in_slices(batches):
+            batch = batch.filter(batch.column(0).is_valid())
+            texts = batch.column(1).to_pylist()
+            for i, j in grouped(texts):
+                keys = Pieces(texts[i:j], table).runs()[3]
+                if len(keys):
+                    held.append(keys[:, 0].view(U))
+                    n += len(keys)
+                if n >= PACKED:
+                    yield packed_names(held, log2)
+                    held, n = [], 0
+        if held:
+            yield packed_names(held, log2)
+
+    return lean(run)
+
+
+def _runs(bloom, log2: int):
+    """(k1, k2, doc_id, own) of the runs whose short name a Bloom filter holds, once for a text; own: a row,
     under a key of its own, for each document that repeats a run itself."""
 
     def run(batches):
@@ -155,14 +178,11 @@ def _runs(bloom=None):
                 text, _, _, keys = Pieces(texts[i:j], table).runs()
                 if not len(keys):
                     continue
-                if bloom is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(docs[i:j][text])], ["k1", "k2", "doc_id"])
-                    continue
                 order = np.argsort(one := within(text, keys))
                 again = order[1:][one[order[1:]] == one[order[:-1]]]
                 own = docs[i:j][np.unique(text[again])]
                 mark = mix(own.view(U)).view(np.int64)
-                hit = in_bloom(bloom.value, keys[:, 0])
+                hit = in_bloom(bloom.value, short_names(keys[:, 0].view(U), log2).view(np.int64))
                 hit[again] = False
                 cols = [np.concatenate([keys[hit, 0], mark]), np.concatenate([keys[hit, 1], mark]), np.concatenate([docs[i:j][text[hit]], own]), np.arange(hit.sum() + len(own)) >= hit.sum()]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k1", "k2", "doc_id", "own"])
@@ -254,15 +274,22 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         raise ValueError(f"columns that dedup_spans makes itself: {clash}")
     scratch = Scratch(docs.sparkSession, "spans")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = "k1 long, k2 long, doc_id long"
-    first = base.mapInArrow(_runs(), schema).groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("k1", "k2", "lo")
+    # of all runs only short names are shuffled, four bytes each; then those that may be repeated, as they are
+    log2 = bucket_log2((base.agg(F.sum(F.length("text"))).first()[0] or 0) // RUN)
+    names = base.mapInArrow(_names(log2), "bucket int, part binary").repartition("bucket").sortWithinPartitions("bucket")
+    twice = scratch.cut(names.mapInArrow(lean(_repeated), "sig long"))
+    del names
+    scratch.release()
+    bloom = broadcast_bloom(scratch, twice, "sig")
+    scratch.drop(twice)
+    maybe = scratch.cut(base.mapInArrow(_runs(bloom, log2), "k1 long, k2 long, doc_id long, own boolean"))
+    first = maybe.filter("not own").groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("k1", "k2", "lo")
     first = scratch.cut(first)
-    # only runs that may be repeated are shuffled a second time; no aggregate by key follows, so that
-    # a key with very many rows can be split over tasks
-    bloom = broadcast_bloom(scratch, first, "k1")
-    maybe = base.mapInArrow(_runs(bloom), schema + ", own boolean")
+    # no aggregate by key follows, so that a key with very many rows can be split over tasks
     later = maybe.join(first, ["k1", "k2"], "left").filter("own or doc_id > lo").select("doc_id", F.when(~F.col("own"), F.struct("k1", "k2")).alias("k"))
     later = scratch.cut(later)
+    scratch.drop(maybe, first)
+    scratch.release()
     bloom.unpersist()
     by_doc = later.groupBy(F.col("doc_id").alias("_s_doc")).agg(F.collect_list("k").alias("_s_keys"))
     columns = [F.col(f"`{c}`") for c in docs.columns]

@@ -45,3 +45,26 @@ def test_components_of_chains_stars_and_cycles(spark):
     got = {r.node: r.comp for r in connected_components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long").select(F.col("b").alias("a"), F.col("a").alias("b"))).collect()}
     assert got == {i: 0 for i in range(61)} | {100 + i: 100 for i in range(40)} | {i: 200 for i in (200, 201, 202)}
     assert connected_components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_spans_shuffle_names_of_runs_and_leave_no_tables(spark, tmp_path):
+    """What is shuffled of all runs is four bytes each, and tables of runs are gone when the result is read."""
+    import os
+
+    import numpy as np
+
+    from imgspark.llm import spans
+    from imgspark.llm.scratch import shared_dir
+
+    passage = " ".join(f"Shared w{i} of a passage that many have, number {i}." for i in range(12))
+    rows = [(i, f"Own{i} start of text {i * 7} here. {passage if i % 2 else ''} End {i} of it all, {i * 3}.") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    top = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    got = {r["doc_id"]: r["_s_removed"] for r in spans.dedup_spans(docs).collect()}
+    assert all((got[i] > 0) == (i % 2 == 1 and i > 1) for i in got)
+    made = [d for d in set(os.listdir(top)) - before if d.startswith("spans-")]
+    assert len(made) == 1 and len(os.listdir(f"{top}/{made[0]}")) == 1  # what the result reads
+    names = next(spans._names(4)(iter(docs.toArrow().to_batches())))
+    n = sum(len(spans.Pieces([t], spans.Words()).runs()[0]) for _, t in rows)
+    assert 0 < sum(map(len, names.column(1).to_pylist())) <= 4 * n and isinstance(n, int) and np.all(names.column(0).to_numpy() < 16)
