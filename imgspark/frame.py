@@ -113,13 +113,13 @@ def gathered(batches, keys: list[str]):
 
 def from_runs(px: DataFrame, origin: str = "pixels") -> DataFrame:
     """Frames from complete packed pixels: one exchange of bytes by image."""
-    n = int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from imgspark.operators.tiles import tasks
 
     def run(batches):
         for (img,), held in gathered(batches, ["img_id"]):
             yield from_arrays([(img, origin, assembled(held))])
 
-    return px.select("img_id", "y", "x", "c", "v").repartition(n, "img_id").sortWithinPartitions("img_id").mapInArrow(run, SCHEMA)
+    return px.select("img_id", "y", "x", "c", "v").repartition(tasks(px), "img_id").sortWithinPartitions("img_id").mapInArrow(run, SCHEMA)
 
 
 def to_runs(fr: DataFrame) -> DataFrame:

@@ -44,10 +44,16 @@ def is_packed(px: DataFrame) -> bool:
     return px.schema["v"].dataType.typeName() == "binary"
 
 
+#: Tasks a core that runs are dealt to.
+A_CORE = 4
+
+
 def tasks(px: DataFrame) -> int:
     """Tasks to deal runs to. A fixed number: they are few bytes for much work, and adaptive execution would bring
-    them together again."""
-    return int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    them together again. No more than A_CORE a core: starting a Python task takes longer than a small image, and a
+    task holds one tile, one frame or one batch however many come to it."""
+    spark = px.sparkSession
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), A_CORE * spark.sparkContext.defaultParallelism))
 
 
 def run_batch(img, y, x, c, v):

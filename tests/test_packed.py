@@ -113,3 +113,15 @@ def test_pictures_are_dealt_to_tasks(spark):
     """The small table of suppliers must not leave all decoding to one task; each picture is decoded once."""
     text = Q.FILE_QUERIES["s_jpeg_files"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in text and text.count("Scan parquet") == 1 and "Join" not in text
+
+
+def test_few_tasks_for_many_partitions(spark, packed):
+    """A small image must not start a Python task for each of hundreds of shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        most = T.A_CORE * spark.sparkContext.defaultParallelism
+        assert T.tasks(packed) == most < 200
+        assert T.by_tile(T.runs(packed, 1)).rdd.getNumPartitions() == from_pixels(packed).rdd.getNumPartitions() == most
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
