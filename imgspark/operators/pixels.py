@@ -383,12 +383,17 @@ def normalize(px):
     return value(d, trunc_u8((F.col("v") - F.col("lo")) / span * 255))
 
 
-def integral(px):
-    """(img_id, y, x, s): (w + 1) x (h + 1) sums, with a zero row and column."""
-    d = prefix_sums(px.filter("c = 0")).select("img_id", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), "s")
+def integral(px, by_runs=False):
+    """(img_id, y, x, s): (w + 1) x (h + 1) sums, with a zero row and column. by_runs: s is an array, the sums from x on."""
+    d = prefix_sums(px.filter("c = 0"), by_runs=by_runs).select("img_id", (F.col("y") + 1).alias("y"), (F.col("x") + 1).alias("x"), "s")
     size = px.groupBy("img_id").agg(width_of(px).alias("w"), (F.max("y") + 1).alias("h"))
-    top = size.select("img_id", F.lit(0).alias("y"), F.explode(F.sequence(F.lit(0), F.col("w"))).alias("x"), F.lit(0).cast("long").alias("s"))
-    side = size.select("img_id", F.explode(F.sequence(F.lit(1), F.col("h"))).alias("y"), F.lit(0).alias("x"), F.lit(0).cast("long").alias("s"))
+    none = F.lit(0).cast("long")
+    if by_runs:
+        border = size.select("img_id", "w", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("y"))
+        zeros = F.array_repeat(none, F.when(F.col("y") == 0, F.col("w") + 1).otherwise(1))
+        return d.unionByName(border.select("img_id", "y", F.lit(0).alias("x"), zeros.alias("s")))
+    top = size.select("img_id", F.lit(0).alias("y"), F.explode(F.sequence(F.lit(0), F.col("w"))).alias("x"), none.alias("s"))
+    side = size.select("img_id", F.explode(F.sequence(F.lit(1), F.col("h"))).alias("y"), F.lit(0).alias("x"), none.alias("s"))
     return d.unionByName(top).unionByName(side)
 
 

@@ -277,11 +277,12 @@ def neighbourhood(px: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], hal
 # ---- prefix sums in two levels
 
 
-def integral(px: DataFrame, side: int = SIDE) -> DataFrame:
+def integral(px: DataFrame, side: int = SIDE, by_runs: bool = False) -> DataFrame:
     """(img_id, c, y, x, s): sums of all pixels above and to the left, the pixel included, without a window over an
     image. Tiles sum inside; what a tile needs from outside is, for each of its columns, the sum of the tiles above,
     for each of its rows, that of the tiles to the left, and one number for the tiles before it both ways. These
-    carries are 2 * side + 1 numbers a tile, added up along rows and columns of tiles."""
+    carries are 2 * side + 1 numbers a tile, added up along rows and columns of tiles. by_runs: s is an array, the
+    sums of a tile's row from x on."""
     packed = by_tile(runs(px, 0, side))
 
     def ends(batches):
@@ -298,16 +299,19 @@ def integral(px: DataFrame, side: int = SIDE) -> DataFrame:
     parts = packed.mapInArrow(ends, "img_id long, c int, ty int, tx int, way int, p int, s long")
     before = (Window.unboundedPreceding, -1)
     along = lambda *keys: Window.partitionBy("img_id", "c", "way", "p", keys[0]).orderBy(keys[1]).rowsBetween(*before)
-    # of a column of tiles, and of a row of tiles: one place of their carries a group
-    down = parts.filter("way = 0").withColumn("s", F.sum("s").over(along("tx", "ty")))
-    right = parts.filter("way = 1").withColumn("s", F.sum("s").over(along("ty", "tx")))
-    both = parts.filter("way = 2").withColumn("s", F.sum("s").over(along("tx", "ty"))).withColumn("s", F.sum("s").over(along("ty", "tx")))
-    carried = down.unionByName(right).unionByName(both).filter("s IS NOT NULL")
+    # of a column of tiles, and of a row of tiles: one place of their carries a group; one exchange for all
+    across = F.col("way") == 1
+    line, at = F.when(across, F.col("ty")).otherwise(F.col("tx")), F.when(across, F.col("tx")).otherwise(F.col("ty"))
+    once = parts.withColumn("line", line).withColumn("at", at).withColumn("s", F.sum("s").over(along("line", "at")))
+    both = once.filter("way = 2").withColumn("s", F.sum("s").over(along("ty", "tx")))
+    carried = once.filter("way < 2").unionByName(both).filter("s IS NOT NULL")
     carries = carried.groupBy(*TILE).agg(F.array_sort(F.collect_list(F.struct("way", "p", "s"))).alias("carry")).select(*TILE, F.transform("carry", lambda t: F.struct(t["way"], t["s"])).alias("carry"))
     # the tile's runs as one row, to meet its carries
     whole = packed.groupBy(*TILE).agg(F.collect_list(F.struct("y", "x", "v")).alias("runs"))
 
     def run(batches):
+        import pyarrow as pa
+
         rows = Rows(["img_id", "c", "y", "x", "s"], [np.int64, np.int32, np.int32, np.int32, np.int64])
         for batch in batches:
             for at in range(batch.num_rows):
@@ -325,12 +329,18 @@ def integral(px: DataFrame, side: int = SIDE) -> DataFrame:
                 if carry[1]:
                     s += np.array(carry[1], np.int64)[: s.shape[0], None]
                 s += sum(carry[2])
+                if by_runs:
+                    m, n = s.shape
+                    sums = pa.ListArray.from_arrays(pa.array(np.arange(0, m * n + 1, n, dtype=np.int32)), pa.array(s.ravel()))
+                    cols = [pa.array(k) for k in (np.full(m, r["img_id"], np.int64), np.full(m, r["c"], np.int32), np.arange(y0, y0 + m, dtype=np.int32), np.full(m, x0, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*cols, sums], rows.names)
+                    continue
                 ys, xs = np.indices(s.shape, np.int32)
                 rows.add(np.full(s.size, r["img_id"]), np.full(s.size, r["c"]), (ys + y0).ravel(), (xs + x0).ravel(), s.ravel())
                 yield from rows.taken()
         yield from rows.taken(1)
 
-    return whole.join(carries, TILE, "left").mapInArrow(run, "img_id long, c int, y int, x int, s long")
+    return whole.join(carries, TILE, "left").mapInArrow(run, f"img_id long, c int, y int, x int, s {'array<long>' if by_runs else 'long'}")
 
 
 # ---- resampling

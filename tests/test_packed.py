@@ -125,3 +125,16 @@ def test_few_tasks_for_many_partitions(spark, packed):
         assert T.by_tile(T.runs(packed, 1)).rdd.getNumPartitions() == from_pixels(packed).rdd.getNumPartitions() == most
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("side", [8, 512])
+def test_sums_by_runs(packed, monkeypatch, side):
+    """Runs of sums hold what one row a pixel does; their carries are made once, for one exchange."""
+    sums = T.integral
+    monkeypatch.setattr(P, "prefix_sums", lambda px, **how: sums(px, side, **how))
+    got = [(r["img_id"], r["y"], r["x"] + i, s) for r in P.integral(packed, by_runs=True).collect() for i, s in enumerate(r["s"])]
+    assert sorted(got) == seen(P.integral(packed), ("img_id", "y", "x", "s"))
+    rows = {(r["img_id"], r["y"]): (r["n"], r["s"], r["sx"]) for r in Q._row_sums(P.integral(packed, by_runs=True)).collect()}
+    for (i, y), row in rows.items():
+        mine = [(x, s) for k, at, x, s in got if (k, at) == (i, y)]
+        assert row == (len(mine), sum(s for _, s in mine), sum(x * s for x, s in mine))
