@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from imgspark import catalogue_files as Q
-from imgspark.frame import from_arrays, from_pixels, to_pixels, to_runs, SCHEMA
+from imgspark.frame import from_arrays, from_pixels, map_frames, to_pixels, to_runs, SCHEMA
 from imgspark.operators import kernels as K
 from imgspark.operators import pixels as P
 from imgspark.operators import tiles as T
@@ -138,3 +138,57 @@ def test_sums_by_runs(packed, monkeypatch, side):
     for (i, y), row in rows.items():
         mine = [(x, s) for k, at, x, s in got if (k, at) == (i, y)]
         assert row == (len(mine), sum(s for _, s in mine), sum(x * s for x, s in mine))
+
+
+def test_counts_take_one_python_step(spark, packed):
+    """A task of these queries starts one Python process, and writes no file for each of hundreds of shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "197")
+    try:
+        for name in ("b_convolve_px", "b_erode_px", "b_gaussian_px", "b_dilate_px", "b_threshold"):
+            text = Q.FILE_QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert text.count("MapInArrow") == 1 and ", 197)" not in text, name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("held", [1, 256])
+def test_value_counts_by_hand(spark, packed, frames, monkeypatch, held):
+    monkeypatch.setattr(T, "HELD", held)
+    want = {}
+    for i, a in frames.items():
+        for (y, x, c), v in np.ndenumerate(a):
+            t = want.setdefault((i, c, int(v)), [0, 0, 0])
+            t[0], t[1], t[2] = t[0] + 1, t[1] + y, t[2] + x
+    # runs that start anywhere
+    cut = T.runs(packed, 0, 7).select(*T.NAMES)
+    for px in (packed, cut, to_runs(from_pixels(packed))):
+        assert {(r["img_id"], r["c"], r["v"]): [r["n"], r["sy"], r["sx"]] for r in T.value_counts(px).collect()} == want
+    got = {r["v"]: r["n"] for r in T.value_counts(packed, ["v"]).collect()}
+    assert got == {v: sum(t[0] for k, t in want.items() if k[2] == v) for v in {k[2] for k in want}}
+
+
+def test_steps_join_only_where_nothing_is_between(spark, packed):
+    fr = from_pixels(packed)
+    one = to_runs(map_frames(fr, K.invert))
+    # the plan of the cached source is printed below it
+    assert one._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0].count("MapInArrow") == 1
+    kept = map_frames(fr, K.invert).cache()
+    two = to_runs(kept)
+    assert "InMemoryTableScan" in two._jdf.queryExecution().executedPlan().toString()
+    some = to_runs(map_frames(fr, K.invert).where("img_id < 2"))
+    assert seen(one) == seen(two) and seen(some) == [r for r in seen(one) if r[0] < 2] and len(seen(some))
+    kept.unpersist()
+
+
+def test_several_events_of_a_cell(spark, tmp_path):
+    """The largest value of an id is drawn; ids below 0 and without value are not, and cells without event are 0."""
+    rows = [(0, 7.5), (0, 200.9), (2, None), (5, -30.2), (-1, 9.0), (None, 9.0), (Q.ACROSS**2 + Q.ACROSS, 300.0)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["img_id"]: np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]) for r in from_pixels(Q.large(spark, str(tmp_path))).collect()}
+    for i, cells in ((0, {(0, 0): 200, (0, 5): 30}), (1, {(1, 0): 44})):
+        want = np.zeros((Q.ACROSS, Q.SIDE, Q.ACROSS, Q.SIDE), np.uint8)
+        for (y, x), v in cells.items():
+            want[y, Q.MARGIN : -Q.MARGIN, x, Q.MARGIN : -Q.MARGIN] = v
+        assert (got[i] == want.reshape(Q.ACROSS * Q.SIDE, -1)).all()
+    assert set(got) == {0, 1}
