@@ -188,6 +188,26 @@ def test_streams(spark, tmp_path):
     assert spark.sql("SELECT sum(n) AS n FROM arrivals").first().n == 4
 
 
+def test_small_batches_start_few_jobs(spark, tmp_path):
+    """A batch of 40 files starts no job to look them up; decoding and writing are one Python step, so a batch is as cheap as can be."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(40):
+        (src / f"{i}.png").write_bytes(raster.write_png(smooth(6, 6)))
+    name = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before, jobs = spark.conf.get(name), []
+    for listed in (1, 40):
+        with S.small_batches(spark, listed):
+            q = S.write_stream(S.stream_images(spark, str(src), files_per_trigger=40), str(tmp_path / f"out{listed}"), str(tmp_path / f"ck{listed}")).trigger(availableNow=True).start()
+            q.awaitTermination()
+        assert len(list((tmp_path / f"out{listed}").glob("*.png"))) == 40
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(q.runId))))
+    assert jobs[1] == jobs[0] - 1 and spark.conf.get(name) == before
+    written = reader.write_images(codecs.decode_frames(reader.image_files(spark, str(src))), str(tmp_path / "w"), parts=3)
+    plan = written._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and ", 3), REPARTITION_BY_NUM" in plan and written.count() == 40
+
+
 def with_restarts(data, every):
     """The same baseline picture with a restart marker after so many units, coded anew."""
     im = jpeg.parse(data)
