@@ -208,6 +208,15 @@ def test_small_batches_start_few_jobs(spark, tmp_path):
     assert plan.count("MapInArrow") == 1 and ", 3), REPARTITION_BY_NUM" in plan and written.count() == 40
 
 
+def test_equal_names_are_an_error_when_only_counted(spark, tmp_path):
+    """save and streams count what was written; two frames of one name are an error there too, and not one frame less."""
+    px = spark.createDataFrame([(1, 0, 0, 0, 5)], "img_id long, y int, x int, c int, v int")
+    fr = from_pixels(px)
+    assert ImageFrame.from_frames(fr).save(str(tmp_path / "one"), "png") == 1
+    with pytest.raises(Exception, match="several frames are named"):
+        ImageFrame.from_frames(fr.unionByName(fr)).save(str(tmp_path / "two"), "png")
+
+
 def with_restarts(data, every):
     """The same baseline picture with a restart marker after so many units, coded anew."""
     im = jpeg.parse(data)
