@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from imgspark.frame import SCHEMA
 from imgspark.operators.kernels import gray_to_rgb
+from imgspark.operators.tiles import tasks as to_tasks
 from imgspark.sources import jpeg
 from imgspark.sources.bands import pixel_rows
 from imgspark.sources.codecs import BROKEN, path_id_column
@@ -126,11 +127,11 @@ def read_bands(spark: SparkSession, path: str, least: int = LEAST, recursive: bo
     return jpeg_bands(files.select("path", "content"), least, errors=errors)
 
 
-def join_bands(bands: DataFrame) -> DataFrame:
-    """Whole frames; an image with a band missing is left out."""
-    g = bands.groupBy("img_id", "origin").agg(F.array_sort(F.collect_list(F.struct("top", "height", "data"))).alias("b"), F.max("width").alias("width"), F.max("whole").alias("height"), F.max("channels").alias("channels"))
+def join_bands(bands: DataFrame, count: str | None = None) -> DataFrame:
+    """Whole frames; an image with a band missing is left out. count: a column for how many bands there were."""
+    g = bands.repartition(to_tasks(bands), "img_id", "origin").groupBy("img_id", "origin").agg(F.array_sort(F.collect_list(F.struct("top", "height", "data"))).alias("b"), F.max("width").alias("width"), F.max("whole").alias("height"), F.max("channels").alias("channels"))
     full = g.where(F.aggregate("b", F.lit(0), lambda n, b: n + b["height"]) == F.col("height"))
-    return full.select("img_id", "origin", "width", "height", "channels", F.unhex(F.array_join(F.transform("b", lambda s: F.hex(s["data"])), "")).alias("data")).select(*SCHEMA.names)
+    return full.select("img_id", "origin", "width", "height", "channels", F.unhex(F.array_join(F.transform("b", lambda s: F.hex(s["data"])), "")).alias("data"), *([F.size("b").alias(count)] if count else []))
 
 
 def jpeg_files(px: DataFrame, quality: int = 85, progressive: bool = True, rows: int = ROWS, directory: str = "") -> DataFrame:
@@ -142,6 +143,10 @@ def jpeg_files(px: DataFrame, quality: int = 85, progressive: bool = True, rows:
         raise ValueError("rows: 1 to 7")
     scans = jpeg.SCANS[progressive]
     lines = pixel_rows(px).withColumn("band", F.expr(f"y div {8 * rows}"))
+    # the join below asks for keys; asked for here too, both uses of the bands are one plan, whose exchange is made once
+    lines = lines.where(F.col("img_id").isNotNull() & F.col("band").isNotNull())
+    # to a fixed number of tasks here and below: bytes are few for the work on them, and adaptive execution would bring them together
+    lines = lines.repartition(to_tasks(px), "img_id", "band")
     bands = lines.groupBy("img_id", "band").agg(F.array_sort(F.collect_list(F.struct("y", "b"))).alias("r"), F.max("w").cast("int").alias("w"), F.max("n").cast("int").alias("n"))
 
     def blocks(r):
@@ -195,5 +200,5 @@ def jpeg_files(px: DataFrame, quality: int = 85, progressive: bool = True, rows:
     # one copy for each band, so that an image's bands stay dealt to many tasks
     dealt = tables.select("img_id", "counts", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("band"))
     parts = bands.join(dealt.hint("merge"), ["img_id", "band"]).mapInArrow(code, "img_id long, band long, w int, h long, heads array<binary>, parts array<binary>")
-    whole = parts.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("band", "parts"))).alias("p"), F.max("w").alias("w"), F.sum("h").cast("int").alias("h"), F.max("heads").alias("heads"))
+    whole = parts.repartition(to_tasks(px), "img_id").groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("band", "parts"))).alias("p"), F.max("w").alias("w"), F.sum("h").cast("int").alias("h"), F.max("heads").alias("heads"))
     return whole.mapInArrow(join, "img_id long, path string, content binary")

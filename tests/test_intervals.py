@@ -123,3 +123,14 @@ def test_broken_files_by_bands(spark, tmp_path):
     assert {r.origin.rsplit("/", 1)[-1] for r in kept if r.whole == 64} >= {"a.jpg"} and sum(r.origin.endswith("a.jpg") for r in kept) == 8
     with pytest.raises(ValueError):
         intervals.jpeg_bands(kept and spark.createDataFrame([(1, "a", bytearray(good))], "img_id long, path string, content binary"), errors="column")
+
+
+def test_the_query_makes_and_decodes_bands_once(spark):
+    """Each step in Python stands in the plan as often as it has to run; bands were made twice and decoded three times."""
+    from imgspark.catalogue import queries
+
+    df = queries()["s_jpeg_intervals"](spark, "/root/testdata/sf0.001")
+    assert all(r["same"] and r["within"] for r in df.collect())
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow decode(") == plan.count("MapInArrow code(") == plan.count("MapInArrow count(") == 1
+    assert plan.count("MapInArrow run(") == 3  # rows of the source for the files and for the comparison, and whole files decoded
