@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from imgspark.llm.components import connected_components
 from imgspark.llm.scratch import Scratch, broadcast_bloom, in_bloom, lean, split_by_keys
-from imgspark.llm.shingles import U, WordHashes, in_slices, mix, shingle_set, word_hashes
+from imgspark.llm.shingles import U, in_slices, mix, slice_sets
 
 
 #: Members outside a group's largest component up to which they are compared with all of the group,
@@ -127,22 +127,18 @@ def names(band: int, n1: int, n2: int) -> np.ndarray:
     return mix(i + (U(band + 1) << U(40)))
 
 
-def _texts(batch):
-    """(doc_id, bytes or None) of a batch."""
-    import pyarrow as pa
-
-    return zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
+def _shingled(batch, k: int):
+    """(doc_id, set) of a batch."""
+    return zip(batch.column(0).to_pylist(), slice_sets(batch.column(1), k))
 
 
 def _classes(k: int):
     def run(batches):
         import pyarrow as pa
 
-        table = WordHashes()
         for batch in in_slices(batches):
             ids, sizes, h1, h2 = [], [], [], []
-            for doc, text in _texts(batch):
-                s = shingle_set(word_hashes(text, table), k)
+            for doc, s in _shingled(batch, k):
                 ids.append(doc)
                 sizes.append(len(s))
                 h1.append(int(mix(s + U(1)).sum()) if len(s) else 0)
@@ -183,12 +179,12 @@ def _packed(k: int, percent: int, log2: int, skip=None):
     def run(batches):
         import pyarrow as pa
 
-        table, scheme, held, n = WordHashes(), Scheme(percent), [], 0
+        scheme, held, n = Scheme(percent), [], 0
         for batch in in_slices(batches):
             if skip:
                 batch = batch.filter(pa.array(~in_bloom(skip.value, batch.column(0).to_numpy())))
-            for _, text in _texts(batch):
-                for sig, shared, _ in scheme.signatures(shingle_set(word_hashes(text, table), k)):
+            for _, s in _shingled(batch, k):
+                for sig, shared, _ in scheme.signatures(s):
                     if len(sig) >= shared:
                         held.append(sig)
                         n += len(sig)
@@ -231,13 +227,12 @@ def _signed(k: int, percent: int, log2: int, bloom, skip=None):
     def run(batches):
         import pyarrow as pa
 
-        table, scheme = WordHashes(), Scheme(percent)
+        scheme = Scheme(percent)
         for batch in in_slices(batches):
             if skip:
                 batch = batch.filter(pa.array(~in_bloom(skip.value, batch.column(0).to_numpy())))
             held, sigs = [], [np.empty(0, U)]
-            for _, text in _texts(batch):
-                s = shingle_set(word_hashes(text, table), k)
+            for _, s in _shingled(batch, k):
                 key = int(mix(s + U(1)).sum().view(np.int64))
                 for sig, shared, band in scheme.signatures(s):
                     if len(sig) >= shared:
@@ -273,11 +268,10 @@ def _sets(k: int, shared):
     def run(batches):
         import pyarrow as pa
 
-        table = WordHashes()
         for batch in in_slices(batches):
             batch = batch.filter(pa.array(in_bloom(shared.value, batch.column(0).to_numpy())))
             if batch.num_rows:
-                out = [(doc, shingle_set(word_hashes(text, table), k)) for doc, text in _texts(batch)]
+                out = list(_shingled(batch, k))
                 offsets = np.cumsum([0, *(len(s) for _, s in out)])
                 sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([s.view(np.int64) for _, s in out])))
                 bits = np.array([parities(s) for _, s in out])
